@@ -240,7 +240,8 @@ def avg_confidence(v: DataFrame) -> DataFrame:
     """Per CA: mean AI confidence in percent, rounded half up; 0 if none."""
     conf = F.col("ai_confidence").cast("decimal(5,2)")
     g = v.groupBy("ca_id").agg(F.sum(conf).alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.select("ca_id", F.floor(F.col("s") * 100 / F.col("n") + F.lit(0.5)).cast("long").alias("avg_conf_pct"))
+    pct = F.col("s").cast("double") * 100 / F.col("n")
+    return g.select("ca_id", F.floor(pct + F.lit(0.5)).cast("long").alias("avg_conf_pct"))
 
 
 def compliance_distribution(clients: DataFrame) -> DataFrame:
@@ -249,7 +250,7 @@ def compliance_distribution(clients: DataFrame) -> DataFrame:
     g = clients.groupBy("ca_id", "compliance_status").agg(F.count(F.lit(1)).alias("value"))
     tot = F.sum("value").over(Window.partitionBy("ca_id"))
     return g.select("ca_id", "compliance_status", "value",
-                    F.round(F.col("value") * 100.0 / tot, 1).alias("share_pct"))
+                    F.round(F.col("value").cast("double") * 100 / tot, 1).alias("share_pct"))
 
 
 def category_distribution(v: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def portfolio_kpis(clients: DataFrame) -> DataFrame:
                                      F.count(F.lit(1)).alias("n"))
     return g.select("ca_id", D("t").alias("total_itc"),
                     F.floor(F.col("s") / F.col("n") + F.lit(0.5)).cast("long").alias("avg_risk"),
-                    F.floor(F.col("t") / F.col("n") + F.lit(0.5)).cast("long").alias("avg_itc"))
+                    F.floor(F.col("t").cast("double") / F.col("n") + F.lit(0.5)).cast("long").alias("avg_itc"))
 
 
 def itc_leakage(v: DataFrame, policy: str = "insights") -> DataFrame:
@@ -280,7 +281,7 @@ def itc_leakage(v: DataFrame, policy: str = "insights") -> DataFrame:
     pass (GROUPING SETS); ``level`` tells which set a row belongs to."""
     b = v.filter(C.is_blocked(F.col("ai_category"), policy))
     g = v.sparkSession.sql("""
-        SELECT ca_id, ai_category, client_name, grouping_id(ai_category, client_name) AS gid,
+        SELECT ca_id, ai_category, client_name, grouping(ai_category) * 2 + grouping(client_name) AS gid,
                sum(itc) AS amount
         FROM {src}
         GROUP BY ca_id, GROUPING SETS ((), (ai_category), (client_name))

@@ -11,6 +11,12 @@ the pieces with per-partition offsets (a classic distributed prefix sum):
 3. piece totals -> for every piece, the sum of the pieces before it (a tiny
    table: about one row per key plus one per partition);
 4. join back on (key, partition) and add the offset.
+
+The partition id of a row must be the same in steps 2 and 3. Range bounds
+come from sampling the input, and an input fed by a shuffle can arrive in a
+different order on re-evaluation, so the assignment is pinned once with a
+reliable ``checkpoint()`` into the shared checkpoint folder (this also keeps
+the result stable when an executor is lost and tasks are re-run).
 """
 
 from __future__ import annotations
@@ -31,10 +37,13 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value, out: str
                n: int | None = None) -> DataFrame:
     """``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows
     unbounded preceding .. current row). ``order`` must end in a unique column."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     value = F.col(value) if isinstance(value, str) else value
     r = (df.withColumn("_val", value)
            .repartitionByRange(_n_parts(df, n), *keys, *order)
-           .withColumn(_PID, F.spark_partition_id()))
+           .withColumn(_PID, F.spark_partition_id())
+           .checkpoint(eager=True))
     w_local = (Window.partitionBy(*keys, _PID).orderBy(*order)
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = r.withColumn("_local", F.sum("_val").over(w_local))
