@@ -90,17 +90,21 @@ def gstr3b_supplies(inv: DataFrame, usr: DataFrame, period: str | None = None, p
 
 
 def write_gstr3b(docs: DataFrame, supplies: DataFrame, path: str) -> None:
-    """One JSON document per (ret_period, gstin) folder, supply lines as
-    JSON lines beside it; dynamic partition overwrite re-runs idempotently."""
-    (docs.select("ret_period", "gstin", F.to_json("doc").alias("value"))
+    """GSTR-3B documents as JSON lines, one folder per return period; each
+    line is one (gstin, period) document with its portal file name. The supply
+    lines go beside them, keyed by gstin. Partitioning by period (not by
+    period x gstin) keeps the file count proportional to the data instead of
+    one directory per client-month; dynamic overwrite makes re-runs idempotent.
+    """
+    (docs.select("ret_period", F.to_json(F.struct("file_name", "gstin", "doc")).alias("value"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("ret_period", "gstin").text(f"{path}/documents"))
+         .partitionBy("ret_period").text(f"{path}/documents"))
     key = docs.select("user_id", "period", "gstin", "ret_period")
+    cols = [c for c in supplies.columns if c not in ("user_id", "period")]
     (supplies.join(key, ["user_id", "period"])
-             .select("ret_period", "gstin", F.to_json(F.struct(*[c for c in supplies.columns
-                                                                 if c not in ("user_id", "period")])).alias("value"))
+             .select("ret_period", F.to_json(F.struct("gstin", *cols)).alias("value"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("ret_period", "gstin").text(f"{path}/supplies"))
+             .partitionBy("ret_period").text(f"{path}/supplies"))
 
 
 def assess_penalties(filings: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def gstin_report(df: DataFrame, col: str, checksum: str = "reference", repair: b
     ck = G.checks("g", checksum)
     x = x.select("raw", "g", ck["pattern_ok"].alias("pattern_ok"), ck["state_ok"].alias("state_ok"),
                  ck["checksum_ok"].alias("checksum_ok"))
-    ok = F.coalesce(F.col("checksum_ok"), F.lit(False)) & (F.length("g") == 15)
+    ok = F.coalesce(F.col("checksum_ok") & (F.length("g") == 15), F.lit(False))
     if repair:
         failing = x.filter(~ok & (F.length("g") == 15)).select(F.col("g").alias("gstin"))
         fixes = G.repair(failing, "gstin", checksum).withColumnRenamed("gstin", "g")

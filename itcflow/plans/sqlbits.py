@@ -61,3 +61,47 @@ def clients_cte(period: str, name: str = "cs", all_users: bool = False) -> str:
 
 def risk_band(s: str) -> str:
     return f"CASE WHEN {s} < {fixed.RISK_HIGH_BELOW} THEN 'high' WHEN {s} < {fixed.RISK_MEDIUM_BELOW} THEN 'medium' ELSE 'low' END"
+
+
+def values_cte(name: str, cols: str, rows) -> str:
+    """A small literal dimension as a VALUES CTE."""
+    def lit(x):
+        if isinstance(x, bool):
+            return "true" if x else "false"
+        if isinstance(x, (int, float)):
+            return str(x)
+        return "'" + str(x).replace("'", "''") + "'"
+    body = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+    return f"{name}({cols}) AS (VALUES {body})"
+
+
+def catmap_cte() -> str:
+    return values_cte("catmap", "category, blocked, reason", fixed.CATEGORY_MAP)
+
+
+def labels_cte() -> str:
+    return values_cte("lab13", "k, label, category",
+                      [(i + 1, lab, cat) for i, (lab, cat) in enumerate(fixed.ZERO_SHOT_LABELS)])
+
+
+def states_cte() -> str:
+    return values_cte("states", "code, name", list(fixed.STATE_CODES.items()))
+
+
+def kw_category(low: str) -> str:
+    from ..functions.keywords import sql_first_group
+    return sql_first_group(low, fixed.KEYWORD_RULES, "Other")
+
+
+def kw_matched(low: str, cat: str) -> str:
+    """Keywords of the winning group found in ``low``, comma-joined."""
+    whens = []
+    for label, words in fixed.KEYWORD_RULES:
+        lst = "[" + ", ".join("'" + w + "'" for w in words) + "]"
+        whens.append(f"WHEN {cat} = '{label}' THEN array_to_string(list_filter({lst}, lambda kk: contains({low}, kk)), ',')")
+    return "CASE " + " ".join(whens) + " ELSE '' END"
+
+
+def clean_amount(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL ELSE TRY_CAST(trim(replace(replace("
+            f"regexp_replace({c}, '[₹,\\s]', '', 'g'), 'Dr', ''), 'Cr', '')) AS DOUBLE) END")

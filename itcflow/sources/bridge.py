@@ -153,6 +153,14 @@ SELECT doc_id, k, cast(((doc_id * 7 + k * 13) % 100) as double) / 100 AS score
 FROM {documents} <SEQ13>
 """
 
+# fine-tuned model scores: every document scored against the 8 categories (k = 1..8).
+FINE_TUNED = """
+SELECT doc_id, k, CASE k WHEN 1 THEN 'Food' WHEN 2 THEN 'Vehicle' WHEN 3 THEN 'Clothing' WHEN 4 THEN 'Electronics'
+  WHEN 5 THEN 'Office' WHEN 6 THEN 'Pharma' WHEN 7 THEN 'Travel' ELSE 'Other' END AS label,
+  cast(((doc_id * 11 + k * 17) % 100) as double) / 100 AS score
+FROM {documents} <SEQ8>
+"""
+
 # saved-basis ledger: every saved invoice, month of save time (see build_ledger)
 LEDGER = """
 SELECT user_id, <CPERIOD> AS period, sum(taxable_amt) AS total_purchases,
@@ -166,6 +174,7 @@ _SPARK = {
     "<CPERIOD>": "date_format(created_at, 'yyyy-MM')",
     "<SEQ2>": "LATERAL VIEW explode(sequence(1, 2)) s AS k",
     "<SEQ13>": "LATERAL VIEW explode(sequence(1, 13)) s AS k",
+    "<SEQ8>": "LATERAL VIEW explode(sequence(1, 8)) s AS k",
     "<TS_PLUS_K_HOURS>": "created_at + make_interval(0, 0, 0, 0, k, 0, 0)",
 }
 _DUCK = {
@@ -174,6 +183,7 @@ _DUCK = {
     "<CPERIOD>": "strftime(created_at, '%Y-%m')",
     "<SEQ2>": ", (SELECT unnest(range(1, 3)) AS k) s",
     "<SEQ13>": ", (SELECT unnest(range(1, 14)) AS k) s",
+    "<SEQ8>": ", (SELECT unnest(range(1, 9)) AS k) s",
     "<TS_PLUS_K_HOURS>": "created_at + to_hours(cast(k as bigint))",
     "array(": "list_value(",
 }
@@ -194,6 +204,7 @@ VIEWS = {
     "decisions": (DECISIONS, ["invoices"]),
     "photo_metrics": (PHOTO_METRICS, ["events"]),
     "zero_shot": (ZERO_SHOT, ["documents"]),
+    "fine_tuned": (FINE_TUNED, ["documents"]),
     "ledger": (LEDGER, ["invoices"]),
 }
 
