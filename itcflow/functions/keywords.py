@@ -17,16 +17,49 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+_META = set("\\.[]{}()*+?^$|#&~-")
+
+
+def _esc(ch: str) -> str:
+    return "\\" + ch if ch in _META else ch
+
+
+def trie_regex(words: list[str]) -> str:
+    """One regex that matches where any of ``words`` starts, shaped as a
+    prefix trie: at each text position the engine follows one branch per
+    next character instead of trying every keyword. A keyword that is a
+    prefix of others ends its branch (for an existence test the longer
+    keywords add nothing)."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for ch in w:
+            if "" in node:
+                break
+            node = node.setdefault(ch, {})
+        else:
+            node.clear()
+            node[""] = True
+
+    def emit(node: dict) -> str:
+        if "" in node:
+            return ""
+        alts = [_esc(ch) + emit(child) for ch, child in sorted(node.items())]
+        return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+
+    return emit(root)
+
+
 def any_of(text: Column, words: list[str], match: str = "substring") -> Column:
     """True when any word occurs in ``text`` (already lower-cased).
 
     ``substring`` reproduces the application (``'mi' in 'milk'`` is a hit);
     ``word`` requires word boundaries around the keyword.
     """
-    alts = "|".join(r"\Q" + w + r"\E" for w in words)
     if match == "word":
+        alts = "|".join(r"\Q" + w + r"\E" for w in words)
         return text.rlike(r"(?<![a-z0-9])(?:" + alts + r")(?![a-z0-9])")
-    return text.rlike(alts)
+    return text.rlike(trie_regex(words))
 
 
 def first_group(text: Column, rules, default, match: str = "substring") -> Column:

@@ -17,6 +17,7 @@ from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
 from ..functions.text import clean_amount
+from .skew import spread
 from .windows import top_per_group
 
 
@@ -31,62 +32,108 @@ def _truthy(x):
 
 def normalise_cells(cells: DataFrame) -> DataFrame:
     """Trim cells (NULL -> ''), detect the statement's bank."""
+    cells = spread(cells)
     return cells.select("statement_id", "row_no", "page_text",
                         F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit(""))).alias("tcells"),
                         K.detect_bank(F.col("page_text")).alias("bank"))
 
 
+_OUT = ["date", "description", "debit", "credit", "balance", "type", "amount"]
+
+
+def _param(i: int):
+    """Column of one layout parameter, chosen by the statement's bank."""
+    e = None
+    for lay in fixed.BANK_LAYOUTS:
+        v = lay[i]
+        v = F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+        e = F.when(F.col("bank") == lay[0], v) if e is None else e.when(F.col("bank") == lay[0], v)
+    return e
+
+
+def _with_layout(n: DataFrame) -> DataFrame:
+    """Layout parameters as columns (NULL for GENERIC): cell positions, the
+    date pattern and header words. Per-row work then references them, so
+    each field is computed by one expression whatever the bank."""
+    names = ["min_cells", "date_cells", "text_pos", "debit_pos", "credit_pos", "balance_pos", "date_re", "headers"]
+    return n.select("*", *[_param(i + 1).alias("_" + nm) for i, nm in enumerate(names)])
+
+
+def _at(pos):
+    return F.coalesce(F.get(F.col("tcells"), pos), F.lit(""))
+
+
+def _layout_fields() -> dict:
+    # the date test is a literal pattern per layout (compiled once per task),
+    # chosen by the bank, rather than a per-row pattern column
+    date = None
+    for bank, _, dcs, *_rest in fixed.BANK_LAYOUTS:
+        rx = _rest[-2]
+        hit = F.coalesce(*[F.when(_cell(i).rlike(rx), _cell(i)) for i in dcs])
+        date = F.when(F.col("bank") == bank, hit) if date is None else date.when(F.col("bank") == bank, hit)
+    desc = _at(F.col("_text_pos"))
+    ok = ((F.size("tcells") >= F.col("_min_cells")) & date.isNotNull() & (desc != "")
+          & ~F.array_contains(F.col("_headers"), F.lower(desc)))
+    d, c, b = (clean_amount(_at(F.col(x))) for x in ("_debit_pos", "_credit_pos", "_balance_pos"))
+    return {"ok": F.coalesce(ok, F.lit(False)), "date": date, "description": desc, "debit": d, "credit": c,
+            "balance": b, "type": F.when(_truthy(d), "debit").otherwise("credit"),
+            "amount": F.when(_truthy(d), d).when(_truthy(c), c).otherwise(F.lit(0.0))}
+
+
+def _generic_fields() -> dict:
+    rx = fixed.GENERIC_DATE_REGEX
+    date = F.coalesce(*[F.when(_cell(i).rlike(rx), _cell(i)) for i in range(3)])
+    amts = F.filter(F.transform("tcells", lambda c: clean_amount(c)), lambda a: a.isNotNull() & (a > 0))
+    text_cells = F.filter(F.slice("tcells", 2, 3), lambda c: (c != "") & ~c.rlike(rx))
+    return {"date": date, "amts": amts,
+            "description": F.substring(F.array_join(text_cells, " "), 1, fixed.GENERIC_TEXT_CHARS)}
+
+
+def _generic_out(prefix: str = "") -> list:
+    a = F.col(prefix + "amts")
+    return [F.col(prefix + "date").alias("date"), F.col(prefix + "description").alias("description"),
+            F.get(a, 0).alias("debit"), F.get(a, 1).alias("credit"),
+            F.when(F.size(a) > 2, F.element_at(a, -1)).alias("balance"), F.lit("debit").alias("type"),
+            F.get(a, 0).alias("amount")]
+
+
 def extract_rows(n: DataFrame) -> DataFrame:
     """rows of HDFC/SBI/ICICI/AXIS/KOTAK statements by their layouts."""
-    parts = []
-    for bank, min_cells, date_cells, text, debit, credit, balance, date_re, headers in fixed.BANK_LAYOUTS:
-        rows = n.filter((F.col("bank") == bank) & (F.size("tcells") >= min_cells))
-        date = None
-        for dc in date_cells:
-            hit = F.when(_cell(dc).rlike(date_re), _cell(dc))
-            date = hit if date is None else F.coalesce(date, hit)
-        desc = _cell(text)
-        rows = rows.withColumn("date", date).withColumn("description", desc)
-        rows = rows.filter(F.col("date").isNotNull() & (F.col("description") != "")
-                           & ~F.lower("description").isin(headers))
-        d, c, b = clean_amount(_cell(debit)), clean_amount(_cell(credit)), clean_amount(_cell(balance))
-        parts.append(rows.select("statement_id", "row_no", "date", "description",
-                                 d.alias("debit"), c.alias("credit"), b.alias("balance"),
-                                 F.when(_truthy(d), "debit").otherwise("credit").alias("type"),
-                                 F.when(_truthy(d), d).when(_truthy(c), c).otherwise(F.lit(0.0)).alias("amount"),
-                                 F.lit(bank).alias("bank")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    f = _layout_fields()
+    x = _with_layout(n).filter(F.col("bank") != fixed.GENERIC_BANK)
+    x = x.select("statement_id", "row_no", "bank", *[f[k].alias(k) for k in ["ok"] + _OUT])
+    return x.filter("ok").select("statement_id", "row_no", *_OUT, "bank")
 
 
 def extract_generic(n: DataFrame) -> DataFrame:
     """first date among the 3 leading cells; positive amounts anywhere in
     the row; text = non-date cells 2..4 joined, cut to 100 characters."""
-    rx = fixed.GENERIC_DATE_REGEX
-    rows = n.filter(F.size("tcells") >= fixed.GENERIC_MIN_CELLS)
-    date = F.coalesce(*[F.when(_cell(i).rlike(rx), _cell(i)) for i in range(3)])
-    amounts = F.filter(F.transform("tcells", lambda c: clean_amount(c)), lambda a: a.isNotNull() & (a > 0))
-    text_cells = F.filter(F.slice("tcells", 2, 3), lambda c: (c != "") & ~c.rlike(rx))
-    rows = rows.select("statement_id", "row_no", date.alias("date"), amounts.alias("amts"),
-                       F.substring(F.array_join(text_cells, " "), 1, fixed.GENERIC_TEXT_CHARS).alias("description"))
-    rows = rows.filter(F.col("date").isNotNull() & (F.size("amts") > 0))
-    return rows.select("statement_id", "row_no", "date", "description",
-                       F.get("amts", 0).alias("debit"), F.get("amts", 1).alias("credit"),
-                       F.when(F.size("amts") > 2, F.element_at("amts", -1)).alias("balance"),
-                       F.lit("debit").alias("type"), F.get("amts", 0).alias("amount"),
-                       F.lit(fixed.GENERIC_BANK).alias("bank"))
+    g = _generic_fields()
+    x = n.filter(F.size("tcells") >= fixed.GENERIC_MIN_CELLS).select(
+        "statement_id", "row_no", *[g[k].alias(k) for k in ("date", "amts", "description")])
+    x = x.filter(F.col("date").isNotNull() & (F.size("amts") > 0))
+    return x.select("statement_id", "row_no", *_generic_out(), F.lit(fixed.GENERIC_BANK).alias("bank"))
 
 
 def normalise_statements(cells: DataFrame) -> DataFrame:
-    """Layout extracts, plus the generic extract of every statement for
-    which its bank's layout found nothing (left-anti on statement id)."""
+    """Layout rows, or the generic rows of a statement for which its
+    bank's layout found nothing. One pass reads every row both ways; a
+    per-statement aggregate (map-side combined) says which reading applies."""
     n = normalise_cells(cells)
-    specific = extract_rows(n)
-    generic = extract_generic(n)
-    have = specific.select("statement_id").distinct()
-    return specific.unionByName(generic.join(have, "statement_id", "left_anti"))
+    f, g = _layout_fields(), _generic_fields()
+    x = _with_layout(n).select(
+        "statement_id", "row_no", "bank", f["ok"].alias("spec_ok"),
+        F.struct(*[f[k].alias(k) for k in _OUT]).alias("spec"),
+        ((F.size("tcells") >= fixed.GENERIC_MIN_CELLS) & g["date"].isNotNull()).alias("gen_dated"),
+        F.struct(*[g[k].alias(k) for k in ("date", "amts", "description")]).alias("gen"))
+    x = x.withColumn("gen_ok", F.col("gen_dated") & (F.size("gen.amts") > 0)).drop("gen_dated")
+    x = x.filter(F.col("spec_ok") | F.col("gen_ok"))
+    has = x.groupBy("statement_id").agg(F.max("spec_ok").alias("has_spec"))
+    y = x.join(has, "statement_id").filter(F.col("spec_ok") | (~F.col("has_spec") & F.col("gen_ok")))
+    spec = y.filter("spec_ok").select("statement_id", "row_no", *[F.col("spec." + k).alias(k) for k in _OUT], "bank")
+    gen = y.filter(~F.col("spec_ok")).select("statement_id", "row_no", *_generic_out("gen."),
+                                            F.lit(fixed.GENERIC_BANK).alias("bank"))
+    return spec.unionByName(gen)
 
 
 def categorise(txns: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
+from .skew import spread
 
 
 def category_dim(spark) -> DataFrame:
@@ -42,6 +43,7 @@ def with_category(df: DataFrame, cat: str = "category") -> DataFrame:
 def classify_keywords(df: DataFrame, col: str = "description", match: str = "substring") -> DataFrame:
     """F8: keyword layer: category, 0.85 (hit) / 0.60 (no hit), blocked,
     reason and the matched keywords of the winning group."""
+    df = spread(df)
     low = F.lower(F.col(col))
     cat = K.keyword_category(F.col(col), match)
     out = df.withColumn("category", cat)

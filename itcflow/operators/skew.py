@@ -62,3 +62,17 @@ def sequential_index(df: DataFrame, order: list[str], out: str = "seq", start: i
     k = "_k"
     res = prefix_sum(df.withColumn(k, F.lit(0)), [k], order, F.lit(1).cast("long"), out, n)
     return res.withColumn(out, F.col(out) + (start - 1)).drop(k)
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Spread CPU-heavy row work (long-text matching) over all task slots.
+
+    A small table can arrive as one parquet row group, i.e. one task. When
+    the scan yields fewer partitions than the cluster's parallelism, rows are
+    redistributed round-robin; a large table (many files or row groups)
+    already has enough partitions and is left as is, so no shuffle is added
+    at scale. Only planning runs here (no job).
+    """
+    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
