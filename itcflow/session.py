@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # AQE coalescing small ones and splitting skewed ones at run time).
 BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
