@@ -351,7 +351,7 @@ def j15(spark, sf_dir):
 @query("J16_register_clients", "J16", """
 SELECT business_name, phone, gstin, state_code, 3 AS ca_id FROM (
   SELECT c_name AS business_name, '8' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone,
-    CASE WHEN c_custkey % 3 = 0 THEN '' ELSE upper(trim(' 05aabc' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' ')) END AS gstin,
+    CASE WHEN c_custkey % 3 = 0 THEN '' ELSE upper(trim(' 27aabc' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' ')) END AS gstin,
     lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') AS state_code FROM customer
   UNION ALL SELECT c_name, '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), '', '01' FROM customer) t
 WHERE phone NOT IN (SELECT phone FROM users)
