@@ -76,3 +76,24 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     want = min_parts or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df
+
+
+# Row bound under which a derived (aggregated) side is broadcast. The side is
+# materialized first, so the decision is on its actual size, not an estimate.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` to a derived table that is usually small (one row per
+    group): the small side is checkpointed to the shared folder, counted, and
+    broadcast only when within ``max_rows``; otherwise a shuffle join (with
+    AQE skew splitting) is used. The big side is never shuffled for a
+    small side."""
+    from ..session import ensure_checkpoint_dir
+    from pyspark.sql import functions as F
+    ensure_checkpoint_dir(small.sparkSession)
+    s = small.checkpoint(eager=True)
+    if s.count() <= max_rows:
+        return big.join(F.broadcast(s), on, how)
+    return big.join(s, on, how)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as C
 from ..functions import fixed
-from .skew import prefix_sum
+from .skew import join_small, prefix_sum
 
 D = C.to_double
 
@@ -30,7 +30,7 @@ def invoice_anomalies(v: DataFrame, k: float = fixed.ANOMALY_FACTOR, hi: float =
     """
     means = v.groupBy(by).agg(F.sum("total").alias("_s"), F.count(F.lit(1)).alias("_n"))
     means = means.select(by, (F.col("_s").cast("double") / F.col("_n")).alias("avg_total"))
-    j = v.join(means, by)
+    j = join_small(v, means, by)
     tot = F.col("total").cast("double")
     hit = j.filter(tot > F.col("avg_total") * k)
     out = hit.select(by, "id", "user_id", "client_name", D("total").alias("total"), "avg_total",

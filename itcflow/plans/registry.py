@@ -51,5 +51,5 @@ def query(name: str, survey_id: str, sql: str | None = None, ctes: str = ""):
 
 
 def load_all() -> dict[str, Query]:
-    from . import catalog_core, catalog_more, catalog_text  # noqa: F401  (registration side effects)
+    from . import catalog_core, catalog_more, catalog_stream, catalog_text  # noqa: F401  (registration side effects)
     return REGISTRY

@@ -45,7 +45,13 @@ class Model:
             elif name in bridge.VIEWS:
                 sql, deps = bridge.VIEWS[name]
                 frames = {d: self.table(d) for d in deps}
-                self._frames[name] = self.spark.sql(bridge.render(sql, "spark"), **frames)
+                df = self.spark.sql(bridge.render(sql, "spark"), **frames)
+                if name == "invoices":
+                    # canonical money type of the model: DECIMAL(18,2)
+                    from pyspark.sql import functions as F
+                    money = ["taxable_amt", "cgst", "sgst", "igst"]
+                    df = df.select(*[F.col(c).cast("decimal(18,2)").alias(c) if c in money else c for c in df.columns])
+                self._frames[name] = df
             else:
                 raise KeyError(name)
         return self._frames[name]

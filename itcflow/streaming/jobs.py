@@ -29,9 +29,11 @@ INVOICE_SCHEMA = ("id long, user_id long, seller_gstin string, invoice_no string
                   "igst decimal(18,2), status string, ai_category string")
 
 
-def write_daily_files(df: DataFrame, ts: str, path: str) -> None:
-    """Lay a table down as a file stream: one folder of files per event day."""
-    (df.withColumn("day", F.to_date(ts)).repartition("day")
+def write_daily_files(df: DataFrame, ts: str, path: str, unit: str = "day") -> None:
+    """Lay a table down as a file stream: one folder of files per event day
+    (or month, for sparse multi-year history)."""
+    key = F.to_date(ts) if unit == "day" else F.trunc(ts, "month")
+    (df.withColumn("day", key).repartition("day")
        .write.mode("overwrite").partitionBy("day").parquet(path))
 
 
