@@ -163,11 +163,11 @@ def deadline_messages(usr: DataFrame, led: DataFrame, as_of: str, policy: str =
         if kind == "GSTR-1":
             body = F.concat(F.lit(f"{urgency} GSTR-1 Filing Reminder\n\nDeadline: {date}\nSirf {days} din bacha hai!\n\n"
                                   "💰 Aapka ITC this month: Rs."), itc_txt,
-                            F.lit("\n\nApne CA se abhi contact karein.\nVyapaarBandhu 🤝"))
+                            F.lit("\n\nApne CA se abhi contact karein.\n" + fixed.SIGNOFF))
         else:
             tail = "Ab der mat karein! Penalty shuru hogi!" if days == 1 else "Invoice upload karna baaki hai to abhi bhejiye!"
             body = F.concat(F.lit(f"{urgency} GSTR-3B Filing Reminder\n\nDeadline: {date}\nSirf {days} din bacha hai!\n\n"
-                                  "💰 ITC Available: Rs."), itc_txt, F.lit(f"\n\n{tail}\nVyapaarBandhu 🤝"))
+                                  "💰 ITC Available: Rs."), itc_txt, F.lit(f"\n\n{tail}\n{fixed.SIGNOFF}"))
         branches.append(F.struct(F.lit(kind).alias("kind"), F.lit(days).alias("days_left"), F.lit(date).alias("deadline"),
                                  K.alert_level(F.lit(days)).alias("level"), body.alias("body")))
     if not branches:

@@ -383,7 +383,7 @@ SELECT u.id AS user_id, 'whatsapp:' || CASE WHEN u.phone LIKE '+%' THEN u.phone
   '2000-06-11' AS deadline, 'notice' AS level,
   '📅 GSTR-1 Filing Reminder' || chr(10) || chr(10) || 'Deadline: 2000-06-11' || chr(10) || 'Sirf 7 din bacha hai!' || chr(10) || chr(10)
   || '💰 Aapka ITC this month: Rs.' || format('{{:,.2f}}', CAST(round(coalesce(l.itc_available, 0), 2) AS DOUBLE))
-  || chr(10) || chr(10) || 'Apne CA se abhi contact karein.' || chr(10) || 'VyapaarBandhu 🤝' AS body
+  || chr(10) || chr(10) || 'Apne CA se abhi contact karein.' || chr(10) || '{fixed.SIGNOFF}' AS body
 FROM users u LEFT JOIN (SELECT * FROM ledger WHERE period = '{REMIND_AS_OF[:7]}') l ON l.user_id = u.id
 WHERE u.phone IS NOT NULL AND u.phone <> ''
 """)
