@@ -593,7 +593,7 @@ def _out(spark, sf_dir, name):
     return shared_dir(spark, f"itcflow-sinks/{os.path.basename(sf_dir.rstrip('/'))}/{name}")
 
 
-@query("S5_labelled_csv", "S5")
+@query("S5_labelled_csv", "S5", "SELECT description, amount, category, itc_eligible, gstin FROM (" + _labelled_sql() + ") t")
 def s5(spark, sf_dir):
     """Labelled set written as CSV with header and read back with a schema."""
     path = _out(spark, sf_dir, "labelled_csv")
@@ -622,7 +622,12 @@ def s6(spark, sf_dir):
     return out
 
 
-@query("S7_write_gstr3b", "S7")
+@query("S7_write_gstr3b", "S7", f"""
+SELECT substr(t.period, 6, 2) || substr(t.period, 1, 4) AS ret_period, u.gstin,
+  'GSTR3B_' || u.gstin || '_' || substr(t.period, 6, 2) || substr(t.period, 1, 4) || '.json' AS file_name
+FROM (SELECT DISTINCT user_id, strftime(date, '%Y-%m') AS period FROM invoices WHERE status = 'confirmed' AND date IS NOT NULL) t
+JOIN users u ON u.id = t.user_id WHERE u.ca_id IS NOT NULL AND coalesce(u.gstin, '') <> ''
+""")
 def s7(spark, sf_dir):
     """GSTR-3B JSON documents written per (ret_period, gstin), with supply lines beside them."""
     m = M(spark, sf_dir)
@@ -631,22 +636,33 @@ def s7(spark, sf_dir):
     path = _out(spark, sf_dir, "gstr3b")
     FL.write_gstr3b(docs, sup, path)
     d = spark.read.text(f"{path}/documents")
-    return d.select("ret_period", F.get_json_object("value", "$.gstin").alias("gstin"),
-                    F.get_json_object("value", "$.file_name").alias("file_name"), F.length("value").alias("json_chars"))
-
-
-@query("S9_outbox", "S9")
+    return d.select(F.lpad(F.col("ret_period").cast("string"), 6, "0").alias("ret_period"),
+                    F.get_json_object("value", "$.gstin").alias("gstin"),
+                    F.get_json_object("value", "$.file_name").alias("file_name"))
+
+
+@query("S9_outbox", "S9", f"""
+SELECT DISTINCT 'whatsapp:' || CASE WHEN phone LIKE '+%' THEN phone ELSE '+91' || phone END AS "to", 'GSTR-1' AS kind,
+  '📅 GSTR-1 Filing Reminder' || chr(10) || chr(10) || 'Deadline: 2000-06-11' || chr(10) || 'Sirf 7 din bacha hai!' || chr(10) || chr(10)
+  || '💰 Aapka ITC this month: Rs.' || format('{{:,.2f}}', CAST(round(coalesce(l.itc_available, 0), 2) AS DOUBLE))
+  || chr(10) || chr(10) || 'Apne CA se abhi contact karein.' || chr(10) || '{fixed.SIGNOFF}' AS body
+FROM users u LEFT JOIN (SELECT * FROM ledger WHERE period = '2000-06') l ON l.user_id = u.id
+WHERE u.phone IS NOT NULL AND u.phone <> ''
+""")
 def s9(spark, sf_dir):
     """Reminder messages appended to the outbox table."""
     from .catalog_more import REMIND_AS_OF
     m = M(spark, sf_dir)
     msgs = FL.deadline_messages(m.users, m.ledger, REMIND_AS_OF, "calendar")
-    path = _out(spark, sf_dir, "outbox")
+    import uuid
+    path = _out(spark, sf_dir, f"outbox-{uuid.uuid4().hex[:8]}")  # the outbox appends; one run, one folder
     FL.write_outbox(msgs, path)
     return spark.read.parquet(path).select("to", "kind", "body").distinct()
 
 
-@query("S10_publish_ledger", "S10")
+@query("S10_publish_ledger", "S10", """
+SELECT user_id, period, CAST(itc_available AS DOUBLE) AS itc_available FROM ledger
+""")
 def s10(spark, sf_dir):
     """Ledger published by period with dynamic partition overwrite (idempotent re-runs)."""
     m = M(spark, sf_dir)
@@ -656,7 +672,9 @@ def s10(spark, sf_dir):
     return spark.read.parquet(path).select("user_id", "period", D("itc_available").alias("itc_available"))
 
 
-@query("W7_latest_correction", "W7")
+@query("W7_latest_correction", "W7", """
+SELECT invoice_id, arg_max(category, seq) AS category FROM corrections GROUP BY 1
+""")
 def w7c(spark, sf_dir):
     """Latest correction per invoice (aggregate, no window)."""
     return latest_by(M(spark, sf_dir).corrections, "invoice_id", ["seq"], ["category"])
