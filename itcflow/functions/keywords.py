@@ -75,11 +75,26 @@ def matched_words(text: Column, category: Column, rules) -> Column:
     """Keywords of the winning group that occur in ``text`` (rule order)."""
     expr = None
     for label, words in rules:
-        arr = F.filter(F.array(*[F.lit(w) for w in words]), lambda k: F.instr(text, k) > 0)
+        # unrolled literal tests stay in generated code (a lambda over an
+        # array of keywords would be evaluated interpreted)
+        arr = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
         expr = F.when(category == label, arr) if expr is None else expr.when(category == label, arr)
     return expr.otherwise(F.array().cast("array<string>"))
 
 
+def group_and_words(text: Column, rules, default: str, match: str = "substring") -> Column:
+    """struct(label, words): the first group that fires and its keywords found
+    in ``text``, in one CASE, so each group's regex runs at most once per
+    row and the keyword list is built only for the winning group."""
+    expr = None
+    for label, words in rules:
+        found = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
+        val = F.struct(F.lit(label).alias("label"), found.alias("words"))
+        cond = any_of(text, words, match)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return expr.otherwise(F.struct(F.lit(default).alias("label"), F.array().cast("array<string>").alias("words")))
+
+
 def keyword_category(desc: Column, match: str = "substring") -> Column:
     """F8 category of a description, 'Other' when no group fires."""
     return first_group(F.lower(desc), fixed.KEYWORD_RULES, "Other", match)

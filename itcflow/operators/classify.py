@@ -44,16 +44,17 @@ def classify_keywords(df: DataFrame, col: str = "description", match: str = "sub
     """F8: keyword layer: category, 0.85 (hit) / 0.60 (no hit), blocked,
     reason and the matched keywords of the winning group."""
     df = spread(df)
-    low = F.lower(F.col(col))
-    cat = K.keyword_category(F.col(col), match)
-    out = df.withColumn("category", cat)
-    out = with_category(out, "category")
+    res = K.group_and_words(F.lower(F.col(col)), fixed.KEYWORD_RULES, "Other", match)
+    # the struct stays one column through the dimension join, so the rule
+    # CASE is evaluated once per row (its two fields are read above the join)
+    out = with_category(df.withColumn("_kw", res), "_kw.label")
+    out = out.select(*df.columns, F.col("_kw.label").alias("category"), F.col("_kw.words").alias("matched_keywords"),
+                     "blocked", "reason")
     hit = F.col("category") != "Other"
     return (out.withColumn("confidence", F.when(hit, F.lit(fixed.KEYWORD_CONFIDENCE))
                                           .otherwise(F.lit(fixed.NO_KEYWORD_CONFIDENCE)))
                .withColumn("reason", F.when(hit, F.concat(F.col("reason"), F.lit(" (keyword match)")))
-                                      .otherwise(F.lit(fixed.UNCLASSIFIED_REASON)))
-               .withColumn("matched_keywords", K.matched_words(low, F.col("category"), fixed.KEYWORD_RULES)))
+                                      .otherwise(F.lit(fixed.UNCLASSIFIED_REASON))))
 
 
 def top_label(scores: DataFrame, key: str = "doc_id", label: str = "label", k_col: str | None = "k") -> DataFrame:

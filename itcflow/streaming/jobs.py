@@ -37,6 +37,18 @@ def write_daily_files(df: DataFrame, ts: str, path: str, unit: str = "day") -> N
        .write.mode("overwrite").partitionBy("day").parquet(path))
 
 
+def write_files_in_order(df: DataFrame, ts: str, path: str, unit: str = "day") -> None:
+    """Lay a table down as a file stream whose file order (modification time,
+    which a file source follows) is event order: one append per period, oldest
+    first. Used where micro-batches must be bounded and still see events in
+    order (stateful jobs); only the list of periods comes to the driver."""
+    key = F.to_date(ts) if unit == "day" else F.trunc(ts, "month")
+    d = df.withColumn("day", key)
+    periods = [r[0] for r in d.select("day").distinct().orderBy("day").collect()]
+    for p in periods:
+        d.filter(F.col("day") == F.lit(p)).write.mode("append").partitionBy("day").parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     return (spark.readStream.schema(schema + ", day date").option("maxFilesPerTrigger", files_per_trigger)
                  .parquet(path).drop("day"))

@@ -17,8 +17,8 @@ def _msgs(spark):
 def test_confirm_sessions_stream_equals_batch(spark):
     m, msgs = _msgs(spark)
     d = tempfile.mkdtemp(prefix="itcflow-r1-", dir="/tmp")
-    S.write_daily_files(msgs, "ts", d + "/msgs")
-    src = S.read_stream(spark, d + "/msgs", S.MESSAGE_SCHEMA, 5)
+    S.write_files_in_order(msgs.coalesce(1), "ts", d + "/msgs")
+    src = S.read_stream(spark, d + "/msgs", S.MESSAGE_SCHEMA, 1)
     out = S.run_available(S.confirm_sessions(src), "t_r1", d + "/ck")
     b = S.confirm_sessions_batch(msgs)
     assert out.count() == msgs.count()
