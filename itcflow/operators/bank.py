@@ -83,7 +83,9 @@ def _layout_fields() -> dict:
 def _generic_fields() -> dict:
     rx = fixed.GENERIC_DATE_REGEX
     date = F.coalesce(*[F.when(_cell(i).rlike(rx), _cell(i)) for i in range(3)])
-    amts = F.filter(F.transform("tcells", lambda c: clean_amount(c)), lambda a: a.isNotNull() & (a > 0))
+    # positive amounts; NaN is excluded (Spark orders NaN above all numbers,
+    # the application's `nan > 0` is false)
+    amts = F.filter(F.transform("tcells", lambda c: clean_amount(c)), lambda a: a.isNotNull() & (a > 0) & ~F.isnan(a))
     text_cells = F.filter(F.slice("tcells", 2, 3), lambda c: (c != "") & ~c.rlike(rx))
     return {"date": date, "amts": amts,
             "description": F.substring(F.array_join(text_cells, " "), 1, fixed.GENERIC_TEXT_CHARS)}

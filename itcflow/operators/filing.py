@@ -159,15 +159,11 @@ def deadline_messages(usr: DataFrame, led: DataFrame, as_of: str, policy: str =
                              ("GSTR-3B", dl["days_to_gstr3b"], dl["gstr3b_deadline"])):
         if days not in fixed.ALERT_LEAD_DAYS:
             continue
-        urgency = "🚨 URGENT!" if days == 1 else "⚠️" if days == 3 else "📅"
-        if kind == "GSTR-1":
-            body = F.concat(F.lit(f"{urgency} GSTR-1 Filing Reminder\n\nDeadline: {date}\nSirf {days} din bacha hai!\n\n"
-                                  "💰 Aapka ITC this month: Rs."), itc_txt,
-                            F.lit("\n\nApne CA se abhi contact karein.\n" + fixed.SIGNOFF))
-        else:
-            tail = "Ab der mat karein! Penalty shuru hogi!" if days == 1 else "Invoice upload karna baaki hai to abhi bhejiye!"
-            body = F.concat(F.lit(f"{urgency} GSTR-3B Filing Reminder\n\nDeadline: {date}\nSirf {days} din bacha hai!\n\n"
-                                  "💰 ITC Available: Rs."), itc_txt, F.lit(f"\n\n{tail}\n{fixed.SIGNOFF}"))
+        tpl = fixed.REMINDER_GSTR1 if kind == "GSTR-1" else fixed.REMINDER_GSTR3B
+        text = tpl.format(mark=fixed.URGENCY_MARK[days], date=date, days=days, itc="\x00", signoff=fixed.SIGNOFF,
+                          tail=fixed.REMINDER_3B_TAIL.get(days, fixed.REMINDER_3B_TAIL_DEFAULT))
+        head, tail = text.split("\x00")
+        body = F.concat(F.lit(head), itc_txt, F.lit(tail))
         branches.append(F.struct(F.lit(kind).alias("kind"), F.lit(days).alias("days_left"), F.lit(date).alias("deadline"),
                                  K.alert_level(F.lit(days)).alias("level"), body.alias("body")))
     if not branches:
@@ -193,3 +189,33 @@ def publish(df: DataFrame, path: str, partition_cols: list[str]) -> None:
     replaced (dynamic partition overwrite); re-running a day is idempotent."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).parquet(path))
+
+
+def render_report(rep: DataFrame, as_of: str) -> DataFrame:
+    """the chat monthly-report text of every user from A11's columns."""
+    import datetime as _dt
+    month_name = _dt.date.fromisoformat(as_of[:10]).strftime("%B %Y")
+    d3 = F.col("days_to_gstr3b")
+    light = F.create_map(*[F.lit(x) for kv in fixed.REPORT_LIGHT.items() for x in kv])
+
+    def tpl(t, **cols):
+        # split a template at its {name} fields, interleaving column values
+        import re as _re
+        parts, out = _re.split(r"\{(\w+)\}", t), []
+        for i, piece in enumerate(parts):
+            out.append(F.lit(piece) if i % 2 == 0 else cols[piece])
+        return F.concat(*out)
+
+    body = F.concat(
+        F.lit(fixed.REPORT_HEAD.format(month_name=month_name)),
+        tpl(fixed.REPORT_BODY, invoices=F.col("total_invoices").cast("string"),
+            purchases=F.format_number("total_purchases", 2), itc=F.format_number("total_itc", 2)),
+        F.when(F.col("blocked_count") > 0, tpl(fixed.REPORT_BLOCKED, blocked=F.col("blocked_count").cast("string")))
+         .otherwise(F.lit("")),
+        tpl(fixed.REPORT_DEADLINES, light=F.element_at(light, F.col("urgency")), g1=F.col("gstr1_deadline"),
+            d1=F.col("days_to_gstr1").cast("string"), g3=F.col("gstr3b_deadline"), d3=d3.cast("string")),
+        F.when(d3 <= 3, tpl(fixed.REPORT_URGENT, d3=d3.cast("string")))
+         .when(d3 <= 7, tpl(fixed.REPORT_SOON, d3=d3.cast("string")))
+         .otherwise(tpl(fixed.REPORT_OK, d3=d3.cast("string"))),
+        F.lit(fixed.REPORT_TAIL))
+    return rep.select("user_id", body.alias("report"))

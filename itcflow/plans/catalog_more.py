@@ -37,6 +37,53 @@ def a11(spark, sf_dir):
     return A.monthly_report(m.invoices, m.ledger, m.users, AS_OF)
 
 
+A11_SQL = f"""
+SELECT u.id AS user_id, coalesce(a.n, 0) AS total_invoices, CAST(coalesce(a.p, 0) AS DOUBLE) AS total_purchases,
+  CAST(round(coalesce(l.itc_available, 0), 2) AS DOUBLE) AS total_itc, coalesce(a.b, 0) AS blocked_count,
+  '2000-07-11' AS gstr1_deadline, '2000-07-20' AS gstr3b_deadline, 26 AS days_to_gstr1, 35 AS days_to_gstr3b,
+  'green' AS urgency
+FROM users u
+LEFT JOIN (SELECT user_id, count(*) AS n, sum(taxable_amt) AS p, count_if(status = 'blocked') AS b FROM invoices
+           WHERE date >= TIMESTAMP '{AS_OF[:7]}-01' GROUP BY user_id) a ON a.user_id = u.id
+LEFT JOIN (SELECT * FROM ledger WHERE period = '{AS_OF[:7]}') l ON l.user_id = u.id
+"""
+
+
+def _sql_tpl(t: str, **exprs) -> str:
+    """A template as a SQL concatenation: literal pieces and {field} expressions."""
+    import re
+    parts = re.split(r"\{(\w+)\}", t)
+    out = []
+    for i, piece in enumerate(parts):
+        if i % 2 == 0:
+            if piece:
+                out.append("'" + piece.replace("'", "''") + "'")
+        else:
+            out.append("(" + exprs[piece] + ")")
+    return " || ".join(out) if out else "''"
+
+
+def _report_sql() -> str:
+    import datetime as _dt
+    month = _dt.date.fromisoformat(AS_OF).strftime("%B %Y")
+    fmt2 = "format('{{:,.2f}}', {})"
+    body = " || ".join([
+        "'" + fixed.REPORT_HEAD.format(month_name=month) + "'",
+        _sql_tpl(fixed.REPORT_BODY, invoices="CAST(total_invoices AS VARCHAR)",
+                 purchases=fmt2.format("total_purchases"), itc=fmt2.format("total_itc")),
+        "CASE WHEN blocked_count > 0 THEN " + _sql_tpl(fixed.REPORT_BLOCKED, blocked="CAST(blocked_count AS VARCHAR)")
+        + " ELSE '' END",
+        _sql_tpl(fixed.REPORT_DEADLINES, light="CASE urgency " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
+                                                                        fixed.REPORT_LIGHT.items()) + " END",
+                 g1="gstr1_deadline", d1="CAST(days_to_gstr1 AS VARCHAR)", g3="gstr3b_deadline",
+                 d3="CAST(days_to_gstr3b AS VARCHAR)"),
+        "CASE WHEN days_to_gstr3b <= 3 THEN " + _sql_tpl(fixed.REPORT_URGENT, d3="CAST(days_to_gstr3b AS VARCHAR)")
+        + " WHEN days_to_gstr3b <= 7 THEN " + _sql_tpl(fixed.REPORT_SOON, d3="CAST(days_to_gstr3b AS VARCHAR)")
+        + " ELSE " + _sql_tpl(fixed.REPORT_OK, d3="CAST(days_to_gstr3b AS VARCHAR)") + " END",
+        "'" + fixed.REPORT_TAIL + "'"])
+    return f"SELECT user_id, {body} AS report FROM rep"
+
+
 @query("A13_itc_trend", "A13,T7", """
 SELECT ca_id, month, substr(month, 6, 2) AS month_label, CAST(floor(itc + 0.5) AS BIGINT) AS itc FROM (
   SELECT ca_id, strftime(date, '%Y-%m') AS month, sum(itc) AS itc,
@@ -480,3 +527,10 @@ def a7s(spark, sf_dir):
     """Inward-supply lines of the GSTR-3B documents (a table beside the document)."""
     m = M(spark, sf_dir)
     return FL.gstr3b_supplies(m.invoices, m.users)
+
+
+@query("F22_render_report", "F22,A11", _report_sql(), ctes="rep AS (" + A11_SQL.strip() + ")")
+def f22(spark, sf_dir):
+    """Chat monthly-report text of every user (as of 2000-06-15)."""
+    m = M(spark, sf_dir)
+    return FL.render_report(A.monthly_report(m.invoices, m.ledger, m.users, AS_OF), AS_OF)

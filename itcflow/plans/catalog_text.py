@@ -197,7 +197,7 @@ WHERE date IS NOT NULL AND description <> '' AND lower(description) NOT IN {Q.sq
     generic = f"""SELECT statement_id, row_no, date, description, amts[1] AS debit, amts[2] AS credit,
   CASE WHEN len(amts) > 2 THEN amts[-1] END AS balance, 'debit' AS type, amts[1] AS amount, 'GENERIC' AS bank
 FROM (SELECT statement_id, row_no, {gdate} AS date,
-        list_filter(list_transform(tc, lambda cc: {Q.clean_amount('cc')}), lambda a: a IS NOT NULL AND a > 0) AS amts,
+        list_filter(list_transform(tc, lambda cc: {Q.clean_amount('cc')}), lambda a: a IS NOT NULL AND a > 0 AND NOT isnan(a)) AS amts,
         substr(array_to_string(list_filter(tc[2:4], lambda cc: cc <> '' AND NOT regexp_matches(cc, '{grx}')), ' '), 1, 100) AS description
       FROM nc WHERE len(tc) >= 3) x WHERE date IS NOT NULL AND len(amts) > 0"""
     detect = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(page_text), '{w}')" for w in ws)
