@@ -44,8 +44,17 @@ def oracle(select: str, ctes: str = "") -> str:
 def query(name: str, survey_id: str, sql: str | None = None, ctes: str = ""):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn):
+        import functools
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from ..session import ensure_checkpoint_dir, ship_package
+            ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
         text = oracle(sql, ctes) if sql is not None else None
-        REGISTRY[name] = Query(name, fn, text, survey_id, (fn.__doc__ or "").strip())
+        REGISTRY[name] = Query(name, run, text, survey_id, (fn.__doc__ or "").strip())
         return fn
     return deco
 

@@ -37,6 +37,7 @@ def get_spark(app: str = "itcflow", cpus: int | None = None, shuffle_partitions:
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,45 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``itcflow`` importable in Python workers (pandas UDFs, grouped-map
+    and stateful functions live in this package). The package is zipped once
+    per application and added with ``addPyFile``, which distributes it to every
+    executor; nothing relies on the driver's working directory."""
+    import hashlib
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for root, _dirs, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(root, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode() + fh.read())
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    local = base if base and "://" not in base.replace("file://", "") else ""
+    local = local.replace("file://", "")
+    if not local:
+        import tempfile
+        local = tempfile.gettempdir()
+    os.makedirs(local, exist_ok=True)
+    path = os.path.join(local, f"itcflow-{h.hexdigest()[:12]}.zip")
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("itcflow", os.path.relpath(f, pkg)))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
