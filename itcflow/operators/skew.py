@@ -71,9 +71,12 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     the scan yields fewer partitions than the cluster's parallelism, rows are
     redistributed round-robin; a large table (many files or row groups)
     already has enough partitions and is left as is, so no shuffle is added
-    at scale. Only planning runs here (no job).
+    at scale. Only planning runs here (no job): a plan that already contains a
+    shuffle is returned unchanged without asking for its partitions.
     """
     want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already distributed by a shuffle; asking for its RDD would run the stages
     have = df.rdd.getNumPartitions()
     return df.repartition(want) if have < want else df
 
