@@ -251,5 +251,6 @@ def training_set(inv: DataFrame, corr: DataFrame, test_pct: int = 20) -> DataFra
                         F.lit("keyword").alias("source")).filter(F.col("label") != "Other")
     both = fixed_rows.unionByName(logged)
     best = both.groupBy("text").agg(F.min_by(F.struct("label", "source"), F.struct("prio", "label")).alias("b"))
-    split = F.when(F.pmod(F.xxhash64("text", "b.label"), F.lit(100)) < test_pct, "test").otherwise("train")
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", "text", "b.label")), 1, 8), 16, 10).cast("long") % 100
+    split = F.when(bucket < test_pct, "test").otherwise("train")
     return best.select("text", F.col("b.label").alias("label"), F.col("b.source").alias("source"), split.alias("split"))

@@ -87,6 +87,25 @@ def f9(spark, sf_dir):
                     F.array_join("matched_keywords", ",").alias("keywords"))
 
 
+@query("F1_itc_amounts", "F1", f"""
+SELECT id, CAST(coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0) AS DOUBLE) AS itc_total,
+  CAST(CASE WHEN coalesce(igst, 0) > 0 THEN igst ELSE coalesce(cgst, 0) + coalesce(sgst, 0) END AS DOUBLE) AS itc_exclusive,
+  {Q.blocked()} AS blocked,
+  CAST(CASE WHEN {Q.blocked()} THEN 0 ELSE CASE WHEN coalesce(igst, 0) > 0 THEN igst ELSE coalesce(cgst, 0) + coalesce(sgst, 0) END END AS DOUBLE) AS itc_eligible_amt,
+  CAST(CASE WHEN {Q.blocked()} THEN CASE WHEN coalesce(igst, 0) > 0 THEN igst ELSE coalesce(cgst, 0) + coalesce(sgst, 0) END ELSE 0 END AS DOUBLE) AS itc_blocked_amt
+FROM invoices
+""")
+def f1(spark, sf_dir):
+    """Both ITC formulas per invoice and the eligible/blocked split (dashboard policy)."""
+    inv = M(spark, sf_dir).invoices
+    b = C.is_blocked(C.category(), "dashboard")
+    ex = C.itc_exclusive()
+    z = F.lit(0).cast(C.MONEY)
+    return inv.select("id", D(C.itc_total()).alias("itc_total"), D(ex).alias("itc_exclusive"), b.alias("blocked"),
+                      D(F.when(b, z).otherwise(ex)).alias("itc_eligible_amt"),
+                      D(F.when(b, ex).otherwise(z)).alias("itc_blocked_amt"))
+
+
 @query("F10_top_label", "F10,J17", """
 SELECT z.doc_id, arg_max(l.label, round(z.score * 100) * 100 - z.k) AS top_label, max(z.score) AS top_score,
   arg_max(l.category, round(z.score * 100) * 100 - z.k) AS zs_category
@@ -570,7 +589,17 @@ def a29(spark, sf_dir):
     return label_counts(IN.make_labelled(M(spark, sf_dir).orders, "o_orderkey", 42))
 
 
-@query("L2_training_set", "L2")
+@query("L2_training_set", "L2", f"""
+SELECT text, label, source,
+  CASE WHEN CAST(('0x' || substr(md5(text || '|' || label), 1, 8)) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY prio, label) AS rn FROM (
+  SELECT i.description AS text, c.category AS label, 0 AS prio, 'correction' AS source
+  FROM invoices i JOIN (SELECT invoice_id, arg_max(category, seq) AS category FROM corrections GROUP BY 1) c ON c.invoice_id = i.id
+  UNION ALL
+  SELECT description, {Q.kw_category('lower(description)')}, 1, 'keyword' FROM invoices) u
+  WHERE label <> 'Other' OR prio = 0) t
+WHERE rn = 1
+""")
 def l2(spark, sf_dir):
     """Training rows from corrections and keyword predictions, one per text, with a split."""
     m = M(spark, sf_dir)
