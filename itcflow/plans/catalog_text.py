@@ -475,14 +475,83 @@ def f5(spark, sf_dir):
     return r.drop("corrections")
 
 
-@query("F5_F6_gstin_report_repaired", "F5,F6")
+def _repair_sql() -> str:
+    """DuckDB twin of functions.gstin.repair over the failing supplier ids."""
+    from ..sources.bridge import chk_duck
+    pat = fixed.GSTIN_PATTERN
+    keys = Q.sql_list(fixed.OCR_CONFUSIONS.keys())
+    conf = ", ".join(f"('{k}', {r + 1}, '{o}')" for k, alts in fixed.OCR_CONFUSIONS.items()
+                     for r, o in enumerate([k] + alts))
+    cls = ("CASE WHEN p8.p <= 2 THEN '[0-9]' WHEN p8.p <= 7 THEN '[A-Z]' WHEN p8.p <= 11 THEN '[0-9]' "
+           "WHEN p8.p = 12 THEN '[A-Z]' WHEN p8.p = 13 THEN '[1-9A-Z]' WHEN p8.p = 14 THEN 'Z' ELSE '[0-9A-Z]' END")
+    states = Q.sql_list(fixed.STATE_CODES.keys())
+    q1 = "''''"  # SQL literal holding one quote character
+    return f"""ids AS (SELECT DISTINCT upper(trim(seller_gstin)) AS g FROM invoices WHERE length(upper(trim(seller_gstin))) = 15),
+bad AS (SELECT g FROM ids WHERE NOT (regexp_full_match(g, '{pat}') AND substr(g, 1, 2) IN {states}
+                                     AND substr(g, 15, 1) = {chk_duck('substr(g, 1, 14)')})),
+pos8 AS (SELECT g, p, ch, j FROM (SELECT g, i AS p, substr(g, i, 1) AS ch, row_number() OVER (PARTITION BY g ORDER BY i) AS j
+         FROM bad CROSS JOIN range(1, 16) t(i) WHERE substr(g, i, 1) IN {keys}) x WHERE j <= {fixed.OCR_MAX_POSITIONS}),
+conf(orig, rk, opt) AS (VALUES {conf}),
+opts AS (SELECT p8.g, p8.j, p8.p, c.opt, row_number() OVER (PARTITION BY p8.g, p8.j ORDER BY c.rk) AS o
+         FROM pos8 p8 JOIN conf c ON c.orig = p8.ch WHERE regexp_full_match(c.opt, {cls})),
+sz AS (SELECT p8.g, p8.j, count(o.opt) AS sz FROM pos8 p8 LEFT JOIN opts o ON o.g = p8.g AND o.j = p8.j GROUP BY 1, 2),
+strides AS (SELECT g, j, sz, CAST(coalesce(product(sz) OVER (PARTITION BY g ORDER BY j DESC
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS BIGINT) AS stride FROM sz),
+tot AS (SELECT g, CAST(product(sz) AS BIGINT) AS total FROM sz GROUP BY g HAVING product(sz) > 0),
+cand AS (SELECT g, unnest(range(total)) AS idx FROM tot),
+pick AS (SELECT c.g, c.idx, s.j, o.p, o.opt FROM cand c JOIN strides s ON s.g = c.g
+         JOIN opts o ON o.g = c.g AND o.j = s.j AND o.o = (c.idx // s.stride) % s.sz + 1),
+strs AS (SELECT c.g, c.idx, string_agg(coalesce(pk.opt, substr(c.g, t.i, 1)), '' ORDER BY t.i) AS cand
+         FROM cand c CROSS JOIN range(1, 16) t(i) LEFT JOIN pick pk ON pk.g = c.g AND pk.idx = c.idx AND pk.p = t.i
+         GROUP BY c.g, c.idx),
+win AS (SELECT g, min(idx) AS idx, arg_min(cand, idx) AS corrected FROM strs
+        WHERE regexp_full_match(cand, '{pat}') AND substr(cand, 1, 2) IN {states}
+          AND substr(cand, 15, 1) = {chk_duck('substr(cand, 1, 14)')} GROUP BY g),
+corr AS (SELECT w.g, string_agg('pos ' || CAST(pk.p AS VARCHAR) || ': ' || {q1} || substr(w.g, pk.p, 1) || {q1} || '->'
+         || {q1} || pk.opt || {q1}, ', ' ORDER BY pk.j) AS corrections
+         FROM win w JOIN pick pk ON pk.g = w.g AND pk.idx = w.idx WHERE substr(w.g, pk.p, 1) <> pk.opt GROUP BY w.g)"""
+
+
+def _gstin_repaired_sql(status_line: bool = False) -> str:
+    """DuckDB twin of gstin_report(repair=True) (and of gstin_status)."""
+    from ..sources.bridge import chk_duck
+    pat = fixed.GSTIN_PATTERN
+    inner = f"""SELECT raw, g, pattern_ok, state_ok,
+        coalesce(pattern_ok AND state_ok AND length(g) = 15 AND substr(g, 15, 1) = {chk_duck('substr(g, 1, 14)')}, false)
+        AND coalesce(length(g) = 15, false) AS ok FROM (
+  SELECT raw, g, regexp_matches(g, '{pat}') AS pattern_ok, substr(g, 1, 2) IN {Q.sql_list(fixed.STATE_CODES.keys())} AS state_ok
+  FROM (SELECT raw, CASE WHEN raw IS NULL OR raw = '' THEN NULL ELSE upper(trim(raw)) END AS g
+        FROM (SELECT DISTINCT seller_gstin AS raw FROM invoices) d) e) f"""
+    rep = f"""SELECT x.raw, x.g, x.ok, x.pattern_ok, x.state_ok, w.corrected, c.corrections,
+  CASE WHEN x.ok THEN x.g WHEN w.corrected IS NOT NULL THEN w.corrected END AS fin
+  FROM ({inner}) x LEFT JOIN win w ON w.g = x.g LEFT JOIN corr c ON c.g = x.g"""
+    cols = f"""y.raw AS seller_gstin, (y.ok OR y.corrected IS NOT NULL) AS is_valid, y.fin AS gstin,
+  substr(y.fin, 1, 2) AS state_code, CASE WHEN y.fin IS NOT NULL THEN coalesce(s.name, 'Unknown') END AS state_name,
+  substr(y.fin, 3, 10) AS pan, (NOT y.ok AND y.corrected IS NOT NULL) AS auto_corrected,
+  CASE WHEN NOT y.ok AND y.corrected IS NOT NULL THEN y.corrections END AS corrections,
+  CASE WHEN y.g IS NULL THEN 'GSTIN is empty'
+       WHEN length(y.g) <> 15 THEN 'GSTIN must be 15 characters, got ' || CAST(length(y.g) AS VARCHAR)
+       WHEN y.ok OR y.corrected IS NOT NULL THEN NULL WHEN NOT y.pattern_ok THEN 'GSTIN format invalid — could not auto-correct'
+       WHEN NOT y.state_ok THEN 'Invalid state code: ' || substr(y.g, 1, 2)
+       ELSE 'Checksum failed — OCR error not correctable' END AS error"""
+    body = f"SELECT {cols} FROM ({rep}) y LEFT JOIN states s ON s.code = substr(y.fin, 1, 2)"
+    if not status_line:
+        return body
+    return f"""SELECT seller_gstin, CASE WHEN seller_gstin IS NULL OR seller_gstin = '' THEN ''
+  WHEN is_valid AND auto_corrected THEN '✅ Auto-corrected: ' || gstin || ' (' || state_name || ')'
+  WHEN is_valid THEN 'Valid (' || state_name || ')' ELSE 'Invalid GSTIN - ITC risk!' END AS status_line FROM ({body}) r"""
+
+
+@query("F5_F6_gstin_report_repaired", "F5,F6", _gstin_repaired_sql(), ctes=Q.states_cte() + ",\n" + _repair_sql())
 def f5r(spark, sf_dir):
     """Validity report with look-alike repair of the failing 15-character ids."""
     return IN.gstin_report(M(spark, sf_dir).invoices, "seller_gstin", repair=True) \
         .withColumn("corrections", F.array_join("corrections", ", "))
 
 
-@query("F6_gstin_repair", "F6")
+@query("F6_gstin_repair", "F6", """
+SELECT w.g AS gstin, w.corrected, coalesce(c.corrections, '') AS corrections FROM win w LEFT JOIN corr c ON c.g = w.g
+""", ctes=_repair_sql())
 def f6(spark, sf_dir):
     """Repairs found for the supplier GSTINs that fail the check."""
     from ..functions import gstin as G
@@ -493,7 +562,7 @@ def f6(spark, sf_dir):
     return G.repair(bad).withColumn("corrections", F.array_join("corrections", ", "))
 
 
-@query("F24_gstin_status", "F24")
+@query("F24_gstin_status", "F24", _gstin_repaired_sql(True), ctes=Q.states_cte() + ",\n" + _repair_sql())
 def f24(spark, sf_dir):
     """Chat status line of every supplier GSTIN (valid / auto-corrected / risk)."""
     return IN.gstin_status(IN.gstin_report(M(spark, sf_dir).invoices, "seller_gstin", repair=True))
