@@ -31,11 +31,17 @@ def _truthy(x):
 
 
 def normalise_cells(cells: DataFrame) -> DataFrame:
-    """Trim cells (NULL -> ''), detect the statement's bank."""
+    """Trim cells (NULL -> ''), detect the statement's bank.
+
+    The per-row reading below filters on columns computed from ``tcells``;
+    the partition-id column is non-deterministic, which keeps Catalyst from
+    pushing those filters through this projection and re-evaluating the
+    cell expressions inside every predicate (an optimizer barrier)."""
     cells = spread(cells)
     return cells.select("statement_id", "row_no", "page_text",
                         F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit(""))).alias("tcells"),
-                        K.detect_bank(F.col("page_text")).alias("bank"))
+                        K.detect_bank(F.col("page_text")).alias("bank"),
+                        F.spark_partition_id().alias("_part"))
 
 
 _OUT = ["date", "description", "debit", "credit", "balance", "type", "amount"]
@@ -118,24 +124,15 @@ def extract_generic(n: DataFrame) -> DataFrame:
 
 
 def normalise_statements(cells: DataFrame) -> DataFrame:
-    """Layout rows, or the generic rows of a statement for which its
-    bank's layout found nothing. One pass reads every row both ways; a
-    per-statement aggregate (map-side combined) says which reading applies."""
+    """Layout rows, plus the generic reading of the statements for which
+    their bank's layout found nothing (GENERIC banks included). The costly
+    generic reading runs only on those statements' rows (left-anti join on
+    the statement id), not on every row."""
     n = normalise_cells(cells)
-    f, g = _layout_fields(), _generic_fields()
-    x = _with_layout(n).select(
-        "statement_id", "row_no", "bank", f["ok"].alias("spec_ok"),
-        F.struct(*[f[k].alias(k) for k in _OUT]).alias("spec"),
-        ((F.size("tcells") >= fixed.GENERIC_MIN_CELLS) & g["date"].isNotNull()).alias("gen_dated"),
-        F.struct(*[g[k].alias(k) for k in ("date", "amts", "description")]).alias("gen"))
-    x = x.withColumn("gen_ok", F.col("gen_dated") & (F.size("gen.amts") > 0)).drop("gen_dated")
-    x = x.filter(F.col("spec_ok") | F.col("gen_ok"))
-    has = x.groupBy("statement_id").agg(F.max("spec_ok").alias("has_spec"))
-    y = x.join(has, "statement_id").filter(F.col("spec_ok") | (~F.col("has_spec") & F.col("gen_ok")))
-    spec = y.filter("spec_ok").select("statement_id", "row_no", *[F.col("spec." + k).alias(k) for k in _OUT], "bank")
-    gen = y.filter(~F.col("spec_ok")).select("statement_id", "row_no", *_generic_out("gen."),
-                                            F.lit(fixed.GENERIC_BANK).alias("bank"))
-    return spec.unionByName(gen)
+    spec = extract_rows(n)
+    have = spec.select("statement_id").distinct()
+    fallback = extract_generic(n.join(have, "statement_id", "left_anti"))
+    return spec.unionByName(fallback)
 
 
 def categorise(txns: DataFrame) -> DataFrame:
