@@ -1,0 +1,49 @@
+"""Property and hot-key tests."""
+
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from itcflow.functions.keywords import trie_regex
+from itcflow.operators import invoices as I
+from itcflow.operators import windows as W
+
+ALPHA = st.text(alphabet="abcdé -1", min_size=1, max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ALPHA, min_size=1, max_size=12), st.text(alphabet="abcdé -1x", max_size=30))
+def test_trie_regex_is_substring_test(words, text):
+    assert bool(re.search(trie_regex(words), text)) == any(w in text for w in words)
+
+
+def test_mark_duplicates_with_a_hot_key(spark):
+    """A third of the rows share one (user, invoice_no): every row after the
+    smallest id points to it; keys with a GSTIN match only that GSTIN."""
+    n = 3000
+    df = spark.range(1, n + 1).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("id")).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("INV/1")).otherwise(F.concat(F.lit("N"), F.col("id").cast("string")))
+         .alias("invoice_no"),
+        F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.lit("24AABCS1429B1ZC")).alias("seller_gstin"),
+        F.lit(None).cast("timestamp_ntz").alias("date"),
+        *[F.lit(1).cast("decimal(18,2)").alias(c) for c in ("cgst", "sgst", "igst")])
+    d = W.mark_duplicates(df).filter(F.col("user_id") == -7)
+    rows = {r.id: r.dup_of for r in d.collect()}
+    hot = sorted(rows)
+    first_any, first_g = hot[0], min(i for i in hot if i % 2 == 1)
+    for i in hot:
+        if i % 2 == 0:   # no GSTIN: matches any GSTIN -> smallest id of the key
+            assert rows[i] == (first_any if i != first_any else None)
+        else:            # with GSTIN: smallest id with the same GSTIN
+            assert rows[i] == (first_g if i != first_g else None)
+
+
+def test_latest_by_with_a_hot_key(spark):
+    df = spark.range(0, 30000).select((F.col("id") % 3 == 0).cast("int").alias("invoice_id"),
+                                      F.col("id").alias("ts"), F.lit(1).alias("seq"),
+                                      F.concat(F.lit("d"), F.col("id").cast("string")).alias("decision"))
+    got = {r.invoice_id: r.decision for r in I.latest_by(df, "invoice_id", ["ts", "seq"], ["decision"]).collect()}
+    assert got == {1: "d29997", 0: "d29999"}
