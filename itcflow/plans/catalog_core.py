@@ -129,7 +129,7 @@ def s2(spark, sf_dir):
 
 
 @query("S3_statement_cells", "S3", """
-SELECT statement_id, row_no, page_text, len(cells) AS n_cells, cells[1] AS first_cell FROM bank_cells
+SELECT statement_id, row_no, page_text, CAST(len(cells) AS INTEGER) AS n_cells, cells[1] AS first_cell FROM bank_cells
 """)
 def s3(spark, sf_dir):
     """Bank-statement cell rows as a source: one row per table row."""

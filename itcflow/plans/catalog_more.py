@@ -310,7 +310,7 @@ def t1(spark, sf_dir):
 
 @query("T2_recent", "T2", """
 SELECT ca_id, rank, id, client_name, CAST(total AS DOUBLE) AS total FROM (
-  SELECT *, row_number() OVER (PARTITION BY ca_id ORDER BY id DESC) AS rank FROM v) t WHERE rank <= 6
+  SELECT *, CAST(row_number() OVER (PARTITION BY ca_id ORDER BY id DESC) AS INTEGER) AS rank FROM v) t WHERE rank <= 6
 """, ctes=VIEW)
 def t2(spark, sf_dir):
     """Newest 6 invoices of each CA."""
@@ -322,7 +322,7 @@ SELECT ca_id, rank, id, client_name AS client,
   CASE status WHEN 'confirmed' THEN 'Invoice confirmed' WHEN 'pending' THEN 'Awaiting review' ELSE 'Invoice rejected' END AS action,
   CAST(total AS DOUBLE) AS amount, coalesce(substr(strftime(date, '%Y-%m-%d %H:%M:%S'), 1, 10), '') AS time,
   CASE status WHEN 'confirmed' THEN 'success' WHEN 'pending' THEN 'warning' ELSE 'danger' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY ca_id ORDER BY id DESC) AS rank FROM v) t WHERE rank <= 6
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ca_id ORDER BY id DESC) AS INTEGER) AS rank FROM v) t WHERE rank <= 6
 """, ctes=VIEW)
 def t3(spark, sf_dir):
     """Activity feed: 6 newest invoices per CA with action text and severity."""
@@ -331,7 +331,7 @@ def t3(spark, sf_dir):
 
 @query("T4_top_clients", "T4", """
 SELECT ca_id, rank, id, name, itc_this_month FROM (
-  SELECT *, row_number() OVER (PARTITION BY ca_id ORDER BY itc_dec DESC, id) AS rank FROM cs) t WHERE rank <= 6
+  SELECT *, CAST(row_number() OVER (PARTITION BY ca_id ORDER BY itc_dec DESC, id) AS INTEGER) AS rank FROM cs) t WHERE rank <= 6
 """, ctes=CLIENTS)
 def t4(spark, sf_dir):
     """Top 6 clients of each CA by ITC this month."""
@@ -340,7 +340,7 @@ def t4(spark, sf_dir):
 
 @query("T5_suppliers_head", "T5", """
 SELECT ca_id, gstin, first_seen, times, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY ca_id ORDER BY first_seen DESC) AS rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY ca_id ORDER BY first_seen DESC) AS INTEGER) AS rank FROM (
     SELECT ca_id, coalesce(nullif(supplier_gstin, ''), 'Unknown') AS gstin, max(id) AS first_seen, count(*) AS times
     FROM v GROUP BY 1, 2) s) t WHERE rank <= 8
 """, ctes=VIEW)

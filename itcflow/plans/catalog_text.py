@@ -279,7 +279,7 @@ def a12(spark, sf_dir):
 
 @query("T6_P15_itc_rows_head", "T6,P15", """
 SELECT statement_id, rank, row_no, date, substr(description, 1, 30) AS text, amount, format('{:,.0f}', amount) AS amount_text
-FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_no) AS rank FROM tx WHERE itc_possible) t
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY row_no) AS INTEGER) AS rank FROM tx WHERE itc_possible) t
 WHERE rank <= 5
 """, ctes=BANK_CTES)
 def t6(spark, sf_dir):
@@ -290,7 +290,7 @@ def t6(spark, sf_dir):
 @query("F13_F20_clean_amounts", "F13,F20", f"""
 SELECT statement_id, row_no, pos, cell, {Q.clean_amount('cell')} AS amount,
   TRY_CAST(trim(replace(replace(replace(cell, 'rs', ''), 'Rs', ''), ',', '')) AS DOUBLE) AS edited
-FROM (SELECT statement_id, row_no, unnest(range(1, len(cells) + 1)) AS pos, unnest(cells) AS cell FROM bank_cells) t
+FROM (SELECT statement_id, row_no, CAST(unnest(range(1, len(cells) + 1)) AS INTEGER) AS pos, unnest(cells) AS cell FROM bank_cells) t
 """)
 def f13(spark, sf_dir):
     """Amount cleaning of every statement cell (statement and chat-edit rules)."""

@@ -33,12 +33,34 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's count_if is BIGINT. Wrap
+    every count_if(...) call so both engines report the same type."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def oracle(select: str, ctes: str = "") -> str:
     """Bridge views + optional extra CTEs (text starting after a comma) + SELECT."""
     pre = "WITH " + bridge.duck_ctes()
     if ctes.strip():
         pre += ",\n" + ctes.strip()
-    return pre + "\n" + select.strip()
+    return _bigint_counts(pre + "\n" + select.strip())
 
 
 def query(name: str, survey_id: str, sql: str | None = None, ctes: str = ""):
