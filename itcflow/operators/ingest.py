@@ -254,3 +254,57 @@ def training_set(inv: DataFrame, corr: DataFrame, test_pct: int = 20) -> DataFra
     bucket = F.conv(F.substring(F.md5(F.concat_ws("|", "text", "b.label")), 1, 8), 16, 10).cast("long") % 100
     split = F.when(bucket < test_pct, "test").otherwise("train")
     return best.select("text", F.col("b.label").alias("label"), F.col("b.source").alias("source"), split.alias("split"))
+
+
+def confirmation_messages(parsed: DataFrame, report: DataFrame, policy: str = "dashboard") -> DataFrame:
+    """F22 (+F24, F11): the chat reply to every extraction reply: an
+    unreadable/empty notice, or the confirmation message listing the filled
+    fields (the GSTIN shown repaired when the repair found one, with its
+    status line) and the classification block of the description."""
+    from ..functions.keywords import group_and_words
+    g = report.select(F.col(report.columns[0]).alias("seller_gstin"), "is_valid", "auto_corrected",
+                      F.col("gstin").alias("fixed_gstin"), "state_name")
+    x = parsed.join(g, "seller_gstin", "left")
+    status = (F.when(F.col("is_valid") & F.col("auto_corrected"),
+                     F.concat(F.lit("✅ Auto-corrected: "), F.col("fixed_gstin"), F.lit(" ("), F.col("state_name"), F.lit(")")))
+               .when(F.col("is_valid"), F.concat(F.lit("Valid ("), F.col("state_name"), F.lit(")")))
+               .otherwise(F.lit("Invalid GSTIN - ITC risk!")))
+    shown = F.when(F.coalesce(F.col("auto_corrected"), F.lit(False)), F.col("fixed_gstin")).otherwise(F.col("seller_gstin"))
+
+    def line(field, label):
+        v = F.col(field)
+        present = (v.isNotNull() & (v != "")) if dict(parsed.dtypes)[field] == "string" else (v.isNotNull() & (v != 0))
+        val = shown if field == "seller_gstin" else v.cast("string")
+        text = F.concat(F.lit(label), val, F.lit("\n"))
+        if field == "seller_gstin":
+            text = F.concat(text, F.lit("  "), status, F.lit("\n"))
+        return F.when(present, text).otherwise(F.lit(""))
+
+    # classify each distinct description once (descriptions repeat), then
+    # join the small result back (size-checked broadcast)
+    from .skew import join_small
+    x = x.withColumn("_desc", F.coalesce(C.blank_to_null("description"), F.lit(fixed.DEFAULT_DESCRIPTION)))
+    d = x.select("_desc").distinct()
+    kw = group_and_words(F.lower(F.col("_desc")), fixed.KEYWORD_RULES, "Other")
+    short = F.length(F.trim("_desc")) < 3
+    d = d.select("_desc", F.when(short, F.lit("Other")).otherwise(kw["label"]).alias("_cat"),
+                 F.when(short, F.array().cast("array<string>")).otherwise(kw["words"]).alias("_words"),
+                 F.when(short, F.lit(0.0)).when(kw["label"] != "Other", F.lit(fixed.KEYWORD_CONFIDENCE))
+                  .otherwise(F.lit(fixed.FALLBACK_CONFIDENCE)).alias("_conf"))
+    x = join_small(x, d, "_desc", "left")
+    cat, conf, words = F.col("_cat"), F.col("_conf"), F.col("_words")
+    itc = F.round(F.coalesce("cgst", F.lit(0.0)) + F.coalesce("sgst", F.lit(0.0)) + F.coalesce("igst", F.lit(0.0)), 2)
+    head, tail = fixed.AI_HEAD.split("{cat}")
+    mid, end = tail.split("{conf}")
+    ai = F.concat(F.lit(head), cat, F.lit(mid), (conf * 100).cast("int").cast("string"), F.lit(end),
+                  F.when(F.size(words) > 0, F.concat(F.lit(fixed.AI_KEYWORDS.split("{kw}")[0]), F.array_join(words, ", "),
+                                                     F.lit(fixed.AI_KEYWORDS.split("{kw}")[1]))).otherwise(F.lit("")),
+                  F.when(C.is_blocked(cat, policy), F.lit(fixed.AI_BLOCKED))
+                   .when(itc > 0, F.concat(F.lit(fixed.AI_ELIGIBLE.split("{itc}")[0]), F.format_number(itc, 2),
+                                           F.lit(fixed.AI_ELIGIBLE.split("{itc}")[1])))
+                   .otherwise(F.lit("")))
+    confirm = F.concat(F.lit(fixed.CONFIRM_HEAD), *[line(f, lab) for f, lab in fixed.CONFIRM_LINES],
+                       F.lit(fixed.CONFIRM_TAIL), ai)
+    msg = (F.when(F.col("parse_error"), F.lit(fixed.PHOTO_UNREADABLE))
+            .when(F.col("filled_count") == 0, F.lit(fixed.PHOTO_EMPTY)).otherwise(confirm))
+    return x.select("id", msg.alias("message"))

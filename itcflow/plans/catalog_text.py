@@ -776,3 +776,48 @@ SELECT invoice_id, arg_max(category, seq) AS category FROM corrections GROUP BY
 def w7c(spark, sf_dir):
     """Latest correction per invoice (aggregate, no window)."""
     return latest_by(M(spark, sf_dir).corrections, "invoice_id", ["seq"], ["category"])
+
+
+def _confirm_sql() -> str:
+    def lit(t):
+        return "'" + t.replace("'", "''") + "'"
+    shown = "CASE WHEN coalesce(r.auto_corrected, false) THEN r.gstin ELSE f.seller_gstin END"
+    status = ("CASE WHEN r.is_valid AND r.auto_corrected THEN '✅ Auto-corrected: ' || r.gstin || ' (' || r.state_name || ')' "
+              "WHEN r.is_valid THEN 'Valid (' || r.state_name || ')' ELSE 'Invalid GSTIN - ITC risk!' END")
+    lines = []
+    for field, label in fixed.CONFIRM_LINES:
+        if field == "seller_gstin":
+            lines.append(f"CASE WHEN f.seller_gstin IS NOT NULL AND f.seller_gstin <> '' THEN {lit(label)} || {shown} || "
+                         f"{lit(chr(10) + '  ')} || {status} || {lit(chr(10))} ELSE '' END")
+        elif field in ("invoice_no", "invoice_date"):
+            lines.append(f"CASE WHEN f.{field} IS NOT NULL AND f.{field} <> '' THEN {lit(label)} || f.{field} || {lit(chr(10))} ELSE '' END")
+        else:
+            lines.append(f"CASE WHEN f.{field} IS NOT NULL AND f.{field} <> 0 THEN {lit(label)} || CAST(f.{field} AS VARCHAR) || "
+                         f"{lit(chr(10))} ELSE '' END")
+    desc = f"lower(coalesce(nullif(f.description, ''), {lit(fixed.DEFAULT_DESCRIPTION)}))"
+    cat = Q.kw_category(desc)
+    itc = "round(coalesce(f.cgst, 0.0) + coalesce(f.sgst, 0.0) + coalesce(f.igst, 0.0), 2)"
+    h, t = fixed.AI_HEAD.split("{cat}")
+    m, e = t.split("{conf}")
+    kw_pre, kw_post = fixed.AI_KEYWORDS.split("{kw}")
+    el_pre, el_post = fixed.AI_ELIGIBLE.split("{itc}")
+    ai = (f"{lit(h)} || cat || {lit(m)} || CAST(CAST(trunc(CASE WHEN cat <> 'Other' THEN 0.85 ELSE 0.5 END * 100) AS INTEGER) AS VARCHAR) "
+          f"|| {lit(e)} || CASE WHEN kws <> '' THEN {lit(kw_pre)} || replace(kws, ',', ', ') || {lit(kw_post)} ELSE '' END || "
+          f"CASE WHEN cat IN {Q.sql_list(fixed.BLOCKED_DASHBOARD)} THEN {lit(fixed.AI_BLOCKED)} "
+          f"WHEN {itc} > 0 THEN {lit(el_pre)} || format('{{:,.2f}}', {itc}) || {lit(el_post)} ELSE '' END")
+    body = " || ".join([lit(fixed.CONFIRM_HEAD)] + lines + [lit(fixed.CONFIRM_TAIL), ai])
+    return f"""
+SELECT f.id, CASE WHEN f.parse_error THEN {lit(fixed.PHOTO_UNREADABLE)} WHEN f.filled_count = 0 THEN {lit(fixed.PHOTO_EMPTY)}
+  ELSE {body} END AS message
+FROM (SELECT *, {cat} AS cat, {Q.kw_matched(desc, cat)} AS kws FROM filled f) f LEFT JOIN rep r ON r.seller_gstin = f.seller_gstin
+"""
+
+
+@query("F22_render_confirmation", "F22,F24,F11,S4", _confirm_sql(),
+       ctes=OCR_CTE + ",\n" + Q.states_cte() + ",\n" + _repair_sql() + ",\nrep AS (" + _gstin_repaired_sql() + ")")
+def f22c(spark, sf_dir):
+    """The chat reply to every extraction reply: confirmation message (fields, GSTIN status,
+    classification block) or the unreadable/empty notice."""
+    m = M(spark, sf_dir)
+    rep = IN.gstin_report(m.invoices, "seller_gstin", repair=True)
+    return IN.confirmation_messages(_parsed(spark, sf_dir), rep)
