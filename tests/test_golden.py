@@ -129,3 +129,29 @@ def test_photo_triage(spark):
     assert r[1].score == 30 and r[1].needs_preprocessing
     assert r[1].issues == ["Blurry (score: 50)", "Too dark (brightness: 60)", "Low resolution (640x480)"]
     assert r[2].score == 100 and not r[2].needs_preprocessing and r[2].issues == []
+
+
+def test_gstr3b_document_shape(spark):
+    """Portal-shaped document: sections, fixed rows, eligible vs blocked heads."""
+    import json
+
+    from conftest import SF001
+    from itcflow.sources.tables import Model
+    m = Model(spark, SF001)
+    docs = FL.gstr3b_document(m.invoices, m.users)
+    r = docs.orderBy("user_id", "period").select("file_name", "ret_period", "period", "gstin",
+                                                 F.to_json("doc").alias("j"), "eligible_itc", "blocked_itc").first()
+    d = json.loads(r.j)
+    assert r.file_name == f"GSTR3B_{r.gstin}_{r.ret_period}.json"
+    assert r.ret_period == r.period[5:7] + r.period[:4]
+    assert set(d) >= {"gstin", "ret_period", "inward_dtls", "itc_elg", "sup_details", "inter_sup", "intr_ltfee"}
+    assert [x["ty"] for x in d["itc_elg"]["itc_avl"]] == ["IMPG", "IMPS", "ISRC", "ITC", "OTH"]
+    assert [x["ty"] for x in d["itc_elg"]["itc_rev"]] == ["RUL", "OTH"]
+    itc = d["itc_elg"]["itc_avl"][3]
+    net = d["itc_elg"]["itc_net"]
+    assert (itc["igst"], itc["cgst"], itc["sgst"]) == (net["igst"], net["cgst"], net["sgst"])
+    inelg = d["itc_elg"]["itc_inelg"][0]
+    assert abs(inelg["igst"] + inelg["cgst"] + inelg["sgst"] - r.blocked_itc) < 1e-6
+    assert abs(net["igst"] + net["cgst"] + net["sgst"] - r.eligible_itc) < 1e-6
+    assert d["inward_dtls"]["isup_details"][0]["ty"] == "OTH"
+    assert set(d["sup_details"]) == {"osup_det", "osup_zero", "osup_nil_exmp", "isup_rev", "osup_nongst"}
