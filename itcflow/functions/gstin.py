@@ -17,7 +17,6 @@ def _lit_array(xs) -> str:
     return "array(" + ", ".join("'" + x + "'" for x in xs) + ")"
 
 
-STATE_KEYS_SQL = _lit_array(fixed.STATE_CODES.keys())
 
 
 def check_char(g14_sql: str, checksum: str = "reference") -> Column:

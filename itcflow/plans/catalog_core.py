@@ -28,7 +28,6 @@ def clients(m, period=PERIOD, ca_id=None):
     return A.client_summary(m.users, m.invoices, m.ledger, period, ca_id)
 
 
-MONEY_OUT = "CAST({} AS DOUBLE)"
 
 
 # --------------------------------------------------------------- flagship ---

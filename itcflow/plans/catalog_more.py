@@ -15,7 +15,6 @@ from .registry import AS_OF, PERIOD, query
 
 D = C.to_double
 VIEW = Q.view_cte()
-VIEW_INS = Q.view_cte("insights")
 CLIENTS = Q.clients_cte(PERIOD)
 
 

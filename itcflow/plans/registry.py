@@ -16,9 +16,7 @@ from ..sources import bridge
 # Fixed parameters of the registered queries (FIXTURES.md).
 PERIOD = "2000-05"
 AS_OF = "2000-06-15"
-EVENTS_AS_OF = "2024-01-31"
 CA_ID = 3
-POLICY = "dashboard"
 
 
 @dataclass
