@@ -78,3 +78,21 @@ def test_dedup_gate(spark):
     assert keyed.groupBy(*key).count().filter("count > 1").count() == 0
     h = hist.select(*key).withColumn("seller_gstin", F.coalesce("seller_gstin", F.lit("")))
     assert keyed.join(h, key, "left_semi").count() == 0
+
+
+def test_published_ledger_equals_batch_ledger(spark):
+    """foreachBatch upserts into month partitions over several micro-batches
+    add up to the batch ledger."""
+    m = Model(spark, SF001)
+    inv = m.invoices.select("id", "user_id", "seller_gstin", "invoice_no", F.col("date").cast("timestamp").alias("date"),
+                            F.col("created_at").cast("timestamp").alias("created_at"),
+                            *[F.col(c).cast("decimal(18,2)").alias(c) for c in ["taxable_amt", "cgst", "sgst", "igst"]],
+                            "status", "ai_category")
+    d = tempfile.mkdtemp(prefix="itcflow-r3p-", dir="/tmp")
+    S.write_files_in_order(inv, "created_at", d + "/src", unit="year")
+    src = S.read_stream(spark, d + "/src", S.INVOICE_SCHEMA, 1)
+    S.publish_daily_ledger(src, d + "/ledger", d + "/ck")
+    month = (spark.read.parquet(d + "/ledger").groupBy("user_id", "period")
+                  .agg(F.sum("total_purchases").alias("total_purchases"), F.sum("itc_available").alias("itc_available")))
+    led = m.ledger.select("user_id", "period", "total_purchases", "itc_available")
+    assert month.exceptAll(led).count() == 0 and led.exceptAll(month).count() == 0
