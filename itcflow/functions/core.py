@@ -82,7 +82,9 @@ def client_name(business_name="business_name", phone="phone") -> Column:
 def score(itc: Column, n: Column) -> Column:
     """min(100, int(itc / 500 * 10 + n * 5)), truncating toward zero."""
     raw = itc.cast("double") / fixed.SCORE_ITC_UNIT * 10 + n * fixed.SCORE_PER_INVOICE
-    return F.least(F.lit(fixed.SCORE_CAP), raw.cast("int"))
+    # cap before the cast: same as min(100, int(x)), and no int overflow
+    # (an ANSI error) for very large ITC
+    return F.least(F.lit(float(fixed.SCORE_CAP)), raw).cast("int")
 
 
 def compliance_status(itc: Column) -> Column:

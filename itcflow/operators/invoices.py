@@ -79,8 +79,14 @@ def invoice_view(inv: DataFrame, usr: DataFrame, policy: str = "dashboard",
     category NULL/'' -> General, status NULL/'' -> confirmed, confidence
     rounded to 2, eligibility under ``policy``. Money stays decimal here.
     """
-    src = inv if all_users else scope(inv, usr, ca_id)
-    v = with_client(src, usr)
+    if all_users:
+        v = with_client(inv, usr)
+    else:
+        # tenant scope and client name in one join: users.id is unique, so an
+        # inner join with the tenant's users equals semi-join + left join
+        u = tenant_users(usr, ca_id).select(F.col("id").alias("user_id"), "ca_id",
+                                            C.client_name().alias("client_name"))
+        v = inv.join(u, "user_id")
     cat = C.category("ai_category")
     return v.select(
         "id", "user_id", "ca_id", "client_name",

@@ -47,7 +47,7 @@ def clients_cte(period: str, name: str = "cs", all_users: bool = False) -> str:
     where = "" if all_users else "WHERE u.ca_id IS NOT NULL"
     itc = "coalesce(l.itc_available, 0)"
     n = "coalesce(n.c, 0)"
-    sc = f"least({fixed.SCORE_CAP}, CAST(trunc(CAST({itc} AS DOUBLE) / {fixed.SCORE_ITC_UNIT} * 10 + {n} * {fixed.SCORE_PER_INVOICE}) AS INTEGER))"
+    sc = f"CAST(trunc(least({fixed.SCORE_CAP}.0, CAST({itc} AS DOUBLE) / {fixed.SCORE_ITC_UNIT} * 10 + {n} * {fixed.SCORE_PER_INVOICE})) AS INTEGER)"
     return f"""{counts_cte('n')},
 {name} AS (
   SELECT u.ca_id, u.id, {name_sql()} AS name, coalesce(nullif(u.gstin, ''), '') AS gstin,
