@@ -47,3 +47,22 @@ def test_latest_by_with_a_hot_key(spark):
                                       F.concat(F.lit("d"), F.col("id").cast("string")).alias("decision"))
     got = {r.invoice_id: r.decision for r in I.latest_by(df, "invoice_id", ["ts", "seq"], ["decision"]).collect()}
     assert got == {1: "d29997", 0: "d29999"}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50)), min_size=1, max_size=300),
+       st.integers(1, 12))
+def test_prefix_sum_matches_window(spark, rows, parts):
+    """Random keys (small key space, so some keys are hot) and values; any
+    partition count; order ties broken by a unique id."""
+    from pyspark.sql import Window
+
+    from itcflow.operators.skew import prefix_sum, sequential_index
+    data = [(i, k, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k int, v int")
+    got = prefix_sum(df, ["k"], ["v", "id"], "v", "cum", n=parts).select("id", "cum")
+    exp = df.select("id", F.sum("v").over(Window.partitionBy("k").orderBy("v", "id")).alias("cum"))
+    assert sorted(got.collect()) == sorted(exp.collect())
+    seq = sequential_index(df, ["v", "id"], "n", n=parts).select("id", "n")
+    exp2 = df.select("id", F.row_number().over(Window.orderBy("v", "id")).cast("long").alias("n"))
+    assert sorted(seq.collect()) == sorted(exp2.collect())
