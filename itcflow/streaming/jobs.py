@@ -124,6 +124,23 @@ def stream_dedup(inv: DataFrame, history: DataFrame, watermark: str = "2 days")
 # ------------------------------------------------- R1: chat sessions -------
 
 SESSION_OUT = "sender string, event_id long, action string, detail string"
+
+
+def with_replies(out: DataFrame) -> DataFrame:
+    """The chat reply of each state-machine step, where it depends only on
+    the step (replies that need the saved invoice, the ledger or the
+    extraction result are produced by F22 and the filing jobs)."""
+    labels = F.create_map(*[F.lit(x) for kv in fixed.FIELD_LABELS.items() for x in kv])
+    pre, post = fixed.REPLY_ASK_VALUE.split("{label}")
+    a, d = F.col("action"), F.col("detail")
+    reply = (F.when(a == "cancelled", F.lit(fixed.REPLY_CANCELLED))
+              .when(a == "ask_value", F.concat(F.lit(pre), F.element_at(labels, d), F.lit(post)))
+              .when(a == "ask_field", F.lit(fixed.REPLY_ASK_FIELD))
+              .when(a == "prompt", F.lit(fixed.REPLY_PROMPT))
+              .when((a == "intent") & (d == "greeting"), F.lit(fixed.REPLY_GREETING.format(name=fixed.ASSISTANT_NAME)))
+              .when((a == "intent") & (d == "help"), F.lit(fixed.REPLY_HELP.format(name=fixed.ASSISTANT_NAME)))
+              .when((a == "intent") & (d == "fallback"), F.lit(fixed.REPLY_FALLBACK)))
+    return out.withColumn("reply", reply)
 SESSION_STATE = "pending string, awaiting string, last_ms long"
 IDLE_MS = 24 * 3600 * 1000  # a pending invoice lapses after a day without messages
 
@@ -204,8 +221,8 @@ def confirm_sessions(msgs: DataFrame, watermark: str = "1 hour") -> DataFrame:
     time by nature), so it runs as Arrow-batched pandas per key and
     micro-batch; the state store holds three small values per active sender."""
     m = msgs.select(norm_phone(F.col("sender")).alias("sender"), "event_id", "ts", "has_photo", "body")
-    return m.withWatermark("ts", watermark).groupBy("sender").applyInPandasWithState(
-        _sessions_fn, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return with_replies(m.withWatermark("ts", watermark).groupBy("sender").applyInPandasWithState(
+        _sessions_fn, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def confirm_sessions_batch(msgs: DataFrame) -> DataFrame:
@@ -215,7 +232,7 @@ def confirm_sessions_batch(msgs: DataFrame) -> DataFrame:
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         return _replay(pdf["sender"].iloc[0], pdf, {"pending": None, "awaiting": None, "last_ms": None})
 
-    return m.groupBy("sender").applyInPandas(fn, SESSION_OUT)
+    return with_replies(m.groupBy("sender").applyInPandas(fn, SESSION_OUT))
 
 
 def publish_daily_ledger(inv: DataFrame, path: str, checkpoint: str, watermark: str = "2 days",
