@@ -123,7 +123,7 @@ def stream_dedup(inv: DataFrame, history: DataFrame, watermark: str = "2 days")
 
 # ------------------------------------------------- R1: chat sessions -------
 
-SESSION_OUT = "sender string, event_id long, action string, detail string"
+SESSION_OUT = "sender string, event_id long, ts timestamp, action string, detail string"
 
 
 def with_replies(out: DataFrame) -> DataFrame:
@@ -133,7 +133,22 @@ def with_replies(out: DataFrame) -> DataFrame:
     labels = F.create_map(*[F.lit(x) for kv in fixed.FIELD_LABELS.items() for x in kv])
     pre, post = fixed.REPLY_ASK_VALUE.split("{label}")
     a, d = F.col("action"), F.col("detail")
+    # deadline reply: the message's own time stands for "now"
+    from ..functions.calendar import chat_urgency
+    day = F.to_date("ts")
+    nxt = F.add_months(F.trunc(day, "month"), 1)
+    g1 = F.make_date(F.year(nxt), F.month(nxt), F.lit(fixed.GSTR1_DAY))
+    g3 = F.make_date(F.year(nxt), F.month(nxt), F.lit(fixed.GSTR3B_DAY))
+    d1, d3 = F.datediff(g1, day), F.datediff(g3, day)
+    light = F.element_at(F.create_map(*[F.lit(x) for kv in fixed.REPORT_LIGHT.items() for x in kv]), chat_urgency(d3))
+    t = fixed.REPLY_DEADLINES
+    parts = {"g1": g1.cast("string"), "d1": d1.cast("string"), "g3": g3.cast("string"), "d3": d3.cast("string"),
+             "light": light}
+    import re as _re
+    pieces = _re.split(r"\{(\w+)\}", t)
+    deadline_text = F.concat(*[F.lit(x) if i % 2 == 0 else parts[x] for i, x in enumerate(pieces)])
     reply = (F.when(a == "cancelled", F.lit(fixed.REPLY_CANCELLED))
+              .when((a == "intent") & (d == "deadline"), deadline_text)
               .when(a == "ask_value", F.concat(F.lit(pre), F.element_at(labels, d), F.lit(post)))
               .when(a == "ask_field", F.lit(fixed.REPLY_ASK_FIELD))
               .when(a == "prompt", F.lit(fixed.REPLY_PROMPT))
@@ -187,8 +202,8 @@ def _replay(sender, rows: pd.DataFrame, st: dict) -> pd.DataFrame:
     out = []
     for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
         a, d = _step(st, r)
-        out.append((sender, int(r.event_id), a, d))
-    return pd.DataFrame(out, columns=["sender", "event_id", "action", "detail"])
+        out.append((sender, int(r.event_id), r.ts, a, d))
+    return pd.DataFrame(out, columns=["sender", "event_id", "ts", "action", "detail"])
 
 
 def _sessions_fn(key, pdfs, state):
