@@ -143,16 +143,16 @@ SELECT user_id, invoice_id, invoice_no, date_text, taxable, itc, category, statu
     CAST(coalesce(i.cgst, 0) + coalesce(i.sgst, 0) + coalesce(i.igst, 0) AS DOUBLE) AS itc,
     substr({Q.cat('i.ai_category')}, 1, 12) AS category, coalesce(nullif(i.status, ''), 'confirmed') AS status,
     false AS is_total
-  FROM invoices i JOIN users u ON u.id = i.user_id WHERE u.ca_id = {CA_ID}
+  FROM invoices i JOIN users u ON u.id = i.user_id WHERE u.ca_id IS NOT NULL
   UNION ALL
   SELECT i.user_id, NULL, NULL, NULL, NULL,
     CAST(sum(coalesce(i.cgst, 0) + coalesce(i.sgst, 0) + coalesce(i.igst, 0)) AS DOUBLE), NULL, NULL, true
-  FROM invoices i JOIN users u ON u.id = i.user_id WHERE u.ca_id = {CA_ID} GROUP BY i.user_id) t
+  FROM invoices i JOIN users u ON u.id = i.user_id WHERE u.ca_id IS NOT NULL GROUP BY i.user_id) t
 """)
 def s8(spark, sf_dir):
-    """Filing summary listing of every client of CA 3, plus one total row per client."""
+    """Filing summary listing of every client of every CA, plus one total row per client."""
     m = M(spark, sf_dir)
-    return R.filing_summary(m.invoices, m.users, CA_ID)
+    return R.filing_summary(m.invoices, m.users)
 
 
 # --------------------------------------------------- projections (P) --------
@@ -311,14 +311,15 @@ def j4(spark, sf_dir):
 SELECT i.id, CASE WHEN d.decision = 'approve' THEN 'confirmed' WHEN d.decision = 'reject' THEN 'rejected' ELSE i.status END AS status
 FROM invoices i LEFT JOIN (
   SELECT invoice_id, arg_max(decision, ts) AS decision FROM decisions
-  WHERE user_id IN (SELECT id FROM users WHERE ca_id = {CA_ID}) GROUP BY invoice_id) d ON d.invoice_id = i.id
-WHERE i.user_id IN (SELECT id FROM users WHERE ca_id = {CA_ID})
+  WHERE user_id IN (SELECT id FROM users WHERE ca_id IS NOT NULL) GROUP BY invoice_id) d ON d.invoice_id = i.id
+WHERE i.user_id IN (SELECT id FROM users WHERE ca_id IS NOT NULL)
 """)
 def j13(spark, sf_dir):
-    """Review decisions applied within CA 3: latest decision per invoice wins."""
+    """Review decisions applied within each CA (a CA decides only its clients'
+    invoices): latest decision per invoice wins."""
     m = M(spark, sf_dir)
-    inv = I.scope(m.invoices, m.users, CA_ID)
-    return I.apply_decisions(inv, m.decisions, m.users, CA_ID).select("id", "status")
+    inv = I.scope(m.invoices, m.users)
+    return I.apply_decisions(inv, m.decisions, m.users).select("id", "status")
 
 
 @query("J14_bulk_approve", "J14", """
