@@ -69,7 +69,10 @@ def top_label(scores: DataFrame, key: str = "doc_id", label: str = "label", k_co
                                 F.max(F.col("score")).alias("top_score"), top3.alias("_t3"))
     return g.select(key, "top_label", "top_score",
                     F.map_from_entries(F.transform("_t3", lambda x: F.struct(x["lab"], F.round(x["s"], 3))))
-                     .alias("all_scores"))
+                     .alias("all_scores"),
+                    F.array_join(F.transform("_t3", lambda x: F.concat(x["lab"], F.lit("="),
+                                                                       F.round(x["s"], 3).cast("string"))), ";")
+                     .alias("top3"))
 
 
 def map_label(df: DataFrame, label: str = "top_label") -> DataFrame:

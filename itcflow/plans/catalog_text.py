@@ -108,13 +108,15 @@ def f1(spark, sf_dir):
 
 @query("F10_top_label", "F10,J17", """
 SELECT z.doc_id, arg_max(l.label, round(z.score * 100) * 100 - z.k) AS top_label, max(z.score) AS top_score,
-  arg_max(l.category, round(z.score * 100) * 100 - z.k) AS zs_category
-FROM zero_shot z JOIN lab13 l ON l.k = z.k GROUP BY 1
+  arg_max(l.category, round(z.score * 100) * 100 - z.k) AS zs_category,
+  string_agg(CASE WHEN z.rn <= 3 THEN l.label || '=' || CAST(round(z.score, 3) AS VARCHAR) END, ';' ORDER BY z.rn) AS top3
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS rn FROM zero_shot) z
+JOIN lab13 l ON l.k = z.k GROUP BY 1
 """, ctes=Q.labels_cte())
 def f10(spark, sf_dir):
     """Top zero-shot label per document and its category."""
     m = M(spark, sf_dir)
-    return CL.zero_shot_top(m.zero_shot, spark).select("doc_id", "top_label", "top_score", "zs_category")
+    return CL.zero_shot_top(m.zero_shot, spark).select("doc_id", "top_label", "top_score", "zs_category", "top3")
 
 
 @query("F11_classify_invoices", "F11,F1", f"""
