@@ -13,10 +13,11 @@ the pieces with per-partition offsets (a classic distributed prefix sum):
 4. join back on (key, partition) and add the offset.
 
 The partition id of a row must be the same in steps 2 and 3. Range bounds
-come from sampling the input, and an input fed by a shuffle can arrive in a
-different order on re-evaluation, so the assignment is pinned once with a
-reliable ``checkpoint()`` into the shared checkpoint folder (this also keeps
-the result stable when an executor is lost and tasks are re-run).
+come from sampling the input, and the sample differs between evaluations
+(its seed derives from the RDD id; an input fed by a shuffle also arrives in
+a different order), so the assignment is pinned once with a reliable
+``checkpoint()`` into the shared checkpoint folder. This also keeps the
+result stable when an executor is lost and tasks are re-run.
 """
 
 from __future__ import annotations
