@@ -184,8 +184,7 @@ def itc_balance(usr: DataFrame, led: DataFrame, inv: DataFrame, period: str) ->
                     F.lit(period).alias("period"), "invoice_count")
 
 
-def monthly_report(inv: DataFrame, led: DataFrame, usr: DataFrame, as_of: str,
-                   policy: str = "reference") -> DataFrame:
+def monthly_report(inv: DataFrame, led: DataFrame, usr: DataFrame, as_of: str) -> DataFrame:
     """The chat monthly report per user.
 
     Invoices dated on/after the first of ``as_of``'s month (no upper bound,
