@@ -45,9 +45,11 @@ def headline(m: Model) -> dict:
         "W4_running_itc": lambda: W.running_itc(m.invoices),
         "F5_gstin_report": lambda: IN.gstin_report(m.invoices, "seller_gstin", repair=True),
         "F8_classify_documents": lambda: CL.classify_keywords(
-            m.documents.select("doc_id", F.col("text").alias("description")), "description"),
+            m.documents.select("doc_id", F.col("text").alias("description")), "description")
+            .select("doc_id", "category", "confidence", "blocked", "reason", "matched_keywords"),
         "F9_classify_layered": lambda: CL.classify_layered(m.documents.select("doc_id", "text"), "text",
-                                                           m.zero_shot, m.fine_tuned),
+                                                           m.zero_shot, m.fine_tuned)
+            .select("doc_id", "layer", "category", "confidence", "blocked", "reason", "matched_keywords"),
         "A12_statement_summary": lambda: B.statement_summary(B.statement_transactions(m.bank_cells)),
         "A7_gstr3b_document": lambda: FL.gstr3b_document(m.invoices, m.users),
         "A11_monthly_report": lambda: A.monthly_report(m.invoices, m.ledger, m.users, AS_OF),
