@@ -134,7 +134,10 @@ def admin_users(inv: DataFrame, usr: DataFrame, ca_id: int | None = None) -> Dat
                      F.coalesce("phone", F.lit("")).alias("phone"),
                      F.coalesce("gstin", F.lit("")).alias("gstin"),
                      F.coalesce("state_code", F.lit("")).alias("state"),
-                     "invoice_count")
+                     "invoice_count",
+                     (F.substring(C.fmt_ts("created_at"), 1, 10) if "created_at" in usr.columns
+                      else F.lit(None).cast("string")).alias("_joined"))
+             .withColumn("joined_at", F.coalesce("_joined", F.lit(""))).drop("_joined")
              .orderBy(F.col("id").desc()))
 
 

@@ -396,7 +396,8 @@ def a2(spark, sf_dir):
 
 @query("A3_admin_users", "A3,T8", """
 SELECT u.ca_id, u.id, coalesce(nullif(u.business_name, ''), 'Unknown') AS name, coalesce(u.phone, '') AS phone,
-  coalesce(u.gstin, '') AS gstin, coalesce(u.state_code, '') AS state, coalesce(n.c, 0) AS invoice_count
+  coalesce(u.gstin, '') AS gstin, coalesce(u.state_code, '') AS state, coalesce(n.c, 0) AS invoice_count,
+  '' AS joined_at
 FROM users u LEFT JOIN n ON n.user_id = u.id WHERE u.ca_id IS NOT NULL ORDER BY u.id DESC
 """, ctes=Q.counts_cte())
 def a3(spark, sf_dir):
