@@ -155,3 +155,36 @@ def test_gstr3b_document_shape(spark):
     assert abs(net["igst"] + net["cgst"] + net["sgst"] - r.eligible_itc) < 1e-6
     assert d["inward_dtls"]["isup_details"][0]["ty"] == "OTH"
     assert set(d["sup_details"]) == {"osup_det", "osup_zero", "osup_nil_exmp", "isup_rev", "osup_nongst"}
+
+
+def test_bank_layouts_and_fallback(spark):
+    """Hand-built statement rows: layout parsing, header skip, Dr/Cr amounts,
+    a bank whose layout finds nothing falls back to the generic reading."""
+    from itcflow.operators import bank as B
+    rows = [
+        (1, 1, "HDFC Bank Ltd", ["01/02/2024", "Narration", "", "01/02/2024", "", "", ""]),   # header row
+        (1, 2, "HDFC Bank Ltd", ["03/02/2024", "NEFT rent May", "ref", "03/02/2024", "₹1,234.50 Dr", "", "5,000.00"]),
+        (1, 3, "HDFC Bank Ltd", ["04/02/2024", "Salary April", "ref", "04/02/2024", "", "10,000.00 Cr", "15,000.00"]),
+        (2, 1, "State Bank of India", ["05 Feb 2024", "05 Feb 2024", "Vendor bill", "r", "700.00", "", "1.00"]),
+        (3, 1, "ICICI Bank", ["1", "x", "06-02-2024", "", "Uber cab", "250.00", "", "9.00"]),
+        (4, 1, "Axis Bank", ["no date here", "Lunch", "", "100.00", "", "1.00"]),          # layout finds nothing
+        (4, 2, "Axis Bank", ["x", "07/02/24", "Lunch", "nan", "-5", "80.00"]),             # generic reading
+        (5, 1, "Village Bank", ["08/02/24", "misc", "12.00", "7.50"]),
+    ]
+    cells = spark.createDataFrame(rows, "statement_id long, row_no long, page_text string, cells array<string>")
+    t = {(r.statement_id, r.row_no): r for r in B.statement_transactions(cells).collect()}
+    assert (1, 1) not in t                                      # header words skipped
+    r = t[(1, 2)]
+    assert (r.bank, r.debit, r.type, r.amount, r.balance, r.category, r.itc_possible) == \
+        ("HDFC", 1234.5, "debit", 1234.5, 5000.0, "rent", True)
+    r = t[(1, 3)]
+    assert (r.credit, r.type, r.amount, r.category) == (10000.0, "credit", 10000.0, "salary")
+    assert (t[(2, 1)].bank, t[(2, 1)].description, t[(2, 1)].category) == ("SBI", "Vendor bill", "purchase")
+    assert (t[(3, 1)].bank, t[(3, 1)].date, t[(3, 1)].category) == ("ICICI", "06-02-2024", "travel")
+    r = t[(4, 2)]                                               # fallback: first date in cells 1-3, positive amounts
+    # text = non-date cells among cells 2..4 (the amount "-5" is cell 5)
+    assert (r.bank, r.date, r.debit, r.credit, r.balance, r.description) == ("GENERIC", "07/02/24", 80.0, None, None,
+                                                                            "Lunch nan")
+    assert (4, 1) not in t
+    r = t[(5, 1)]
+    assert (r.bank, r.debit, r.credit, r.amount) == ("GENERIC", 12.0, 7.5, 12.0)
