@@ -134,4 +134,19 @@ def ym(c) -> Column:
 
 def fmt_ts(c) -> Column:
     """Python's str(datetime) for whole seconds: 'yyyy-MM-dd HH:mm:ss'."""
-    return F.date_format(col(c), "yyyy-MM-dd HH:mm:ss")
\ No newline at end of file
+    return F.date_format(col(c), "yyyy-MM-dd HH:mm:ss")
+
+def inr_text(x) -> Column:
+    """'₹' + amount in Indian digit grouping with up to 2 decimals and no
+    trailing zeros (1,23,456.5), as the dashboard renders amounts; for
+    non-negative amounts with at most 2 decimals."""
+    x = col(x).cast("decimal(20,2)")
+    ip = F.floor(x).cast("long").cast("string")
+    cents = ((x - F.floor(x)) * 100).cast("int").cast("string")
+    fr = F.regexp_replace(F.lpad(cents, 2, "0"), "0+$", "")
+    n = F.length(ip)
+    head, tail = ip.substr(F.lit(1), n - 3), ip.substr(n - 2, F.lit(3))
+    # digits before the last three are grouped in pairs from the right
+    pairs = F.regexp_replace(F.reverse(F.regexp_replace(F.reverse(head), r"(\d\d)", "$1,")), "^,", "")
+    whole = F.when(n <= 3, ip).otherwise(F.concat(pairs, F.lit(","), tail))
+    return F.concat(F.lit("₹"), whole, F.when(fr == "", F.lit("")).otherwise(F.concat(F.lit("."), fr)))

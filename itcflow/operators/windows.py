@@ -34,6 +34,7 @@ def invoice_anomalies(v: DataFrame, k: float = fixed.ANOMALY_FACTOR, hi: float =
     tot = F.col("total").cast("double")
     hit = j.filter(tot > F.col("avg_total") * k)
     out = hit.select(by, "id", "user_id", "client_name", D("total").alias("total"), "avg_total",
+                     C.inr_text("total").alias("invoice"),
                      F.format_string("%.1f", tot / F.col("avg_total")).alias("ratio"),
                      F.when(tot > F.col("avg_total") * hi, "high").otherwise("medium").alias("severity"))
     if n is not None:
@@ -95,7 +96,7 @@ def activity(v: DataFrame, n: int = fixed.RECENT_SHOWN) -> DataFrame:
     return r.select("ca_id", "rank", "id", F.col("client_name").alias("client"),
                     F.when(st == "confirmed", "Invoice confirmed").when(st == "pending", "Awaiting review")
                      .otherwise("Invoice rejected").alias("action"),
-                    D("total").alias("amount"),
+                    D("total").alias("amount"), C.inr_text("total").alias("amount_text"),
                     F.coalesce(F.substring(C.fmt_ts("date"), 1, 10), F.lit("")).alias("time"),
                     F.when(st == "confirmed", "success").when(st == "pending", "warning").otherwise("danger")
                      .alias("status"))

@@ -226,7 +226,7 @@ def a30(spark, sf_dir):
 # ------------------------------------------------------------- windows ------
 
 ANOMALY_SQL = """
-SELECT {by}, id, user_id, client_name, CAST(total AS DOUBLE) AS total, avg_total,
+SELECT {by}, id, user_id, client_name, CAST(total AS DOUBLE) AS total, avg_total, {inr} AS invoice,
   format('{{:.1f}}', CAST(total AS DOUBLE) / avg_total) AS ratio,
   CASE WHEN CAST(total AS DOUBLE) > avg_total * 4.0 THEN 'high' ELSE 'medium' END AS severity
 FROM (SELECT v.*, a.avg_total, row_number() OVER (PARTITION BY v.{by} ORDER BY v.id DESC) AS rn
@@ -236,13 +236,13 @@ FROM (SELECT v.*, a.avg_total, row_number() OVER (PARTITION BY v.{by} ORDER BY v
 """
 
 
-@query("W1_invoice_anomalies", "W1", ANOMALY_SQL.format(by="ca_id", where="WHERE rn <= 5"), ctes=VIEW)
+@query("W1_invoice_anomalies", "W1", ANOMALY_SQL.format(by="ca_id", where="WHERE rn <= 5", inr=Q.inr_text("total")), ctes=VIEW)
 def w1(spark, sf_dir):
     """Invoices above 2.5x the CA feed's mean total; first 5 in feed order per CA."""
     return W.invoice_anomalies(feed(M(spark, sf_dir)))
 
 
-@query("W2_client_anomalies", "W2", ANOMALY_SQL.format(by="user_id", where=""), ctes=VIEW)
+@query("W2_client_anomalies", "W2", ANOMALY_SQL.format(by="user_id", where="", inr=Q.inr_text("total")), ctes=VIEW)
 def w2(spark, sf_dir):
     """Per-client variant (extension): above 2.5x the client's own mean, all rows."""
     return W.invoice_anomalies(feed(M(spark, sf_dir)), n=None, by="user_id")
@@ -319,7 +319,8 @@ def t2(spark, sf_dir):
 @query("T3_activity", "T3", """
 SELECT ca_id, rank, id, client_name AS client,
   CASE status WHEN 'confirmed' THEN 'Invoice confirmed' WHEN 'pending' THEN 'Awaiting review' ELSE 'Invoice rejected' END AS action,
-  CAST(total AS DOUBLE) AS amount, coalesce(substr(strftime(date, '%Y-%m-%d %H:%M:%S'), 1, 10), '') AS time,
+  CAST(total AS DOUBLE) AS amount, """ + Q.inr_text("total") + """ AS amount_text,
+  coalesce(substr(strftime(date, '%Y-%m-%d %H:%M:%S'), 1, 10), '') AS time,
   CASE status WHEN 'confirmed' THEN 'success' WHEN 'pending' THEN 'warning' ELSE 'danger' END AS status
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ca_id ORDER BY id DESC) AS INTEGER) AS rank FROM v) t WHERE rank <= 6
 """, ctes=VIEW)

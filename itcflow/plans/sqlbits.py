@@ -105,3 +105,15 @@ def kw_matched(low: str, cat: str) -> str:
 def clean_amount(c: str) -> str:
     return (f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL ELSE TRY_CAST(trim(replace(replace("
             f"regexp_replace({c}, '[₹,\\s]', '', 'g'), 'Dr', ''), 'Cr', '')) AS DOUBLE) END")
+
+
+def inr_text(x: str) -> str:
+    """DuckDB twin of core.inr_text."""
+    d = f"CAST({x} AS DECIMAL(20,2))"
+    ip = f"CAST(CAST(floor({d}) AS BIGINT) AS VARCHAR)"
+    fr = f"regexp_replace(lpad(CAST(CAST(({d} - floor({d})) * 100 AS INTEGER) AS VARCHAR), 2, '0'), '0+$', '')"
+    head = f"substr({ip}, 1, length({ip}) - 3)"
+    tail = f"substr({ip}, length({ip}) - 2, 3)"
+    pairs = f"regexp_replace(reverse(regexp_replace(reverse({head}), '(\\d\\d)', '\\1,', 'g')), '^,', '')"
+    whole = f"CASE WHEN length({ip}) <= 3 THEN {ip} ELSE {pairs} || ',' || {tail} END"
+    return f"('₹' || {whole} || CASE WHEN {fr} = '' THEN '' ELSE '.' || {fr} END)"

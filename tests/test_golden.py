@@ -188,3 +188,10 @@ def test_bank_layouts_and_fallback(spark):
     assert (4, 1) not in t
     r = t[(5, 1)]
     assert (r.bank, r.debit, r.credit, r.amount) == ("GENERIC", 12.0, 7.5, 12.0)
+
+
+def test_inr_text(spark):
+    from itcflow.functions import core as C
+    df = spark.createDataFrame([(123456.5,), (1234.56,), (100.0,), (0.0,), (12345678.05,), (99999.9,)], "x double")
+    got = [r.t for r in df.select(C.inr_text("x").alias("t")).collect()]
+    assert got == ["₹1,23,456.5", "₹1,234.56", "₹100", "₹0", "₹1,23,45,678.05", "₹99,999.9"]
