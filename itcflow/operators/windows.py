@@ -36,6 +36,7 @@ def invoice_anomalies(v: DataFrame, k: float = fixed.ANOMALY_FACTOR, hi: float =
     out = hit.select(by, "id", "user_id", "client_name", D("total").alias("total"), "avg_total",
                      C.inr_text("total").alias("invoice"),
                      F.format_string("%.1f", tot / F.col("avg_total")).alias("ratio"),
+                     F.format_string("%.1fx higher than average invoice value", tot / F.col("avg_total")).alias("detail"),
                      F.when(tot > F.col("avg_total") * hi, "high").otherwise("medium").alias("severity"))
     if n is not None:
         w = Window.partitionBy(by).orderBy(F.col("id").desc())

@@ -228,6 +228,7 @@ def a30(spark, sf_dir):
 ANOMALY_SQL = """
 SELECT {by}, id, user_id, client_name, CAST(total AS DOUBLE) AS total, avg_total, {inr} AS invoice,
   format('{{:.1f}}', CAST(total AS DOUBLE) / avg_total) AS ratio,
+  format('{{:.1f}}', CAST(total AS DOUBLE) / avg_total) || 'x higher than average invoice value' AS detail,
   CASE WHEN CAST(total AS DOUBLE) > avg_total * 4.0 THEN 'high' ELSE 'medium' END AS severity
 FROM (SELECT v.*, a.avg_total, row_number() OVER (PARTITION BY v.{by} ORDER BY v.id DESC) AS rn
       FROM v JOIN (SELECT {by}, CAST(sum(total) AS DOUBLE) / count(*) AS avg_total FROM v GROUP BY {by}) a ON a.{by} = v.{by}
