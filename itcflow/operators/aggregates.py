@@ -359,12 +359,26 @@ def alert_counts(alerts: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def legacy_totals(clients: DataFrame) -> DataFrame:
-    """Per CA: ITC, invoices and clients of the portfolio, ITC per client."""
+    """Per CA: ITC, invoices and clients of the portfolio, ITC per
+    client, compliant ('green') and at-risk ('red') client counts."""
     itc = F.col("itc_this_month").cast(C.MONEY)
     g = clients.groupBy("ca_id").agg(F.sum(itc).alias("itc"), F.sum("invoice_count").alias("invoices"),
-                                     F.count(F.lit(1)).alias("clients"))
+                                     F.count(F.lit(1)).alias("clients"),
+                                     F.count_if(F.col("compliance_status") == "compliant").alias("green"),
+                                     F.count_if(F.col("compliance_status") == "at-risk").alias("high_risk"))
     return g.select("ca_id", D("itc").alias("total_itc"), "invoices", "clients",
-                    D(F.round(F.col("itc") / F.col("clients"), 2)).alias("itc_per_client"))
+                    D(F.round(F.col("itc") / F.col("clients"), 2)).alias("itc_per_client"), "green", "high_risk")
+
+
+def legacy_client_totals(v: DataFrame, usr: DataFrame) -> DataFrame:
+    """Per client of the feed: total ITC, invoices, total spend
+    (invoice totals) and turnover year to date."""
+    g = v.groupBy("user_id").agg(F.sum("itc").alias("itc"), F.count(F.lit(1)).alias("invoices"),
+                                 F.sum("total").alias("spend"))
+    u = usr.select(F.col("id").alias("user_id"), "turnover_ytd")
+    return g.join(u, "user_id", "left").select(
+        "user_id", D("itc").alias("total_itc"), "invoices", D("spend").alias("total_spend"),
+        D(F.coalesce("turnover_ytd", F.lit(0).cast(C.MONEY))).alias("turnover_ytd"))
 
 
 def ocr_quality(parsed: DataFrame) -> DataFrame:

@@ -208,13 +208,26 @@ def a24(spark, sf_dir):
 
 @query("A26_legacy_totals", "A26", """
 SELECT ca_id, CAST(sum(itc_dec) AS DOUBLE) AS total_itc, CAST(sum(invoice_count) AS BIGINT) AS invoices, count(*) AS clients,
-  CAST(round(sum(itc_dec) / count(*), 2) AS DOUBLE) AS itc_per_client FROM cs GROUP BY 1
+  CAST(round(sum(itc_dec) / count(*), 2) AS DOUBLE) AS itc_per_client,
+  count_if(compliance_status = 'compliant') AS green, count_if(compliance_status = 'at-risk') AS high_risk
+FROM cs GROUP BY 1
 """, ctes=CLIENTS)
 def a26(spark, sf_dir):
     """Legacy portfolio totals per CA."""
     return A.legacy_totals(clients(M(spark, sf_dir)))
 
 
+@query("A26_legacy_client_totals", "A26", """
+SELECT v.user_id, CAST(sum(v.itc) AS DOUBLE) AS total_itc, count(*) AS invoices, CAST(sum(v.total) AS DOUBLE) AS total_spend,
+  CAST(coalesce(any_value(u.turnover_ytd), 0) AS DOUBLE) AS turnover_ytd
+FROM v LEFT JOIN users u ON u.id = v.user_id GROUP BY v.user_id
+""", ctes=VIEW)
+def a26c(spark, sf_dir):
+    """Legacy client page totals: ITC, invoices, spend, turnover YTD per client."""
+    m = M(spark, sf_dir)
+    return A.legacy_client_totals(feed(m), m.users)
+
+
 @query("A30_distinct_clients", "A30", """
 SELECT ca_id, user_id, arg_min(client_name, id) AS name FROM v GROUP BY 1, 2
 """, ctes=VIEW)
