@@ -248,11 +248,11 @@ def avg_confidence(v: DataFrame) -> DataFrame:
 
 def compliance_distribution(clients: DataFrame) -> DataFrame:
     """Per CA: clients per compliance status (non-zero only) and the
-    legacy share in percent (count / all clients of the CA)."""
+    legacy share in whole percent, rounded half up (count / all clients)."""
     g = clients.groupBy("ca_id", "compliance_status").agg(F.count(F.lit(1)).alias("value"))
     tot = F.sum("value").over(Window.partitionBy("ca_id"))
     return g.select("ca_id", "compliance_status", "value",
-                    F.round(F.col("value").cast("double") * 100 / tot, 1).alias("share_pct"))
+                    F.floor(F.col("value").cast("double") * 100 / tot + 0.5).cast("long").alias("share_pct"))
 
 
 def category_distribution(v: DataFrame) -> DataFrame:
@@ -354,6 +354,7 @@ def alert_counts(alerts: DataFrame, resolved: DataFrame) -> DataFrame:
     return (a.groupBy("ca_id")
              .agg(F.count_if(~res & (F.col("priority") == "high")).alias("high"),
                   F.count_if(~res & (F.col("priority") == "medium")).alias("medium"),
+                  F.count_if(~res & (F.col("priority") == "low")).alias("low"),
                   F.count_if(~res).alias("active"),
                   F.count_if(res).alias("resolved")))
 

@@ -112,7 +112,8 @@ def a15(spark, sf_dir):
 
 
 @query("A16_compliance_distribution", "A16", """
-SELECT ca_id, compliance_status, value, round(CAST(value AS DOUBLE) * 100 / sum(value) OVER (PARTITION BY ca_id), 1) AS share_pct
+SELECT ca_id, compliance_status, value,
+  CAST(floor(CAST(value AS DOUBLE) * 100 / sum(value) OVER (PARTITION BY ca_id) + 0.5) AS BIGINT) AS share_pct
 FROM (SELECT ca_id, compliance_status, count(*) AS value FROM cs GROUP BY 1, 2) t
 """, ctes=CLIENTS)
 def a16(spark, sf_dir):
@@ -423,6 +424,7 @@ def p12(spark, sf_dir):
 
 @query("A25_alert_counts", "A25", f"""
 SELECT a.ca_id, count_if(NOT r AND priority = 'high') AS high, count_if(NOT r AND priority = 'medium') AS medium,
+  count_if(NOT r AND priority = 'low') AS low,
   count_if(NOT r) AS active, count_if(r) AS resolved
 FROM (SELECT al.*, (al.id IN (SELECT alert_id FROM res)) OR al.resolved AS r FROM al) a GROUP BY a.ca_id
 """, ctes=RESOLVED_CTE + ",\nal AS (" + _alerts_sql("calendar").strip() + ")")
