@@ -219,3 +219,14 @@ def render_report(rep: DataFrame, as_of: str) -> DataFrame:
          .otherwise(tpl(fixed.REPORT_OK, d3=d3.cast("string"))),
         F.lit(fixed.REPORT_TAIL))
     return rep.select("user_id", body.alias("report"))
+
+
+def client_reminders(clients: DataFrame, usr: DataFrame) -> DataFrame:
+    """The CA's reminder to each selected client (e.g. the at-risk list):
+    one outbox row (to, kind, body) per client with a phone."""
+    pre, post = fixed.CLIENT_REMINDER.format(name="\x00", signoff=fixed.SIGNOFF).split("\x00")
+    u = usr.select(F.col("id"), "phone", "business_name")
+    x = clients.select("id").join(u, "id").filter(F.col("phone").isNotNull() & (F.col("phone") != ""))
+    name = F.coalesce(C.blank_to_null("business_name"), F.lit(fixed.CLIENT_REMINDER_NAME_DEFAULT))
+    return x.select(F.col("id").alias("user_id"), F.concat(F.lit("whatsapp:"), e164(F.col("phone"))).alias("to"),
+                    F.lit("client_reminder").alias("kind"), F.concat(F.lit(pre), name, F.lit(post)).alias("body"))

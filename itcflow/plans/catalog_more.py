@@ -550,3 +550,22 @@ def f22(spark, sf_dir):
     """Chat monthly-report text of every user (as of 2000-06-15)."""
     m = M(spark, sf_dir)
     return FL.render_report(A.monthly_report(m.invoices, m.ledger, m.users, AS_OF), AS_OF)
+
+
+def _reminder_sql() -> str:
+    pre, post = fixed.CLIENT_REMINDER.format(name="\x00", signoff=fixed.SIGNOFF).split("\x00")
+    return f"""
+SELECT u.id AS user_id, 'whatsapp:' || CASE WHEN u.phone LIKE '+%' THEN u.phone ELSE '+91' || u.phone END AS "to",
+  'client_reminder' AS kind,
+  '{pre}' || coalesce(nullif(u.business_name, ''), '{fixed.CLIENT_REMINDER_NAME_DEFAULT}') || '{post}' AS body
+FROM cs JOIN users u ON u.id = cs.id
+WHERE (cs.compliance_status = 'at-risk' OR cs.risk_score < 40) AND u.phone IS NOT NULL AND u.phone <> ''
+"""
+
+
+@query("S9_client_reminders", "S9,P13", _reminder_sql(), ctes=CLIENTS)
+def s9r(spark, sf_dir):
+    """The CA's reminder message to every at-risk client (outbox rows)."""
+    from ..operators import invoices as I
+    m = M(spark, sf_dir)
+    return FL.client_reminders(I.at_risk(clients(m)), m.users)
