@@ -173,3 +173,30 @@ def itc_rows_head(txns: DataFrame, n: int = fixed.ITC_ROWS_SHOWN) -> DataFrame:
     return t.select("statement_id", "rank", "row_no", "date",
                     F.substring("description", 1, fixed.ITC_ROW_TEXT_CHARS).alias("text"),
                     "amount", F.format_number("amount", 0).alias("amount_text"))
+
+
+def _tpl(t: str, **cols):
+    import re
+    parts = re.split(r"\{(\w+)\}", t)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else cols[p] for i, p in enumerate(parts)])
+
+
+def statement_replies(txns: DataFrame) -> DataFrame:
+    """the chat reply to each parsed statement: counts and totals, then
+    the first five ITC-possible rows (a list bounded by the top-5 itself)."""
+    summ = statement_summary(txns)
+    head = itc_rows_head(txns)
+    lines = head.select("statement_id", "rank", _tpl(fixed.STATEMENT_ITC_LINE, date=F.col("date"), text=F.col("text"),
+                                                     amount=F.col("amount_text")).alias("line"))
+    lst = (lines.groupBy("statement_id")
+                .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))),
+                                              lambda x: x["line"]), "").alias("lines")))
+    x = summ.join(lst, "statement_id", "left")
+    itc = F.col("itc_possible_count").cast("string")
+    body = F.concat(
+        _tpl(fixed.STATEMENT_HEAD, bank=F.col("bank"), n=F.col("total_transactions").cast("string"),
+             debit=F.format_number(F.round("total_debit", 2), 2), credit=F.format_number(F.round("total_credit", 2), 2),
+             itc=itc),
+        F.when(F.col("lines").isNotNull(), F.concat(F.lit(fixed.STATEMENT_ITC_TITLE), F.col("lines"))).otherwise(F.lit("")),
+        _tpl(fixed.STATEMENT_TAIL, itc=itc))
+    return x.select("statement_id", body.alias("reply"))

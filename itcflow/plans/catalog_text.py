@@ -823,3 +823,33 @@ def f22c(spark, sf_dir):
     m = M(spark, sf_dir)
     rep = IN.gstin_report(m.invoices, "seller_gstin", repair=True)
     return IN.confirmation_messages(_parsed(spark, sf_dir), rep)
+
+
+def _statement_reply_sql() -> str:
+    def tpl(t, **e):
+        import re
+        parts = re.split(r"\{(\w+)\}", t)
+        return " || ".join("'" + p.replace("'", "''") + "'" if i % 2 == 0 else "(" + e[p] + ")"
+                           for i, p in enumerate(parts) if not (i % 2 == 0 and p == ""))
+    line = tpl(fixed.STATEMENT_ITC_LINE, date="date", text="substr(description, 1, 30)",
+               amount="format('{:,.0f}', amount)")
+    head = tpl(fixed.STATEMENT_HEAD, bank="s.bank", n="CAST(s.n AS VARCHAR)",
+               debit="format('{:,.2f}', s.debit)", credit="format('{:,.2f}', s.credit)", itc="CAST(s.itc AS VARCHAR)")
+    tail = tpl(fixed.STATEMENT_TAIL, itc="CAST(s.itc AS VARCHAR)")
+    return f"""
+SELECT s.statement_id, {head} || CASE WHEN l.lines IS NOT NULL THEN '{fixed.STATEMENT_ITC_TITLE}' || l.lines ELSE '' END
+  || {tail} AS reply
+FROM (SELECT statement_id, first(bank) AS bank, count(*) AS n,
+        CAST(sum(CAST(coalesce(debit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS debit,
+        CAST(sum(CAST(coalesce(credit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS credit, count_if(itc_possible) AS itc
+      FROM tx GROUP BY statement_id) s
+LEFT JOIN (SELECT statement_id, string_agg({line}, '' ORDER BY rank) AS lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_no) AS rank FROM tx WHERE itc_possible) t
+  WHERE rank <= 5 GROUP BY statement_id) l ON l.statement_id = s.statement_id
+"""
+
+
+@query("F22_statement_reply", "F22,A12,T6", _statement_reply_sql(), ctes=BANK_CTES)
+def f22s(spark, sf_dir):
+    """The chat reply to every parsed bank statement (totals and first five ITC rows)."""
+    return B.statement_replies(_txns(spark, sf_dir))
