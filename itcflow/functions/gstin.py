@@ -49,7 +49,7 @@ def _confusion_map_sql() -> str:
     return "map(" + ", ".join(parts) + ")"
 
 
-def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference") -> DataFrame:
+def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference", distinct: bool = True) -> DataFrame:
     """for each distinct id, the first look-alike variant that validates.
 
     Order of trial = the application's: the first 8 confusable positions,
@@ -60,7 +60,8 @@ def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference") -> Dat
     Returns (gstin, corrected, corrections array) for ids with a hit.
     """
     keys = _lit_array(fixed.OCR_CONFUSIONS.keys())
-    base = ids.select(F.col(g).alias("g")).filter(F.length("g") == 15).distinct()
+    base = ids.select(F.col(g).alias("g")).filter(F.length("g") == 15)
+    base = base.distinct() if distinct else base
     k = F.expr(f"slice(filter(sequence(1, 15), i -> array_contains({keys}, substr(g, i, 1))), 1, "
                f"{fixed.OCR_MAX_POSITIONS})")
     opts = F.expr(f"transform(pos, p -> filter(element_at({_confusion_map_sql()}, substr(g, p, 1)), "

@@ -118,7 +118,8 @@ def gstin_report(df: DataFrame, col: str, checksum: str = "reference", repair: b
     ok = F.coalesce(F.col("checksum_ok") & (F.length("g") == 15), F.lit(False))
     if repair:
         failing = x.filter(~ok & (F.length("g") == 15)).select(F.col("g").alias("gstin"))
-        fixes = G.repair(failing, "gstin", checksum).withColumnRenamed("gstin", "g")
+        # ids are distinct already (several raw spellings can share one cleaned id)
+        fixes = G.repair(failing.distinct(), "gstin", checksum, distinct=False).withColumnRenamed("gstin", "g")
         x = x.join(fixes, "g", "left")
     else:
         x = x.withColumn("corrected", F.lit(None).cast("string")) \
