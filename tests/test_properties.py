@@ -137,3 +137,24 @@ def test_gstin_repair_matches_brute_force(spark, seeds):
             assert got.get(g) in (None, g)
         else:
             assert got.get(g) == exp, (g, got.get(g), exp)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(
+    ["mi", "lk", "pen", "cil", "tea", "x-ray", "1mg", "car", "t-shirt", "zz", " ", "note", "book", "oil", "ola", "uber",
+     "saree", "rent", "ups", "nothing", "a4 paper", "dell", "q"]), min_size=1, max_size=8), min_size=5, max_size=30))
+def test_keyword_classifier_matches_brute_force(spark, texts):
+    from itcflow.functions import fixed
+    from itcflow.operators import classify as CL
+    rows = [(i, "".join(t).upper()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, description string")
+    got = {r.doc_id: (r.category, list(r.matched_keywords)) for r in CL.classify_keywords(df, "description").collect()}
+    for i, text in rows:
+        low = text.lower()
+        exp = ("Other", [])
+        for label, words in fixed.KEYWORD_RULES:
+            hit = [w for w in words if w in low]
+            if hit:
+                exp = (label, hit)
+                break
+        assert got[i] == exp, (text, got[i], exp)
