@@ -64,3 +64,17 @@ def test_prefix_sum_with_a_hot_key(spark):
     got = prefix_sum(df, ["k"], ["o"], "v", "cum", n=16)
     exp = df.withColumn("cum", F.sum("v").over(Window.partitionBy("k").orderBy("o")))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_period_filter_prunes_month_partitions(spark):
+    import tempfile
+
+    from conftest import SF001
+    m = Model(spark, SF001).materialize(tempfile.mkdtemp(prefix="itcflow-mat-", dir="/tmp"), ("invoices",))
+    df = A.gstr3b_totals(m.invoices, "dashboard", "1998-05")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "date_month = 1998-05" in plan.replace("#", " ").replace("(", " ").replace(")", " ") or \
+        "PartitionFilters: [isnotnull(date_month" in plan
+    assert "PushedFilters" in plan and "EqualTo(status,confirmed)" in plan
+    full = A.gstr3b_totals(Model(spark, SF001).invoices, "dashboard", "1998-05")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, full.collect()))
