@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import SQL as LINE_SQL
+from .line_dedup import dedup_lines
 from .near_dups import near_duplicate_classes
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +25,12 @@ def registered(fn):
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: doc_id, class_id."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated three-line windows: doc_id, text, n_lines, n_removed."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+LLM_SQL["op6_line_windows"] = LINE_SQL
