@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .hyper_lang import held_out, identify, learn_from_documents
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
 from .near_dups import near_duplicate_classes
@@ -34,3 +35,11 @@ def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_SQL["op6_line_windows"] = LINE_SQL
+
+
+@registered
+def op8_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents: doc_id, held_out, lang_pred, score."""
+    docs = table(spark, sf_dir, "documents")
+    return (identify(docs, learn_from_documents(docs), keep=["doc_id"])
+            .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))
