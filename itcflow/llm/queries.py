@@ -11,6 +11,7 @@ from .common import table
 from .hyper_lang import held_out, identify, learn_from_documents
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
+from .mixing import mixing_plan, with_copies
 from .near_dups import near_duplicate_classes
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,10 @@ def op8_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return (identify(docs, learn_from_documents(docs), keep=["doc_id"])
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))
+
+
+@registered
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents under token targets by source: doc_id, size, source_size, target, taken, rate, copies."""
+    docs = table(spark, sf_dir, "documents")
+    return with_copies(docs, mixing_plan(docs)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
