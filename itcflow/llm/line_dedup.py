@@ -15,10 +15,11 @@ WINDOW = 3
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                keep: list[str] | None = None) -> DataFrame:
     """``id_col, text, n_lines, n_removed``: one row per input row, with the
-    lines of repeated windows removed from every place but the first.
+    lines of repeated windows removed from every place but the first. ``keep``
+    names further columns to return (not those four).
 
     A window is ``window`` consecutive lines (cut at ``\\n``; trimmed for
     comparison; blank lines don't count). The first place of a window is the one
@@ -30,7 +31,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every line that a window covers. Other columns are ignored.
     """
     names = ["_id", "_k1", "_k2"]  # the two hashes of id and text tell rows apart, null ids too
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+    keep = keep or []
+    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        F.xxhash64(id_col, text_col).alias("_k1"), F.hash(text_col, id_col).alias("_k2"),
                        F.split(text_col, "\n", -1).alias("_lines"))
     lines = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANK)).alias("x"))),
@@ -63,7 +65,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_join(F.transform("_kept", lambda i: F.get(F.col("_lines"), i)), "\n"))
     return kept.select(F.col("_id").alias(id_col), text.alias("text"),
                        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-                       F.size("_gone").cast("long").alias("n_removed"))
+                       F.size("_gone").cast("long").alias("n_removed"),
+                       *[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with their text column de-duplicated, other columns as they were."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    inner = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"),
+                        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rest)])
+    out = dedup_lines(inner, "_i", "_t", window, keep=[f"_r{i}" for i in range(len(rest))])
+    back = {id_col: "_i", text_col: "text"} | {c: f"_r{i}" for i, c in enumerate(rest)}
+    return out.select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL of ``dedup_lines`` over a table without repeated rows.

@@ -13,6 +13,7 @@ from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
 from .mixing import mixing_plan, with_copies
 from .near_dups import near_duplicate_classes
+from .packing import pack
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -51,3 +52,9 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents under token targets by source: doc_id, size, source_size, target, taken, rate, copies."""
     docs = table(spark, sf_dir, "documents")
     return with_copies(docs, mixing_plan(docs)).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+@registered
+def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens, one row a piece."""
+    return pack(table(spark, sf_dir, "documents"))
