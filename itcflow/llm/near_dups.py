@@ -164,7 +164,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sig = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("r"), utf8(text_col).alias("t"))
                           .mapInArrow(_signatures(k, band, shingle, weighting), schema), "signatures")
     some = sig.where("c is not null")
-    texts = some.groupBy("c").agg(F.min("r").alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = materialize(some.groupBy("c").agg(F.min("r").alias("r"), F.first("n").alias("n"),
+                                              F.first("bands").alias("bands")), "texts")
     keys = texts.select("c", "r", "n", F.explode("bands").alias("key"))
     buckets = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"),
                                        F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
@@ -180,7 +181,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                             (F.col("mine") > F.col("other")).alias("right"), "c")
                     .join(el, "c").select("key", "i", "j", "right", "c", "el")
                     .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "c"))
-    links = paired.mapInArrow(_links(threshold), "a binary, b binary")
+    links = materialize(paired.mapInArrow(_links(threshold), "a binary, b binary").distinct(), "links")
     root = components(links)
     low = some.groupBy("c").agg(F.min("id").alias("low")).join(root.withColumnRenamed("node", "c"), "c", "left")
     low = low.select("c", "low", F.coalesce("root", "c").alias("root"))
