@@ -6,14 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
+from .decision_list import base_failed, learn_from, text_statistics
 from .hyper_lang import held_out, identify, learn_from_documents
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
 from .mixing import mixing_plan, with_copies
 from .near_dups import near_duplicate_classes
 from .packing import pack
+from .segment_search import top_k
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -58,3 +61,30 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens, one row a piece."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; rules learned from ``labels.quality``."""
+    stats = materialize(text_statistics(table(spark, sf_dir, "documents"), keep=["doc_id"]), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rules = learn_from(stats.join(labels, "doc_id"), "doc_id", "quality")
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        base_failed().alias("base_failed"), (~base_failed() & rules.verdict()).alias("kept"))
+
+
+@registered
+def op4_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners by integer inner product of every vector whose id is divisible by 50."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+LLM_SQL["op4_segment_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
