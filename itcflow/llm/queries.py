@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .decision_list import base_failed, learn_from, text_statistics
+from .html_text import extract
 from .hyper_lang import held_out, identify, learn_from_documents
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
 from .mixing import mixing_plan, with_copies
 from .near_dups import near_duplicate_classes
 from .packing import pack
+from .perspectives import SQL as CHAT_SQL
+from .perspectives import mask_text, perspectives
 from .segment_search import top_k
+from .wordpiece_count import from_byte_level, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -88,3 +92,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
+
+
+@registered
+def op3_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages: page_id, url, text, n_chars."""
+    return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@registered
+def op9_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of all documents: doc_id, n_words, n_tokens."""
+    return token_counts(table(spark, sf_dir, "documents"), from_byte_level(), keep=["doc_id"])
+
+
+@registered
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's side, with the mask as text."""
+    out = perspectives(table(spark, sf_dir, "conversations"))
+    mask = mask_text()
+    return out.select("conv_id", "speaker", "block", "n_turns", "text", F.when(mask != "", mask).alias("mask"))
+
+
+LLM_SQL["op2_perspectives"] = CHAT_SQL

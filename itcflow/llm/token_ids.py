@@ -31,7 +31,7 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
-class _Kept(dict):
+class Kept(dict):
     """Key -> value by ``make``; old entries go when two generations are full."""
 
     def __init__(self, make):
@@ -61,8 +61,8 @@ class TokenIds:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.shown = byte_characters()
-        self.words = _Kept(self._word)
-        self.chunks = _Kept(self._chunk)
+        self.words = Kept(self._word)
+        self.chunks = Kept(self._chunk)
 
     def _word(self, word: str) -> bytes:
         shown = "".join([self.shown[b] for b in word.encode("utf-8")])
