@@ -126,9 +126,10 @@ def elements(texts: list[bytes], n: int = SHINGLE):
     block, at = b"\n".join(texts), np.cumsum([0] + [len(t) + 1 for t in texts])
     h, start = word_hashes(block)
     cut = np.searchsorted(start, at)
-    rolled = np.full(max(0, len(h) - n + 1), np.uint64(n), np.uint64)
+    windows = max(0, len(h) - n + 1)
+    rolled = np.full(windows, np.uint64(n), np.uint64)
     for i in range(n):
-        rolled = mix(rolled * _GOLD + h[i:len(h) - n + 1 + i])
+        rolled = mix(rolled * _GOLD + h[i:i + windows])
     out = []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         if hi - lo >= n:

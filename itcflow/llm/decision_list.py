@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, prepare, utf8
+from .common import SPACE, prepare, spare, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -92,7 +92,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     prepare(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != text_col and c not in STATISTICS]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(s, T.LongType()) for s in STATISTICS])
-    return docs.select(*keep, utf8(text_col).alias("_text")).mapInArrow(_statistics, schema)
+    return docs.select(*keep, utf8(text_col).alias(spare(docs, "_text"))).mapInArrow(_statistics, schema)
 
 
 #: Feature -> (numerator, denominator): a rule compares numerator with threshold * denominator.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare
 
 _RAW = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|audio|video|title"
 _TOKEN = re.compile(
@@ -277,4 +277,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     schema = T.StructType([pages.schema[c] for c in keep]
                           + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     tree = train(*labelled_blocks())
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(_extract(tree), schema)
+    return pages.select(*keep, F.col(html_col).alias(spare(pages, "_html"))).mapInArrow(_extract(tree), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, spare
 from .dartminhash import mix
 
 DIM = 1024
@@ -53,33 +53,32 @@ class Profiles:
             self.letter[c] = 1 if chr(c).isalpha() else -1
         return self.letter[codes] == 1
 
-    def grams(self, text: str) -> np.ndarray:
-        """The n-grams of a text, in order; each is its code points, 21 bits each."""
+    def _symbols(self, text: str, before: np.ndarray, last: bool) -> np.ndarray:
+        """The letters of a text after the symbols ``before``, other runs as one blank."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        is_letter = self._letters(codes)
-        if not is_letter.any():
-            return np.empty(0, np.uint64)
-        codes = np.where(is_letter, codes, _BLANK)
-        padded = np.concatenate([[_BLANK], codes, [_BLANK]])
-        padded = padded[np.concatenate([[True], (padded[1:] != _BLANK) | (padded[:-1] != _BLANK)])].astype(np.uint64)
-        out = np.zeros(max(0, len(padded) - self.n + 1), np.uint64)
-        for i in range(self.n):
-            out = (out << np.uint64(_BITS)) | padded[i:len(padded) - self.n + 1 + i]
-        return out
+        codes = np.concatenate([before, np.where(self._letters(codes), codes, _BLANK), [_BLANK] * last]).astype(np.int64)
+        return codes[np.concatenate([[True], (codes[1:] != _BLANK) | (codes[:-1] != _BLANK)])]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of a whole text and their counts, block by block."""
-        if len(text) <= BLOCK:
-            return np.unique(self.grams(text), return_counts=True)
-        parts, at = [], 0
+        """Distinct n-grams of a whole text (their code points, 21 bits each) and
+        their counts, block by block; none if it has no letter."""
+        parts, at, before = [], 0, np.array([_BLANK])
         while at < len(text):
             end = min(len(text), at + BLOCK)
-            while end < len(text) and text[end].isalpha():  # blocks end where a blank would stand
+            while end < len(text) and text[end].isalpha():  # a block ends with a word
                 end += 1
-            parts.append(np.unique(self.grams(text[at:end]), return_counts=True))
-            at = end
+            symbols = self._symbols(text[at:end], before, end == len(text))
+            grams = np.zeros(max(0, len(symbols) - self.n + 1), np.uint64)
+            for i in range(self.n):
+                grams = (grams << np.uint64(_BITS)) | symbols[i:i + len(grams)].astype(np.uint64)
+            parts.append(np.unique(grams, return_counts=True))
+            before, at = symbols[len(symbols) - min(len(symbols), self.n - 1):], end
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         every, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-        return every, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
+        return every, np.bincount(where, np.concatenate([c for _, c in parts]), len(every)).astype(np.int64)
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         """One vector of +1 and -1 for each n-gram."""
@@ -199,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in keep]
                           + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(_answers(model), schema)
+    return docs.select(*keep, F.col(text_col).alias(spare(docs, "_text"))).mapInArrow(_answers(model), schema)
 
 
 def held_out(id_col: str = "doc_id"):

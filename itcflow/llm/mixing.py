@@ -193,24 +193,26 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return plan.select("source", "source_size", "target", "mean", "tilt", "edge", "moves")
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source",
-                text_col: str = "text", keep: list[str] | None = None, cap: int = CAP) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``size, source_size, target, rate,
-    copies, taken``. Clashing columns can't be kept."""
-    keep = [id_col] if keep is None else keep
+def _counted(docs: DataFrame, plan: DataFrame, keep: list[str], id_col: str, source_col: str, text_col: str,
+             cap: int) -> DataFrame:
+    """``_k0, _k1 ...`` for the columns ``keep``, and what the copies are counted from."""
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
                        *_marked(docs, id_col, source_col, text_col)).withColumnRenamed("source", "_s")
+    return rows.join(plan, F.col("_s").eqNullSafe(F.col("source"))).withColumn("copies", _copies(cap))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source",
+                text_col: str = "text", cap: int = CAP) -> DataFrame:
+    """``id_col, size, source_size, target, rate, copies, taken`` of each row."""
     rate = F.when((F.col("size") > 0) & (F.col("target") > 0), _rate(F.col("size"), F.col("tilt"), F.col("mean"), cap))
-    out = rows.join(plan, F.col("_s").eqNullSafe(F.col("source"))).withColumn("copies", _copies(cap))
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
-                      F.coalesce(rate, F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return _counted(docs, plan, [id_col], id_col, source_col, text_col, cap).select(
+        F.col("_k0").alias(id_col), "size", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"), "copies",
+        (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, plan: DataFrame, **cols) -> DataFrame:
+def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+          cap: int = CAP) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it."""
-    keep = [f"_c{i}" for i in range(len(docs.columns))]
-    named = {k: cols.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))}
-    inner = docs.select("*", *[F.col(c).alias(k) for c, k in zip(docs.columns, keep, strict=True)])
-    out = with_copies(inner, plan, **named, keep=keep).where("copies > 0")
-    return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-               .select(*[F.col(k).alias(c) for c, k in zip(docs.columns, keep, strict=True)]))
+    out = _counted(docs, plan, docs.columns, id_col, source_col, text_col, cap).where("copies > 0")
+    return (out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+               .select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)]))

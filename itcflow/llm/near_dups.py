@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dartminhash as D
-from .common import materialize, prepare, utf8
+from .common import materialize, prepare, spare, utf8
 from .components import components
 
 #: Bounds of one block of a bucket's members; a larger bucket is cut into
@@ -196,12 +196,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id. Of rows that share id and text one stays; rows that share an
     id but not the text are kept apart. Needs non-null ids to tell rows apart;
     rows with a null id are kept."""
-    mark = F.xxhash64(text_col)
-    classes = near_duplicate_classes(docs.withColumn("_id", F.struct(F.col(id_col).alias("i"), mark.alias("m"))),
-                                     "_id", text_col, **params)
-    stay = classes.where("class_id <=> _id").select(F.col("_id.i").alias("_i"), F.col("_id.m").alias("_m")).distinct()
-    named = docs.withColumn("_mark", mark)
+    mark, i, m = spare(docs, "_mark"), spare(docs, "_i"), spare(docs, "_m")
+    named = docs.withColumn(mark, F.xxhash64(text_col))
+    rows = named.select(F.struct(F.col(id_col).alias("i"), F.col(mark).alias("m")).alias("id"), F.col(text_col).alias("t"))
+    classes = near_duplicate_classes(rows, "id", "t", **params).where("class_id <=> id")
+    stay = classes.select(F.col("id.i").alias(i), F.col("id.m").alias(m)).distinct()
     with_id = (named.where(F.col(id_col).isNotNull())
-                    .join(stay, (F.col(id_col) == F.col("_i")) & (F.col("_mark") == F.col("_m")), "left_semi")
-                    .dropDuplicates([id_col, "_mark"]))
+                    .join(stay, (F.col(id_col) == F.col(i)) & (F.col(mark) == F.col(m)), "left_semi")
+                    .dropDuplicates([id_col, mark]))
     return with_id.unionByName(named.where(F.col(id_col).isNull())).select(*docs.columns)

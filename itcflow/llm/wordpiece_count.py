@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, utf8
+from .common import prepare, spare, utf8
 from .token_ids import Kept, byte_characters
 
 _FIRST, _NEXT = 0, 1  # roots of the pieces that begin a word, and of those that go on
@@ -134,5 +134,5 @@ def token_counts(docs: DataFrame, automaton: Automaton, text_col: str = "text",
     prepare(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text_col, "n_words", "n_tokens")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens")])
-    return (docs.select(*keep, utf8(text_col).alias("_text"))
+    return (docs.select(*keep, utf8(text_col).alias(spare(docs, "_text")))
                 .mapInArrow(_count(spark.sparkContext.broadcast(automaton)), schema))
