@@ -50,7 +50,7 @@ def headline(m: Model) -> dict:
         "F9_classify_layered": lambda: CL.classify_layered(m.documents.select("doc_id", "text"), "text",
                                                            m.zero_shot, m.fine_tuned)
             .select("doc_id", "layer", "category", "confidence", "blocked", "reason", "matched_keywords"),
-        "A12_statement_summary": lambda: B.statement_summary(B.statement_transactions(m.bank_cells)),
+        "A12_statement_summary": lambda: B.statement_summary(B.statement_transactions(m.bank_cells), m.bank_cells),
         "A7_gstr3b_document": lambda: FL.gstr3b_document(m.invoices, m.users),
         "A11_monthly_report": lambda: A.monthly_report(m.invoices, m.ledger, m.users, AS_OF),
     }

@@ -49,45 +49,40 @@ def _confusion_map_sql() -> str:
     return "map(" + ", ".join(parts) + ")"
 
 
-def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference", distinct: bool = True) -> DataFrame:
-    """for each distinct id, the first look-alike variant that validates.
+def repaired(g: str, checksum: str = "reference") -> Column:
+    """F6 as one expression of a (cleaned) id column: struct(c, pos, chosen) of
+    the first look-alike variant that validates, NULL if none does.
 
     Order of trial = the application's: the first 8 confusable positions,
     options original-first, first position varying slowest. Options a
-    position can never hold in a valid GSTIN are dropped first; that keeps
-    the relative order of the remaining variants, so the first valid one is
-    the same, while the candidate count falls from up to 4^8 to a handful.
-    Returns (gstin, corrected, corrections array) for ids with a hit.
+    position can never hold in a valid GSTIN are dropped first, which keeps
+    the order of the others. The variants of one id are numbered 0 .. total - 1
+    and spelled and tested in that order; only the first valid one is kept.
     """
     keys = _lit_array(fixed.OCR_CONFUSIONS.keys())
-    base = ids.select(F.col(g).alias("g")).filter(F.length("g") == 15)
+    pos = (f"slice(filter(sequence(1, 15), i -> array_contains({keys}, substr({g}, i, 1))), 1, {fixed.OCR_MAX_POSITIONS})")
+    opts = (f"transform({pos}, p -> filter(element_at({_confusion_map_sql()}, substr({g}, p, 1)), "
+            f"ch -> ch rlike {_class_at('p')}))")
+    # variants as text, position by position: every spelling so far times every option
+    spelled = (f"aggregate(sequence(1, 15), array(''), (done, i) -> CASE WHEN array_position({pos}, i) > 0 THEN "
+               f"flatten(transform(done, d -> transform(element_at({opts}, cast(array_position({pos}, i) as int)), o -> concat(d, o)))) "
+               f"ELSE transform(done, d -> concat(d, substr({g}, i, 1))) END)")
+    fine = (f"c rlike '{fixed.GSTIN_PATTERN}' AND substr(c, 1, 2) IN ({', '.join(chr(39) + k + chr(39) for k in fixed.STATE_CODES)}) "
+            f"AND substr(c, 15, 1) = {chk_spark('substr(c, 1, 14)', fixed.CHECKSUM_FACTORS[checksum])}")
+    return F.expr(f"get(filter({spelled}, c -> {fine}), 0)")
+
+
+def corrections(g: str, corrected: str) -> Column:
+    """The changed positions, in order, as the application words them."""
+    was, now = f"substr({g}, i, 1)", f"substr({corrected}, i, 1)"
+    return F.expr(f"filter(transform(sequence(1, 15), i -> CASE WHEN {was} <> {now} THEN "
+                  f"concat('pos ', i, ': ''', {was}, '''->''', {now}, '''') END), x -> x IS NOT NULL)")
+
+
+def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference", distinct: bool = True) -> DataFrame:
+    """(gstin, corrected, corrections array) of the 15-character ids that
+    have a valid look-alike variant; no shuffle beyond the distinct."""
+    base = ids.select(F.col(g).alias("_g")).filter(F.length("_g") == 15)
     base = base.distinct() if distinct else base
-    k = F.expr(f"slice(filter(sequence(1, 15), i -> array_contains({keys}, substr(g, i, 1))), 1, "
-               f"{fixed.OCR_MAX_POSITIONS})")
-    opts = F.expr(f"transform(pos, p -> filter(element_at({_confusion_map_sql()}, substr(g, p, 1)), "
-                  f"ch -> ch rlike {_class_at('p')}))")
-    s1 = base.select("g", k.alias("pos")).filter(F.size("pos") > 0).withColumn("opts", opts)
-    s1 = s1.withColumn("sizes", F.expr("transform(opts, o -> cast(size(o) as bigint))"))
-    s1 = s1.withColumn("total", F.expr("aggregate(sizes, cast(1 as bigint), (a, s) -> a * s)"))
-    s1 = s1.filter(F.col("total") > 0)
-    cand = s1.select("g", "pos", "opts", "sizes",
-                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)).alias("idx"))
-    n = "size(pos)"
-    # stride of position j = product of the sizes after it
-    digits = F.expr(f"transform(sequence(1, {n}), j -> cast((idx div (CASE WHEN j = {n} THEN cast(1 as bigint) "
-                    f"ELSE aggregate(slice(sizes, j + 1, {n} - j), cast(1 as bigint), (a, s) -> a * s) END)) "
-                    f"% element_at(sizes, j) as int))")
-    cand = cand.withColumn("digits", digits)
-    cand = cand.withColumn("chosen", F.expr(f"transform(sequence(1, {n}), j -> "
-                                            f"element_at(element_at(opts, j), element_at(digits, j) + 1))"))
-    cand = cand.withColumn("c", F.expr("array_join(transform(sequence(1, 15), i -> CASE WHEN array_position(pos, i) > 0 "
-                                       "THEN element_at(chosen, cast(array_position(pos, i) as int)) "
-                                       "ELSE substr(g, i, 1) END), '')"))
-    ck = checks("c", checksum)
-    valid = cand.filter(ck["pattern_ok"] & ck["state_ok"] & ck["checksum_ok"])
-    first = valid.groupBy("g").agg(F.min_by(F.struct("c", "pos", "chosen"), "idx").alias("w"))
-    corrections = F.expr("filter(transform(sequence(1, size(w.pos)), j -> CASE WHEN substr(g, element_at(w.pos, j), 1) "
-                         "<> element_at(w.chosen, j) THEN concat('pos ', element_at(w.pos, j), ': ''', "
-                         "substr(g, element_at(w.pos, j), 1), '''->''', element_at(w.chosen, j), '''') END), "
-                         "x -> x IS NOT NULL)")
-    return first.select(F.col("g").alias(g), F.col("w.c").alias("corrected"), corrections.alias("corrections"))
+    hit = base.withColumn("corrected", repaired("_g", checksum)).filter("corrected IS NOT NULL")
+    return hit.select(F.col("_g").alias(g), "corrected", corrections("_g", "corrected").alias("corrections"))

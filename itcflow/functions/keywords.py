@@ -69,17 +69,12 @@ def first_group(text: Column, rules, default, match: str = "substring") -> Colum
     return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
-def group_and_words(text: Column, rules, default: str, match: str = "substring") -> Column:
-    """struct(label, words): the first group that fires and its keywords found
-    in ``text``, in one CASE, so each group's regex runs at most once per
-    row and the keyword list is built only for the winning group."""
-    expr = None
-    for label, words in rules:
-        found = F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
-        val = F.struct(F.lit(label).alias("label"), found.alias("words"))
-        cond = any_of(text, words, match)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.otherwise(F.struct(F.lit(default).alias("label"), F.array().cast("array<string>").alias("words")))
+def matched_words(text: Column, label: Column, rules) -> Column:
+    """The keywords of the group ``label`` that occur in ``text`` (lower-cased),
+    in list order: one literal test per keyword of that group only."""
+    pairs = [x for lab, words in rules for x in (F.lit(lab), F.array(*[F.lit(w) for w in words]))]
+    words = F.element_at(F.create_map(*pairs), label)
+    return F.coalesce(F.filter(words, lambda w: F.contains(text, w)), F.array().cast("array<string>"))
 
 
 def keyword_category(desc: Column, match: str = "substring") -> Column:

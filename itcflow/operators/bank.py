@@ -5,7 +5,8 @@ Input rows are already-extracted table rows ``(statement_id, row_no,
 page_text, cells array<string>)``. Each layout is a row of parameters
 (cell positions, date pattern, header words); extraction is projection +
 filter, and the five bank layouts are one pass: every row reads the layout
-of its statement's bank through a ``CASE`` on the detected bank.
+of its statement's bank through a ``CASE`` on the detected bank. A bank is
+detected once per statement, on the texts of all its pages.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
 from ..functions.text import clean_amount
-from .skew import spread
 from .windows import top_per_group
 
 
@@ -30,18 +30,27 @@ def _truthy(x):
     return x.isNotNull() & (x != 0)
 
 
-def normalise_cells(cells: DataFrame) -> DataFrame:
-    """Trim cells (NULL -> ''), detect the statement's bank.
+#: What cells are trimmed of.
+BLANK = " \t\n\x0b\x0c\r\u00a0"
+
 
-    The per-row reading below filters on columns computed from ``tcells``;
-    the partition-id column is non-deterministic, which keeps Catalyst from
-    pushing those filters through this projection and re-evaluating the
-    cell expressions inside every predicate (an optimizer barrier)."""
-    cells = spread(cells)
-    return cells.select("statement_id", "row_no", "page_text",
-                        F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit(""))).alias("tcells"),
-                        K.detect_bank(F.col("page_text")).alias("bank"),
-                        F.spark_partition_id().alias("_part"))
+def detect_banks(cells: DataFrame) -> DataFrame:
+    """``statement_id, bank, has_text``: the first bank, in rule order, that
+    any page of the statement names; GENERIC if none. Pages without text name
+    none; ``has_text`` is false if all are such (nothing could be read)."""
+    low = F.lower(F.coalesce("page_text", F.lit("")))
+    rules = [(str(i), words) for i, (_, words) in enumerate(fixed.BANK_DETECTION)]
+    rank = K.first_group(low, rules, str(len(rules))).cast("int")
+    names = F.array(*[F.lit(b) for b, _ in fixed.BANK_DETECTION], F.lit(fixed.GENERIC_BANK))
+    return (cells.groupBy("statement_id").agg(F.min(rank).alias("_r"), F.max(F.btrim(low, F.lit(BLANK)) != "").alias("has_text"))
+                 .select("statement_id", F.get(names, F.col("_r")).alias("bank"), "has_text"))
+
+
+def normalise_cells(cells: DataFrame) -> DataFrame:
+    """Cells trimmed (NULL -> ''), with the bank of their statement."""
+    rows = cells.select("statement_id", "row_no",
+                        F.transform("cells", lambda c: F.coalesce(F.btrim(c, F.lit(BLANK)), F.lit(""))).alias("tcells"))
+    return rows.join(detect_banks(cells).select("statement_id", "bank"), "statement_id")
 
 
 _OUT = ["date", "description", "debit", "credit", "balance", "type", "amount"]
@@ -118,21 +127,22 @@ def extract_generic(n: DataFrame) -> DataFrame:
     the row; text = non-date cells 2..4 joined, cut to 100 characters."""
     g = _generic_fields()
     x = n.filter(F.size("tcells") >= fixed.GENERIC_MIN_CELLS).select(
-        "statement_id", "row_no", *[g[k].alias(k) for k in ("date", "amts", "description")])
+        "statement_id", "row_no", "bank", *[g[k].alias(k) for k in ("date", "amts", "description")])
     x = x.filter(F.col("date").isNotNull() & (F.size("amts") > 0))
-    return x.select("statement_id", "row_no", *_generic_out(), F.lit(fixed.GENERIC_BANK).alias("bank"))
+    return x.select("statement_id", "row_no", *_generic_out(), "bank")
 
 
 def normalise_statements(cells: DataFrame) -> DataFrame:
-    """Layout rows, plus the generic reading of the statements for which
-    their bank's layout found nothing (GENERIC banks included). The costly
-    generic reading runs only on those statements' rows (left-anti join on
-    the statement id), not on every row."""
+    """Layout rows, plus the generic reading of the statements whose bank
+    is unknown or whose layout found nothing. Statements of no known bank go
+    to the generic reading at once; only those of a known bank are looked up
+    among the layout's hits. ``bank`` is the detected one in either case."""
     n = normalise_cells(cells)
-    spec = extract_rows(n)
+    known = n.filter(F.col("bank") != fixed.GENERIC_BANK)
+    spec = extract_rows(known)
     have = spec.select("statement_id").distinct()
-    fallback = extract_generic(n.join(have, "statement_id", "left_anti"))
-    return spec.unionByName(fallback)
+    generic = n.filter(F.col("bank") == fixed.GENERIC_BANK).unionByName(known.join(have, "statement_id", "left_anti"))
+    return spec.unionByName(extract_generic(generic))
 
 
 def categorise(txns: DataFrame) -> DataFrame:
@@ -147,19 +157,29 @@ def statement_transactions(cells: DataFrame) -> DataFrame:
     return categorise(normalise_statements(cells))
 
 
-def statement_summary(txns: DataFrame) -> DataFrame:
-    """Per statement: bank, count, debit and credit totals (exact),
-    ITC-possible count, four category counts."""
+def statement_summary(txns: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row per statement with text: detected bank, count, debit and
+    credit totals (exact), ITC-possible count, four category counts. A
+    statement without a transaction has zeros; one whose pages have no text
+    has no row (``unreadable_statements``)."""
     money = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast(C.MONEY)
+    names = ["purchase", "salary", "travel", "food"]
     g = txns.groupBy("statement_id").agg(
-        F.first("bank").alias("bank"),
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum(money("debit")).alias("total_debit"), F.sum(money("credit")).alias("total_credit"),
         F.count_if("itc_possible").alias("itc_possible_count"),
-        *[F.count_if(F.col("category") == k).alias(f"{k}_count") for k in ("purchase", "salary", "travel", "food")])
-    return g.select("statement_id", "bank", "total_transactions", C.to_double("total_debit").alias("total_debit"),
-                    C.to_double("total_credit").alias("total_credit"), "itc_possible_count",
-                    "purchase_count", "salary_count", "travel_count", "food_count")
+        *[F.count_if(F.col("category") == k).alias(f"{k}_count") for k in names])
+    counts = ["total_transactions", "itc_possible_count", *[f"{k}_count" for k in names]]
+    x = detect_banks(cells).filter("has_text").join(g, "statement_id", "left").fillna(0, counts)
+    return x.select("statement_id", "bank", "total_transactions",
+                    F.coalesce(C.to_double("total_debit"), F.lit(0.0)).alias("total_debit"),
+                    F.coalesce(C.to_double("total_credit"), F.lit(0.0)).alias("total_credit"), "itc_possible_count",
+                    *[f"{k}_count" for k in names])
+
+
+def unreadable_statements(cells: DataFrame) -> DataFrame:
+    """Statements whose pages have no text (scans), with the application's error."""
+    return detect_banks(cells).filter("not has_text").select("statement_id", F.lit(fixed.STATEMENT_NO_TEXT).alias("error"))
 
 
 def itc_possible(txns: DataFrame) -> DataFrame:
@@ -181,10 +201,10 @@ def _tpl(t: str, **cols):
     return F.concat(*[F.lit(p) if i % 2 == 0 else cols[p] for i, p in enumerate(parts)])
 
 
-def statement_replies(txns: DataFrame) -> DataFrame:
+def statement_replies(txns: DataFrame, cells: DataFrame) -> DataFrame:
     """the chat reply to each parsed statement: counts and totals, then
     the first five ITC-possible rows (a list bounded by the top-5 itself)."""
-    summ = statement_summary(txns)
+    summ = statement_summary(txns, cells)
     head = itc_rows_head(txns)
     lines = head.select("statement_id", "rank", _tpl(fixed.STATEMENT_ITC_LINE, date=F.col("date"), text=F.col("text"),
                                                      amount=F.col("amount_text")).alias("line"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
-from .skew import spread
 
 
 def category_dim(spark) -> DataFrame:
@@ -40,16 +39,16 @@ def with_category(df: DataFrame, cat: str = "category") -> DataFrame:
              .withColumn("reason", F.coalesce("reason", F.lit(other[1]))))
 
 
-def classify_keywords(df: DataFrame, col: str = "description", match: str = "substring") -> DataFrame:
-    """F8: keyword layer: category, 0.85 (hit) / 0.60 (no hit), blocked,
-    reason and the matched keywords of the winning group."""
-    df = spread(df)
-    res = K.group_and_words(F.lower(F.col(col)), fixed.KEYWORD_RULES, "Other", match)
-    # the struct stays one column through the dimension join, so the rule
-    # CASE is evaluated once per row (its two fields are read above the join)
-    out = with_category(df.withColumn("_kw", res), "_kw.label")
-    out = out.select(*df.columns, F.col("_kw.label").alias("category"), F.col("_kw.words").alias("matched_keywords"),
-                     "blocked", "reason")
+def classify_keywords(df: DataFrame, col: str = "description", match: str = "substring",
+                      matched: bool = True) -> DataFrame:
+    """F8: keyword layer: category, 0.85 (hit) / 0.60 (no hit), blocked, reason
+    and, with ``matched``, the matched keywords of the winning group."""
+    out = df.withColumn("_low", F.lower(F.col(col)))
+    out = out.withColumn("category", K.first_group(F.col("_low"), fixed.KEYWORD_RULES, "Other", match))
+    if matched:
+        out = out.withColumn("matched_keywords", K.matched_words(F.col("_low"), F.col("category"), fixed.KEYWORD_RULES))
+    out = with_category(out.drop("_low"), "category")
+    out = out.select(*df.columns, "category", *["matched_keywords"] * matched, "blocked", "reason")
     hit = F.col("category") != "Other"
     return (out.withColumn("confidence", F.when(hit, F.lit(fixed.KEYWORD_CONFIDENCE))
                                           .otherwise(F.lit(fixed.NO_KEYWORD_CONFIDENCE)))
@@ -95,9 +94,9 @@ def classify_layered(df: DataFrame, col: str, zs: DataFrame | None = None, ft: D
     category; else the fine-tuned layer; else Other at 0.5. Fewer than 3
     non-blank characters -> Other at 0 ('No description')."""
     spark = df.sparkSession
-    kw = classify_keywords(df, col).select(key, col, F.col("category").alias("kw_cat"),
-                                           F.col("matched_keywords"))
-    x = kw
+    # the text ends here: the joins below carry the category and its words only
+    short = F.col(col).isNull() | (F.length(F.trim(F.col(col))) < 3)
+    x = classify_keywords(df, col).select(key, short.alias("_short"), F.col("category").alias("kw_cat"), "matched_keywords")
     if zs is not None:
         z = zero_shot_top(zs, spark).select(key, F.col("zs_category"), F.round("top_score", 3).alias("zs_conf"))
         x = x.join(z, key, "left")
@@ -109,7 +108,7 @@ def classify_layered(df: DataFrame, col: str, zs: DataFrame | None = None, ft: D
         x = x.join(f, key, "left")
     else:
         x = x.withColumn("ft_cat", F.lit(None).cast("string")).withColumn("ft_conf", F.lit(None).cast("double"))
-    short = F.col(col).isNull() | (F.length(F.trim(F.col(col))) < 3)
+    short = F.col("_short")
     use_kw = F.col("kw_cat") != "Other"
     use_zs = F.col("zs_category").isNotNull() & (F.col("zs_category") != "Other")
     use_ft = F.col("ft_cat").isNotNull()
@@ -141,8 +140,10 @@ def classify_invoices(inv: DataFrame, zs: DataFrame | None = None, ft: DataFrame
     """F11 (+F1): classify each invoice's description and split its ITC
     (igst if positive else cgst+sgst) into eligible and blocked amounts."""
     src = inv.select(F.col("id").alias("doc_id"), description_of(inv).alias("text"), "cgst", "sgst", "igst")
-    cl = classify_layered(src.select("doc_id", "text"), "text", zs, ft)
-    j = src.join(cl, "doc_id")
+    if zs is None and ft is None:  # descriptions repeat: each distinct one is classified once
+        j = src.join(classify_layered(src.select("text").distinct(), "text", key="text"), "text")
+    else:
+        j = src.join(classify_layered(src.select("doc_id", "text"), "text", zs, ft), "doc_id")
     tax = C.itc_exclusive()
     zero = F.lit(0).cast(C.MONEY)
     return j.select(F.col("doc_id").alias("id"), "category", "confidence", "layer", "blocked", "reason",

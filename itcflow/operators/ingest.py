@@ -53,22 +53,22 @@ def to_invoices(fields: DataFrame) -> DataFrame:
 def find_duplicates(new: DataFrame, inv: DataFrame) -> DataFrame:
     """Incoming rows against stored invoices. Key (user, invoice_no) and,
     when the incoming row has a GSTIN, that GSTIN too; blank invoice numbers
-    never match; the incumbent is the smallest stored id. Stored invoices are
-    reduced to one row per key first, so the join is 1:1 per incoming row."""
+    never match and are joined to nothing; the incumbent is the smallest stored
+    id. Stored invoices are reduced to one row per key, which carries the
+    incumbent's date and total, so the join is 1:1 per incoming row."""
+    from .windows import incumbent
     n = new.select("req_id", "user_id", F.trim(F.coalesce("invoice_no", F.lit(""))).alias("no"),
                    F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"))
-    s = inv.select("id", "user_id", F.col("invoice_no").alias("no"), F.col("seller_gstin").alias("g"))
-    s3 = s.groupBy("user_id", "no", "g").agg(F.min("id").alias("first3"))
-    s2 = s.groupBy("user_id", "no").agg(F.min("id").alias("first2"))
-    j = n.join(s3, ["user_id", "no", "g"], "left").join(s2, ["user_id", "no"], "left")
-    inc = F.when(F.col("no") == "", F.lit(None)).when(F.col("g") != "", F.col("first3")).otherwise(F.col("first2"))
-    j = j.select("req_id", inc.alias("existing_id"))
-    info = inv.select(F.col("id").alias("existing_id"),
-                      F.coalesce(F.date_format("date", "dd-MM-yyyy"), F.lit("unknown date")).alias("existing_date"),
-                      C.to_double(F.round(C.itc_total(), 2)).alias("existing_total"))
-    return (j.join(info, "existing_id", "left")
-             .select("req_id", F.col("existing_id").isNotNull().alias("is_duplicate"), "existing_id",
-                     "existing_date", "existing_total"))
+    s = inv.select("user_id", F.col("invoice_no").alias("no"), F.col("seller_gstin").alias("g"),
+                   incumbent().alias("row")).filter(F.col("no") != "")
+    first = F.min("row").alias("first")
+    asked = n.filter(F.col("no") != "")
+    with_g = asked.filter(F.col("g") != "").join(s.groupBy("user_id", "no", "g").agg(first), ["user_id", "no", "g"], "left")
+    without = asked.filter(F.col("g") == "").join(s.groupBy("user_id", "no").agg(first), ["user_id", "no"], "left")
+    blank = n.filter(F.col("no") == "").select("req_id", F.lit(None).cast(s.schema["row"].dataType).alias("first"))
+    found = with_g.select("req_id", "first").unionByName(without.select("req_id", "first")).unionByName(blank)
+    return found.select("req_id", F.col("first").isNotNull().alias("is_duplicate"), F.col("first.id").alias("existing_id"),
+                        F.col("first.on").alias("existing_date"), F.col("first.total").alias("existing_total"))
 
 
 def apply_corrections(inv: DataFrame, corr: DataFrame) -> DataFrame:
@@ -117,10 +117,8 @@ def gstin_report(df: DataFrame, col: str, checksum: str = "reference", repair: b
                  ck["checksum_ok"].alias("checksum_ok"))
     ok = F.coalesce(F.col("checksum_ok") & (F.length("g") == 15), F.lit(False))
     if repair:
-        failing = x.filter(~ok & (F.length("g") == 15)).select(F.col("g").alias("gstin"))
-        # ids are distinct already (several raw spellings can share one cleaned id)
-        fixes = G.repair(failing.distinct(), "gstin", checksum, distinct=False).withColumnRenamed("gstin", "g")
-        x = x.join(fixes, "g", "left")
+        x = x.withColumn("corrected", F.when(~ok & (F.length("g") == 15), G.repaired("g", checksum)))
+        x = x.withColumn("corrections", G.corrections("g", "corrected"))
     else:
         x = x.withColumn("corrected", F.lit(None).cast("string")) \
              .withColumn("corrections", F.lit(None).cast("array<string>"))
@@ -262,7 +260,6 @@ def confirmation_messages(parsed: DataFrame, report: DataFrame, policy: str = "d
     unreadable/empty notice, or the confirmation message listing the filled
     fields (the GSTIN shown repaired when the repair found one, with its
     status line) and the classification block of the description."""
-    from ..functions.keywords import group_and_words
     g = report.select(F.col(report.columns[0]).alias("seller_gstin"), "is_valid", "auto_corrected",
                       F.col("gstin").alias("fixed_gstin"), "state_name")
     x = parsed.join(g, "seller_gstin", "left")
@@ -281,18 +278,16 @@ def confirmation_messages(parsed: DataFrame, report: DataFrame, policy: str = "d
             text = F.concat(text, F.lit("  "), status, F.lit("\n"))
         return F.when(present, text).otherwise(F.lit(""))
 
-    # classify each distinct description once (descriptions repeat), then
-    # join the small result back (size-checked broadcast)
-    from .skew import join_small
+    # classify each distinct description once (descriptions repeat), then join
+    # the result back; Spark broadcasts it only if it measures it small
     x = x.withColumn("_desc", F.coalesce(C.blank_to_null("description"), F.lit(fixed.DEFAULT_DESCRIPTION)))
     d = x.select("_desc").distinct()
-    kw = group_and_words(F.lower(F.col("_desc")), fixed.KEYWORD_RULES, "Other")
     short = F.length(F.trim("_desc")) < 3
-    d = d.select("_desc", F.when(short, F.lit("Other")).otherwise(kw["label"]).alias("_cat"),
-                 F.when(short, F.array().cast("array<string>")).otherwise(kw["words"]).alias("_words"),
-                 F.when(short, F.lit(0.0)).when(kw["label"] != "Other", F.lit(fixed.KEYWORD_CONFIDENCE))
+    d = d.withColumn("_cat", F.when(short, F.lit("Other")).otherwise(K.keyword_category(F.col("_desc"))))
+    d = d.select("_desc", "_cat", K.matched_words(F.lower("_desc"), F.col("_cat"), fixed.KEYWORD_RULES).alias("_words"),
+                 F.when(short, F.lit(0.0)).when(F.col("_cat") != "Other", F.lit(fixed.KEYWORD_CONFIDENCE))
                   .otherwise(F.lit(fixed.FALLBACK_CONFIDENCE)).alias("_conf"))
-    x = join_small(x, d, "_desc", "left")
+    x = x.join(d, "_desc", "left")
     cat, conf, words = F.col("_cat"), F.col("_conf"), F.col("_words")
     itc = F.round(F.coalesce("cgst", F.lit(0.0)) + F.coalesce("sgst", F.lit(0.0)) + F.coalesce("igst", F.lit(0.0)), 2)
     head, tail = fixed.AI_HEAD.split("{cat}")

@@ -208,8 +208,9 @@ def bulk_approve(inv: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def upsert_users(senders: DataFrame, usr: DataFrame, default_ca: int = 1) -> DataFrame:
-    """Find-or-create users from message senders; back-fill a missing
-    ca_id with the default. New users get ids after the current maximum."""
+    """Find-or-create users from message senders. A sender without a CA
+    gets the default one; users who sent nothing stay as they are. New users
+    get ids after the current maximum."""
     from ..functions.text import norm_phone
     phones = senders.select(norm_phone(F.col("sender")).alias("phone")).distinct()
     new = phones.join(usr.select("phone"), "phone", "left_anti")
@@ -220,17 +221,20 @@ def upsert_users(senders: DataFrame, usr: DataFrame, default_ca: int = 1) -> Dat
         "phone", F.lit(None).cast("string").alias("business_name"),
         F.lit(None).cast("string").alias("gstin"), F.lit(None).cast("string").alias("state_code"),
         F.lit(default_ca).cast("int").alias("ca_id"), F.lit(True).alias("created"))
-    existing = usr.select("id", "phone", "business_name", "gstin", "state_code",
-                          F.coalesce("ca_id", F.lit(default_ca)).cast("int").alias("ca_id"),
-                          F.lit(False).alias("created"))
+    sent = usr.join(phones.withColumn("_sent", F.lit(True)), "phone", "left")
+    ca = F.when(F.col("_sent"), F.coalesce("ca_id", F.lit(default_ca))).otherwise(F.col("ca_id"))
+    existing = sent.select("id", "phone", "business_name", "gstin", "state_code", ca.cast("int").alias("ca_id"),
+                           F.lit(False).alias("created"))
     return existing.unionByName(created)
 
 
 def register_clients(df: DataFrame, usr: DataFrame, ca_id: int) -> DataFrame:
     """Bulk client registration: gstin upper+trim, linked to the CA;
-    phones already present are skipped (phone is unique)."""
+    phones already present are skipped (phone is unique). Of input rows that
+    share a phone the first by name, GSTIN and state is registered."""
     rows = df.select(F.col("name").alias("business_name"), "phone",
                      F.when(C.blank_to_null("gstin").isNull(), F.lit(""))
-                      .otherwise(F.upper(F.trim("gstin"))).alias("gstin"),
-                     F.col("state").alias("state_code"), F.lit(ca_id).cast("int").alias("ca_id"))
-    return rows.join(usr.select("phone"), "phone", "left_anti")
+                      .otherwise(F.upper(F.trim("gstin"))).alias("gstin"), F.col("state").alias("state_code"))
+    one = rows.groupBy("phone").agg(F.min(F.struct("business_name", "gstin", "state_code")).alias("row"))
+    return (one.join(usr.select("phone"), "phone", "left_anti")
+               .select("row.business_name", "phone", "row.gstin", "row.state_code", F.lit(ca_id).cast("int").alias("ca_id")))

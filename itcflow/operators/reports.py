@@ -85,7 +85,7 @@ def tag_transactions(txns: DataFrame) -> DataFrame:
 
 def register_from_customers(customer: DataFrame, usr: DataFrame, ca_id: int) -> DataFrame:
     """J16 over a client list derived from the customer table: half new
-    phones ('8...'), half already registered ('9...', skipped)."""
+    phones ('8...', every fourth of them twice), half already registered ('9...', skipped)."""
     key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
     new = customer.select(
         F.col("c_name").alias("name"), F.concat(F.lit("8"), key).alias("phone"),
@@ -93,5 +93,7 @@ def register_from_customers(customer: DataFrame, usr: DataFrame, ca_id: int) ->
         F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0").alias("state"))
     old = customer.select(F.col("c_name").alias("name"), F.concat(F.lit("9"), key).alias("phone"),
                           F.lit("").alias("gstin"), F.lit("01").alias("state"))
-    return I.register_clients(new.unionByName(old), usr, ca_id).select(
+    again = new.filter(F.col("phone").substr(2, 9).cast("long") % 4 == 0).select(
+        F.concat(F.lit("ZZ "), "name").alias("name"), "phone", F.lit("").alias("gstin"), F.lit("02").alias("state"))
+    return I.register_clients(new.unionByName(old).unionByName(again), usr, ca_id).select(
         "business_name", "phone", "gstin", "state_code", "ca_id")

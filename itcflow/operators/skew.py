@@ -28,12 +28,6 @@ from pyspark.sql import functions as F
 _PID = "_pid"
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value, out: str,
                n: int | None = None) -> DataFrame:
     """``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows
@@ -42,7 +36,7 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value, out: str
     ensure_checkpoint_dir(df.sparkSession)
     value = F.col(value) if isinstance(value, str) else value
     r = (df.withColumn("_val", value)
-           .repartitionByRange(_n_parts(df, n), *keys, *order)
+           .repartitionByRange(*([n] if n else []), *keys, *order)  # without n, Spark sizes the pieces
            .withColumn(_PID, F.spark_partition_id())
            .checkpoint(eager=True))
     w_local = (Window.partitionBy(*keys, _PID).orderBy(*order)
@@ -63,41 +57,3 @@ def sequential_index(df: DataFrame, order: list[str], out: str = "seq", start: i
     k = "_k"
     res = prefix_sum(df.withColumn(k, F.lit(0)), [k], order, F.lit(1).cast("long"), out, n)
     return res.withColumn(out, F.col(out) + (start - 1)).drop(k)
-
-
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Spread CPU-heavy row work (long-text matching) over all task slots.
-
-    A small table can arrive as one parquet row group, i.e. one task. When
-    the scan yields fewer partitions than the cluster's parallelism, rows are
-    redistributed round-robin; a large table (many files or row groups)
-    already has enough partitions and is left as is, so no shuffle is added
-    at scale. Only planning runs here (no job): a plan that already contains a
-    shuffle is returned unchanged without asking for its partitions.
-    """
-    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # already distributed by a shuffle; asking for its RDD would run the stages
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
-
-
-# Row bound under which a derived (aggregated) side is broadcast. The side is
-# materialized first, so the decision is on its actual size, not an estimate.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` to a derived table that is usually small (one row per
-    group): the small side is checkpointed to the shared folder, counted, and
-    broadcast only when within ``max_rows``; otherwise a shuffle join (with
-    AQE skew splitting) is used. The big side is never shuffled for a
-    small side."""
-    from ..session import ensure_checkpoint_dir
-    from pyspark.sql import functions as F
-    ensure_checkpoint_dir(small.sparkSession)
-    s = small.checkpoint(eager=True)
-    if s.count() <= max_rows:
-        return big.join(F.broadcast(s), on, how)
-    return big.join(s, on, how)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as C
 from ..functions import fixed
-from .skew import join_small, prefix_sum
+from .skew import prefix_sum
 
 D = C.to_double
 
@@ -30,10 +30,10 @@ def invoice_anomalies(v: DataFrame, k: float = fixed.ANOMALY_FACTOR, hi: float =
     """
     means = v.groupBy(by).agg(F.sum("total").alias("_s"), F.count(F.lit(1)).alias("_n"))
     means = means.select(by, (F.col("_s").cast("double") / F.col("_n")).alias("avg_total"))
-    j = join_small(v, means, by)
+    j = v.join(means, by)  # broadcast only if Spark measures it small at run time
     tot = F.col("total").cast("double")
     hit = j.filter(tot > F.col("avg_total") * k)
-    out = hit.select(by, "id", "user_id", "client_name", D("total").alias("total"), "avg_total",
+    out = hit.select(*dict.fromkeys([by, "id", "user_id", "client_name"]), D("total").alias("total"), "avg_total",
                      C.inr_text("total").alias("invoice"),
                      F.format_string("%.1f", tot / F.col("avg_total")).alias("ratio"),
                      F.format_string("%.1fx higher than average invoice value", tot / F.col("avg_total")).alias("detail"),
@@ -49,23 +49,33 @@ def mark_duplicates(inv: DataFrame) -> DataFrame:
 
     With a supplier GSTIN the key is (user, invoice_no, gstin); without one,
     (user, invoice_no) against any GSTIN. Blank invoice numbers never match.
-    Two min-aggregates joined back give each row its incumbent; then the
-    incumbent's date and tax total are attached for the duplicate message.
+    One min-aggregate a key carries the incumbent's id, date and tax total, so
+    nothing is looked up by the incumbent afterwards; rows without a number
+    take no part in a join, and the two-column key is joined only to rows
+    without a GSTIN.
     """
     base = inv.select("id", "user_id", F.trim(F.coalesce("invoice_no", F.lit(""))).alias("no"),
                       F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"), "date", "cgst", "sgst", "igst")
+    first = F.min(incumbent()).alias("first")
     keyed = base.filter(F.col("no") != "")
-    k3 = keyed.groupBy("user_id", "no", "g").agg(F.min("id").alias("first3"))
-    k2 = keyed.groupBy("user_id", "no").agg(F.min("id").alias("first2"))
-    j = base.join(k3, ["user_id", "no", "g"], "left").join(k2, ["user_id", "no"], "left")
-    inc = F.when(F.col("no") == "", F.lit(None)).when(F.col("g") != "", F.col("first3")).otherwise(F.col("first2"))
-    j = j.withColumn("dup_of", F.when(inc < F.col("id"), inc))
-    info = base.select(F.col("id").alias("dup_of"),
-                       F.coalesce(F.date_format("date", "dd-MM-yyyy"), F.lit("unknown date")).alias("existing_date"),
-                       D(F.round(C.itc_total(), 2)).alias("existing_total"))
-    return (j.join(info, "dup_of", "left")
-             .select("id", "user_id", F.col("dup_of").isNotNull().alias("is_duplicate"), "dup_of",
-                     "existing_date", "existing_total"))
+    with_g = keyed.filter(F.col("g") != "").join(keyed.groupBy("user_id", "no", "g").agg(first), ["user_id", "no", "g"])
+    without = keyed.filter(F.col("g") == "").join(keyed.groupBy("user_id", "no").agg(first), ["user_id", "no"])
+    found = with_g.select("id", "user_id", "first").unionByName(without.select("id", "user_id", "first"))
+    dup = F.col("first.id") < F.col("id")
+    marked = found.select("id", "user_id", dup.alias("is_duplicate"),
+                          *[F.when(dup, F.col("first." + c)).alias(n) for c, n in
+                            (("id", "dup_of"), ("on", "existing_date"), ("total", "existing_total"))])
+    blank = base.filter(F.col("no") == "").select(
+        "id", "user_id", F.lit(False).alias("is_duplicate"), F.lit(None).cast("long").alias("dup_of"),
+        F.lit(None).cast("string").alias("existing_date"), F.lit(None).cast("double").alias("existing_total"))
+    return marked.unionByName(blank)
+
+
+def incumbent():
+    """What a duplicate message says of the stored invoice; ordered by its id."""
+    return F.struct(F.col("id").cast("long").alias("id"),
+                    F.coalesce(F.date_format("date", "dd-MM-yyyy"), F.lit("unknown date")).alias("on"),
+                    D(F.round(C.itc_total(), 2)).alias("total"))
 
 
 def running_itc(inv: DataFrame) -> DataFrame:

@@ -336,14 +336,16 @@ def j14(spark, sf_dir):
 
 @query("J15_upsert_users", "J15,F17", """
 SELECT id, phone, ca_id, created FROM (
-  SELECT id, phone, coalesce(ca_id, 1) AS ca_id, false AS created FROM users
+  SELECT id, phone, CASE WHEN phone IN (
+      SELECT substr(replace(replace(replace(sender, 'whatsapp:+91', ''), 'whatsapp:+', ''), 'whatsapp:', ''), 1, 15) FROM messages)
+    THEN coalesce(ca_id, 1) ELSE ca_id END AS ca_id, false AS created FROM users
   UNION ALL
   SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY phone) AS id, phone, 1 AS ca_id, true AS created
   FROM (SELECT DISTINCT substr(replace(replace(replace(sender, 'whatsapp:+91', ''), 'whatsapp:+', ''), 'whatsapp:', ''), 1, 15) AS phone
         FROM messages) s WHERE phone NOT IN (SELECT phone FROM users)) t
 """)
 def j15(spark, sf_dir):
-    """Find-or-create users for every message sender; back-fill missing ca_id with CA 1."""
+    """Find-or-create users for every message sender; back-fill a sender's missing ca_id with CA 1."""
     m = M(spark, sf_dir)
     return I.upsert_users(m.messages, m.users, 1).select("id", "phone", "ca_id", "created")
 
@@ -353,8 +355,9 @@ SELECT business_name, phone, gstin, state_code, 3 AS ca_id FROM (
   SELECT c_name AS business_name, '8' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone,
     CASE WHEN c_custkey % 3 = 0 THEN '' ELSE upper(trim(' 27aabc' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' ')) END AS gstin,
     lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') AS state_code FROM customer
-  UNION ALL SELECT c_name, '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), '', '01' FROM customer) t
-WHERE phone NOT IN (SELECT phone FROM users)
+  UNION ALL SELECT c_name, '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), '', '01' FROM customer
+  UNION ALL SELECT 'ZZ ' || c_name, '8' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), '', '02' FROM customer WHERE c_custkey % 4 = 0) t
+WHERE NOT starts_with(business_name, 'ZZ ') AND phone NOT IN (SELECT phone FROM users)
 """)
 def j16(spark, sf_dir):
     """Bulk client registration into CA 3; phones already registered are skipped."""

@@ -240,7 +240,7 @@ def a30(spark, sf_dir):
 # ------------------------------------------------------------- windows ------
 
 ANOMALY_SQL = """
-SELECT {by}, id, user_id, client_name, CAST(total AS DOUBLE) AS total, avg_total, {inr} AS invoice,
+SELECT {cols}, CAST(total AS DOUBLE) AS total, avg_total, {inr} AS invoice,
   format('{{:.1f}}', CAST(total AS DOUBLE) / avg_total) AS ratio,
   format('{{:.1f}}', CAST(total AS DOUBLE) / avg_total) || 'x higher than average invoice value' AS detail,
   CASE WHEN CAST(total AS DOUBLE) > avg_total * 4.0 THEN 'high' ELSE 'medium' END AS severity
@@ -251,13 +251,13 @@ FROM (SELECT v.*, a.avg_total, row_number() OVER (PARTITION BY v.{by} ORDER BY v
 """
 
 
-@query("W1_invoice_anomalies", "W1", ANOMALY_SQL.format(by="ca_id", where="WHERE rn <= 5", inr=Q.inr_text("total")), ctes=VIEW)
+@query("W1_invoice_anomalies", "W1", ANOMALY_SQL.format(by="ca_id", cols="ca_id, id, user_id, client_name", where="WHERE rn <= 5", inr=Q.inr_text("total")), ctes=VIEW)
 def w1(spark, sf_dir):
     """Invoices above 2.5x the CA feed's mean total; first 5 in feed order per CA."""
     return W.invoice_anomalies(feed(M(spark, sf_dir)))
 
 
-@query("W2_client_anomalies", "W2", ANOMALY_SQL.format(by="user_id", where="", inr=Q.inr_text("total")), ctes=VIEW)
+@query("W2_client_anomalies", "W2", ANOMALY_SQL.format(by="user_id", cols="user_id, id, client_name", where="", inr=Q.inr_text("total")), ctes=VIEW)
 def w2(spark, sf_dir):
     """Per-client variant (extension): above 2.5x the client's own mean, all rows."""
     return W.invoice_anomalies(feed(M(spark, sf_dir)), n=None, by="user_id")

@@ -120,14 +120,14 @@ def f10(spark, sf_dir):
 
 
 @query("F11_classify_invoices", "F11,F1", f"""
-SELECT i.id, t.category, CAST(CASE WHEN t.category <> 'Other' THEN 0.85 ELSE 0.5 END AS DOUBLE) AS confidence,
-  CASE WHEN t.category <> 'Other' THEN 'keyword' ELSE 'fallback' END AS layer,
-  CASE WHEN t.category <> 'Other' THEN c.blocked ELSE false END AS blocked,
+SELECT i.id, i.category, CAST(CASE WHEN i.category <> 'Other' THEN 0.85 ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN i.category <> 'Other' THEN 'keyword' ELSE 'fallback' END AS layer,
+  CASE WHEN i.category <> 'Other' THEN c.blocked ELSE false END AS blocked,
   CAST(round(CASE WHEN i.igst > 0 THEN i.igst ELSE i.cgst + i.sgst END, 2) AS DOUBLE) AS total_tax,
-  CAST(CASE WHEN t.category <> 'Other' AND c.blocked THEN 0 ELSE CASE WHEN i.igst > 0 THEN i.igst ELSE i.cgst + i.sgst END END AS DOUBLE) AS itc_eligible,
-  CAST(CASE WHEN t.category <> 'Other' AND c.blocked THEN CASE WHEN i.igst > 0 THEN i.igst ELSE i.cgst + i.sgst END ELSE 0 END AS DOUBLE) AS itc_blocked
-FROM invoices i JOIN (SELECT id, {Q.kw_category("lower(coalesce(nullif(description, ''), 'Business purchase invoice'))")} AS category
-                      FROM invoices) t ON t.id = i.id JOIN catmap c ON c.category = t.category
+  CAST(CASE WHEN i.category <> 'Other' AND c.blocked THEN 0 ELSE CASE WHEN i.igst > 0 THEN i.igst ELSE i.cgst + i.sgst END END AS DOUBLE) AS itc_eligible,
+  CAST(CASE WHEN i.category <> 'Other' AND c.blocked THEN CASE WHEN i.igst > 0 THEN i.igst ELSE i.cgst + i.sgst END ELSE 0 END AS DOUBLE) AS itc_blocked
+FROM (SELECT *, {Q.kw_category("lower(coalesce(nullif(description, ''), 'Business purchase invoice'))")} AS category
+      FROM invoices) i JOIN catmap c ON c.category = i.category
 """, ctes=Q.catmap_cte())
 def f11(spark, sf_dir):
     """Classify every invoice description and split its ITC into eligible/blocked."""
@@ -216,17 +216,20 @@ WHERE date IS NOT NULL AND description <> '' AND lower(description) NOT IN {Q.sq
     grx = fixed.GENERIC_DATE_REGEX
     gdate = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({cell(i)}, '{grx}') THEN {cell(i)} END" for i in range(3)) + ")"
     generic = f"""SELECT statement_id, row_no, date, description, amts[1] AS debit, amts[2] AS credit,
-  CASE WHEN len(amts) > 2 THEN amts[-1] END AS balance, 'debit' AS type, amts[1] AS amount, 'GENERIC' AS bank
-FROM (SELECT statement_id, row_no, {gdate} AS date,
+  CASE WHEN len(amts) > 2 THEN amts[-1] END AS balance, 'debit' AS type, amts[1] AS amount, bank
+FROM (SELECT statement_id, row_no, bank, {gdate} AS date,
         list_filter(list_transform(tc, lambda cc: {Q.clean_amount('cc')}), lambda a: a IS NOT NULL AND a > 0 AND NOT isnan(a)) AS amts,
         substr(array_to_string(list_filter(tc[2:4], lambda cc: cc <> '' AND NOT regexp_matches(cc, '{grx}')), ' '), 1, 100) AS description
       FROM nc WHERE len(tc) >= 3) x WHERE date IS NOT NULL AND len(amts) > 0"""
-    detect = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(page_text), '{w}')" for w in ws)
+    detect = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(low, '{w}')" for w in ws)
                                 + f") THEN '{b}'" for b, ws in fixed.BANK_DETECTION) + " ELSE 'GENERIC' END"
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
     cat = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(description), '{w}')" for w in ws) + f") THEN '{c}'"
                              for c, ws in fixed.BANK_CATEGORIES) + " ELSE 'other' END"
-    return f"""nc AS (SELECT statement_id, row_no, page_text, list_transform(cells, lambda cc: coalesce(trim(cc), '')) AS tc,
-  {detect} AS bank FROM bank_cells),
+    return f"""bk AS (SELECT statement_id, {detect} AS bank, trim(low, {blank}) <> '' AS has_text FROM (
+  SELECT statement_id, lower(string_agg(coalesce(page_text, ''), chr(10))) AS low FROM bank_cells GROUP BY 1) p),
+nc AS (SELECT c.statement_id, row_no, list_transform(cells, lambda cc: coalesce(trim(cc, {blank}), '')) AS tc, bank
+  FROM bank_cells c JOIN bk ON bk.statement_id = c.statement_id),
 sp AS ({" UNION ALL ".join(parts)}),
 ge AS ({generic}),
 tx0 AS (SELECT * FROM sp UNION ALL SELECT * FROM ge WHERE statement_id NOT IN (SELECT statement_id FROM sp)),
@@ -250,11 +253,11 @@ def u3(spark, sf_dir):
 
 
 @query("F12_detect_bank", "F12", """
-SELECT DISTINCT statement_id, bank FROM nc
+SELECT statement_id, bank, has_text FROM bk
 """, ctes=BANK_CTES)
 def f12(spark, sf_dir):
-    """Bank of every statement from its page text."""
-    return B.normalise_cells(M(spark, sf_dir).bank_cells).select("statement_id", "bank").distinct()
+    """Bank of every statement from the texts of all its pages."""
+    return B.detect_banks(M(spark, sf_dir).bank_cells)
 
 
 @query("F15_extract_generic", "F15", """
@@ -266,17 +269,25 @@ def f15(spark, sf_dir):
 
 
 @query("A12_statement_summary", "A12", """
-SELECT statement_id, first(bank) AS bank, count(*) AS total_transactions,
-  CAST(sum(CAST(coalesce(debit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total_debit,
-  CAST(sum(CAST(coalesce(credit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS total_credit,
-  count_if(itc_possible) AS itc_possible_count, count_if(category = 'purchase') AS purchase_count,
-  count_if(category = 'salary') AS salary_count, count_if(category = 'travel') AS travel_count,
-  count_if(category = 'food') AS food_count
-FROM tx GROUP BY statement_id
+SELECT b.statement_id, b.bank, count(t.row_no) AS total_transactions,
+  CAST(coalesce(sum(CAST(coalesce(debit, 0) AS DECIMAL(18,2))), 0) AS DOUBLE) AS total_debit,
+  CAST(coalesce(sum(CAST(coalesce(credit, 0) AS DECIMAL(18,2))), 0) AS DOUBLE) AS total_credit,
+  coalesce(count_if(itc_possible), 0) AS itc_possible_count, coalesce(count_if(category = 'purchase'), 0) AS purchase_count,
+  coalesce(count_if(category = 'salary'), 0) AS salary_count, coalesce(count_if(category = 'travel'), 0) AS travel_count,
+  coalesce(count_if(category = 'food'), 0) AS food_count
+FROM bk b LEFT JOIN tx t ON t.statement_id = b.statement_id WHERE b.has_text GROUP BY b.statement_id, b.bank
 """, ctes=BANK_CTES)
 def a12(spark, sf_dir):
     """Per statement: transactions, debit/credit totals, ITC-possible and category counts."""
-    return B.statement_summary(_txns(spark, sf_dir))
+    return B.statement_summary(_txns(spark, sf_dir), M(spark, sf_dir).bank_cells)
+
+
+@query("U3_unreadable_statements", "U3", """
+SELECT statement_id, 'Could not extract text from PDF. May be scanned/image PDF.' AS error FROM bk WHERE NOT has_text
+""", ctes=BANK_CTES)
+def u3e(spark, sf_dir):
+    """Statements whose pages have no text: the failure row."""
+    return B.unreadable_statements(M(spark, sf_dir).bank_cells)
 
 
 @query("T6_P15_itc_rows_head", "T6,P15", """
@@ -388,7 +399,8 @@ FROM (SELECT f.id, CASE WHEN f.no = '' THEN NULL WHEN f.g <> '' THEN s3.m ELSE s
           ON s3.user_id = f.user_id AND s3.invoice_no = f.no AND s3.seller_gstin = f.g
         LEFT JOIN (SELECT user_id, invoice_no, min(id) AS m FROM invoices GROUP BY 1, 2) s2
           ON s2.user_id = f.user_id AND s2.invoice_no = f.no) n
-LEFT JOIN invoices d ON d.id = n.inc
+LEFT JOIN (SELECT * FROM invoices QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(strftime(date, '%d-%m-%Y'), 'unknown date'),
+           round(cgst + sgst + igst, 2)) = 1) d ON d.id = n.inc
 """, ctes=OCR_CTE)
 def j5(spark, sf_dir):
     """Incoming (parsed) invoices checked against the stored ones."""
@@ -839,10 +851,10 @@ def _statement_reply_sql() -> str:
     return f"""
 SELECT s.statement_id, {head} || CASE WHEN l.lines IS NOT NULL THEN '{fixed.STATEMENT_ITC_TITLE}' || l.lines ELSE '' END
   || {tail} AS reply
-FROM (SELECT statement_id, first(bank) AS bank, count(*) AS n,
-        CAST(sum(CAST(coalesce(debit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS debit,
-        CAST(sum(CAST(coalesce(credit, 0) AS DECIMAL(18,2))) AS DOUBLE) AS credit, count_if(itc_possible) AS itc
-      FROM tx GROUP BY statement_id) s
+FROM (SELECT b.statement_id, b.bank, count(t.row_no) AS n,
+        CAST(coalesce(sum(CAST(coalesce(debit, 0) AS DECIMAL(18,2))), 0) AS DOUBLE) AS debit,
+        CAST(coalesce(sum(CAST(coalesce(credit, 0) AS DECIMAL(18,2))), 0) AS DOUBLE) AS credit, coalesce(count_if(itc_possible), 0) AS itc
+      FROM bk b LEFT JOIN tx t ON t.statement_id = b.statement_id WHERE b.has_text GROUP BY b.statement_id, b.bank) s
 LEFT JOIN (SELECT statement_id, string_agg({line}, '' ORDER BY rank) AS lines FROM (
     SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_no) AS rank FROM tx WHERE itc_possible) t
   WHERE rank <= 5 GROUP BY statement_id) l ON l.statement_id = s.statement_id
@@ -852,4 +864,4 @@ LEFT JOIN (SELECT statement_id, string_agg({line}, '' ORDER BY rank) AS lines FR
 @query("F22_statement_reply", "F22,A12,T6", _statement_reply_sql(), ctes=BANK_CTES)
 def f22s(spark, sf_dir):
     """The chat reply to every parsed bank statement (totals and first five ITC rows)."""
-    return B.statement_replies(_txns(spark, sf_dir))
+    return B.statement_replies(_txns(spark, sf_dir), M(spark, sf_dir).bank_cells)

@@ -91,16 +91,17 @@ FROM {orders}
 
 BANK_CELLS = """
 SELECT o_custkey AS statement_id, o_orderkey AS row_no,
-  CASE WHEN o_custkey % 6 = 0 THEN 'HDFC Bank Ltd' WHEN o_custkey % 6 = 1 THEN 'State Bank of India'
+  CASE WHEN o_custkey % 19 = 0 THEN ' ' WHEN o_orderkey % 3 = 1 THEN 'Page 2' WHEN o_custkey % 6 = 0 THEN 'HDFC Bank Ltd' WHEN o_custkey % 6 = 1 THEN 'State Bank of India'
        WHEN o_custkey % 6 = 2 THEN 'ICICI Bank' WHEN o_custkey % 6 = 3 THEN 'Axis Bank'
        WHEN o_custkey % 6 = 4 THEN 'Kotak Mahindra' ELSE 'Village Bank' END AS page_text,
-  CASE WHEN o_custkey % 6 = 0 THEN array('03/02/2024', nar, '', '03/02/2024', dr, cr, '1,000.00')
+  CASE WHEN o_custkey % 17 = 0 THEN array('Opening', 'balance') WHEN o_custkey % 12 = 6 THEN array('03/02/24', nar, dr, '7.50')
+       WHEN o_custkey % 6 = 0 THEN array('03/02/2024', nar, '', '03/02/2024', dr, cr, '1,000.00')
        WHEN o_custkey % 6 = 1 THEN array('03 Feb 2024', '03 Feb 2024', nar, 'ref', dr, cr, '1,000.00')
        WHEN o_custkey % 6 = 2 THEN array('1', '03/02/2024', '03/02/2024', '', nar, dr, cr, '1,000.00')
        WHEN o_custkey % 6 = 3 THEN array('03-02-2024', nar, '', dr, cr, '1,000.00')
        WHEN o_custkey % 6 = 4 THEN array('03-02-2024', nar, dr, cr, '1,000.00')
        ELSE array('03/02/24', nar, dr, '7.50') END AS cells
-FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'NEFT rent' WHEN o_orderkey % 4 = 1 THEN 'Vendor bill'
+FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'NEFT rent' WHEN o_orderkey % 4 = 1 THEN concat('Vendor bill', chr(9))
                      WHEN o_orderkey % 4 = 2 THEN 'SWIGGY order' ELSE 'misc' END AS nar,
   CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('₹', cast(cast(o_totalprice as decimal(18,2)) as string), ' Dr') END AS dr,
   CASE WHEN o_orderkey % 3 = 0 THEN cast(cast(o_totalprice as decimal(18,2)) as string) ELSE '' END AS cr FROM {orders}) t
