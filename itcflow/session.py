@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if not d:
         d = fallback or os.environ.get("ITCFLOW_CHECKPOINT_DIR")
         if not d:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
             d = tempfile.mkdtemp(prefix="itcflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -117,8 +117,8 @@ FROM {invoices}
 
 MESSAGES = """
 SELECT event_id, ts, concat('whatsapp:+919', lpad(cast(user_id as string), 9, '0')) AS sender, event_id % 4 = 0 AS has_photo,
-  CASE event_type WHEN 'view' THEN 'summary' WHEN 'signup' THEN 'hello' WHEN 'click' THEN 'edit date'
-       WHEN 'purchase' THEN 'yes' ELSE 'no' END AS body
+  CASE event_type WHEN 'view' THEN 'summary' WHEN 'signup' THEN 'hello' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'edit total' ELSE 'edit date' END
+       WHEN 'purchase' THEN 'yes' ELSE CASE WHEN event_id % 5 = 0 THEN 'Rs 1,200.50' ELSE 'no' END END AS body
 FROM {events}
 """
 

@@ -1,27 +1,28 @@
 """Structured Streaming jobs.
 
-Sources are file streams (parquet, one or more files per day) read with a
-fixed schema; event time is a TIMESTAMP column with a watermark. Every job
-returns the streaming DataFrame; ``run_available`` drives one to completion
-with ``availableNow`` into a sink so tests can compare stream and batch.
-Late rows beyond the watermark are dropped by the windowed aggregates (see
-``numRowsDroppedByWatermark`` in the query progress); the nightly batch
-ledger restates the month, so filing never depends on them.
+Sources are file streams read with a fixed schema; event time is a TIMESTAMP
+column with a watermark. Results go to parquet tables, never to the driver:
+
+* ``append_to``: rows that are final when they are emitted;
+* ``changes_to``: every micro-batch writes the keys it changed into its own
+  folder ``batch=N`` (a batch that is run again replaces that folder), and
+  ``latest`` reads the newest row of each key.
+
+Rows that a watermark drops are counted by the runner (``Run.dropped``); the
+nightly batch ledger restates the month, so filing never depends on them.
 """
 
 from __future__ import annotations
 
-import json
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
-from ..functions.text import norm_phone
+from . import sessions as SE
 
 MESSAGE_SCHEMA = "event_id long, ts timestamp, sender string, has_photo boolean, body string"
 INVOICE_SCHEMA = ("id long, user_id long, seller_gstin string, invoice_no string, date timestamp, "
@@ -29,38 +30,76 @@ INVOICE_SCHEMA = ("id long, user_id long, seller_gstin string, invoice_no string
                   "igst decimal(18,2), status string, ai_category string")
 
 
-def write_daily_files(df: DataFrame, ts: str, path: str, unit: str = "day") -> None:
-    """Lay a table down as a file stream: one folder of files per event day
-    (or month, for sparse multi-year history)."""
-    key = F.to_date(ts) if unit == "day" else F.trunc(ts, unit)
-    (df.withColumn("day", key).repartition("day")
-       .write.mode("overwrite").partitionBy("day").parquet(path))
+def write_in_order(df: DataFrame, ts: str, path: str, steps: int = 4):
+    """Lay a table down as a file stream, oldest rows first: ``steps`` time
+    ranges of about equal size, each written by all tasks as files of its own.
+    A generator: the caller runs its stream between the ranges."""
+    at = F.unix_micros(ts)
+    cuts = df.select(at.alias("t")).approxQuantile("t", [i / steps for i in range(1, steps)], 0.01)
+    edges = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        inside = F.lit(True)
+        if lo is not None:
+            inside = inside & (at >= int(lo))
+        if hi is not None:
+            inside = inside & (at < int(hi))
+        df.filter(inside).write.mode("append").parquet(path)
+        yield
+
+
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(path)
+
+
+@dataclass
+class Run:
+    """A stream run to the end of its available input."""
+
+    batches: int
+    dropped: int
+
+    @staticmethod
+    def of(query) -> Run:
+        query.awaitTermination()
+        done = [p for p in query.recentProgress if p["numInputRows"] > 0]
+        return Run(len(done), sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
+                                  for o in p.get("stateOperators", [])))
+
 
+def append_to(sdf: DataFrame, path: str, checkpoint: str) -> Run:
+    """Final rows into a parquet table (exactly once, by the file sink's log)."""
+    return Run.of(sdf.writeStream.format("parquet").outputMode("append").option("path", path)
+                     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-def write_files_in_order(df: DataFrame, ts: str, path: str, unit: str = "day") -> None:
-    """Lay a table down as a file stream whose file order (modification time,
-    which a file source follows) is event order: one append per period, oldest
-    first. Used where micro-batches must be bounded and still see events in
-    order (stateful jobs); only the list of periods comes to the driver."""
-    key = F.to_date(ts) if unit == "day" else F.trunc(ts, unit)
-    d = df.withColumn("day", key)
-    periods = [r[0] for r in d.select("day").distinct().orderBy("day").collect()]
-    for p in periods:
-        d.filter(F.col("day") == F.lit(p)).write.mode("append").partitionBy("day").parquet(path)
 
+def each_batch(sdf: DataFrame, write, checkpoint: str, mode: str = "append") -> Run:
+    """``write(batch, number)`` for every micro-batch."""
+    return Run.of(sdf.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+                     .trigger(availableNow=True).start())
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema + ", day date").option("maxFilesPerTrigger", files_per_trigger)
-                 .parquet(path).drop("day"))
 
+def changes_to(sdf: DataFrame, path: str, checkpoint: str) -> Run:
+    """The changed rows of every micro-batch into ``path/batch=N``."""
+    return each_batch(sdf, lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint, "update")
 
-def run_available(sdf: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to the end of its available input into a memory
-    table; return that table as a batch DataFrame."""
-    q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sdf.sparkSession.table(name)
+
+def read_changes(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """All changes, or those of batches before one; no table yet is an empty one.
+    Works on any file system Spark reads: nothing is looked up on the driver."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema + ", batch int")
+    rows = spark.read.schema(schema + ", batch int").parquet(path)
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key; an aggregate, so a hot key combines map-side."""
+    values = [c for c in changes.columns if c not in (*keys, "batch")]
+    return (changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*"))
 
 
 # ------------------------------------------------------------ stateless ----
@@ -108,22 +147,68 @@ def month_rollup(daily: DataFrame) -> DataFrame:
                  .agg(F.sum("total_purchases").alias("total_purchases"), F.sum("itc_available").alias("itc_available")))
 
 
-def stream_dedup(inv: DataFrame, history: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """R2: duplicate gate: within the stream, one row per (user, invoice_no,
-    gstin) inside the watermark; against stored invoices, a stream-static
-    left-anti join on the same key. Blank invoice numbers always pass."""
-    key = ["user_id", "invoice_no", "seller_gstin"]
-    s = inv.withColumn("seller_gstin", F.coalesce("seller_gstin", F.lit("")))
-    blank = s.filter(F.coalesce("invoice_no", F.lit("")) == "")
-    keyed = s.filter(F.coalesce("invoice_no", F.lit("")) != "").withWatermark("created_at", watermark) \
-             .dropDuplicatesWithinWatermark(key)
-    h = history.select(*key).withColumn("seller_gstin", F.coalesce("seller_gstin", F.lit(""))).distinct()
-    return keyed.join(h, key, "left_anti").unionByName(blank)
+def gate_duplicates(inv: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> Run:
+    """R2: the duplicate gate. A row passes if its invoice number is blank, or if
+    no stored invoice and no earlier row of the stream has its key: (user,
+    invoice_no, gstin), and without a GSTIN (user, invoice_no) with any GSTIN.
+    Keys are never forgotten. The rows that pass are kept in ``path/batch=N``; a
+    batch looks up the stored invoices and the rows passed before it."""
+    schema = "id long, user_id long, invoice_no string, seller_gstin string, created_at timestamp"
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = _keyed(batch)
+        order = F.struct("created_at", "id")
+        numbered = rows.filter(F.col("no") != "")
+        old = _keyed(stored).select("user_id", "no", "g").unionByName(
+            _keyed(read_changes(spark, path, schema, n)).select("user_id", "no", "g")).filter(F.col("no") != "")
+        passed = []
+        for has_gstin, key in ((True, ["user_id", "no", "g"]), (False, ["user_id", "no"])):
+            mine = numbered.filter((F.col("g") != "") == has_gstin)
+            # the earliest row of each key, whichever branch it is in
+            first = numbered.groupBy(*key).agg(F.min(order).alias("_first"))
+            new = mine.join(first, key).filter(order == F.col("_first")).drop("_first")
+            passed.append(new.join(old.select(*key).distinct(), key, "left_anti").select(rows.columns))
+        out = passed[0].unionByName(passed[1]).unionByName(rows.filter(F.col("no") == ""))
+        out.select("id", "user_id", "invoice_no", "seller_gstin", "created_at").write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return each_batch(inv, write, checkpoint)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"no": F.trim(F.coalesce("invoice_no", F.lit(""))),
+                             "g": F.trim(F.coalesce("seller_gstin", F.lit("")))})
+
+
+def passed_rows(spark: SparkSession, path: str) -> DataFrame:
+    return read_changes(spark, path, "id long, user_id long, invoice_no string, seller_gstin string, created_at timestamp")
 
 
 # ------------------------------------------------- R1: chat sessions -------
 
-SESSION_OUT = "sender string, event_id long, ts timestamp, action string, detail string"
+STEP_SCHEMA = "sender string, event_id long, ts timestamp, action string, detail string, fields map<string,string>"
+END_SCHEMA = f"sender string, state {SE.STATE}"
+
+
+def run_sessions(msgs: DataFrame, path: str, checkpoint: str) -> Run:
+    """The confirmation sessions of a stream of messages (``sessions.py``).
+    What a batch's messages did goes to ``path/steps/batch=N``, where its senders
+    stand afterwards to ``path/ends/batch=N``."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        was = latest(read_changes(spark, path + "/ends", END_SCHEMA, n), ["sender"])
+        folded = SE.fold(batch, was)
+        folded.write.mode("overwrite").parquet(f"{path}/folded/batch={n}")     # once for both tables
+        done = spark.read.schema(folded.schema).parquet(f"{path}/folded/batch={n}")
+        SE.steps(done).write.mode("overwrite").parquet(f"{path}/steps/batch={n}")
+        SE.ends(done).write.mode("overwrite").parquet(f"{path}/ends/batch={n}")
+
+    return each_batch(msgs, write, checkpoint)
+
+
+def session_steps(spark: SparkSession, path: str) -> DataFrame:
+    return read_changes(spark, path + "/steps", STEP_SCHEMA).drop("batch")
 
 
 def with_replies(out: DataFrame) -> DataFrame:
@@ -156,126 +241,20 @@ def with_replies(out: DataFrame) -> DataFrame:
               .when((a == "intent") & (d == "help"), F.lit(fixed.REPLY_HELP.format(name=fixed.ASSISTANT_NAME)))
               .when((a == "intent") & (d == "fallback"), F.lit(fixed.REPLY_FALLBACK)))
     return out.withColumn("reply", reply)
-SESSION_STATE = "pending string, awaiting string, last_ms long"
-IDLE_MS = 24 * 3600 * 1000  # a pending invoice lapses after a day without messages
-
-
-def _step(state: dict, row) -> tuple[str, str]:
-    """One chat message against the sender's pending-invoice state."""
-    ts_ms = int(pd.Timestamp(row.ts).value // 1_000_000)
-    if state.get("last_ms") is not None and ts_ms - state["last_ms"] > IDLE_MS:
-        state["pending"], state["awaiting"] = None, None
-    state["last_ms"] = ts_ms
-    body = (row.body or "")
-    low = body.lower().strip()
-    if row.has_photo:
-        state["pending"] = json.dumps({"invoice_no": f"EV/{row.event_id}", "invoice_date": None})
-        state["awaiting"] = None
-        return "pending", f"EV/{row.event_id}"
-    if state.get("pending"):
-        fields = json.loads(state["pending"])
-        if state.get("awaiting"):
-            field = state["awaiting"]
-            fields[field] = body.strip()
-            state["pending"], state["awaiting"] = json.dumps(fields), None
-            return "edited", field
-        if any(w in low for w in fixed.CONFIRM_WORDS):
-            state["pending"] = None
-            return "saved", fields["invoice_no"]
-        if any(w in low for w in fixed.CANCEL_WORDS):
-            state["pending"] = None
-            return "cancelled", fields["invoice_no"]
-        if low.startswith("edit "):
-            field = dict(fixed.FIELD_ALIASES).get(low.replace("edit ", "").strip())
-            if field:
-                state["awaiting"] = field
-                return "ask_value", field
-            return "ask_field", ""
-        return "prompt", ""
-    for intent, words in fixed.INTENTS:
-        if any(w in low for w in words):
-            return "intent", intent
-    return "intent", "fallback"
-
-
-def _replay(sender, rows: pd.DataFrame, st: dict) -> pd.DataFrame:
-    out = []
-    for r in rows.sort_values(["ts", "event_id"]).itertuples(index=False):
-        a, d = _step(st, r)
-        out.append((sender, int(r.event_id), r.ts, a, d))
-    return pd.DataFrame(out, columns=["sender", "event_id", "ts", "action", "detail"])
-
-
-def _sessions_fn(key, pdfs, state):
-    """applyInPandasWithState body: replay the sender's messages of this
-    micro-batch in event order; keep (pending, awaiting, last time)."""
-    if state.hasTimedOut:
-        state.remove()  # idle for a day of event time: nothing pending any more
-        return
-    st = {"pending": None, "awaiting": None, "last_ms": None}
-    if state.exists:
-        st["pending"], st["awaiting"], st["last_ms"] = state.get
-    out = _replay(key[0], pd.concat(list(pdfs)), st)
-    if st["pending"] is None:
-        state.remove()
-    else:
-        state.update((st["pending"], st["awaiting"], st["last_ms"]))
-        state.setTimeoutTimestamp(st["last_ms"] + IDLE_MS)
-    yield out
-
-
-def confirm_sessions(msgs: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Per-sender pending-invoice state: a photo opens (or replaces) a
-    pending invoice; yes saves, no cancels, 'edit <field>' asks for a value
-    that the next message sets; without a pending invoice, intents. A
-    pending invoice lapses after a day of event-time silence (the
-    application kept it forever); the event-time timeout also frees the
-    state store entry.
-
-    The per-sender work is a sequential state machine (one message at a
-    time by nature), so it runs as Arrow-batched pandas per key and
-    micro-batch; the state store holds three small values per active sender."""
-    m = msgs.select(norm_phone(F.col("sender")).alias("sender"), "event_id", "ts", "has_photo", "body")
-    return with_replies(m.withWatermark("ts", watermark).groupBy("sender").applyInPandasWithState(
-        _sessions_fn, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def confirm_sessions_batch(msgs: DataFrame) -> DataFrame:
-    """The same state machine over a finite table (batch twin for tests)."""
-    m = msgs.select(norm_phone(F.col("sender")).alias("sender"), "event_id", "ts", "has_photo", "body")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _replay(pdf["sender"].iloc[0], pdf, {"pending": None, "awaiting": None, "last_ms": None})
-
-    return with_replies(m.groupBy("sender").applyInPandas(fn, SESSION_OUT))
-
-
-def publish_daily_ledger(inv: DataFrame, path: str, checkpoint: str, watermark: str = "2 days",
-                         files_trigger: bool = True):
-    """R3 + S10: the live daily ledger published into a parquet table
-    partitioned by month. Each micro-batch (update mode: the current totals of
-    the (user, day) keys it changed) replaces those keys inside the month
-    partitions it touches: read those months, drop the updated keys, add the
-    new rows, cut lineage with a checkpoint, dynamic-overwrite the months.
-    Re-running a batch after a failure rewrites the same partitions with the
-    same content (idempotent)."""
-    import os as _os
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("period", F.date_format("day", "yyyy-MM"))
-        if _os.path.exists(path.replace("file:", "")) and _os.listdir(path.replace("file:", "")):
-            months = rows.select("period").distinct()
-            old = spark.read.parquet(path).join(months, "period", "left_semi")
-            keep = old.join(rows.select("user_id", "day"), ["user_id", "day"], "left_anti")
-            new = keep.unionByName(rows.select(*old.columns))
-        else:
-            new = rows
-        new = new.checkpoint(eager=True)
-        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("period").parquet(path))
-
-    q = (stream_ledger(inv, watermark).writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+
+
+# ------------------------------------------------------ live ledger --------
+
+LEDGER_SCHEMA = "user_id long, day date, total_purchases decimal(28,2), itc_available decimal(28,2)"
+
+
+def run_ledger(inv: DataFrame, path: str, checkpoint: str, watermark: str = "2 days") -> Run:
+    """R3 + S10: the live daily ledger: the current totals of the (user, day)
+    keys that each micro-batch changed."""
+    typed = stream_ledger(inv, watermark).select(
+        "user_id", "day", *[F.col(c).cast("decimal(28,2)").alias(c) for c in ("total_purchases", "itc_available")])
+    return changes_to(typed, path, checkpoint)
+
+
+def daily_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return latest(read_changes(spark, path, LEDGER_SCHEMA), ["user_id", "day"])

@@ -1,98 +1,113 @@
-"""Streaming = batch on a finite file source with availableNow (SURVEY §5 (4))."""
-
-import tempfile
+"""Streams over several micro-batches equal the batch computation (SURVEY §5 (4))."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from itcflow.sources.tables import Model
+from itcflow.plans import catalog_stream as CS
 from itcflow.streaming import jobs as S
+from itcflow.streaming import sessions as SE
 
+MSG = "event_id long, ts timestamp, sender string, has_photo boolean, body string"
 
-def _msgs(spark):
-    m = Model(spark, SF001)
-    return m, m.messages.withColumn("ts", F.col("ts").cast("timestamp"))
 
+def _same(a, b):
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
-def test_confirm_sessions_stream_equals_batch(spark):
-    m, msgs = _msgs(spark)
-    d = tempfile.mkdtemp(prefix="itcflow-r1-", dir="/tmp")
-    S.write_files_in_order(msgs.coalesce(1), "ts", d + "/msgs")
-    src = S.read_stream(spark, d + "/msgs", S.MESSAGE_SCHEMA, 1)
-    out = S.run_available(S.confirm_sessions(src), "t_r1", d + "/ck")
-    b = S.confirm_sessions_batch(msgs)
-    assert out.count() == msgs.count()
-    assert out.exceptAll(b).count() == 0 and b.exceptAll(out).count() == 0
+
+def _text(df):
+    """Maps as text, so that rows can be compared."""
+    return df.withColumn("fields", F.to_json("fields"))
 
 
-def test_status_windows_stream_equals_batch(spark):
-    m, msgs = _msgs(spark)
-    d = tempfile.mkdtemp(prefix="itcflow-r5-", dir="/tmp")
-    S.write_daily_files(msgs, "ts", d + "/msgs")
-    src = S.read_stream(spark, d + "/msgs", S.MESSAGE_SCHEMA, 100)
-    out = S.run_available(S.stream_status(src, watermark="3650 days"), "t_r5", d + "/ck", mode="complete")
+def _chat(spark, *bodies):
+    rows = [(i, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00", "whatsapp:+919000000001", b is None, b or "") for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "event_id long, ts string, sender string, has_photo boolean, body string").withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+
+
+def test_confirm_sessions_stream_equals_batch(spark, tmp_path):
+    msgs = CS._messages(spark, SF001)
+    runs = CS._in_steps(msgs, "ts", str(tmp_path), S.MESSAGE_SCHEMA, lambda m: S.run_sessions(m, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    assert len(runs) >= 3 and all(r.batches >= 1 for r in runs)
+    out = S.session_steps(spark, f"{tmp_path}/out")
+    assert out.count() == msgs.count()
+    _same(_text(out), _text(SE.confirm_sessions_batch(msgs)))
+
+
+def test_sessions_follow_the_table(spark):
+    """Golden chat: edits, a refused amount, a confirmation days later."""
+    msgs = _chat(spark, "hello", None, "edit total", "abc", "edit total", "Rs 1,200.50", "edit date", "yes", "edit colour",
+                 "well", *["well"] * 60, "haan", "yes", None, None, "cancel")
+    got = [(r["action"], r["detail"], r["fields"]) for r in SE.confirm_sessions_batch(msgs).orderBy("ts").collect()]
+    acts = [a for a, _, _ in got]
+    assert acts[:10] == ["intent", "pending", "ask_value", "refused", "ask_value", "edited", "ask_value", "edited", "ask_field", "prompt"]
+    assert got[3][1] == "total_amount" and got[5][2] == {"invoice_no": "EV/1", "total_amount": "1200.5"}
+    assert acts[10:70] == ["prompt"] * 60 and acts[70] == "saved"
+    assert got[70][2] == {"invoice_no": "EV/1", "total_amount": "1200.5", "invoice_date": "yes"}
+    assert acts[71:] == ["intent", "pending", "pending", "cancelled"] and got[74][1] == "EV/73"
+    saved = SE.saved_invoices(SE.confirm_sessions_batch(msgs)).collect()
+    assert len(saved) == 1 and saved[0]["total_amount"] == 1200.5 and saved[0]["invoice_date"] == "yes"
+
+
+def test_an_empty_chat_gives_nothing(spark):
+    assert SE.confirm_sessions_batch(_chat(spark, "x").limit(0)).count() == 0
+
+
+def test_status_windows_stream_equals_batch(spark, tmp_path):
+    msgs = CS._messages(spark, SF001)
+    runs = CS._in_steps(msgs, "ts", str(tmp_path), S.MESSAGE_SCHEMA,
+                        lambda m: S.changes_to(S.stream_status(m), f"{tmp_path}/out", f"{tmp_path}/ck"))
+    assert sum(r.dropped for r in runs) == 0
+    schema = "window_start timestamp, window_end timestamp, body string, n long"
+    out = S.latest(S.read_changes(spark, f"{tmp_path}/out", schema), ["window_start", "window_end", "body"])
     b = (msgs.groupBy(F.window("ts", "1 hour").alias("w"), "body").agg(F.count(F.lit(1)).alias("n"))
              .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "body", "n"))
-    assert out.exceptAll(b).count() == 0 and b.exceptAll(out).count() == 0
-
-
-def test_ledger_stream_equals_batch_ledger(spark):
-    m = Model(spark, SF001)
-    inv = m.invoices.select("id", "user_id", "seller_gstin", "invoice_no", F.col("date").cast("timestamp").alias("date"),
-                            F.col("created_at").cast("timestamp").alias("created_at"),
-                            *[F.col(c).cast("decimal(18,2)").alias(c) for c in ["taxable_amt", "cgst", "sgst", "igst"]],
-                            "status", "ai_category")
-    d = tempfile.mkdtemp(prefix="itcflow-r3-", dir="/tmp")
-    S.write_daily_files(inv, "created_at", d + "/inv")
-    src = S.read_stream(spark, d + "/inv", S.INVOICE_SCHEMA, 1000)
-    out = S.run_available(S.stream_ledger(src, watermark="36500 days"), "t_r3", d + "/ck", mode="complete")
-    month = S.month_rollup(out)
-    led = m.ledger.select("user_id", "period", "total_purchases", "itc_available")
-    assert month.exceptAll(led).count() == 0 and led.exceptAll(month).count() == 0
-
-
-def test_sessions_and_classify_run(spark):
-    m, msgs = _msgs(spark)
-    d = tempfile.mkdtemp(prefix="itcflow-r6-", dir="/tmp")
-    S.write_daily_files(msgs, "ts", d + "/msgs")
-    src = S.read_stream(spark, d + "/msgs", S.MESSAGE_SCHEMA, 100)
-    sess = S.run_available(S.stream_sessions(src), "t_r6", d + "/ck6")
-    assert sess.agg(F.sum("messages")).first()[0] <= msgs.count()
-    cls = S.run_available(S.stream_classify(src), "t_r7", d + "/ck7")
-    assert cls.count() == msgs.count()
-
-
-def test_dedup_gate(spark):
-    m = Model(spark, SF001)
-    inv = m.invoices.select("id", "user_id", "seller_gstin", "invoice_no", F.col("date").cast("timestamp").alias("date"),
-                            F.col("created_at").cast("timestamp").alias("created_at"),
-                            *[F.col(c).cast("decimal(18,2)").alias(c) for c in ["taxable_amt", "cgst", "sgst", "igst"]],
-                            "status", "ai_category")
-    d = tempfile.mkdtemp(prefix="itcflow-r2-", dir="/tmp")
-    S.write_daily_files(inv, "created_at", d + "/inv")
-    src = S.read_stream(spark, d + "/inv", S.INVOICE_SCHEMA, 1000)
-    hist = inv.filter(F.col("id") % 2 == 0)
-    out = S.run_available(S.stream_dedup(src, hist, watermark="36500 days"), "t_r2", d + "/ck")
-    key = ["user_id", "invoice_no", "seller_gstin"]
-    keyed = out.filter(F.col("invoice_no") != "")
-    assert keyed.groupBy(*key).count().filter("count > 1").count() == 0
-    h = hist.select(*key).withColumn("seller_gstin", F.coalesce("seller_gstin", F.lit("")))
-    assert keyed.join(h, key, "left_semi").count() == 0
-
-
-def test_published_ledger_equals_batch_ledger(spark):
-    """foreachBatch upserts into month partitions over several micro-batches
-    add up to the batch ledger."""
-    m = Model(spark, SF001)
-    inv = m.invoices.select("id", "user_id", "seller_gstin", "invoice_no", F.col("date").cast("timestamp").alias("date"),
-                            F.col("created_at").cast("timestamp").alias("created_at"),
-                            *[F.col(c).cast("decimal(18,2)").alias(c) for c in ["taxable_amt", "cgst", "sgst", "igst"]],
-                            "status", "ai_category")
-    d = tempfile.mkdtemp(prefix="itcflow-r3p-", dir="/tmp")
-    S.write_files_in_order(inv, "created_at", d + "/src", unit="year")
-    src = S.read_stream(spark, d + "/src", S.INVOICE_SCHEMA, 1)
-    S.publish_daily_ledger(src, d + "/ledger", d + "/ck")
-    month = (spark.read.parquet(d + "/ledger").groupBy("user_id", "period")
-                  .agg(F.sum("total_purchases").alias("total_purchases"), F.sum("itc_available").alias("itc_available")))
-    led = m.ledger.select("user_id", "period", "total_purchases", "itc_available")
-    assert month.exceptAll(led).count() == 0 and led.exceptAll(month).count() == 0
+    _same(out, b)
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    def step(day, n):
+        spark.range(n).select("id", F.lit(f"2024-01-{day} 10:00:00").cast("timestamp").alias("ts"), F.lit("a").alias("sender"),
+                              F.lit(False).alias("has_photo"), F.lit("hi").alias("body")).withColumnRenamed("id", "event_id").write.mode(
+            "append").parquet(f"{tmp_path}/src")
+        return S.changes_to(S.stream_status(S.read_stream(spark, f"{tmp_path}/src", MSG)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    assert step("05", 3).dropped == 0
+    step("06", 1)
+    assert step("02", 2).dropped > 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_ledger_stream_equals_batch_ledger(spark, tmp_path, scheme):
+    """Also by a path with a scheme: nothing is looked up with local file calls."""
+    from itcflow.sources.tables import Model
+    m, base = Model(spark, SF001), scheme + str(tmp_path)
+    runs = CS._in_steps(CS._invoices(spark, SF001), "created_at", base, S.INVOICE_SCHEMA,
+                        lambda s: S.run_ledger(s, base + "/days", base + "/ck"))
+    assert len(runs) >= 3
+    cols = ["user_id", "period", *[F.col(c).cast("decimal(28,2)").alias(c) for c in ("total_purchases", "itc_available")]]
+    _same(S.month_rollup(S.daily_ledger(spark, base + "/days")).select(*cols), m.ledger.select(*cols))
+
+
+def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
+    days = spark.createDataFrame([(1, 10), (2, 20)], "k long, v long")
+    for rows, n in ((days, 0), (days.filter("k = 1").withColumn("v", F.lit(11).cast("long")), 1), (days.filter("k = 1"), 1)):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/t/batch={n}")
+    got = S.latest(S.read_changes(spark, f"{tmp_path}/t", "k long, v long"), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 20)]
+    assert S.read_changes(spark, f"{tmp_path}/none", "k long").count() == 0
+
+
+def test_dedup_gate_never_forgets(spark, tmp_path):
+    def inv(i, day, no, g, user=1):
+        return (i, user, g, no, None, f"{day} 10:00:00", None, None, None, None, "pending", None)
+    data = [inv(1, "2024-01-01", "A", "G1"), inv(2, "2024-01-02", "A", "G2"), inv(3, "2024-01-03", "A", None), inv(4, "2024-03-01", "A", "G1"),
+            inv(5, "2024-03-02", "B", ""), inv(6, "2024-06-02", "B", ""), inv(7, "2024-06-03", "B", "G9"), inv(8, "2024-06-04", " ", "G1"),
+            inv(9, "2024-06-05", None, "G1"), inv(10, "2024-06-06", "S", "G1"), inv(11, "2024-06-07", "S", "G2"), inv(12, "2024-06-08", "S", None),
+            inv(13, "2024-07-08", "A", "G1", 2)]
+    schema = S.INVOICE_SCHEMA.replace("created_at timestamp", "created_at string")
+    df = spark.createDataFrame(data, schema).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    stored = spark.createDataFrame([inv(0, "2023-01-01", "S", "G1")], schema).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    CS._in_steps(df, "created_at", str(tmp_path), S.INVOICE_SCHEMA,
+                 lambda s: S.gate_duplicates(s, stored, f"{tmp_path}/passed", f"{tmp_path}/ck"))
+    assert {r["id"] for r in S.passed_rows(spark, f"{tmp_path}/passed").collect()} == {1, 2, 5, 7, 8, 9, 11, 13}
