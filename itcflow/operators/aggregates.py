@@ -392,8 +392,8 @@ def ocr_quality(parsed: DataFrame) -> DataFrame:
                        F.count_if(F.col("parse_error")).alias("parse_errors"),
                        F.sum(F.when(~F.col("parse_error"), F.col("filled_count")).otherwise(0)).alias("filled_fields"),
                        F.count_if(~F.col("parse_error") & needs).alias("needs_confirmation"),
-                       F.count_if(~F.col("parse_error") & (conf >= fixed.NEEDS_CONFIRMATION_BELOW))
-                        .alias("confident")))
+                       F.count_if(~F.col("parse_error") & (conf >= fixed.NEEDS_CONFIRMATION_BELOW)).alias("confident"),
+                       F.avg(F.when(~F.col("parse_error"), conf)).alias("mean_confidence")))
 
 
 def model_agreement(pred: DataFrame, truth: DataFrame) -> DataFrame:

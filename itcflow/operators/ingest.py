@@ -204,37 +204,16 @@ def supplier_not_filed(inv: DataFrame, g2b: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ data prep ----
 
-_M = 2147483647
-
-
-def _lcg(x):
-    return F.pmod(x * F.lit(48271), F.lit(_M))
-
-
-def make_labelled(src: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """L1 (+U4): labelled transactions, one per source row: category by key
-    (round robin over the 7 template groups), phrase, amount 500-50000,
-    GSTIN pattern, 'Yes'/'No' by the dataset's blocked list. Pseudo-random
-    draws are a seeded arithmetic generator of the key, so the set is the
-    same on every run and on every engine."""
-    groups = fixed.TEMPLATES
-    k = F.col(key).cast("long")
-    r1 = _lcg(k + F.lit(seed))
-    r2, r3, r4 = _lcg(r1), _lcg(_lcg(r1)), _lcg(_lcg(_lcg(r1)))
-    gi = F.pmod(k, F.lit(len(groups)))
-    cats = F.array(*[F.lit(c) for c, _ in groups])
-    phrases = F.array(*[F.array(*[F.lit(p) for p in ps]) for _, ps in groups])
-    cat = F.element_at(cats, (gi + 1).cast("int"))
-    plist = F.element_at(phrases, (gi + 1).cast("int"))
-    desc = F.element_at(plist, (F.pmod(r1, F.size(plist)) + 1).cast("int"))
-    lo, hi = fixed.LABELLED_AMOUNT_RANGE
-    amount = (F.lit(lo) + F.pmod(r2, F.lit(hi - lo + 1))).cast("int")
-    gstin = F.concat(F.lit("24AABC"), (F.lit(1000) + F.pmod(r3, F.lit(9000))).cast("string"), F.lit("A1Z"),
-                     (F.lit(1) + F.pmod(r4, F.lit(9))).cast("string"))
-    return src.select(F.col(key).alias("row_id"), desc.alias("description"), amount.alias("amount"),
-                      cat.alias("category"),
-                      F.when(cat.isin(fixed.BLOCKED_DATASET), "No").otherwise("Yes").alias("itc_eligible"),
-                      gstin.alias("gstin"))
+def make_labelled(inv: DataFrame, policy: str = "dataset") -> DataFrame:
+    """L1 (+U4): labelled transactions from the stored invoices: description,
+    amount (whole rupees of the invoice total), accepted category, 'Yes'/'No'
+    by the dataset's blocked list, supplier GSTIN. One row per invoice that
+    has a description and a category."""
+    amount = F.floor(F.coalesce("taxable_amt", F.lit(0)) + C.itc_total()).cast("int")
+    return (inv.filter(C.blank_to_null("description").isNotNull() & F.col("ai_category").isNotNull())
+               .select(F.col("id").alias("row_id"), "description", amount.alias("amount"), F.col("ai_category").alias("category"),
+                       F.when(C.is_blocked(F.col("ai_category"), policy), "No").otherwise("Yes").alias("itc_eligible"),
+                       F.col("seller_gstin").alias("gstin")))
 
 
 def training_set(inv: DataFrame, corr: DataFrame, test_pct: int = 20) -> DataFrame:

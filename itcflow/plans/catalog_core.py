@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import core as C
 from ..functions import fixed
@@ -102,15 +103,27 @@ UNION ALL SELECT 'transactions', count(*) FROM transactions
 UNION ALL SELECT 'gst_ledger', count(*) FROM ledger
 UNION ALL SELECT 'filing_history', count(*) FROM filings
 UNION ALL SELECT 'gstr2b_cache', count(*) FROM gstr2b
+UNION ALL SELECT 'ca_partners', count(DISTINCT ca_id) FROM users
+UNION ALL SELECT 'alerts', count(*) FROM users WHERE ca_id IS NULL
 """)
 def s1(spark, sf_dir):
-    """Typed scans of the entity tables (row counts; Catalyst prunes to no columns)."""
-    m = M(spark, sf_dir)
+    """Typed scans of the eight entities, written with and read by their schemas (row counts)."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.tables import ENTITIES, entity
+    m, folder = M(spark, sf_dir), shared_dir(spark, f"itcflow-entities/{uuid.uuid4().hex}")
+    partners = m.users.filter(F.col("ca_id").isNotNull()).select(F.col("ca_id").alias("id")).distinct()
+    alerts = m.users.filter(F.col("ca_id").isNull()).select("id", F.col("id").alias("user_id"), F.lit("pending").alias("status"))
     parts = [("users", m.users), ("invoices", m.invoices), ("transactions", m.transactions),
-             ("gst_ledger", m.ledger), ("filing_history", m.filings), ("gstr2b_cache", m.gstr2b)]
+             ("gst_ledger", m.ledger), ("filing_history", m.filings), ("gstr2b_cache", m.gstr2b),
+             ("ca_partners", partners), ("alerts", alerts)]
     out = None
     for name, df in parts:
-        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("entity"), "n_rows")
+        types = T.StructType.fromDDL(ENTITIES[name])
+        df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                    for f in types]).write.parquet(f"{folder}/{name}")
+        r = entity(spark, folder, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("entity"), "n_rows")
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -362,7 +362,8 @@ def p16(spark, sf_dir):
 SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS replies, count_if(parse_error) AS parse_errors,
   CAST(sum(CASE WHEN NOT parse_error THEN filled_count ELSE 0 END) AS BIGINT) AS filled_fields,
   count_if(NOT parse_error AND filled_count = 0) AS needs_confirmation,
-  count_if(NOT parse_error AND filled_count > 0) AS confident
+  count_if(NOT parse_error AND filled_count > 0) AS confident,
+  avg(CASE WHEN NOT parse_error THEN CASE WHEN filled_count > 0 THEN 0.93 ELSE 0.0 END END) AS mean_confidence
 FROM filled GROUP BY 1
 """, ctes=OCR_CTE)
 def a27(spark, sf_dir):
@@ -596,12 +597,16 @@ def j7(spark, sf_dir):
 # ------------------------------------------------------------ extensions ----
 
 @query("J8_with_gst_rate", "J8", f"""
-SELECT c AS goods_class, coalesce(r.rate, 18.0) AS gst_rate FROM (SELECT DISTINCT lower(p_type) AS c FROM part) d
-LEFT JOIN ({" UNION ALL ".join(f"SELECT '{k}' AS k, CAST({v} AS DOUBLE) AS rate" for k, v in fixed.GST_RATES.items())}) r ON r.k = d.c
+SELECT c AS goods_class, coalesce(r.rate, 18.0) AS gst_rate FROM (SELECT DISTINCT lower(p_type) AS c FROM part
+  UNION SELECT DISTINCT CASE p_size % 6 WHEN 0 THEN 'textile' WHEN 1 THEN ' Gold ' WHEN 2 THEN 'automobile' WHEN 3 THEN 'HOTEL'
+                        WHEN 4 THEN 'medicine' ELSE 'tools' END FROM part) d
+LEFT JOIN ({" UNION ALL ".join(f"SELECT '{k}' AS k, CAST({v} AS DOUBLE) AS rate" for k, v in fixed.GST_RATES.items())}) r ON r.k = lower(trim(d.c))
 """)
 def j8(spark, sf_dir):
     """GST rate of each goods class (extension; default 18)."""
-    classes = M(spark, sf_dir).part.select(F.lower("p_type").alias("goods_class")).distinct()
+    part, names = M(spark, sf_dir).part, ["textile", " Gold ", "automobile", "HOTEL", "medicine", "tools"]
+    named = F.get(F.array(*[F.lit(x) for x in names]), (F.col("p_size") % 6).cast("int"))
+    classes = part.select(F.lower("p_type").alias("goods_class")).union(part.select(named)).distinct()
     return IN.with_gst_rate(classes, "goods_class")
 
 
@@ -643,33 +648,24 @@ def j17(spark, sf_dir):
     return CL.zero_shot_top(M(spark, sf_dir).zero_shot, spark).select("doc_id", "zs_category")
 
 
-def _labelled_sql() -> str:
-    cats = [c for c, _ in fixed.TEMPLATES]
-    plist = "[" + ", ".join("[" + ", ".join("'" + p + "'" for p in ps) + "]" for _, ps in fixed.TEMPLATES) + "]"
-    lo, hi = fixed.LABELLED_AMOUNT_RANGE
-    return f"""
-SELECT row_id, ({plist})[gi + 1][(r1 % {"len(" + plist + "[gi + 1])"}) + 1] AS description,
-  CAST({lo} + r2 % {hi - lo + 1} AS INTEGER) AS amount, (['{"', '".join(cats)}'])[gi + 1] AS category,
-  CASE WHEN (['{"', '".join(cats)}'])[gi + 1] IN {Q.sql_list(fixed.BLOCKED_DATASET)} THEN 'No' ELSE 'Yes' END AS itc_eligible,
-  '24AABC' || CAST(1000 + r3 % 9000 AS VARCHAR) || 'A1Z' || CAST(1 + r4 % 9 AS VARCHAR) AS gstin
-FROM (SELECT row_id, gi, r1, (r1 * 48271) % 2147483647 AS r2, ((r1 * 48271) % 2147483647 * 48271) % 2147483647 AS r3,
-        ((((r1 * 48271) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647 AS r4
-      FROM (SELECT o_orderkey AS row_id, o_orderkey % {len(cats)} AS gi, ((o_orderkey + 42) * 48271) % 2147483647 AS r1
-            FROM orders) a) b
+LABELLED_SQL = f"""
+SELECT id AS row_id, description, CAST(floor(coalesce(taxable_amt, 0) + cgst + sgst + igst) AS INTEGER) AS amount, ai_category AS category,
+  CASE WHEN ai_category IN {Q.sql_list(fixed.BLOCKED_DATASET)} THEN 'No' ELSE 'Yes' END AS itc_eligible, seller_gstin AS gstin
+FROM invoices WHERE coalesce(description, '') <> '' AND ai_category IS NOT NULL
 """
 
 
-@query("L1_make_labelled", "L1,U4", _labelled_sql())
+@query("L1_make_labelled", "L1,U4", LABELLED_SQL)
 def l1(spark, sf_dir):
-    """Labelled transactions, one per order, seeded and engine-independent."""
-    return IN.make_labelled(M(spark, sf_dir).orders, "o_orderkey", 42)
+    """Labelled transactions from the stored invoices."""
+    return IN.make_labelled(M(spark, sf_dir).invoices)
 
 
-@query("A29_label_counts", "A29", f"SELECT category, count(*) AS n FROM ({_labelled_sql()}) t GROUP BY 1")
+@query("A29_label_counts", "A29", f"SELECT category, count(*) AS n FROM ({LABELLED_SQL}) t GROUP BY 1")
 def a29(spark, sf_dir):
     """Rows per category of the labelled set."""
     from ..operators.aggregates import label_counts
-    return label_counts(IN.make_labelled(M(spark, sf_dir).orders, "o_orderkey", 42))
+    return label_counts(IN.make_labelled(M(spark, sf_dir).invoices))
 
 
 @query("L2_training_set", "L2", f"""
@@ -689,7 +685,19 @@ def l2(spark, sf_dir):
     return IN.training_set(m.invoices, m.corrections)
 
 
-@query("L3_with_scorer", "L3")
+@query("L3_with_scorer", "L3", f"""
+SELECT d.doc_id, d.layer, d.category, d.confidence,
+  CASE WHEN d.layer = 'none' THEN false ELSE c.blocked END AS blocked
+FROM (SELECT doc_id, CASE WHEN short THEN 'none' WHEN kw <> 'Other' THEN 'keyword' ELSE 'fine_tuned' END AS layer,
+        CASE WHEN short THEN 'Other' WHEN kw <> 'Other' THEN kw ELSE cats[1 + CAST(floor(v * 1000) AS BIGINT) % len(cats)] END AS category,
+        CASE WHEN short THEN 0.0 WHEN kw <> 'Other' THEN CAST({fixed.KEYWORD_CONFIDENCE} AS DOUBLE)
+             ELSE round_even(v * 100, 0) / 100 END AS confidence
+      FROM (SELECT doc_id, text IS NULL OR length(trim(text)) < 3 AS short, {Q.kw_category('lower(text)')} AS kw,
+              {[c for c, _, _ in fixed.CATEGORY_MAP]!r} AS cats,
+              CAST(length(regexp_replace(lower(coalesce(text, '')), '[^aeiou]', '', 'g')) AS DOUBLE)
+                / greatest(length(lower(coalesce(text, ''))), 1) AS v FROM documents) a) d
+JOIN catmap c ON c.category = d.category
+""", ctes=Q.catmap_cte())
 def l3(spark, sf_dir):
     """Layer-3 scores from a user pandas scorer, used by the layered classifier."""
     scorer = CL.demo_scorer()
@@ -701,20 +709,24 @@ def l3(spark, sf_dir):
 
 # ----------------------------------------------------------------- sinks ----
 
+#: With a mark for null, empty texts come back as they were.
+CSV = {"header": True, "nullValue": "\\N"}
+
+
 def _out(spark, sf_dir, name):
     return shared_dir(spark, f"itcflow-sinks/{os.path.basename(sf_dir.rstrip('/'))}/{name}")
 
 
-@query("S5_labelled_csv", "S5", "SELECT description, amount, category, itc_eligible, gstin FROM (" + _labelled_sql() + ") t")
+@query("S5_labelled_csv", "S5", "SELECT description, amount, category, itc_eligible, gstin FROM (" + LABELLED_SQL + ") t")
 def s5(spark, sf_dir):
     """Labelled set written as CSV with header and read back with a schema."""
     path = _out(spark, sf_dir, "labelled_csv")
-    IN.make_labelled(M(spark, sf_dir).orders, "o_orderkey", 42).drop("row_id") \
-        .write.mode("overwrite").option("header", True).csv(path)
+    IN.make_labelled(M(spark, sf_dir).invoices).drop("row_id") \
+        .write.mode("overwrite").options(**CSV).csv(path)
     schema = T.StructType([T.StructField("description", T.StringType()), T.StructField("amount", T.IntegerType()),
                            T.StructField("category", T.StringType()), T.StructField("itc_eligible", T.StringType()),
                            T.StructField("gstin", T.StringType())])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 @query("S6_export_invoices", "S6", """
@@ -723,15 +735,16 @@ SELECT CAST(id AS VARCHAR) AS "ID", client_name AS "Client", invoice_no AS "Invo
   CAST(total AS DOUBLE) AS "Total", CAST(itc AS DOUBLE) AS "ITC", ai_category AS "Category", status AS "Status" FROM v
 """, ctes=Q.view_cte())
 def s6(spark, sf_dir):
-    """Invoice CSV export (9 named columns); written to the shared folder, returned as rows."""
+    """Invoice CSV export (9 named columns), written to the shared folder and read back."""
     v = feed(M(spark, sf_dir))
     out = v.select(F.col("id").cast("string").alias("ID"), F.col("client_name").alias("Client"),
                    F.col("invoice_no").alias("Invoice No"),
                    F.coalesce(F.substring(C.fmt_ts("date"), 1, 10), F.lit("")).alias("Date"),
                    F.col("supplier_gstin").alias("Supplier GSTIN"), D("total").alias("Total"), D("itc").alias("ITC"),
                    F.col("ai_category").alias("Category"), F.col("status").alias("Status"))
-    out.write.mode("overwrite").option("header", True).csv(_out(spark, sf_dir, "invoices_csv"))
-    return out
+    path = _out(spark, sf_dir, "invoices_csv")
+    out.write.mode("overwrite").options(**CSV).csv(path)
+    return spark.read.schema(out.schema).options(**CSV).csv(path)
 
 
 @query("S7_write_gstr3b", "S7", f"""

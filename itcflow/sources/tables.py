@@ -10,6 +10,29 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+#: The stored entities with their column types.
+ENTITIES = {
+    "ca_partners": "id int, name string, ca_number string, email string, phone string, plan string, white_label_name string, "
+                   "is_active boolean, created_at timestamp",
+    "users": "id int, phone string, business_name string, gstin string, state_code string, ca_id int, created_at timestamp",
+    "invoices": "id bigint, user_id bigint, seller_gstin string, invoice_no string, date timestamp, taxable_amt decimal(18,2), "
+                "cgst decimal(18,2), sgst decimal(18,2), igst decimal(18,2), status string, ai_category string, "
+                "ai_confidence double, created_at timestamp",
+    "transactions": "user_id bigint, date timestamp, type string, gst_rate double, amount decimal(18,2)",
+    "gst_ledger": "user_id bigint, period string, total_purchases decimal(18,2), itc_available decimal(18,2)",
+    "filing_history": "user_id bigint, return_type string, period string, filed_at timestamp, penalty double",
+    "gstr2b_cache": "user_id bigint, period string, supplier_gstin string, invoice_no string, itc_amount decimal(18,2), "
+                    "filing_status string",
+    "alerts": "id int, user_id int, type string, trigger_date timestamp, message_hi string, message_en string, "
+              "sent_at timestamp, status string",
+}
+
+
+def entity(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Typed scan of a stored entity: the schema is given, not inferred."""
+    return spark.read.schema(ENTITIES[name]).parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, schema=None) -> DataFrame:
     """Typed scan of one table. Column pruning and filter pushdown are left
     to Catalyst: callers select/filter, the parquet reader sees only that."""
