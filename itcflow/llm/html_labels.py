@@ -56,5 +56,24 @@ LABELLED_PAGES = [
     (f"<div class=consent>{_L}</div><p>{_S}</p><p>{_L}</p><div class=sidebar><p>{_L}</p></div><div class=promo>{_L}</div>",
      "-++--"),
     (f"<form><p>{_L}</p></form><p>{_L}</p><p>{_S}</p><aside><p>{_S}</p></aside><div class=banner>{_S} {_S}</div>", "-++--"),
+    # short blocks before long ones: in heads, bars, notices and forms, and as headings and short paragraphs
+    (f"<header><h1>The Paper</h1><p>{_L}</p></header><main><h1>{_T}</h1><p>{_L}</p></main>", "--++"),
+    (f"<div class=header><p>The Paper</p><p>{_L}</p></div><h1>{_T}</h1><p>{_L}</p><p>{_S}</p>", "--+++"),
+    (f"<aside><h3>Most read</h3><p>{_L}</p></aside><h1>{_T}</h1><p>{_L}</p><div class=sidebar><h3>More</h3><p>{_L}</p></div>",
+     "--++--"),
+    (f"<h2>{_T}</h2><p>{_L}</p><div class=comments><h3>Comments</h3><p>{_L}</p></div><form><p>Write</p><p>{_L}</p></form>",
+     "++----"),
+    (f"<div class=cookie><p>Cookies</p><p>{_L}</p></div><p>{_L}</p><p>Hm.</p><p>{_L}</p><div class=ad><b>Now!</b><p>{_L}</p></div>",
+     "--+++--"),
+    (f"<div class=advert><p>Boots</p><p>{_L}</p></div><h1>{_T}</h1><p>{_L}</p><p>Yes, he said.</p><p>{_L}</p><p>End</p>"
+     f"<div><a>Home</a></div>", "--++++--"),
+    (f"<nav><p>Go on</p><p>{_L}</p></nav><h1>{_T}</h1><h2>Under water</h2><p>{_L}</p><h2>Later</h2><p>{_L}</p>", "--+++++"),
+    # blocks of links: beside paragraphs and an article (not text), in an article (text)
+    (f"<div><a>All the news of today in one place</a></div><div><a>Our ten best stories</a></div><article><p><a>Here</a></p>"
+     f"<p>{_L}</p><p><a>See this</a></p><p><a>The whole report of the town's office</a></p></article><div><a>Write to all of us now</a>"
+     f"</div>", "--++++-"),
+    (f"<div><a>All news</a></div><p><a>The five best places for a walk</a></p><p>{_L}</p><p>{_S}</p><p><a>What others have read "
+     f"on this page</a></p><div><a>Ten more stories from the same town</a></div>", "--++--"),
+    (f"<article><h2><a>{_T}</a></h2><p>{_L}</p><ul><li><a>One</a></li><li><a>Two of them</a></li></ul></article>", "++++"),
     (f"<div>Log in</div><div>Search</div><h1>{_T}</h1><p>{_L}</p><p>{_L}</p><div>All rights reserved</div>", "--+++-"),
 ]

@@ -79,6 +79,9 @@ class Block:
 
 _MARKS = ("article", "frame", "advert", "notice", "aside", "comment")
 
+#: Of these a header (by element or class) is a part, not a page's head.
+_HEADED = {"article", "post", "entry", "story"}
+
 
 def _marks(tag: str, rest: str) -> dict[str, bool]:
     parts: set[str] = set()
@@ -86,8 +89,9 @@ def _marks(tag: str, rest: str) -> dict[str, bool]:
         for m in _NAMES.finditer(rest):
             parts.update(p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or ""))
     comment = bool(parts & COMMENT)
-    return {"article": tag in ("article", "main") or (bool(parts & ARTICLE) and not comment),
-            "frame": tag in FRAME or tag == "header", "advert": bool(parts & ADVERT),
+    head = tag == "header" or ("header" in parts and not parts & _HEADED)
+    return {"article": tag in ("article", "main") or (bool(parts & ARTICLE) and not comment and not head),
+            "frame": tag in FRAME or head, "head": head and tag not in FRAME, "advert": bool(parts & ADVERT),
             "notice": bool(parts & NOTICE) or bool(_HIDDEN.search(rest)),
             "aside": bool(parts & ASIDE), "comment": comment}
 
@@ -118,7 +122,7 @@ def blocks(page: str) -> list[Block]:
                 for k in _MARKS:
                     here[k] = False
             for k in _MARKS:
-                if marks[k] and not (k == "frame" and tag == "header" and here["article"]):
+                if marks[k] and not (k == "frame" and marks["head"] and here["article"]):
                     here[k] = True
 
     at = 0
@@ -139,7 +143,7 @@ def blocks(page: str) -> list[Block]:
                 _pop(stack, tag, settle, close, inline=True)
             else:
                 marks = _marks(tag, m["rest"])
-                if any(marks[k] for k in _MARKS[1:]):  # an inline element that names what it is
+                if any(marks[k] for k in _MARKS[1:] if k != "frame"):  # an inline element that names what it is
                     close()
                     stack.append((tag, marks))
                     settle()
