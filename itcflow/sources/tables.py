@@ -85,8 +85,10 @@ class Model:
         except KeyError as e:
             raise AttributeError(name) from e
 
-    def materialize(self, out_dir: str, names=("invoices", "users", "ledger")) -> "Model":
+    def materialize(self, out_dir: str, names=("invoices", "users", "ledger"), files: int | None = None) -> "Model":
         """Write the named tables as parquet and re-read them (cuts lineage).
+        ``files`` is the number of files of the tables that aren't partitioned:
+        a small table that came as one row group can then be read by many tasks.
 
         ``invoices`` is partitioned by the month of its date, so the filing
         month filter becomes partition pruning.
@@ -103,6 +105,6 @@ class Model:
                    .write.mode("overwrite").partitionBy("date_month").parquet(path))
                 self._frames[n] = self.spark.read.parquet(path)
             else:
-                df.write.mode("overwrite").parquet(path)
+                (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
                 self._frames[n] = self.spark.read.parquet(path)
         return self
