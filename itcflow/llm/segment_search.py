@@ -8,9 +8,11 @@ distance, since ``|q - x|^2 = |q|^2 + |x|^2 - 2 q.x``. Segments are halved from
 level to level; a candidate is dropped at the first level whose bound lies under
 the query's k-th best score so far, and only survivors are multiplied out.
 
-Queries are a stated set of rows. They are taken in blocks of a fixed size,
-each sent to all tasks and held against all rows; each task returns its own k
-best for each query. What a task holds doesn't grow with the table.
+Queries are a stated set of rows. They and the candidates are dealt by hash to
+blocks of a fixed size; every pair of a block of queries and a block of
+candidates meets in a group of its own, which returns the k best of its
+candidates for each of its queries. What a task holds doesn't grow with the
+table, and no vector passes the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import materialize, prepare
 
 SCALE = 256
 K = 5
-#: Bytes of one block of queries: what is sent to a task at once.
-BLOCK_BYTES = 8 << 20
+#: Rows of one block of queries and of one block of candidates: what a task holds.
+QUERY_ROWS, CANDIDATE_ROWS = 2048, 4096
 #: Rows of candidates that are bounded at once.
 CHUNK = 512
 
@@ -118,35 +120,38 @@ class TopK:
                 self.least[i] = -float(self.best[i][-1][0])
 
 
-def _search(blocks, k: int):
-    """``blocks``: broadcast list of (dimension, ids, rows, matrix) of queries."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = {dim: TopK(ids, np.array(rows), np.frombuffer(m).reshape(len(ids), dim), k)
-                for dim, ids, rows, m in blocks.value}
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            values = [np.frombuffer(v) for v in batch.column(2).to_pylist()]
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(values):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, at in by_dim.items():
-                if dim in tops:
-                    for lo in range(0, len(at), CHUNK):
-                        part = at[lo:lo + CHUNK]
-                        tops[dim].add([ids[i] for i in part], rows[part], np.stack([values[i] for i in part]))
-        out = [(int(top.own[i]), top.ids[i], None if null else cid, -neg)
-               for top in tops.values() for i in range(len(top.ids)) for neg, null, cid in top.best[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)]
-                                         + [pa.array([max(-2 ** 63, min(2 ** 63 - 1, o[3])) for o in out], pa.int64())],
-                                         names=["q", "query_id", "vec_id", "score"])
+def _by_dim(rows: pa.Table) -> dict[int, list[tuple]]:
+    """``id, row, vector`` of a table, by the vectors' length."""
+    out: dict[int, list[tuple]] = {}
+    for i, r, v in zip(rows["id"].to_pylist(), rows["row"].to_pylist(), rows["v"].to_pylist(), strict=True):
+        out.setdefault(len(v) // 8, []).append((i, r, np.frombuffer(v)))
+    return out
+
+
+def _search(k: int):
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        """The k best of a block of candidates for each query of a block."""
+        out, asked = [], _by_dim(queries)
+        for dim, found in _by_dim(candidates).items():
+            if dim not in asked:
+                continue
+            ids, rows, q = zip(*asked[dim], strict=True)
+            top = TopK(list(ids), np.array(rows), np.stack(q), k)
+            for lo in range(0, len(found), CHUNK):
+                ids, rows, x = zip(*found[lo:lo + CHUNK], strict=True)
+                top.add(list(ids), np.array(rows), np.stack(x))
+            out += [(int(top.own[i]), top.ids[i], None if null else cid, max(-2 ** 63, min(2 ** 63 - 1, -neg)))
+                    for i in range(len(top.ids)) for neg, null, cid in top.best[i]]
+        return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(4)],
+                        names=["q", "query_id", "vec_id", "score"])
     return run
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = [np.array(v, float).tobytes() for v in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())],
-                                         names=["id", "row", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), batch.column(3)],
+                                         names=["id", "row", "v", "q"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
@@ -160,29 +165,19 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     rows of their own. Scores are exact whole numbers; those beyond a long are
     cut to its range after ranking. Other columns are ignored.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
+    prepare(vectors.sparkSession)
     rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
                            whole(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
                    .where("v is not null and size(v) > 0"))
-    fields = "id bigint, row bigint, v binary"
-    flagged = materialize(rows, "vectors")
-    plain = materialize(flagged.select("id", "row", "v").mapInArrow(_bytes, fields), "matrix")
-    asked = materialize(plain.join(flagged.where("q").select("row"), "row").select("id", "row", "v"), "queries")
-    size = asked.agg(F.sum(F.octet_length("v") + 64)).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks))
-    out = None
-    for b in range(n_blocks):
-        mine: dict[int, tuple] = {}
-        for r in asked.where(block == b).toLocalIterator():
-            ids, own, data = mine.setdefault(len(r["v"]) // 8, ([], [], []))
-            ids.append(r["id"])
-            own.append(r["row"])
-            data.append(bytes(r["v"]))
-        sent = spark.sparkContext.broadcast([(dim, ids, own, b"".join(data)) for dim, (ids, own, data) in mine.items()])
-        found = plain.mapInArrow(_search(sent, k), "q bigint, query_id bigint, vec_id bigint, score bigint")
-        out = found if out is None else out.unionByName(found)
+    table = materialize(rows.mapInArrow(_bytes, "id bigint, row bigint, v binary, q boolean"), "vectors")
+    n, n_asked = table.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    blocks, parts = max(1, math.ceil(n_asked / QUERY_ROWS)), max(1, math.ceil(n / CANDIDATE_ROWS))
+    place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = table.where("q").select("id", "row", "v", place(blocks).alias("block"), every(parts).alias("part"))
+    offered = table.select("id", "row", "v", place(parts).alias("part"), every(blocks).alias("block"))
+    out = (asked.groupBy("block", "part").cogroup(offered.groupBy("block", "part"))
+                .applyInArrow(_search(k), "q bigint, query_id bigint, vec_id bigint, score bigint"))
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("n"),
                                                 F.col("vec_id").alias("vec_id"), F.col("score").alias("score"))))
     return (out.groupBy("q", "query_id").agg(F.slice(best, 1, k).alias("best"))
