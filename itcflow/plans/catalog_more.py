@@ -456,6 +456,37 @@ def u2(spark, sf_dir):
     return FL.deadline_messages(m.users, m.ledger, REMIND_AS_OF, "calendar")
 
 
+#: Days on which GSTR-3B of May (due 2000-06-20) is 7, 3 and 1 days away.
+REMIND_3B = {"2000-06-13": 7, "2000-06-17": 3, "2000-06-19": 1}
+
+
+def _remind_3b_sql() -> str:
+    parts = []
+    for as_of, days in REMIND_3B.items():
+        text = fixed.REMINDER_GSTR3B.format(mark=fixed.URGENCY_MARK[days], date="2000-06-20", days=days, itc="\x00", signoff=fixed.SIGNOFF,
+                                            tail=fixed.REMINDER_3B_TAIL.get(days, fixed.REMINDER_3B_TAIL_DEFAULT))
+        head, tail = ("'" + x.replace("'", "''") + "'" for x in text.split("\x00"))
+        level = {7: "notice", 3: "warning", 1: "urgent"}[days]
+        parts.append(f"""
+SELECT '{as_of}' AS as_of, u.id AS user_id, 'whatsapp:' || CASE WHEN u.phone LIKE '+%' THEN u.phone ELSE '+91' || u.phone END AS "to",
+  CAST(round(coalesce(l.itc_available, 0), 2) AS DOUBLE) AS itc_balance, 'GSTR-3B' AS kind, {days} AS days_left,
+  '2000-06-20' AS deadline, '{level}' AS level,
+  {head} || format('{{:,.2f}}', CAST(round(coalesce(l.itc_available, 0), 2) AS DOUBLE)) || {tail} AS body
+FROM users u LEFT JOIN (SELECT * FROM ledger WHERE period = '{as_of[:7]}') l ON l.user_id = u.id
+WHERE u.phone IS NOT NULL AND u.phone <> ''""")
+    return " UNION ALL ".join(parts)
+
+
+@query("U2_deadline_messages_3b", "U2,R4,J9,F4,F22,P8", _remind_3b_sql())
+def u2b(spark, sf_dir):
+    """Daily reminder jobs on the days when GSTR-3B is due in 7, 3 and 1 days."""
+    m, out = M(spark, sf_dir), None
+    for as_of in REMIND_3B:
+        r = FL.deadline_messages(m.users, m.ledger, as_of, "calendar").withColumn("as_of", F.lit(as_of))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("F2_penalties", "F2", """
 SELECT id, user_id, return_type, days_late, p AS penalty, i AS interest, round(p + i, 2) AS total,
   CASE WHEN days_late > 0 THEN CAST(days_late AS VARCHAR) || ' din late filing. Penalty: ₹' || CAST(p AS VARCHAR)

@@ -145,13 +145,16 @@ def j6(spark, sf_dir):
     return CL.with_category(cats, "ai_category").select("ai_category", "blocked", "reason")
 
 
+TRUTH_CTE = f"""pt AS (SELECT c.invoice_id AS doc_id, c.category AS label, i.predicted
+  FROM (SELECT invoice_id, arg_max(category, seq) AS category FROM corrections GROUP BY 1) c
+  JOIN (SELECT DISTINCT id, {Q.kw_category("lower(coalesce(nullif(description, ''), 'Business purchase invoice'))")} AS predicted
+        FROM invoices) i ON i.id = c.invoice_id)"""
+
+
 @query("A28_model_agreement", "A28", """
 SELECT label, count(*) AS n, count_if(predicted = label) AS correct, count_if(predicted = label) / count(*) AS accuracy
 FROM pt GROUP BY 1
-""", ctes=Q.labels_cte() + """,
-top AS (SELECT doc_id, arg_max(k, round(score * 100) * 100 - k) AS tk FROM zero_shot GROUP BY 1),
-pt AS (SELECT t.doc_id, l1.label AS label, l2.label AS predicted FROM top t JOIN lab13 l1 ON l1.k = t.tk
-       JOIN lab13 l2 ON l2.k = CASE WHEN t.doc_id % 5 = 0 THEN t.tk % 13 + 1 ELSE t.tk END)""")
+""", ctes=TRUTH_CTE)
 def a28(spark, sf_dir):
     """Agreement of predictions with accepted labels per label."""
     t, p = _truth_pred(spark, sf_dir)
@@ -160,24 +163,18 @@ def a28(spark, sf_dir):
 
 
 def _truth_pred(spark, sf_dir):
-    """Accepted label = top zero-shot label; prediction = the same, rotated to
-    the next label for every 5th document (a disagreeing model)."""
-    zs = M(spark, sf_dir).zero_shot
-    top = zs.groupBy("doc_id").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("tk"))
-    lab = F.broadcast(CL.label_dim(spark).select("k", "label"))
-    pk = F.when(F.col("doc_id") % 5 == 0, F.col("tk") % 13 + 1).otherwise(F.col("tk"))
-    truth = top.join(lab, top["tk"] == lab["k"]).select("doc_id", "label")
-    pred = (top.select("doc_id", pk.alias("pk")).join(lab, F.col("pk") == lab["k"])
-               .select("doc_id", F.col("label").alias("predicted")))
+    """Accepted label = the latest correction of an invoice; prediction = the
+    layered classifier's category of its description (F9, F11)."""
+    m = M(spark, sf_dir)
+    from ..operators.invoices import latest_by
+    truth = latest_by(m.corrections, "invoice_id", ["seq"], ["category"]).toDF("doc_id", "label")
+    pred = CL.classify_invoices(m.invoices).select(F.col("id").alias("doc_id"), F.col("category").alias("predicted")).distinct()
     return truth, pred
 
 
 @query("A28_confusion_counts", "A28", """
 SELECT label, predicted, count(*) AS n FROM pt GROUP BY 1, 2
-""", ctes=Q.labels_cte() + """,
-top AS (SELECT doc_id, arg_max(k, round(score * 100) * 100 - k) AS tk FROM zero_shot GROUP BY 1),
-pt AS (SELECT t.doc_id, l1.label AS label, l2.label AS predicted FROM top t JOIN lab13 l1 ON l1.k = t.tk
-       JOIN lab13 l2 ON l2.k = CASE WHEN t.doc_id % 5 = 0 THEN t.tk % 13 + 1 ELSE t.tk END)""")
+""", ctes=TRUTH_CTE)
 def a28c(spark, sf_dir):
     """Confusion counts (accepted label, predicted label)."""
     t, p = _truth_pred(spark, sf_dir)
