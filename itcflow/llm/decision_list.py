@@ -26,7 +26,7 @@ from .common import SPACE, prepare, spare, utf8
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Labelled rows that a list is learned from, at most: those with the smallest hash of the id.
+#: Labelled rows that a list is learned from, at most.
 SAMPLE = 50_000
 
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -210,10 +210,13 @@ def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, most_tests: in
 
 def learn_from(labelled: DataFrame, id_col: str, label_col: str, sample: int = SAMPLE, **params) -> DecisionList:
     """A list from rows with the statistics, an id and a label (1 good, 0 bad;
-    other labels and null don't count). At most ``sample`` rows are collected."""
-    rows = (labelled.where(F.col(label_col).isin(0, 1)).select(
-                F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label_col).alias("label"), *STATISTICS)
-            .orderBy("h", "label", *STATISTICS).limit(sample).toPandas())
+    other labels and null don't count). At most ``sample`` rows are collected:
+    if there are more, those whose hash lies under the share that gives so many."""
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
+        F.xxhash64(F.col(id_col).cast("string"), *STATISTICS).alias("h"), F.col(label_col).alias("label"), *STATISTICS)
+    share = min(1.0, sample / max(1, rows.count()))
+    rows = (rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+                .orderBy("h", "label", *STATISTICS).limit(sample).toPandas())
     return learn(feature_table(rows), 1 - rows["label"].to_numpy(np.int64), **params)
 
 
