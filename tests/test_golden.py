@@ -183,13 +183,32 @@ def test_bank_layouts_and_fallback(spark):
     assert (t[(3, 1)].bank, t[(3, 1)].date, t[(3, 1)].category) == ("ICICI", "06-02-2024", "travel")
     r = t[(4, 2)]                                               # fallback: first date in cells 1-3, positive amounts
     # text = non-date cells among cells 2..4 (the amount "-5" is cell 5)
-    assert (r.bank, r.date, r.debit, r.credit, r.balance, r.description) == ("GENERIC", "07/02/24", 80.0, None, None,
+    assert (r.bank, r.date, r.debit, r.credit, r.balance, r.description) == ("AXIS", "07/02/24", 80.0, None, None,
                                                                             "Lunch nan")
     assert (4, 1) not in t
     r = t[(5, 1)]
     assert (r.bank, r.debit, r.credit, r.amount) == ("GENERIC", 12.0, 7.5, 12.0)
 
 
+def test_bank_of_all_pages_and_empty_statements(spark):
+    """A bank is found once, on all pages; nothing is lost on pages that don't
+    name it; statements without transactions have a summary, scans an error."""
+    from itcflow.operators import bank as B
+    rows = [
+        (1, 1, "HDFC Bank Ltd", ["03/02/2024", "NEFT rent May", "ref", "03/02/2024", "100.00", "", "5,000.00"]),
+        (1, 2, "Page 2", ["04/02/2024", "\tVendor bill\n", "ref", "04/02/2024", "50.00", "", "4,950.00"]),
+        (2, 1, "Kotak Mahindra", ["Opening", "balance"]),
+        (3, 1, " ", ["05/02/24", "misc", "12.00", "7.50"]), (3, 2, None, ["x"]),
+    ]
+    cells = spark.createDataFrame(rows, "statement_id long, row_no long, page_text string, cells array<string>")
+    tx = B.statement_transactions(cells)
+    got = {(r.statement_id, r.row_no): (r.bank, r.description, r.debit) for r in tx.collect()}
+    assert got == {(1, 1): ("HDFC", "NEFT rent May", 100.0), (1, 2): ("HDFC", "Vendor bill", 50.0), (3, 1): ("GENERIC", "misc", 12.0)}
+    summary = {r.statement_id: (r.bank, r.total_transactions, r.total_debit) for r in B.statement_summary(tx, cells).collect()}
+    assert summary == {1: ("HDFC", 2, 150.0), 2: ("KOTAK", 0, 0.0)}
+    assert [r.statement_id for r in B.unreadable_statements(cells).collect()] == [3]
+
+
 def test_inr_text(spark):
     from itcflow.functions import core as C
     df = spark.createDataFrame([(123456.5,), (1234.56,), (100.0,), (0.0,), (12345678.05,), (99999.9,)], "x double")
