@@ -203,7 +203,7 @@ def test_bank_of_all_pages_and_empty_statements(spark):
     cells = spark.createDataFrame(rows, "statement_id long, row_no long, page_text string, cells array<string>")
     tx = B.statement_transactions(cells)
     got = {(r.statement_id, r.row_no): (r.bank, r.description, r.debit) for r in tx.collect()}
-    assert got == {(1, 1): ("HDFC", "NEFT rent May", 100.0), (1, 2): ("HDFC", "Vendor bill", 50.0), (3, 1): ("GENERIC", "misc", 12.0)}
+    assert got == {(1, 1): ("HDFC", "NEFT rent May", 100.0), (1, 2): ("HDFC", "Vendor bill", 50.0), (3, 1): ("GENERIC", "misc 12.00 7.50", 12.0)}
     summary = {r.statement_id: (r.bank, r.total_transactions, r.total_debit) for r in B.statement_summary(tx, cells).collect()}
     assert summary == {1: ("HDFC", 2, 150.0), 2: ("KOTAK", 0, 0.0)}
     assert [r.statement_id for r in B.unreadable_statements(cells).collect()] == [3]
