@@ -49,27 +49,30 @@ def _confusion_map_sql() -> str:
     return "map(" + ", ".join(parts) + ")"
 
 
-def repaired(g: str, checksum: str = "reference") -> Column:
-    """F6 as one expression of a (cleaned) id column: struct(c, pos, chosen) of
-    the first look-alike variant that validates, NULL if none does.
+def with_repair(df: DataFrame, g: str, when: Column, checksum: str = "reference") -> DataFrame:
+    """F6 as projections: ``corrected`` = the first look-alike variant of a
+    (cleaned) 15-character id that validates, for rows where ``when`` holds.
 
     Order of trial = the application's: the first 8 confusable positions,
     options original-first, first position varying slowest. Options a
-    position can never hold in a valid GSTIN are dropped first, which keeps
-    the order of the others. The variants of one id are numbered 0 .. total - 1
-    and spelled and tested in that order; only the first valid one is kept.
+    position can never hold in a valid GSTIN are dropped first, and spellings
+    without a valid state code after two characters; both keep the order of
+    the others, and leave a handful of variants.
     """
     keys = _lit_array(fixed.OCR_CONFUSIONS.keys())
-    pos = (f"slice(filter(sequence(1, 15), i -> array_contains({keys}, substr({g}, i, 1))), 1, {fixed.OCR_MAX_POSITIONS})")
-    opts = (f"transform({pos}, p -> filter(element_at({_confusion_map_sql()}, substr({g}, p, 1)), "
-            f"ch -> ch rlike {_class_at('p')}))")
-    # variants as text, position by position: every spelling so far times every option
-    spelled = (f"aggregate(sequence(1, 15), array(''), (done, i) -> CASE WHEN array_position({pos}, i) > 0 THEN "
-               f"flatten(transform(done, d -> transform(element_at({opts}, cast(array_position({pos}, i) as int)), o -> concat(d, o)))) "
-               f"ELSE transform(done, d -> concat(d, substr({g}, i, 1))) END)")
-    fine = (f"c rlike '{fixed.GSTIN_PATTERN}' AND substr(c, 1, 2) IN ({', '.join(chr(39) + k + chr(39) for k in fixed.STATE_CODES)}) "
-            f"AND substr(c, 15, 1) = {chk_spark('substr(c, 1, 14)', fixed.CHECKSUM_FACTORS[checksum])}")
-    return F.expr(f"get(filter({spelled}, c -> {fine}), 0)")
+    states = ", ".join(f"'{k}'" for k in fixed.STATE_CODES)
+    pos = F.expr(f"slice(filter(sequence(1, 15), i -> array_contains({keys}, substr({g}, i, 1))), 1, {fixed.OCR_MAX_POSITIONS})")
+    # for every place of the id, what may stand there
+    opts = F.expr(f"transform(sequence(1, 15), i -> CASE WHEN array_contains(_pos, i) THEN filter(element_at({_confusion_map_sql()}, "
+                  f"substr({g}, i, 1)), ch -> ch rlike {_class_at('i')}) ELSE array(substr({g}, i, 1)) END)")
+    longer = "flatten(transform(done, d -> transform(o, ch -> concat(d, ch))))"
+    start = F.expr(f"filter(aggregate(slice(_opts, 1, 2), array(''), (done, o) -> {longer}), c -> c IN ({states}))")
+    spelled = F.expr(f"aggregate(slice(_opts, 3, 13), _start, (done, o) -> {longer})")
+    fine = (f"c rlike '{fixed.GSTIN_PATTERN}' AND substr(c, 15, 1) = "
+            f"{chk_spark('substr(c, 1, 14)', fixed.CHECKSUM_FACTORS[checksum])}")
+    x = df.withColumn("_pos", F.when(when & (F.length(g) == 15), pos)).withColumn("_opts", F.when(F.size("_pos") > 0, opts))
+    x = x.withColumn("_start", start).withColumn("_all", spelled)
+    return x.withColumn("corrected", F.expr(f"get(filter(_all, c -> {fine}), 0)")).drop("_pos", "_opts", "_start", "_all")
 
 
 def corrections(g: str, corrected: str) -> Column:
@@ -84,5 +87,5 @@ def repair(ids: DataFrame, g: str = "gstin", checksum: str = "reference", distin
     have a valid look-alike variant; no shuffle beyond the distinct."""
     base = ids.select(F.col(g).alias("_g")).filter(F.length("_g") == 15)
     base = base.distinct() if distinct else base
-    hit = base.withColumn("corrected", repaired("_g", checksum)).filter("corrected IS NOT NULL")
+    hit = with_repair(base, "_g", F.lit(True), checksum).filter("corrected IS NOT NULL")
     return hit.select(F.col("_g").alias(g), "corrected", corrections("_g", "corrected").alias("corrections"))

@@ -56,17 +56,14 @@ def find_duplicates(new: DataFrame, inv: DataFrame) -> DataFrame:
     never match and are joined to nothing; the incumbent is the smallest stored
     id. Stored invoices are reduced to one row per key, which carries the
     incumbent's date and total, so the join is 1:1 per incoming row."""
-    from .windows import incumbent
+    from .windows import incumbent, incumbents
     n = new.select("req_id", "user_id", F.trim(F.coalesce("invoice_no", F.lit(""))).alias("no"),
                    F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"))
-    s = inv.select("user_id", F.col("invoice_no").alias("no"), F.col("seller_gstin").alias("g"),
-                   incumbent().alias("row")).filter(F.col("no") != "")
-    first = F.min("row").alias("first")
-    asked = n.filter(F.col("no") != "")
-    with_g = asked.filter(F.col("g") != "").join(s.groupBy("user_id", "no", "g").agg(first), ["user_id", "no", "g"], "left")
-    without = asked.filter(F.col("g") == "").join(s.groupBy("user_id", "no").agg(first), ["user_id", "no"], "left")
+    s = inv.select("user_id", F.coalesce("invoice_no", F.lit("")).alias("no"), F.coalesce("seller_gstin", F.lit("")).alias("g"),
+                   incumbent().alias("row"))
+    asked = n.filter(F.col("no") != "").join(incumbents(s), ["user_id", "no", "g"], "left").select("req_id", "first")
     blank = n.filter(F.col("no") == "").select("req_id", F.lit(None).cast(s.schema["row"].dataType).alias("first"))
-    found = with_g.select("req_id", "first").unionByName(without.select("req_id", "first")).unionByName(blank)
+    found = asked.unionByName(blank)
     return found.select("req_id", F.col("first").isNotNull().alias("is_duplicate"), F.col("first.id").alias("existing_id"),
                         F.col("first.on").alias("existing_date"), F.col("first.total").alias("existing_total"))
 
@@ -117,7 +114,7 @@ def gstin_report(df: DataFrame, col: str, checksum: str = "reference", repair: b
                  ck["checksum_ok"].alias("checksum_ok"))
     ok = F.coalesce(F.col("checksum_ok") & (F.length("g") == 15), F.lit(False))
     if repair:
-        x = x.withColumn("corrected", F.when(~ok & (F.length("g") == 15), G.repaired("g", checksum)))
+        x = G.with_repair(x, "g", ~ok, checksum)
         x = x.withColumn("corrections", G.corrections("g", "corrected"))
     else:
         x = x.withColumn("corrected", F.lit(None).cast("string")) \

@@ -49,18 +49,13 @@ def mark_duplicates(inv: DataFrame) -> DataFrame:
 
     With a supplier GSTIN the key is (user, invoice_no, gstin); without one,
     (user, invoice_no) against any GSTIN. Blank invoice numbers never match.
-    One min-aggregate a key carries the incumbent's id, date and tax total, so
+    One min-aggregate per key carries the incumbent's id, date and tax total, so
     nothing is looked up by the incumbent afterwards; rows without a number
-    take no part in a join, and the two-column key is joined only to rows
-    without a GSTIN.
+    take no part in a join.
     """
     base = inv.select("id", "user_id", F.trim(F.coalesce("invoice_no", F.lit(""))).alias("no"),
-                      F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"), "date", "cgst", "sgst", "igst")
-    first = F.min(incumbent()).alias("first")
-    keyed = base.filter(F.col("no") != "")
-    with_g = keyed.filter(F.col("g") != "").join(keyed.groupBy("user_id", "no", "g").agg(first), ["user_id", "no", "g"])
-    without = keyed.filter(F.col("g") == "").join(keyed.groupBy("user_id", "no").agg(first), ["user_id", "no"])
-    found = with_g.select("id", "user_id", "first").unionByName(without.select("id", "user_id", "first"))
+                      F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"), incumbent().alias("row"))
+    found = base.filter(F.col("no") != "").join(incumbents(base), ["user_id", "no", "g"])
     dup = F.col("first.id") < F.col("id")
     marked = found.select("id", "user_id", dup.alias("is_duplicate"),
                           *[F.when(dup, F.col("first." + c)).alias(n) for c, n in
@@ -78,6 +73,15 @@ def incumbent():
                     D(F.round(C.itc_total(), 2)).alias("total"))
 
 
+def incumbents(rows: DataFrame) -> DataFrame:
+    """``user_id, no, g, first`` of rows with ``user_id, no, g, row``: the smallest
+    ``row`` per (user, number, GSTIN), and under a blank GSTIN the smallest per
+    (user, number) whatever the GSTIN. The second aggregate runs on the first."""
+    by_gstin = rows.filter(F.col("no") != "").groupBy("user_id", "no", "g").agg(F.min("row").alias("first"))
+    by_number = by_gstin.groupBy("user_id", "no").agg(F.min("first").alias("first")).withColumn("g", F.lit(""))
+    return by_gstin.filter(F.col("g") != "").unionByName(by_number)
+
+
 def running_itc(inv: DataFrame) -> DataFrame:
     """Ledger ITC of the save month after each save, in save order
     (created_at, id): a running sum per (user, month) done as a
