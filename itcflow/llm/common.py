@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared folder and read it back:
     cuts the lineage, pins the rows, and survives a lost executor."""
     spark = df.sparkSession
-    path = shared_dir(spark, f"itcflow-llm/{uuid.uuid4().hex}/{name}")
+    return _written(df, shared_dir(spark, f"itcflow-llm/{uuid.uuid4().hex}/{name}"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(df: DataFrame, name: str):
+    """``materialize`` for a large table that nothing needs after the block."""
+    spark = df.sparkSession
+    path = shared_dir(spark, f"itcflow-llm/{uuid.uuid4().hex}/{name}")
+    yield _written(df, path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spare(df: DataFrame, stem: str) -> str:

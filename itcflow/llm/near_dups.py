@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dartminhash as D
-from .common import materialize, prepare, spare, utf8
+from .common import materialize, passing, prepare, spare, utf8
 from .components import components
 
 #: Bounds of one block of a bucket's members; a larger bucket is cut into
@@ -161,9 +161,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     schema = T.StructType([T.StructField("id", kind), T.StructField("r", T.LongType()),
                            T.StructField("c", T.BinaryType()), T.StructField("n", T.LongType()),
                            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("el", T.BinaryType())])
-    sig = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("r"), utf8(text_col).alias("t"))
-                          .mapInArrow(_signatures(k, band, shingle, weighting), schema), "signatures")
-    some = sig.where("c is not null")
+    signed = (docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("r"), utf8(text_col).alias("t"))
+                  .mapInArrow(_signatures(k, band, shingle, weighting), schema))
+    with passing(signed, "signatures") as sig:  # of use until the links are known
+        ids = materialize(sig.select("id", "c"), "ids")
+        links = materialize(_linked(sig.where("c is not null"), threshold), "links")
+    some = ids.where("c is not null")
+    root = components(links)
+    low = some.groupBy("c").agg(F.min("id").alias("low")).join(root.withColumnRenamed("node", "c"), "c", "left")
+    low = low.select("c", "low", F.coalesce("root", "c").alias("root"))
+    classes = low.join(low.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("c", "class_id")
+    alone = ids.where("c is null").select("id", F.col("id").alias("class_id"))
+    return (some.join(classes, "c").select("id", "class_id").unionByName(alone)
+                .withColumnRenamed("id", id_col))
+
+
+def _linked(some: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links between distinct texts that connect all that are similar."""
     texts = materialize(some.groupBy("c").agg(F.min("r").alias("r"), F.first("n").alias("n"),
                                               F.first("bands").alias("bands")), "texts")
     keys = texts.select("c", "r", "n", F.explode("bands").alias("key"))
@@ -181,14 +195,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                             (F.col("mine") > F.col("other")).alias("right"), "c")
                     .join(el, "c").select("key", "i", "j", "right", "c", "el")
                     .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "c"))
-    links = materialize(paired.mapInArrow(_links(threshold), "a binary, b binary").distinct(), "links")
-    root = components(links)
-    low = some.groupBy("c").agg(F.min("id").alias("low")).join(root.withColumnRenamed("node", "c"), "c", "left")
-    low = low.select("c", "low", F.coalesce("root", "c").alias("root"))
-    classes = low.join(low.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("c", "class_id")
-    alone = sig.where("c is null").select("id", F.col("id").alias("class_id"))
-    return (some.select("id", "c").join(classes, "c").select("id", "class_id").unionByName(alone)
-                .withColumnRenamed("id", id_col))
+    return paired.mapInArrow(_links(threshold), "a binary, b binary").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
