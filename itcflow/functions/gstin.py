@@ -70,9 +70,11 @@ def with_repair(df: DataFrame, g: str, when: Column, checksum: str = "reference"
     spelled = F.expr(f"aggregate(slice(_opts, 3, 13), _start, (done, o) -> {longer})")
     fine = (f"c rlike '{fixed.GSTIN_PATTERN}' AND substr(c, 15, 1) = "
             f"{chk_spark('substr(c, 1, 14)', fixed.CHECKSUM_FACTORS[checksum])}")
-    x = df.withColumn("_pos", F.when(when & (F.length(g) == 15), pos)).withColumn("_opts", F.when(F.size("_pos") > 0, opts))
-    x = x.withColumn("_start", start).withColumn("_all", spelled)
-    return x.withColumn("corrected", F.expr(f"get(filter(_all, c -> {fine}), 0)")).drop("_pos", "_opts", "_start", "_all")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a filter on the result is not pushed below, so each step is computed once
+    x = df.withColumn("_pos", once(F.when(when & (F.length(g) == 15), pos)))
+    x = x.withColumn("_opts", once(F.when(F.size("_pos") > 0, opts))).withColumn("_start", once(start))
+    x = x.withColumn("_all", once(spelled)).withColumn("corrected", once(F.expr(f"get(filter(_all, c -> {fine}), 0)")))
+    return x.drop("_pos", "_opts", "_start", "_all")
 
 
 def corrections(g: str, corrected: str) -> Column:
