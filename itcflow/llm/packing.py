@@ -5,7 +5,8 @@ sequences as they are. The rests are dealt by hash to groups of about
 ``WINDOWS`` windows. In a group, every rest starts as a partition of the windows
 with one filled; the two partitions with the widest spread are merged again and
 again, the fullest window of one with the emptiest of the other, until one is
-left. If its fullest window exceeds the capacity, the group is solved again
+left. Windows that come out a little above the capacity swap an item for a
+smaller one of another window; if that doesn't help, the group is solved again
 with one window more.
 
 Null and empty texts have the end id only. Repeated rows are packed one by one.
@@ -32,7 +33,10 @@ from .token_ids import TokenIds
 
 CAPACITY = 4096
 END = 2
-WINDOWS = 128
+WINDOWS = 256
+
+#: Swaps tried before a group gets one window more.
+SWAPS = 2000
 
 #: Rests shorter than this are merged into bundles first, so that a group of
 #: very short texts has no more items than others.
@@ -94,6 +98,29 @@ def differencing(sizes: list[int], k: int) -> tuple[list[int], int]:
     return window, int(heap[0][2][0])
 
 
+def relieve(sizes: list[int], window: list[int], k: int, capacity: int) -> list[int] | None:
+    """The windows after swaps that bring the fullest one down until none is
+    above the capacity; None if no swap helps any more."""
+    size, where = np.array(sizes), np.array(window)
+    load = np.bincount(where, size, k).astype(np.int64)
+    for _ in range(SWAPS):
+        full = int(load.argmax())
+        if load[full] <= capacity:
+            return where.tolist()
+        mine, other = np.flatnonzero(where == full), np.flatnonzero(where != full)
+        less = size[mine][:, None] - size[other][None, :]
+        after = np.maximum(load[full] - less, load[where[other]][None, :] + less)  # the larger of the two loads
+        after = np.where(less > 0, after, load[full])
+        i, j = np.unravel_index(int(after.argmin()), after.shape)
+        if after[i, j] >= load[full]:
+            return None
+        a, b = mine[i], other[j]
+        load[full] -= less[i, j]
+        load[where[b]] += less[i, j]
+        where[a], where[b] = where[b], full
+    return None
+
+
 def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE) -> list[int]:
     """A window for each size (1 .. capacity), with no window above the capacity."""
     items: list[list[int]] = []
@@ -113,7 +140,8 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE)
     k = max(1, math.ceil(sum(loads) / capacity), sum(2 * x > capacity for x in loads))
     while True:
         window, most = differencing(loads, k)
-        if most <= capacity:
+        window = window if most <= capacity else relieve(loads, window, k, capacity)
+        if window is not None:
             break
         k += 1
     out = [0] * len(sizes)
