@@ -40,7 +40,7 @@ SWAPS = 2000
 
 #: Rests shorter than this are merged into bundles first, so that a group of
 #: very short texts has no more items than others.
-BUNDLE = 128
+BUNDLE = 16
 
 
 def _pieces(capacity: int, end: int, path: str | None):
