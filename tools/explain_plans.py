@@ -26,8 +26,8 @@ def main():
     items = [
         ("A6 GSTR-3B split, one filing month", A.gstr3b_totals(m.invoices, "dashboard", "2000-05")),
         ("A4 client roll-up", A.client_summary(m.users, m.invoices, m.ledger, "2000-05")),
-        ("W1 anomalies (size-checked broadcast of per-CA means, partial top-k)", W.invoice_anomalies(v)),
-        ("W3 duplicate marking (aggregates + joins)", W.mark_duplicates(m.invoices)),
+        ("W1 anomalies (join of per-CA means, partial top-k)", W.invoice_anomalies(v)),
+        ("W3 duplicate marking (one aggregate chain, one join)", W.mark_duplicates(m.invoices)),
         ("W4 running ITC (distributed prefix sum)", W.running_itc(m.invoices)),
         ("T2 newest 6 per CA (partial WindowGroupLimit)", W.recent(v)),
         ("F8 keyword classification of documents", CL.classify_keywords(
