@@ -4,8 +4,9 @@ The tokenizer of ``word_bpe_49k.json`` drops white space and never merges
 across it, so a text's ids are those of its blank-separated chunks, one after
 the other. A worker keeps the ids of chunks and words it has met. New chunks of
 Latin letters, digits and ASCII signs are cut by the file's own pattern and
-each word goes to the file's merges once; all other chunks go through the
-whole tokenizer. ``tests/llm`` holds the ids against ``encode`` on whole texts.
+each word goes to the file's merges once; all other chunks, and those that hold
+one of the file's added tokens (``<|endoftext|>``), go through the whole
+tokenizer. ``tests/llm`` holds the ids against ``encode`` on whole texts.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ class TokenIds:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.I)
         self.model = self.tokenizer.model
         self.shown = byte_characters()
         self.words = Kept(self._word)
@@ -70,7 +72,7 @@ class TokenIds:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
-        if len(text) < 200 and _PLAIN.fullmatch(text):
+        if len(text) < 200 and _PLAIN.fullmatch(text) and not self.added.search(text):
             return b"".join([self.words[w] for w in _WORDS.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -314,6 +314,24 @@ def test_packing_edges(spark):
     assert pack(docs(spark, [])).count() == 0
 
 
+def test_packing_reads_added_tokens_as_the_file_does(spark, monkeypatch):
+    import public_tokenizers
+    from itcflow.llm.packing import pack
+    from itcflow.llm.token_ids import TokenIds
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = TokenIds()
+    assert np.frombuffer(ids.of(b"one <|endoftext|> two"), "<u4").tolist() == [637, 49407, 1237]
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "It", "'s", " ", "\n", "é", "\u0301", "日", "12", "x" * 210]
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(ids_of, "t", plain, raising=False)
+    data = EDGE + [(30, "Don't we'll l'été <|endoftext|> “quotes” ½ ﬁ İ ǅ 日本語 é a b x_y 12-3 'tis 'LL", "a"), (31, "a<|startoftext|>b " * 3000, "a")]
+    check_packing(rows(pack(docs(spark, data, extra=True))), [(i, t) for i, t, _ in data], 1)
+
+
 def test_differencing_never_exceeds_the_capacity():
     from itcflow.llm.packing import differencing, pack_group
     rng = random.Random(4)
