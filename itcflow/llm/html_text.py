@@ -9,8 +9,9 @@ tree, trained when the operator is called on the small labelled table
 
 Null and empty pages give an empty text, and so do pages without an article.
 Broken markup is read as it comes: an end tag without its start is passed over,
-an unclosed element ends with the one around it, and what stands in an article
-or a main element is judged by the marks inside that element only.
+an unclosed element ends with the one around it, a head without an end at the
+first element that can't stand in it, and what stands in an article or a main
+element is judged by the marks inside that element only.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile("hidden|none", re.I)
+_HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -46,6 +49,10 @@ _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
                  "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: A paragraph also ends where one of these begins.
 _ENDS_P = BLOCK - {"br", "body", "html", "head"}
+#: Elements that can stand in a head, and end tags that end one.
+_IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "script", "style", "noscript", "noframes",
+            "template"}
+_ENDS_HEAD = {"body", "html", "br"}
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "search"}
 
 #: Parts of class and id names, by what they mark.
@@ -83,6 +90,18 @@ _MARKS = ("article", "frame", "advert", "notice", "aside", "comment")
 _HEADED = {"article", "post", "entry", "story"}
 
 
+def _hidden(rest: str) -> bool:
+    """Whether a tag's attributes hide its element; the words in other values don't."""
+    if not _MAY_HIDE.search(rest):
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if (name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true"
+                or name == "style" and _HIDING_STYLE.search(value)):
+            return True
+    return False
+
+
 def _marks(tag: str, rest: str) -> dict[str, bool]:
     parts: set[str] = set()
     if rest and tag not in ("html", "body"):
@@ -92,7 +111,7 @@ def _marks(tag: str, rest: str) -> dict[str, bool]:
     head = tag == "header" or ("header" in parts and not parts & _HEADED)
     return {"article": tag in ("article", "main") or (bool(parts & ARTICLE) and not comment and not head),
             "frame": tag in FRAME or head, "head": head and tag not in FRAME, "advert": bool(parts & ADVERT),
-            "notice": bool(parts & NOTICE) or bool(_HIDDEN.search(rest)),
+            "notice": bool(parts & NOTICE) or _hidden(rest),
             "aside": bool(parts & ASIDE), "comment": comment}
 
 
@@ -131,6 +150,12 @@ def blocks(page: str) -> list[Block]:
             runs.append((html.unescape(page[at:m.start()]), in_link))
         at = m.end()
         tag = (m["tag"] or "").lower()
+        if in_head:
+            name = tag or (m["raw"] or "").lower()
+            if tag == "body" and not m["end"]:
+                close()
+            if name and (name in _ENDS_HEAD if m["end"] else name not in _IN_HEAD):
+                in_head = False
         if not tag:
             continue
         if tag == "a":
@@ -152,8 +177,6 @@ def blocks(page: str) -> list[Block]:
         if tag == "head":
             in_head = not m["end"]
             continue
-        if tag == "body":
-            in_head = False
         if tag in VOID:
             continue
         if m["end"]:
@@ -173,6 +196,7 @@ def blocks(page: str) -> list[Block]:
             settle()
     if at < len(page):
         runs.append((html.unescape(page[at:]), in_link))
+    in_head = False
     close()
     return out
 

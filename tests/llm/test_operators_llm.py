@@ -450,6 +450,28 @@ def test_main_text():
     assert blocks("") == []
 
 
+def test_main_text_hidden_parts_and_open_heads():
+    from itcflow.llm.html_labels import _L, _S
+    from itcflow.llm.html_text import _hidden, labelled_blocks, main_text, train
+    tree = train(*labelled_blocks())
+    want = f"{_L}\n\n{_S}\n\n{_L}"
+    body = f"<p>{_L}</p><p>{_S}</p><p>{_L}</p>"
+    for shown in (' style="overflow: hidden"', ' title="The hidden valley"', " style='overflow-x: hidden; color: red'", " data-x='aria-hidden=true'",
+                  " hidden=false", ' title="display: none"', " data-hidden", ' alt="a hidden=1 b"', ' aria-hidden="false"'):
+        assert not _hidden(shown), shown
+        assert main_text(f"<article><div{shown}>{body}</div></article>", tree) == want, shown
+        assert main_text(f"<div{shown}>{body}</div>", tree) == want, shown
+    for gone in (" hidden", " HIDDEN=''", ' class="a" hidden id=b', ' style="color:red; display : none"', " style=visibility:hidden",
+                 " style='visibility: hidden'", ' aria-hidden="true"', " aria-hidden=true", ' hidden="until-found"'):
+        assert _hidden(gone), gone
+        assert main_text(f"<article>{body}<div{gone}>{_S}</div></article>", tree) == want, gone
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><link rel=x><style>p{}</style>"
+    for page in (f"{head}{body}", f"{head}<article>{body}</article></html>", f"{head}<svg></svg>{body}", f"{head}</head>{body}", f"{head}<body>{body}",
+                 f"{head}not shown</head><body>{body}"):
+        assert main_text(page, tree) == want, page
+    assert main_text(f"{head}{_L} <b>{_S}</b> {_L}", tree) == f"{_L} {_S} {_L}"
+
+
 def test_pages_table(spark):
     import html
 
