@@ -19,7 +19,11 @@ from itcflow.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language; null texts and texts without a letter go."""
+    """Keeps the documents that have a language; null texts and texts without a letter go.
+
+    As soon as one language is learned this equals a letter test: the score doesn't
+    decide, and a text in a language that was not learned stays. Where no document
+    has a language to learn, all go."""
     return identify(docs, learn_from_documents(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
