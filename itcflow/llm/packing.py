@@ -7,7 +7,9 @@ with one filled; the two partitions with the widest spread are merged again and
 again, the fullest window of one with the emptiest of the other, until one is
 left. Windows that come out a little above the capacity swap an item for a
 smaller one of another window; if that doesn't help, the group is solved again
-with one window more.
+with one window more. Where whole rests would leave more than one window in a
+hundred (and more than two) empty, some are cut at multiples of ``GRAIN`` tokens,
+so that their parts fill the gaps.
 
 Null and empty texts have the end id only. Repeated rows are packed one by one.
 An empty table gives an empty result.
@@ -42,13 +44,36 @@ SWAPS = 2000
 #: very short texts has no more items than others.
 BUNDLE = 16
 
+#: Rests are cut at multiples of so many tokens only: checksums up to these are kept.
+GRAIN = 32
+
+
+def _marks(piece: bytes) -> bytes:
+    """The checksums of a piece's first 1, 2, 3 … times ``GRAIN`` tokens."""
+    view, step, crc, out = memoryview(piece), 4 * GRAIN, 0, []
+    for at in range(0, len(piece) - step, step):
+        crc = zlib.crc32(view[at:at + step], crc)
+        out.append(crc)
+    return np.array(out, "<u4").tobytes()
+
+
+def _part_crc(marks: bytes, whole: int, length: int, start: int, end: int) -> int:
+    """The checksum of the tokens ``start`` to ``end`` of a piece; both are
+    multiples of ``GRAIN`` or an end of the piece."""
+    at = np.frombuffer(marks, "<u4")
+    upto = whole if end == length else int(at[end // GRAIN - 1])
+    if start == 0:
+        return upto
+    zeros = bytes(4 * (end - start))  # takes out what the tokens before have added
+    return upto ^ zlib.crc32(zeros, int(at[start // GRAIN - 1])) ^ zlib.crc32(zeros)
+
 
 def _pieces(capacity: int, end: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tail = TokenIds(path), np.array([end], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            doc, out = [], []
+            doc, out, marks = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 tokens = ids.of(text) + tail
                 n = len(tokens) // 4
@@ -56,11 +81,12 @@ def _pieces(capacity: int, end: int, path: str | None):
                     piece = tokens[4 * start:4 * (start + capacity)]
                     doc.append(i)
                     out.append((row, start, len(piece) // 4, zlib.crc32(piece), n))
+                    marks.append(_marks(piece) if len(piece) < 4 * capacity else None)
                     row += 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc, pa.int64())),
-                 *[pa.array([x[c] for x in out], pa.int64()) for c in range(5)]],
-                names=["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
+                 *[pa.array([x[c] for x in out], pa.int64()) for c in range(5)], pa.array(marks, pa.binary())],
+                names=["id", "row", "start", "length", "ids_crc32", "doc_tokens", "marks"])
     return run
 
 
@@ -121,8 +147,8 @@ def relieve(sizes: list[int], window: list[int], k: int, capacity: int) -> list[
     return None
 
 
-def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE) -> list[int]:
-    """A window for each size (1 .. capacity), with no window above the capacity."""
+def _items(sizes: list[int], bundle: int) -> list[list[int]]:
+    """The sizes' indices, the largest first; short ones in bundles."""
     items: list[list[int]] = []
     small: list[int] = []
     held = 0
@@ -135,10 +161,18 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE)
         if held >= bundle:
             items.append(small)
             small, held = [], 0
-    items += [[i] for i in small]
+    return items + [[i] for i in small]
+
+
+def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE, most_windows: int | None = None) -> list[int] | None:
+    """A window for each size (1 .. capacity), with no window above the capacity;
+    None if that would take more windows than ``most_windows``."""
+    items = _items(sizes, bundle)
     loads = [sum(sizes[i] for i in item) for item in items]
     k = max(1, math.ceil(sum(loads) / capacity), sum(2 * x > capacity for x in loads))
     while True:
+        if most_windows is not None and k > most_windows:
+            return None
         window, most = differencing(loads, k)
         window = window if most <= capacity else relieve(loads, window, k, capacity)
         if window is not None:
@@ -151,10 +185,61 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE)
     return out
 
 
+def cut_group(sizes: list[int], capacity: int = CAPACITY, bundle: int = BUNDLE, grain: int = GRAIN) -> list[tuple[int, int, int, int]]:
+    """``index, start, end, window`` of the parts of all sizes. As many as fit
+    stay whole, each in the fullest window that takes it; the others are cut at
+    multiples of ``grain`` into what is free, less than ``grain`` of which stays
+    empty in a window before the last one used."""
+    items = _items(sizes, bundle)
+    k = max(1, math.ceil(sum(sizes) / capacity))
+    while True:
+        free, parts, left = np.full(k, capacity, np.int64), [], []
+        for item in items:
+            load = sum(sizes[i] for i in item)
+            w = int(np.where(free >= load, free, capacity + 1).argmin())
+            if free[w] < load:
+                left += item
+                continue
+            free[w] -= load
+            parts += [(i, 0, sizes[i], w) for i in item]
+        w = 0
+        for i in left:
+            start = 0
+            while start < sizes[i] and w < k:
+                room = int(free[w])
+                take = sizes[i] - start if sizes[i] - start <= room else room // grain * grain
+                if take:
+                    parts.append((i, start, start + take, w))
+                    start += take
+                    free[w] -= take
+                if start < sizes[i]:
+                    w += 1
+            if start < sizes[i]:
+                break
+        else:
+            return parts
+        k += 1
+
+
+def _cut(rests: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The parts of the rests as rows of their own, with their windows."""
+    parts = sorted(cut_group(rests["length"].tolist(), capacity))
+    at, start, end, window = (list(x) for x in zip(*parts, strict=True))
+    out = rests.iloc[at].reset_index(drop=True)
+    out["ids_crc32"] = [_part_crc(m, c, n, a, b) for m, c, n, a, b in
+                        zip(out["marks"], out["ids_crc32"], out["length"], start, end, strict=True)]
+    out["start"] += np.array(start)
+    out["length"] = np.array(end) - np.array(start)
+    out["window"] = window
+    return out
+
+
 def _packed(capacity: int):
     def run(rests: pd.DataFrame) -> pd.DataFrame:
         rests = rests.sort_values("row", ignore_index=True)
-        rests["window"] = pack_group(rests["length"].tolist(), capacity)
+        least = math.ceil(rests["length"].sum() / capacity)
+        window = pack_group(rests["length"].tolist(), capacity, most_windows=least + max(2, least // 100))
+        rests = _cut(rests, capacity) if window is None else rests.assign(window=window)
         before = rests.groupby("window")["length"].cumsum() - rests["length"]
         rests["sequence_id"] = (rests["bucket"] * (1 << 20) + rests["window"]) * 2
         rests["offset"] = before
@@ -170,7 +255,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     longs = ["row", "start", "length", "ids_crc32", "doc_tokens"]
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in longs]])
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in longs],
+                           T.StructField("marks", T.BinaryType())])
     pieces = materialize(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t"))
                              .mapInArrow(_pieces(capacity, end, tokenizer), schema), "pieces")
     rests = pieces.where(F.col("length") < capacity)

@@ -346,6 +346,38 @@ def test_differencing_never_exceeds_the_capacity():
     assert max(loads) == most == 16
 
 
+def test_long_rests_are_cut_to_fill_the_windows(spark):
+    from itcflow.llm.packing import cut_group, pack
+    rng = random.Random(6)
+    for sizes in ([2100] * 500, [1400] * 700, [4095] * 50, [2049, 31] * 300, [rng.choice([3, 2100, 3000]) for _ in range(2000)]):
+        load, covered = collections.Counter(), collections.defaultdict(list)
+        for i, start, end, w in cut_group(sizes):
+            load[w] += end - start
+            covered[i].append((start, end))
+        for i, n in enumerate(sizes):
+            ends = sorted(covered[i])
+            assert ends[0][0] == 0 and ends[-1][1] == n and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+        assert max(load.values()) <= 4096 and len(load) <= math.ceil(sum(sizes) / 4096) * 1.01 + 1
+    data = [(i, "one " * (2100 + i % 3 * 50) + VOC[i % 9], "a") for i in range(100)]
+    ids = {i: ids_of(t) for i, t, _ in data}
+    out = rows(pack(docs(spark, data, extra=True)))
+    texts, windows = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        part = ids[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        texts[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, x in ids.items():
+        parts = sorted(texts[i])
+        assert [p[0] for p in parts] == [sum(p[1] for p in parts[:n]) for n in range(len(parts))]
+        assert sum(p[1] for p in parts) == len(x) and {p[2] for p in parts} == {len(x)}
+    for parts in windows.values():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(p[1] for p in parts[:n]) for n in range(len(parts))]
+        assert sum(p[1] for p in parts) <= 4096
+    assert len(windows) <= math.ceil(sum(map(len, ids.values())) / 4096) + 1
+
+
 # --- 7 decision lists ---------------------------------------------------------------------------
 
 def brute_statistics(text):
