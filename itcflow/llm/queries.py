@@ -19,6 +19,8 @@ from .near_dups import near_duplicate_classes
 from .packing import pack
 from .perspectives import SQL as CHAT_SQL
 from .perspectives import mask_text, perspectives
+from .prefix_trie import SQL as TRIE_SQL
+from .prefix_trie import prefix_trie, rebuilt
 from .segment_search import top_k
 from .wordpiece_count import from_byte_level, token_counts
 
@@ -115,3 +117,12 @@ def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_SQL["op2_perspectives"] = CHAT_SQL
+
+
+@registered
+def op11_veb_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, one row a node."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), sequences=rebuilt)
+
+
+LLM_SQL["op11_veb_trie"] = TRIE_SQL
