@@ -200,7 +200,7 @@ def build_trie(turns: DataFrame, ends: DataFrame) -> DataFrame:
     root = classes.limit(1).select(long(top).alias("conv_id"), long(0).alias("depth"), long(None).alias("parent_conv_id"),
                                    long(total).alias("n_convs"), long(0).alias("chars"))
     if names:
-        every = reduce(DataFrame.unionByName, names)
+        every = materialize(reduce(DataFrame.unionByName, names), "names")
         nodes = every.groupBy(F.col("name").alias("conv_id"), "depth").agg(F.sum("w").alias("n_convs"), F.max("chars").alias("chars"))
         above = every.select(F.col("conv").alias("conv_id"), (F.col("depth") + 1).alias("depth"), F.col("name").alias("parent_conv_id"))
         nodes = nodes.join(above, ["conv_id", "depth"], "left").withColumn(
@@ -221,7 +221,7 @@ def build_trie(turns: DataFrame, ends: DataFrame) -> DataFrame:
     for z in range(rounds):
         cut = (reduce(DataFrame.unionByName, [p.where(_at(z)) for p in parts]).groupBy("conv_id", "depth").agg(*added)
                .withColumn("cell", F.floor(F.col("depth") / 2 ** z) - 1))
-        upper = every.select(F.col("conv").alias("conv_id"), F.floor(F.col("depth") / 2 ** z).alias("cell"),
+        upper = every.where(F.floor(F.col("depth") / 2 ** z) % 2 == 0).select(F.col("conv").alias("conv_id"), F.floor(F.col("depth") / 2 ** z).alias("cell"),
                              F.col("depth").alias("to"), "name")
         graft = cut.join(upper, ["conv_id", "cell"]).select(F.col("name").alias("conv_id"), F.col("to").alias("depth"), *totals)
         graft = graft.unionByName(cut.where(F.col("cell") == 0).select(long(top).alias("conv_id"), long(0).alias("depth"), *totals))

@@ -14,6 +14,8 @@ from .html_text import extract
 from .hyper_lang import held_out, identify, learn_from_documents
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import dedup_lines
+from .link_graph import SQL as LINK_SQL
+from .link_graph import judge
 from .mixing import mixing_plan, with_copies
 from .near_dups import near_duplicate_classes
 from .packing import pack
@@ -22,6 +24,8 @@ from .perspectives import mask_text, perspectives
 from .prefix_trie import SQL as TRIE_SQL
 from .prefix_trie import prefix_trie, rebuilt
 from .segment_search import top_k
+from .strassen_negatives import SQL as NEGATIVES_SQL
+from .strassen_negatives import mine
 from .wordpiece_count import from_byte_level, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +130,23 @@ def op11_veb_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_SQL["op11_veb_trie"] = TRIE_SQL
+
+
+@registered
+def op12_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five best positives of every vector whose id is divisible by 100."""
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label)
+
+
+LLM_SQL["op12_strassen_negatives"] = NEGATIVES_SQL
+
+
+@registered
+def op13_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls: page_id, host, path, rule, verdict."""
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+LLM_SQL["op13_link_graph"] = LINK_SQL
