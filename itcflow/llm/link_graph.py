@@ -5,11 +5,12 @@ judged by their host: trust spreads from hosts whose pages the rules allow along
 links (who trusted hosts link to is trusted), distrust from hosts whose pages the
 rules block against them (who links to blocked hosts is distrusted). Both are
 personalised PageRanks over host edges. A host is blocked where distrust makes
-up at least ``threshold`` hundredths of what the same walk from all hosts
-brings there, and a larger part than trust does of its own walk.
+up more than ``threshold`` hundredths of what the same walk from all hosts with a
+page under a rule brings there, and a larger part than trust does of its own walk.
 
 A host is a seed by the share of its pages that have such a rule, so a rule for
-one path of a host weighs as little as that path does.
+one path of a host weighs as little as that path does. Hosts without any page
+under a rule start no walk: they are judged by what reaches them alone.
 
 Ranks are whole numbers of ``UNIT``; what an edge carries is rounded down. Sums
 then don't depend on the order of the rows, and a walk ends when nothing is left
@@ -39,7 +40,7 @@ UNIT = 10 ** 8
 #: Share of a rank that goes on along links, in hundredths.
 DAMPING = 85
 ROUNDS = 24
-#: Least share of distrust that blocks a host, in hundredths.
+#: A host is blocked by a larger share of distrust than this, in hundredths.
 THRESHOLD = 50
 #: The pages of one host are dealt to this many tasks when they get its verdict.
 SALTS = 32
@@ -95,43 +96,42 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: int = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``host, trust, trust_of, distrust, distrust_of``: ranks of the walks from
-    the seeds and of the same walks from all hosts.
+    the seeds and of the same walks from all hosts with a page under a rule.
 
-    ``seeds``: host, n (pages), n_allow, n_block; ``edges``: src, dst. Hosts that
-    are only linked to hand out nothing of their own to begin with but pass on
-    what they get. Walks go along links (trust) and against them (distrust);
+    ``seeds``: host, n (pages), n_allow, n_block; ``edges``: src, dst. Other hosts
+    hand out nothing of their own but pass on what they get. Walks go along links (trust) and against them (distrust);
     what a host without a way on gets stays there."""
     both = edges.select(F.lit(True).alias("along"), "src", "dst").unionByName(
         edges.select(F.lit(False).alias("along"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     ways = both.groupBy("along", "src").agg(F.count(F.lit(1)).alias("ways"))
     own = UNIT * (100 - damping) // 100
-    share = lambda c: F.floor(own * F.col(c) / F.col("n"))
+    share = lambda c: F.expr(f"{own}L * {c} div n")
     start = F.explode(F.array(F.struct(F.lit(True).alias("along"), share("n_allow").alias("part")),
                               F.struct(F.lit(False).alias("along"), share("n_block").alias("part"))))
-    frontier = materialize(seeds.select("host", start.alias("s")).select(
-        "s.along", "host", F.col("s.part").cast("long").alias("part"), F.lit(own).cast("long").alias("all")), "walk0")
+    frontier = materialize(seeds.where("n_allow + n_block > 0").select("host", start.alias("s")).select(
+        "s.along", "host", "s.part", F.lit(own).cast("long").alias("total")), "walk0")
     steps = [frontier]
     ways = materialize(ways, "ways")
     both = materialize(both, "edges")
     for step in range(1, rounds + 1):
         give = frontier.join(ways.withColumnRenamed("src", "host"), ["along", "host"]).select(
-            "along", F.col("host").alias("src"), *[F.expr(f"{c} * {damping} div (100 * ways)").alias(c) for c in ("part", "`all`")])
+            "along", F.col("host").alias("src"), *[F.expr(f"{c} * {damping} div (100 * ways)").alias(c) for c in ("part", "total")])
         frontier = materialize(
-            both.join(give.where("`all` > 0"), ["along", "src"]).groupBy("along", F.col("dst").alias("host"))
-                .agg(F.sum("part").alias("part"), F.sum("`all`").alias("all")), f"walk{step}")
+            both.join(give.where("total > 0"), ["along", "src"]).groupBy("along", F.col("dst").alias("host"))
+                .agg(F.sum("part").alias("part"), F.sum("total").alias("total")), f"walk{step}")
         if frontier.isEmpty():
             break
         steps.append(frontier)
-    total = lambda c, along: F.coalesce(F.sum(F.when(F.col("along") == along, F.col(c))), F.lit(0))
+    got = lambda c, along: F.coalesce(F.sum(F.when(F.col("along") == along, F.col(c))), F.lit(0))
     return reduce(DataFrame.unionByName, steps).groupBy("host").agg(
-        total("part", True).alias("trust"), total("all", True).alias("trust_of"),
-        total("part", False).alias("distrust"), total("all", False).alias("distrust_of"))
+        got("part", True).alias("trust"), got("total", True).alias("trust_of"),
+        got("part", False).alias("distrust"), got("total", False).alias("distrust_of"))
 
 
 def distrusted(threshold: int = THRESHOLD) -> Column:
     """Whether a host's ranks block it: exact, in products of whole numbers."""
     t, t_of, d, d_of = (F.col(c).cast("decimal(19, 0)") for c in ("trust", "trust_of", "distrust", "distrust_of"))
-    return (d > 0) & (100 * d >= threshold * d_of) & (d * t_of > t * d_of)
+    return (100 * d > threshold * d_of) & (d * F.greatest(t_of, F.lit(1)) > t * d_of)
 
 
 def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: int = DAMPING,
@@ -176,14 +176,14 @@ def _sql(rounds: int = ROUNDS) -> str:
 WITH RECURSIVE r AS (SELECT page_id, coalesce(regexp_extract(url, '{_REST}', 1), '') AS rest, coalesce(html, '') AS html FROM pages),
 u AS (SELECT page_id, {host('rest')} AS host, regexp_extract(rest, '{_PATH}', 1) AS path, html FROM r),
 v AS (SELECT page_id, host, path, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS verdict FROM u),
-s AS (SELECT host, count(*) AS n, count_if(verdict = 'allow') AS a, count_if(verdict = 'block') AS b FROM v WHERE host <> '' GROUP BY host),
+s AS (SELECT host, count(*) AS n, count_if(verdict = 'allow') AS a, count_if(verdict = 'block') AS b FROM v WHERE host <> '' GROUP BY host HAVING count(verdict) > 0),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(regexp_replace(html, '{_SILENT}', ' ', 'g'), '{quoted(_LINK)}', 1)),
                                     '{_UPPER}', '{_LOWER}') AS dst FROM u),
 d AS (SELECT DISTINCT src, dst FROM l WHERE src <> '' AND dst <> '' AND src <> dst),
 e AS (SELECT true AS along, src, dst FROM d UNION ALL SELECT false, dst, src FROM d),
 w AS (SELECT e.*, count(*) OVER (PARTITION BY along, src) AS ways FROM e),
-walk AS (SELECT 0 AS step, true AS along, host, CAST(floor({own}.0 * a / n) AS BIGINT) AS part, CAST({own} AS BIGINT) AS total FROM s
-         UNION ALL SELECT 0, false, host, CAST(floor({own}.0 * b / n) AS BIGINT), CAST({own} AS BIGINT) FROM s
+walk AS (SELECT 0 AS step, true AS along, host, {own} * a // n AS part, CAST({own} AS BIGINT) AS total FROM s
+         UNION ALL SELECT 0, false, host, {own} * b // n, CAST({own} AS BIGINT) FROM s
          UNION ALL
          (SELECT walk.step + 1, walk.along, w.dst, CAST(sum(walk.part * {DAMPING} // (100 * w.ways)) AS BIGINT),
                  CAST(sum(walk.total * {DAMPING} // (100 * w.ways)) AS BIGINT)
@@ -192,7 +192,7 @@ walk AS (SELECT 0 AS step, true AS along, host, CAST(floor({own}.0 * a / n) AS B
 k AS (SELECT host, CAST(coalesce(sum(part) FILTER (along), 0) AS HUGEINT) AS t, CAST(coalesce(sum(total) FILTER (along), 0) AS HUGEINT) AS t_of,
              CAST(coalesce(sum(part) FILTER (NOT along), 0) AS HUGEINT) AS d, CAST(coalesce(sum(total) FILTER (NOT along), 0) AS HUGEINT) AS d_of
       FROM walk GROUP BY host),
-x AS (SELECT host FROM k WHERE d > 0 AND 100 * d >= {THRESHOLD} * d_of AND d * t_of > t * d_of)
+x AS (SELECT host FROM k WHERE 100 * d > {THRESHOLD} * d_of AND d * greatest(t_of, 1) > t * d_of)
 SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.verdict, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN x ON x.host = v.host
 """
