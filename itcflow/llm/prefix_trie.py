@@ -118,39 +118,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs -> (s1, s2, len, ends_sha256); a key's runs are read one after the other, never held."""
-    key, sha, out = None, None, []
+    """Sorted runs -> (conv, ends_sha256), conv the smallest id; a key's runs are read one
+    after the other, never held."""
+    key, sha, conv, out = None, None, None, []
 
     def full() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
+        convs, digests = zip(*out, strict=True)
         out.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
-                                          names=["s1", "s2", "len", "ends_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array(convs, pa.int64()), pa.array(digests, pa.string())], names=["conv", "ends_sha256"])
 
     for batch in batches:
-        for *k, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *k, first, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key:
                 if sha:
-                    out.append((*key, sha.hexdigest()))
-                key, sha = k, hashlib.sha256(ids.encode())
+                    out.append((conv, sha.hexdigest()))
+                key, conv, sha = k, first, hashlib.sha256(ids.encode())
             else:
                 sha.update(b"," + ids.encode())
         if len(out) >= 512:
             yield full()
     if sha:
-        out.append((*key, sha.hexdigest()))
+        out.append((conv, sha.hexdigest()))
     if out:
         yield full()
 
 
 def _end_digests(seqs: DataFrame) -> DataFrame:
-    """``s1, s2, len, ends_sha256`` of every class of equal sequences: ids are
-    written out in sorted runs by many tasks, only runs meet where they are hashed."""
+    """``conv, ends_sha256``: the digest of the ids of every class of equal sequences,
+    beside the smallest of them. Ids are written out in sorted runs by many tasks,
+    only runs meet where they are hashed."""
     key = ["s1", "s2", "len"]
     ids = seqs.select(*key, "conv").repartitionByRange(*key, "conv").sortWithinPartitions(*key, "conv")
     runs = ids.mapInArrow(_chunks, "s1 bigint, s2 bigint, len bigint, first bigint, ids string")
     return (runs.repartition(*key).sortWithinPartitions(*key, "first")
-                .mapInArrow(_digests, "s1 bigint, s2 bigint, len bigint, ends_sha256 string"))
+                .mapInArrow(_digests, "conv bigint, ends_sha256 string"))
 
 
 def _at(z: int) -> Column:
@@ -158,6 +159,14 @@ def _at(z: int) -> Column:
     return F.col("depth") % 2 ** (z + 1) == 2 ** z
 
 
+def _long(x) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def build_trie(turns: DataFrame, ends: DataFrame) -> DataFrame:
     """The trie of sequences: ``turns`` (conv, depth from 1 without gaps, h1, h2, chars, len),
     ``ends`` (conv, len), one row for every sequence, empty ones too.
@@ -168,75 +177,79 @@ def build_trie(turns: DataFrame, ends: DataFrame) -> DataFrame:
     """
     last, top, total = ends.agg(F.max("len"), F.min("conv"), F.count(F.lit(1))).first()
     rounds = (last or 0).bit_length()
-    long = lambda x: F.lit(x).cast("long")
 
     levels = []
     level = turns.select("conv", (F.col("depth") - 1).alias("j"), "h1", "h2", "chars", "len")
     for z in range(rounds):
-        levels.append(materialize(level, f"blocks{z}"))
+        levels.append(materialize(level, f"blocks{z}") if z else level)
         level = _pairs(levels[-1])
-    cuts = [(level.where("j % 2 = 0").withColumn("depth", (F.col("j") + 1) * 2 ** z).drop("j")) for z, level in enumerate(levels)]
+    empty = turns.select("conv", "depth", "h1", "h2", "chars", "len").limit(0)
+    cuts = _all([empty] + [level.where("j % 2 = 0").withColumn("depth", (F.col("j") + 1) * 2 ** z).drop("j")
+                           for z, level in enumerate(levels)])
 
     # equal sequences: the blocks that make up a sequence are those of its length's binary digits
-    tail = [c.where(F.col("depth") == F.col("len") - F.col("len") % 2 ** z).select(
-                "conv", *[F.xxhash64(F.lit(k), "depth", "h1", "h2").alias(f"s{k - 4}") for k in (5, 6)]) for z, c in enumerate(cuts)]
-    none = ends.select("conv", long(0).alias("s1"), long(0).alias("s2"))
-    marks = reduce(DataFrame.unionByName, tail, none).groupBy("conv").agg(F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"))
-    seqs = materialize(ends.join(marks, "conv"), "sequences")
-    classes = materialize(seqs.groupBy("s1", "s2", "len").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("w")), "classes")
-    weights = classes.select("conv", "w")
-
-    names: list[DataFrame] = []
+    digit = reduce(lambda a, z: a | (_at(z) & (F.col("depth") == F.col("len") - F.col("len") % 2 ** z)), range(rounds), F.lit(False))
+    tail = cuts.where(digit).select("conv", "len", *[F.xxhash64(F.lit(k), "depth", "h1", "h2").alias(f"s{k - 4}") for k in (5, 6)])
+    none = ends.select("conv", "len", _long(0).alias("s1"), _long(0).alias("s2"))
+    seqs = materialize(tail.unionByName(none).groupBy("conv").agg(
+        F.max("len").alias("len"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2")), "sequences")
+    weights = seqs.groupBy("s1", "s2", "len").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("w")).select("conv", "w")
+    cuts = materialize(cuts.join(weights, "conv"), "cuts")
+
+    # names: 128 bits of the root's name and the block between root and cut; the trie's root is (0, 0)
+    named: list[DataFrame] = []
     for z in reversed(range(rounds)):
-        part = cuts[z].join(weights, "conv").withColumn("at", F.col("depth") - 2 ** z)
-        if names:
-            above = reduce(DataFrame.unionByName, names).select("conv", F.col("depth").alias("at"), F.col("name").alias("root"))
-            part = part.join(above, ["conv", "at"], "left").withColumn("root", F.coalesce("root", long(top)))
+        part = cuts.where(_at(z)).withColumn("at", F.col("depth") - 2 ** z)
+        if named:
+            above = _all(named).where(F.col("depth") % 2 ** (z + 1) == 0).select(
+                "conv", F.col("depth").alias("at"), F.col("m1").alias("r1"), F.col("m2").alias("r2"))
+            part = part.join(above, ["conv", "at"], "left")
         else:
-            part = part.withColumn("root", long(top))
-        group = ["depth", "root", "h1", "h2"]
-        named = part.groupBy(*group).agg(F.min("conv").alias("name"))
-        names.append(materialize(part.join(named, group).select("conv", "depth", "name", "w", "chars"), f"names{z}"))
-    root = classes.limit(1).select(long(top).alias("conv_id"), long(0).alias("depth"), long(None).alias("parent_conv_id"),
-                                   long(total).alias("n_convs"), long(0).alias("chars"))
-    if names:
-        every = materialize(reduce(DataFrame.unionByName, names), "names")
-        nodes = every.groupBy(F.col("name").alias("conv_id"), "depth").agg(F.sum("w").alias("n_convs"), F.max("chars").alias("chars"))
-        above = every.select(F.col("conv").alias("conv_id"), (F.col("depth") + 1).alias("depth"), F.col("name").alias("parent_conv_id"))
-        nodes = nodes.join(above, ["conv_id", "depth"], "left").withColumn(
-            "parent_conv_id", F.coalesce("parent_conv_id", long(top))).unionByName(root)
-    else:
-        nodes = root
-    nodes = materialize(nodes, "nodes")
-    children = nodes.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(
-        F.count(F.lit(1)).alias("n_children"))
-    children = F.coalesce("n_children", long(0)), nodes.join(children, ["conv_id", "depth"], "left")
-    trie = materialize(children[1].select("conv_id", "depth", "parent_conv_id", "n_convs", children[0].alias("n_children"),
-                                          (children[0] == 0).cast("long").alias("n_leaves"),
-                                          ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), "trie")
+            part = part.withColumns({"r1": _long(0), "r2": _long(0)})
+        block = [F.coalesce("r1", F.lit(0)), F.coalesce("r2", F.lit(0)), F.col("h1"), F.col("h2")]
+        named.append(materialize(part.select("conv", "depth", F.xxhash64(F.lit(7), *block).alias("m1"),
+                                             F.xxhash64(F.lit(8), *block).alias("m2"), "w", "chars", "len"), f"names{z}"))
+    every = _all(named) if named else empty.select("conv", "depth", F.col("h1").alias("m1"), F.col("h2").alias("m2"),
+                                                   _long(0).alias("w"), "chars", "len")
+
+    # a sequence's name one turn higher is its node's parent
+    up = every.select("conv", (F.col("depth") + 1).alias("depth"), F.col("m1").alias("p1"), F.col("m2").alias("p2"))
+    first = lambda *cols: [F.max(c).alias(c) for c in cols]
+    rows = (_all([every, up]).groupBy("conv", "depth").agg(*first("m1", "m2", "p1", "p2", "w", "chars", "len"))
+            .where("m1 is not null"))
+    root = turns.sparkSession.createDataFrame([(0, 0, 0, total, 0, top)] if total else [],
+                                              "m1 long, m2 long, depth long, n_convs long, chars long, conv_id long")
+    nodes = rows.groupBy("m1", "m2").agg(
+        F.max("depth").alias("depth"), F.max(F.coalesce("p1", F.lit(0))).alias("p1"), F.max(F.coalesce("p2", F.lit(0))).alias("p2"),
+        F.sum("w").alias("n_convs"), F.max("chars").alias("chars"), F.min("conv").alias("conv_id"))
+    nodes = materialize(_all([nodes, root]), "nodes")
+    own = nodes.select("m1", "m2", "depth", "conv_id", "n_convs", "chars", _long(0).alias("n_children"))
+    child = nodes.where("depth > 0").select(F.col("p1").alias("m1"), F.col("p2").alias("m2"), _long(1).alias("n_children"))
+    trie = materialize(_all([own, child]).groupBy("m1", "m2").agg(
+        *first("depth", "conv_id", "n_convs", "chars"), F.sum("n_children").alias("n_children")).select(
+        "m1", "m2", "depth", "conv_id", "n_convs", "n_children", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
+        ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), "trie")
 
     totals = ["n_leaves", "saved_tokens"]
     added = [F.sum(c).alias(c) for c in totals]
-    parts = [trie.select("conv_id", "depth", *totals)]
+    parts = [trie.select("m1", "m2", "depth", "conv_id", *totals)]
     for z in range(rounds):
-        cut = (reduce(DataFrame.unionByName, [p.where(_at(z)) for p in parts]).groupBy("conv_id", "depth").agg(*added)
-               .withColumn("cell", F.floor(F.col("depth") / 2 ** z) - 1))
-        upper = every.where(F.floor(F.col("depth") / 2 ** z) % 2 == 0).select(F.col("conv").alias("conv_id"), F.floor(F.col("depth") / 2 ** z).alias("cell"),
-                             F.col("depth").alias("to"), "name")
-        graft = cut.join(upper, ["conv_id", "cell"]).select(F.col("name").alias("conv_id"), F.col("to").alias("depth"), *totals)
-        graft = graft.unionByName(cut.where(F.col("cell") == 0).select(long(top).alias("conv_id"), long(0).alias("depth"), *totals))
-        parts.append(materialize(graft.groupBy("conv_id", "depth").agg(*added), f"graft{z}"))
-
-    where = classes.select("s1", "s2", "len", "conv", F.col("len").alias("depth"))
-    if names:
-        where = where.join(every.select("conv", "depth", "name"), ["conv", "depth"], "left")
-    else:
-        where = where.withColumn("name", long(None))
-    closed = (_end_digests(seqs).join(where, ["s1", "s2", "len"])
-              .select(F.coalesce("name", long(top)).alias("conv_id"), "depth", "ends_sha256"))
-    return (trie.drop(*totals)
-            .join(reduce(DataFrame.unionByName, parts).groupBy("conv_id", "depth").agg(*added), ["conv_id", "depth"])
-            .join(closed, ["conv_id", "depth"], "left")
+        cut = _all([p.where(_at(z)) for p in parts])
+        if z:
+            cut = cut.groupBy("m1", "m2", "depth").agg(*first("conv_id"), *added)
+        cut = cut.select(F.col("conv_id").alias("conv"), (F.shiftright("depth", z) - 1).alias("cell"), *totals)
+        upper = every.select("conv", "depth", F.shiftright("depth", z).alias("cell"), "m1", "m2").where("cell % 2 = 0")
+        graft = _all([cut.join(upper, ["conv", "cell"]).select("m1", "m2", "depth", *totals),
+                      cut.where("cell = 0").select(_long(0).alias("m1"), _long(0).alias("m2"), _long(0).alias("depth"), *totals)])
+        parts.append(materialize(graft.groupBy("m1", "m2", "depth").agg(*added), f"graft{z}"))
+
+    # a class of equal sequences ends where its smallest one does
+    closed = (_end_digests(seqs).join(_all([every.where("depth = len").select("conv", "m1", "m2"), seqs.where("len = 0").select(
+        "conv", _long(0).alias("m1"), _long(0).alias("m2"))]), "conv").select("m1", "m2", "ends_sha256"))
+    parent = nodes.select(F.col("m1").alias("p1"), F.col("m2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
+    above = nodes.where("depth > 0").select("m1", "m2", "p1", "p2").join(parent, ["p1", "p2"]).select("m1", "m2", "parent_conv_id")
+    out = _all([trie.drop(*totals), above, closed, *[p.select("m1", "m2", *totals) for p in parts]])
+    return (out.groupBy("m1", "m2").agg(*first("conv_id", "depth", "parent_conv_id", "n_convs", "n_children"), *added, *first("ends_sha256"))
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", *totals,
                     F.coalesce("ends_sha256", F.lit(_NOTHING)).alias("ends_sha256")))
 
