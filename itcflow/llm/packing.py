@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, prepare, utf8
-from .token_ids import TokenIds
+from .token_ids import of_worker
 
 CAPACITY = 4096
 END = 2
@@ -70,7 +70,7 @@ def _part_crc(marks: bytes, whole: int, length: int, start: int, end: int) -> in
 
 def _pieces(capacity: int, end: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail = TokenIds(path), np.array([end], "<u4").tobytes()
+        ids, tail = of_worker(path), np.array([end], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             doc, out, marks = [], [], []

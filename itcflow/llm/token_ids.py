@@ -12,11 +12,16 @@ tokenizer. ``tests/llm`` holds the ids against ``encode`` on whole texts.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
-#: Entries of one generation of a worker's memory; two generations are kept.
-MOST = 250_000
+#: Entries of one generation of a worker's memory, and bytes of their keys and
+#: values; two generations are kept.
+MOST, MOST_BYTES = 250_000, 32 << 20
+#: Longer keys are worked out each time and not kept: in texts without blanks a
+#: chunk is a paragraph, and hardly any comes twice.
+LONGEST = 64
 
 # Letters whose lower case is one character and that never combine with a neighbour.
 _LETTER = "a-zA-ZÀ-ÖØ-öø-ÿ"
@@ -33,20 +38,25 @@ def byte_characters() -> list[str]:
 
 
 class Kept(dict):
-    """Key -> value by ``make``; old entries go when two generations are full."""
+    """Key -> value by ``make``; old entries go when two generations are full.
+    Both count entries and bytes, so memory has a bound whatever the texts."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.bytes = make, {}, 0
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MOST:
+        if len(self) >= MOST or self.bytes >= MOST_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
         self[key] = value
+        self.bytes += 4 * len(key) + (len(value) if isinstance(value, bytes) else 8)
         return value
 
 
@@ -78,3 +88,10 @@ class TokenIds:
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def of_worker(path: str | None = None) -> TokenIds:
+    """The tokenizer of a Python worker: its file is read and its words are
+    worked out once for all tasks that the worker runs."""
+    return TokenIds(path)

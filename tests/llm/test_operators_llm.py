@@ -275,7 +275,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
     if not hasattr(ids_of, "t"):
         ids_of.t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-        ids_of.t.encode_special_tokens = True
     return ids_of.t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -332,6 +331,25 @@ def test_packing_reads_added_tokens_as_the_file_does(spark, monkeypatch):
     check_packing(rows(pack(docs(spark, data, extra=True))), [(i, t) for i, t, _ in data], 1)
 
 
+def test_words_kept_have_a_bound_in_bytes(monkeypatch):
+    from itcflow.llm import token_ids as K
+    ids = K.TokenIds()
+    rng = random.Random(9)
+    held = lambda: sum(len(k) + len(v) for c in (ids.words, ids.chunks) for g in (c, c.old) for k, v in g.items())
+    for text in ("ab" * 500_000, "日本語の文章" * 60_000, "".join(rng.choices(VOC, k=200_000)),
+                 " ".join("".join(rng.choices(VOC, k=400)) for _ in range(300))):
+        data = text.encode()
+        got = np.frombuffer(ids.of(data), "<u4").tolist()
+        assert got + [2] == ids_of(text)
+        assert held() < 64 << 20 and max(map(len, [*ids.chunks, *ids.words]), default=0) <= K.LONGEST
+    assert held() < 1 << 20
+    monkeypatch.setattr(K, "MOST_BYTES", 10_000)
+    small = K.TokenIds()
+    text = " ".join("".join(rng.choices(VOC, k=3)) for _ in range(20_000))
+    assert np.frombuffer(small.of(text.encode()), "<u4").tolist() + [2] == ids_of(text)
+    assert all(sum(4 * len(k) + len(v) for k, v in g.items()) < 11_000 for c in (small.words, small.chunks) for g in (c, c.old))
+
+
 def test_differencing_never_exceeds_the_capacity():
     from itcflow.llm.packing import differencing, pack_group
     rng = random.Random(4)
