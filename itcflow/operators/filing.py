@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as K
 from ..functions import core as C
 from ..functions import fixed
 from ..functions.text import e164
+from ..sources.keyed import KeyedTable
 from . import aggregates as A
 from . import invoices as I
 
@@ -184,11 +185,18 @@ def write_outbox(msgs: DataFrame, path: str) -> DataFrame:
     return out
 
 
-def publish(df: DataFrame, path: str, partition_cols: list[str]) -> None:
-    """Upsert by partition: only the partitions present in ``df`` are
-    replaced (dynamic partition overwrite); re-running a day is idempotent."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_cols).parquet(path))
+def publish(df: DataFrame, path: str, keys: list[str], by: list[str]) -> set[str]:
+    """Find-or-create by key (the ledger's is (user, period)): rows of ``df``
+    replace those with the same key or are new, all others stay. Only parts (of
+    ``by``, e.g. the period) in which something changes are rewritten, and readers
+    see an upsert as a whole; running it again changes nothing. Returns the parts
+    that were written."""
+    return KeyedTable(df.sparkSession, path, keys, by).upsert(df)
+
+
+def published(spark: SparkSession, path: str, keys: list[str], by: list[str]) -> DataFrame:
+    """The rows of a published table."""
+    return KeyedTable(spark, path, keys, by).read()
 
 
 def render_report(rep: DataFrame, as_of: str) -> DataFrame:

@@ -783,15 +783,21 @@ def s9(spark, sf_dir):
 
 
 @query("S10_publish_ledger", "S10", """
-SELECT user_id, period, CAST(itc_available AS DOUBLE) AS itc_available FROM ledger
+SELECT user_id, period, CAST(itc_available AS DOUBLE) AS itc_available, CAST(total_purchases AS DOUBLE) AS total_purchases FROM ledger
 """)
 def s10(spark, sf_dir):
-    """Ledger published by period with dynamic partition overwrite (idempotent re-runs)."""
+    """Ledger published in two parts of users that overlap in every month (the first with wrong amounts for the
+    users of both): find or create by (user, period), others' rows stay, a re-run changes nothing."""
     m = M(spark, sf_dir)
-    path = _out(spark, sf_dir, "gst_ledger")
-    FL.publish(m.ledger, path, ["period"])
-    FL.publish(m.ledger, path, ["period"])  # a re-run replaces, never duplicates
-    return spark.read.parquet(path).select("user_id", "period", D("itc_available").alias("itc_available"))
+    path, key = _out(spark, sf_dir, f"gst_ledger-{uuid.uuid4().hex[:8]}"), (["user_id", "period"], ["period"])
+    early = m.ledger.filter("user_id % 3 <> 0").withColumn("itc_available", F.when(F.col("user_id") % 3 == 1, F.lit(0).cast("decimal(38,2)"))
+                                                           .otherwise(F.col("itc_available")))
+    FL.publish(early, path, *key)
+    FL.publish(m.ledger.filter("user_id % 3 < 2"), path, *key)
+    if FL.publish(m.ledger.filter("user_id % 3 < 2"), path, *key):
+        raise AssertionError("a re-run has written something")
+    return FL.published(spark, path, *key).select("user_id", "period", D("itc_available").alias("itc_available"),
+                                                  D("total_purchases").alias("total_purchases"))
 
 
 @query("W7_latest_correction", "W7", """
