@@ -4,6 +4,7 @@ data preparation and sinks (SURVEY §2.1, §2.3, §2.8, §2.10)."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -776,7 +777,6 @@ def s9(spark, sf_dir):
     from .catalog_more import REMIND_AS_OF
     m = M(spark, sf_dir)
     msgs = FL.deadline_messages(m.users, m.ledger, REMIND_AS_OF, "calendar")
-    import uuid
     path = _out(spark, sf_dir, f"outbox-{uuid.uuid4().hex[:8]}")  # the outbox appends; one run, one folder
     FL.write_outbox(msgs, path)
     return spark.read.parquet(path).select("to", "kind", "body").distinct()

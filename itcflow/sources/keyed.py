@@ -157,6 +157,7 @@ class KeyedTable:
         if changed:
             live = merged.where(F.col("_last._live") & F.col(_PART).isin(sorted(changed)))
             (live.select(_PART, *[F.col(f.name) if f.name in self.keys else F.col(f"_last.{_ROW}.`{f.name}`").alias(f.name) for f in schema])
+                 .hint("rebalance", _PART)  # few files a part; a part with a third of all rows is split over many tasks
                  .write.partitionBy(_PART).parquet(out))
             written = {n.split("=", 1)[1] for n in _names(self.spark, out) if n.startswith(f"{_PART}=")}
             parts = {k: v for k, v in was["parts"].items() if k not in changed} | {k: folder for k in changed & written}

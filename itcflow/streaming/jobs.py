@@ -6,14 +6,19 @@ column with a watermark. Results go to parquet tables, never to the driver:
 * ``append_to``: rows that are final when they are emitted;
 * ``changes_to``: every micro-batch writes the keys it changed into its own
   folder ``batch=N`` (a batch that is run again replaces that folder), and
-  ``latest`` reads the newest row of each key.
-
-Rows that a watermark drops are counted by the runner (``Run.dropped``); the
-nightly batch ledger restates the month, so filing never depends on them.
+  ``latest`` reads the newest row of each key;
+* keyed tables (``sources/keyed.py``): every micro-batch upserts the keys it changed.
+
+Rows without an event time belong to no window: windowed jobs count them with
+the dropped ones, jobs without a watermark keep them (they come first). Rows that
+a watermark drops are counted by the runner (``Run.dropped``); the nightly
+batch ledger restates the month (``restate_ledger``), so filing never depends on
+them.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import core as C
 from ..functions import fixed
 from ..functions import keywords as K
+from ..sources.keyed import KeyedTable, corrections
 from . import sessions as SE
 
 MESSAGE_SCHEMA = "event_id long, ts timestamp, sender string, has_photo boolean, body string"
@@ -32,17 +38,18 @@ INVOICE_SCHEMA = ("id long, user_id long, seller_gstin string, invoice_no string
 
 def write_in_order(df: DataFrame, ts: str, path: str, steps: int = 4):
     """Lay a table down as a file stream, oldest rows first: ``steps`` time
-    ranges of about equal size, each written by all tasks as files of its own.
-    A generator: the caller runs its stream between the ranges."""
+    ranges of about equal size, each written by all tasks as files of its own; rows
+    without a time are in the first. A generator: the caller runs its stream
+    between the ranges."""
     at = F.unix_micros(ts)
     cuts = df.select(at.alias("t")).approxQuantile("t", [i / steps for i in range(1, steps)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        inside = F.lit(True)
+        inside = F.lit(True) if lo is not None else at.isNull() | F.lit(hi is None)
         if lo is not None:
             inside = inside & (at >= int(lo))
         if hi is not None:
-            inside = inside & (at < int(hi))
+            inside = (inside & (at < int(hi))) if lo is not None else inside | (at < int(hi))
         df.filter(inside).write.mode("append").parquet(path)
         yield
 
@@ -60,13 +67,23 @@ class Run:
 
     batches: int
     dropped: int
+    rows: int
 
     @staticmethod
     def of(query) -> Run:
-        query.awaitTermination()
-        done = [p for p in query.recentProgress if p["numInputRows"] > 0]
-        return Run(len(done), sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
-                                  for o in p.get("stateOperators", [])))
+        """Adds up what every micro-batch reports. ``recentProgress`` keeps the last
+        ones only, so it is read while the query runs, each batch once."""
+        seen: dict[int, tuple[int, int]] = {}
+
+        def look() -> None:
+            for p in query.recentProgress:
+                dropped = sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in p.get("stateOperators", []))
+                n, d = seen.get(p["batchId"], (0, 0))
+                seen[p["batchId"]] = max(n, p["numInputRows"]), max(d, dropped)
+        while not query.awaitTermination(1):
+            look()
+        look()
+        return Run(sum(n > 0 for n, _ in seen.values()), sum(d for _, d in seen.values()), sum(n for n, _ in seen.values()))
 
 
 def append_to(sdf: DataFrame, path: str, checkpoint: str) -> Run:
@@ -147,32 +164,42 @@ def month_rollup(daily: DataFrame) -> DataFrame:
                  .agg(F.sum("total_purchases").alias("total_purchases"), F.sum("itc_available").alias("itc_available")))
 
 
+GATE_SCHEMA = "id long, user_id long, invoice_no string, seller_gstin string, created_at timestamp"
+
+
 def gate_duplicates(inv: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> Run:
     """R2: the duplicate gate. A row passes if its invoice number is blank, or if
     no stored invoice and no earlier row of the stream has its key: (user,
     invoice_no, gstin), and without a GSTIN (user, invoice_no) with any GSTIN.
-    Keys are never forgotten. The rows that pass are kept in ``path/batch=N``; a
-    batch looks up the stored invoices and the rows passed before it."""
-    schema = "id long, user_id long, invoice_no string, seller_gstin string, created_at timestamp"
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = _keyed(batch)
-        order = F.struct("created_at", "id")
-        numbered = rows.filter(F.col("no") != "")
-        old = _keyed(stored).select("user_id", "no", "g").unionByName(
-            _keyed(read_changes(spark, path, schema, n)).select("user_id", "no", "g")).filter(F.col("no") != "")
-        passed = []
-        for has_gstin, key in ((True, ["user_id", "no", "g"]), (False, ["user_id", "no"])):
-            mine = numbered.filter((F.col("g") != "") == has_gstin)
-            # the earliest row of each key, whichever branch it is in
-            first = numbered.groupBy(*key).agg(F.min(order).alias("_first"))
-            new = mine.join(first, key).filter(order == F.col("_first")).drop("_first")
-            passed.append(new.join(old.select(*key).distinct(), key, "left_anti").select(rows.columns))
-        out = passed[0].unionByName(passed[1]).unionByName(rows.filter(F.col("no") == ""))
-        out.select("id", "user_id", "invoice_no", "seller_gstin", "created_at").write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return each_batch(inv, write, checkpoint)
+    Rows of one micro-batch are in order of (created_at, id), null first.
+
+    Keys are never forgotten: they are the keyed state of a streaming
+    aggregate, which holds of each key the row that came first. A micro-batch reads
+    its own rows and looks up its own keys; neither the stored table nor what
+    passed before is read again. Stored invoices enter once, ahead of the stream.
+    The rows that pass are in ``path/batch=N`` and, with blank numbers, in ``path-blank``.
+    """
+    spark = inv.sparkSession
+    cols = ["id", "user_id", "invoice_no", "seller_gstin", "created_at"]
+    first = f"{path}-stored"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first + "/_SUCCESS")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        stored.select(*cols).write.mode("overwrite").parquet(first)
+    known = spark.readStream.schema(GATE_SCHEMA).parquet(first).withColumn("fresh", F.lit(False))
+    rows = _keyed(known.unionByName(inv.select(*cols).withColumn("fresh", F.lit(True))))
+    exact = F.struct(F.lit("exact").alias("kind"), "user_id", "no", "g")
+    any_gstin = F.struct(F.lit("any").alias("kind"), "user_id", "no", F.lit("").alias("g"))
+    # the order is that of arrival: stored rows, earlier batches, then time and id
+    came = F.struct("arrival", "fresh", "created_at", "id", (F.col("g") == "").alias("blank"), "invoice_no", "seller_gstin")
+    keys = F.explode(F.when(F.col("g") == "", F.array(any_gstin)).otherwise(F.array(exact, any_gstin))).alias("k")
+    heard = rows.filter(F.col("no") != "").withColumn("arrival", F.current_timestamp()).select(keys, came.alias("came"), "arrival")
+    state = heard.groupBy("k.kind", "k.user_id", "k.no", "k.g").agg(F.min("came").alias("first"), F.max("arrival").alias("now"))
+    passed = state.filter((F.col("first.arrival") == F.col("now")) & F.col("first.fresh")
+                          & (F.col("first.blank") == (F.col("kind") == "any")))
+    run = changes_to(passed.select("first.id", "user_id", "first.invoice_no", "first.seller_gstin", "first.created_at"), path, checkpoint)
+    blank = _keyed(inv).filter(F.col("no") == "").select(*cols)
+    append_to(blank, f"{path}-blank", f"{checkpoint}-blank")
+    return run
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -181,7 +208,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def passed_rows(spark: SparkSession, path: str) -> DataFrame:
-    return read_changes(spark, path, "id long, user_id long, invoice_no string, seller_gstin string, created_at timestamp")
+    return read_changes(spark, path, GATE_SCHEMA).drop("batch").unionByName(spark.read.schema(GATE_SCHEMA).parquet(f"{path}-blank"))
 
 
 # ------------------------------------------------- R1: chat sessions -------
@@ -245,16 +272,60 @@ def with_replies(out: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------ live ledger --------
 
+LEDGER = ["total_purchases", "itc_available"]
 LEDGER_SCHEMA = "user_id long, day date, total_purchases decimal(28,2), itc_available decimal(28,2)"
 
 
+def day_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The live ledger by day, cut by month."""
+    return KeyedTable(spark, f"{path}/days", ["user_id", "day", "period"], ["period"])
+
+
+def month_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The published ledger by month."""
+    return KeyedTable(spark, f"{path}/months", ["user_id", "period"], ["period"])
+
+
 def run_ledger(inv: DataFrame, path: str, checkpoint: str, watermark: str = "2 days") -> Run:
-    """R3 + S10: the live daily ledger: the current totals of the (user, day)
-    keys that each micro-batch changed."""
+    """R3 + S10: the live ledger, published by every micro-batch: the (user, day)
+    totals it changed are upserted, the (user, month) totals above them are summed
+    anew from the days of those months and upserted in turn. Months without a
+    changed day are neither read nor written; a batch that is run again changes
+    nothing."""
     typed = stream_ledger(inv, watermark).select(
-        "user_id", "day", *[F.col(c).cast("decimal(28,2)").alias(c) for c in ("total_purchases", "itc_available")])
-    return changes_to(typed, path, checkpoint)
+        "user_id", "day", *[F.col(c).cast("decimal(28,2)").alias(c) for c in LEDGER])
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={n}")  # once for both tables
+        changed = spark.read.schema(LEDGER_SCHEMA).parquet(f"{path}/changes/batch={n}").withColumn(
+            "period", F.date_format("day", "yyyy-MM"))
+        days = day_table(spark, path)
+        days.upsert(changed)
+        touched = changed.select("user_id", "period").distinct()
+        rows = days.read(near=touched).join(touched, ["user_id", "period"], "left_semi")
+        month_table(spark, path).upsert(_by_month(rows))
+
+    return each_batch(typed, write, checkpoint, "update")
+
+
+def _by_month(days: DataFrame) -> DataFrame:
+    return days.groupBy("user_id", "period").agg(*[F.sum(c).cast("decimal(28,2)").alias(c) for c in LEDGER])
 
 
 def daily_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return latest(read_changes(spark, path, LEDGER_SCHEMA), ["user_id", "day"])
+    return day_table(spark, path).read().drop("period")
+
+
+def restate_ledger(live: KeyedTable, nightly: DataFrame) -> DataFrame:
+    """A9 against R3: the correction rows (insert, change, delete) that turn the live
+    months into the nightly ledger, late rows included; and the live table is
+    brought to it. A second run returns no row and writes nothing."""
+    want = nightly.select(*live.keys, *[F.col(c).cast("decimal(28,2)").alias(c) for c in LEDGER])
+    spark = live.spark
+    from ..session import shared_dir
+    path = shared_dir(spark, f"itcflow-restated/{uuid.uuid4().hex}")
+    corrections(live.read(), want, live.keys).write.parquet(path)  # before the upsert changes what it compares
+    rows = spark.read.parquet(path)
+    live.upsert(rows.where("change <> 'delete'").select(*live.keys, *LEDGER), deleted=rows.where("change = 'delete'").select(*live.keys))
+    return rows
