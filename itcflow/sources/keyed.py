@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PART, _SIDE, _ROW = "part", "_new", "_row"
+_PART, _VERSION, _SIDE, _ROW = "kt_part", "kt_version", "kt_new", "kt_row"  # no column of a table may begin with kt_
 _END = "end"
 
 
@@ -93,10 +94,17 @@ class KeyedTable:
 
     def _read(self, manifest: dict, parts=None, schema: T.StructType | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else schema
-        folders = [f"{self.path}/data/{v}/{_PART}={k}" for k, v in sorted(manifest["parts"].items()) if parts is None or k in parts]
-        if not folders:
+        live: dict[str, list[str]] = {}
+        for k, v in manifest["parts"].items():
+            if parts is None or k in parts:
+                live.setdefault(v, []).append(k)
+        if not live:
             return self.spark.createDataFrame([], schema or T.StructType())
-        return self.spark.read.schema(schema).parquet(*folders)
+        folders = (self.spark.read.schema(T.StructType([*schema, T.StructField(_VERSION, T.StringType()), T.StructField(_PART, T.StringType())]))
+                       .option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{v}" for v in sorted(live)]))
+        # folders are pruned by name when the scan is planned
+        inside = [(F.col(_VERSION) == v.split("=", 1)[1]) & F.col(_PART).isin(sorted(ks)) for v, ks in sorted(live.items())]
+        return folders.where(reduce(lambda a, b: a | b, inside)).select(*[F.col(f"`{f.name}`") for f in schema])
 
     def read(self, near: DataFrame | None = None) -> DataFrame:
         """All rows; or those of the parts that ``near`` (with the ``by`` columns) has rows of."""
@@ -131,32 +139,32 @@ class KeyedTable:
         old = self._read(was, near, schema)
         values = [f.name for f in schema if f.name not in self.keys]
         keyed = lambda df, side, live=True: df.select(
-            *self.keys, F.lit(side).alias(_SIDE), F.lit(live).alias("_live"),
+            *self.keys, F.lit(side).alias(_SIDE), F.lit(live).alias("kt_live"),
             (F.struct(*[F.col(c) for c in values]) if live and values else F.lit(None).cast(_type(schema, values))).alias(_ROW),
             *([F.struct(*[F.col(c) for c in order])] if order and side == 2 else [F.lit(None)] if order else []))
-        names = [*self.keys, _SIDE, "_live", _ROW, *(["_order"] if order else [])]
+        names = [*self.keys, _SIDE, "kt_live", _ROW, *(["kt_order"] if order else [])]
         sides = [keyed(old, 0).toDF(*names), keyed(rows, 2).toDF(*names)]
         if deleted is not None:
             sides.append(keyed(deleted, 1, False).toDF(*names))
         every = sides[0]
         for s in sides[1:]:
             every = every.unionByName(s)
-        rank = F.struct(_SIDE, *(["_order"] if order else []), _ROW)
+        rank = F.struct(_SIDE, *(["kt_order"] if order else []), _ROW)
         stored = F.max(F.when(F.col(_SIDE) == 0, F.col(_ROW)))
         merged = every.groupBy(*self.keys).agg(
-            F.max_by(F.struct("_live", _ROW), rank).alias("_last"), F.count_if(F.col(_SIDE) == 0).alias("_had"), stored.alias("_was"))
-        differs = ((F.col("_had") == 0) & F.col("_last._live")) | (
-            (F.col("_had") > 0) & (~F.col("_last._live") | ~F.col(f"_last.{_ROW}").eqNullSafe(F.col("_was"))))
-        folder = f"v={uuid.uuid4().hex}"
+            F.max_by(F.struct("kt_live", _ROW), rank).alias("kt_last"), F.count_if(F.col(_SIDE) == 0).alias("kt_had"), stored.alias("kt_was"))
+        differs = ((F.col("kt_had") == 0) & F.col("kt_last.kt_live")) | (
+            (F.col("kt_had") > 0) & (~F.col("kt_last.kt_live") | ~F.col(f"kt_last.{_ROW}").eqNullSafe(F.col("kt_was"))))
+        folder = f"{_VERSION}={uuid.uuid4().hex}"
         out = f"{self.path}/data/{folder}"
-        merged = merged.withColumn(_PART, self._part()).withColumn("_differs", differs)
+        merged = merged.withColumn(_PART, self._part()).withColumn("kt_differs", differs)
         staged = f"{self.path}/staged/{folder}"
         merged.write.parquet(staged)    # the join runs once: for what differs, and for the rows
         merged = self.spark.read.schema(merged.schema).parquet(staged)
-        changed = {r[0] for r in merged.where("_differs").select(_PART).distinct().collect()}
+        changed = {r[0] for r in merged.where("kt_differs").select(_PART).distinct().collect()}
         if changed:
-            live = merged.where(F.col("_last._live") & F.col(_PART).isin(sorted(changed)))
-            (live.select(_PART, *[F.col(f.name) if f.name in self.keys else F.col(f"_last.{_ROW}.`{f.name}`").alias(f.name) for f in schema])
+            live = merged.where(F.col("kt_last.kt_live") & F.col(_PART).isin(sorted(changed)))
+            (live.select(_PART, *[F.col(f.name) if f.name in self.keys else F.col(f"kt_last.{_ROW}.`{f.name}`").alias(f.name) for f in schema])
                  .hint("rebalance", _PART)  # few files a part; a part with a third of all rows is split over many tasks
                  .write.partitionBy(_PART).parquet(out))
             written = {n.split("=", 1)[1] for n in _names(self.spark, out) if n.startswith(f"{_PART}=")}
@@ -195,9 +203,9 @@ def corrections(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     values = [c for c in after.columns if c not in keys]
     side = lambda df, n: df.select(*keys, F.lit(n).alias(_SIDE), F.struct(*[F.col(c) for c in values]).alias(_ROW))
     pick = lambda n: F.max(F.when(F.col(_SIDE) == n, F.col(_ROW)))
-    both = side(before, 0).unionByName(side(after, 1)).groupBy(*keys).agg(pick(0).alias("_b"), pick(1).alias("_a"))
-    change = (F.when(F.col("_b").isNull(), "insert").when(F.col("_a").isNull(), "delete")
-               .when(~F.col("_a").eqNullSafe(F.col("_b")), "change"))
+    both = side(before, 0).unionByName(side(after, 1)).groupBy(*keys).agg(pick(0).alias("kt_b"), pick(1).alias("kt_a"))
+    change = (F.when(F.col("kt_b").isNull(), "insert").when(F.col("kt_a").isNull(), "delete")
+               .when(~F.col("kt_a").eqNullSafe(F.col("kt_b")), "change"))
     return (both.withColumn("change", change).where("change is not null")
-                .select(*keys, "change", *[F.col(f"_a.`{c}`").alias(c) for c in values],
-                        *[F.col(f"_b.`{c}`").alias(f"{c}_before") for c in values]))
+                .select(*keys, "change", *[F.col(f"kt_a.`{c}`").alias(c) for c in values],
+                        *[F.col(f"kt_b.`{c}`").alias(f"{c}_before") for c in values]))

@@ -1,5 +1,6 @@
 """Streams over several micro-batches equal the batch computation (SURVEY §5 (4))."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -52,6 +53,72 @@ def test_sessions_follow_the_table(spark):
     assert len(saved) == 1 and saved[0]["total_amount"] == 1200.5 and saved[0]["invoice_date"] == "yes"
 
 
+def _walk(bodies):
+    """The golden machine in plain Python: (action, fields) of each message."""
+    from itcflow.functions import fixed
+    alias, state, field, fields, out = dict(fixed.FIELD_ALIASES), "idle", None, None, []
+    for i, b in enumerate(bodies):
+        low, was, asked = (b or "").strip().lower(), state, field
+        field = None
+        if b is None:
+            symbol, state, action, fields = "photo", "open", "pending", {"invoice_no": f"EV/{i}"}
+        elif was == "asked":
+            state, action = "open", "edited"
+            value = b.strip()
+            if asked in SE.AMOUNTS:
+                try:
+                    value = str(float(value.replace("Rs", "").replace("rs", "").replace(",", "").strip()))
+                except ValueError:
+                    action = "refused"
+            if action == "edited":
+                fields = fields | {asked: value}
+        else:
+            symbol = ("confirm" if any(w in low for w in fixed.CONFIRM_WORDS) else "cancel" if any(w in low for w in fixed.CANCEL_WORDS)
+                      else "other" if not low.startswith("edit ") else "edit" if low.replace("edit ", "").strip() in alias else "which")
+            state, action = SE.MOVES.get((was, symbol), (was, "intent"))
+            field = alias[low.replace("edit ", "").strip()] if action == "ask_value" else None
+        out.append((action, fields if action in ("saved", "cancelled", "edited") else None))
+        fields = fields if state != "idle" else None
+    return out
+
+
+def test_blocks_compose_whatever_lies_between_photos(spark, monkeypatch):
+    """Many small blocks on several levels equal the machine walked message by message."""
+    rng = random.Random(8)
+    monkeypatch.setattr(SE, "BLOCK", 4)
+    words = ["edit total", "edit date", "12", "abc", "edit colour", "hm", "hm", "yes", "cancel", "edit gstin", "Rs 7.5", "edit cgst"]
+    for photos, n in ((0.02, 260), (0.0, 70), (0.3, 90)):
+        bodies = [None if rng.random() < photos or (photos and i == 3) else rng.choice(words) for i in range(n)]
+        got = SE.confirm_sessions_batch(_chat(spark, *bodies)).orderBy("event_id").collect()
+        assert [(r["action"], r["fields"]) for r in got] == _walk(bodies)
+
+
+def test_a_sender_without_photos_runs_in_many_tasks(spark):
+    msgs = _chat(spark, None).crossJoin(spark.range(20_000).withColumnRenamed("id", "n")).select(
+        F.col("n").alias("event_id"), (F.col("ts") + F.make_dt_interval(secs=F.col("n").cast("int"))).alias("ts"), "sender",
+        (F.col("n") == 0).alias("has_photo"), F.when(F.col("n") == 19_999, "yes").otherwise("hm").alias("body"))
+    folded = SE.fold(msgs)
+    assert folded.agg(F.max(F.size("done"))).first()[0] == SE.BLOCK and folded.count() == -(-20_000 // SE.BLOCK)
+    got = {(r["action"], r["detail"]): r["count"] for r in SE.steps(folded).groupBy("action", "detail").count().collect()}
+    assert got == {("pending", "EV/0"): 1, ("prompt", ""): 19_998, ("saved", "EV/0"): 1}
+
+
+def test_a_session_batch_that_runs_again_starts_where_it_did(spark, tmp_path):
+    base, parts = str(tmp_path), [_chat(spark, None, "edit total"), _chat(spark, "x", "y", "12.5", "yes").filter("event_id >= 2")]
+    for p in parts:
+        p.write.mode("append").parquet(base + "/src")
+        S.run_sessions(S.read_stream(spark, base + "/src", MSG), base + "/out", base + "/ck")
+    want = sorted((r["event_id"], r["action"]) for r in S.session_steps(spark, base + "/out").collect())
+    assert want == [(0, "pending"), (1, "ask_value"), (2, "edited"), (3, "saved")]
+    newest = max(int(p.name) for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "ck" / "commits").iterdir():  # as if the driver had died after the batch's writes
+        if p.name.strip(".").startswith(f"{newest}"):
+            p.unlink()
+    S.run_sessions(S.read_stream(spark, base + "/src", MSG), base + "/out", base + "/ck")
+    assert sorted((r["event_id"], r["action"]) for r in S.session_steps(spark, base + "/out").collect()) == want
+    assert S.sender_table(spark, base + "/out").read().count() == 1
+
+
 def test_an_empty_chat_gives_nothing(spark):
     assert SE.confirm_sessions_batch(_chat(spark, "x").limit(0)).count() == 0
 
