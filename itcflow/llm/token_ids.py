@@ -12,13 +12,16 @@ tokenizer. ``tests/llm`` holds the ids against ``encode`` on whole texts.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries of one generation of a worker's memory, and bytes of their keys and
 #: values; two generations are kept.
-MOST, MOST_BYTES = 250_000, 32 << 20
+MOST, MOST_BYTES = 500_000, 32 << 20
+#: Packs up to 31 ids as little-endian unsigned 32-bit numbers.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Longer keys are worked out each time and not kept: in texts without blanks a
 #: chunk is a paragraph, and hardly any comes twice.
 LONGEST = 64
@@ -26,6 +29,8 @@ LONGEST = 64
 # Letters whose lower case is one character and that never combine with a neighbour.
 _LETTER = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[{_LETTER}!-~]+")
+# A word, and signs that end a clause: the split pattern makes one or two words of it.
+_SIMPLE = re.compile(f"([{_LETTER}]+)([.,;:!?]*)")
 # The split pattern of the tokenizer file, over the plain characters.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 
@@ -72,16 +77,21 @@ class TokenIds:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.I)
         self.model = self.tokenizer.model
-        self.shown = byte_characters()
+        self.shown = dict(enumerate(byte_characters()))
         self.words = Kept(self._word)
         self.chunks = Kept(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        shown = "".join([self.shown[b] for b in word.encode("utf-8")])
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        shown = word.encode("utf-8").decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
+        simple = _SIMPLE.fullmatch(text) if len(text) < 200 else None
+        if simple:
+            word, sign = simple.groups()
+            return self.words[word.lower()] + self.words[sign] if sign else self.words[word.lower()]
         if len(text) < 200 and _PLAIN.fullmatch(text) and not self.added.search(text):
             return b"".join([self.words[w] for w in _WORDS.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
