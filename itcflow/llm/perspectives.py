@@ -38,12 +38,12 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     A participant is a distinct role other than ``system``; system turns are
     shown as such to everybody, and a dialogue of system turns only gives no row.
     A null role is the participant ``unknown``, a null text is empty, rows
-    without a dialogue id are one dialogue. Turns are in order of their number,
+    without a dialogue id are one dialogue (another one than that of an empty id). Turns are in order of their number,
     null last, ties by role and text; repeated rows are turns of their own. Other
     columns are ignored.
     """
     prepare(turns.sparkSession)
-    rows = turns.select(F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("_key"), F.col(conv_col).alias("_conv"),
+    rows = turns.select(F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("")).alias("_key"), F.col(conv_col).alias("_conv"),
                         F.col(turn_col).isNull().alias("_last"), F.col(turn_col).alias("_turn"),
                         F.coalesce(role_col, F.lit(NOBODY)).alias("_role"), clean(F.col(text_col)).alias("_text"))
     order = ["_last", "_turn", "_role", "_text", "_again"]

@@ -600,6 +600,14 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == want
 
 
+def test_dialogues_without_an_id_and_with_an_empty_one_are_two(spark):
+    from itcflow.llm.perspectives import perspectives
+    turns = spark.createDataFrame([(None, 0, "a", "x"), ("", 0, "a", "y"), ("", 1, "b", "z"), ("=", 0, "a", "w")],
+                                  "conv_id string, turn int, role string, text string")
+    got = {(r["conv_id"], r["speaker"], r["n_turns"]) for r in rows(perspectives(turns))}
+    assert got == {(None, "a", 1), ("", "a", 2), ("", "b", 2), ("=", "a", 1)}
+
+
 def test_one_query_for_each_operator():
     from itcflow.llm.queries import LLM_QUERIES
     assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
