@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as K
@@ -199,34 +199,36 @@ def published(spark: SparkSession, path: str, keys: list[str], by: list[str]) ->
     return KeyedTable(spark, path, keys, by).read()
 
 
-def render_report(rep: DataFrame, as_of: str) -> DataFrame:
-    """the chat monthly-report text of every user from A11's columns."""
-    import datetime as _dt
-    month_name = _dt.date.fromisoformat(as_of[:10]).strftime("%B %Y")
+def template(t: str, **cols) -> Column:
+    """A message template with its {name} fields filled by columns."""
+    import re as _re
+    parts = _re.split(r"\{(\w+)\}", t)
+    return F.concat(*[F.lit(piece) if i % 2 == 0 else cols[piece] for i, piece in enumerate(parts)])
+
+
+def report_text(month_name: Column) -> Column:
+    """The chat monthly report from A11's columns."""
     d3 = F.col("days_to_gstr3b")
     light = F.create_map(*[F.lit(x) for kv in fixed.REPORT_LIGHT.items() for x in kv])
-
-    def tpl(t, **cols):
-        # split a template at its {name} fields, interleaving column values
-        import re as _re
-        parts, out = _re.split(r"\{(\w+)\}", t), []
-        for i, piece in enumerate(parts):
-            out.append(F.lit(piece) if i % 2 == 0 else cols[piece])
-        return F.concat(*out)
-
-    body = F.concat(
-        F.lit(fixed.REPORT_HEAD.format(month_name=month_name)),
-        tpl(fixed.REPORT_BODY, invoices=F.col("total_invoices").cast("string"),
-            purchases=F.format_number("total_purchases", 2), itc=F.format_number("total_itc", 2)),
-        F.when(F.col("blocked_count") > 0, tpl(fixed.REPORT_BLOCKED, blocked=F.col("blocked_count").cast("string")))
+    return F.concat(
+        template(fixed.REPORT_HEAD, month_name=month_name),
+        template(fixed.REPORT_BODY, invoices=F.col("total_invoices").cast("string"),
+                 purchases=F.format_number("total_purchases", 2), itc=F.format_number("total_itc", 2)),
+        F.when(F.col("blocked_count") > 0, template(fixed.REPORT_BLOCKED, blocked=F.col("blocked_count").cast("string")))
          .otherwise(F.lit("")),
-        tpl(fixed.REPORT_DEADLINES, light=F.element_at(light, F.col("urgency")), g1=F.col("gstr1_deadline"),
-            d1=F.col("days_to_gstr1").cast("string"), g3=F.col("gstr3b_deadline"), d3=d3.cast("string")),
-        F.when(d3 <= 3, tpl(fixed.REPORT_URGENT, d3=d3.cast("string")))
-         .when(d3 <= 7, tpl(fixed.REPORT_SOON, d3=d3.cast("string")))
-         .otherwise(tpl(fixed.REPORT_OK, d3=d3.cast("string"))),
+        template(fixed.REPORT_DEADLINES, light=F.element_at(light, F.col("urgency")), g1=F.col("gstr1_deadline"),
+                 d1=F.col("days_to_gstr1").cast("string"), g3=F.col("gstr3b_deadline"), d3=d3.cast("string")),
+        F.when(d3 <= 3, template(fixed.REPORT_URGENT, d3=d3.cast("string")))
+         .when(d3 <= 7, template(fixed.REPORT_SOON, d3=d3.cast("string")))
+         .otherwise(template(fixed.REPORT_OK, d3=d3.cast("string"))),
         F.lit(fixed.REPORT_TAIL))
-    return rep.select("user_id", body.alias("report"))
+
+
+def render_report(rep: DataFrame, as_of: str) -> DataFrame:
+    """the chat monthly-report text of every user from A11's columns."""
+    import datetime as _dt
+    month_name = _dt.date.fromisoformat(as_of[:10]).strftime("%B %Y")
+    return rep.select("user_id", report_text(F.lit(month_name)).alias("report"))
 
 
 def client_reminders(clients: DataFrame, usr: DataFrame) -> DataFrame:

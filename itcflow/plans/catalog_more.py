@@ -62,12 +62,11 @@ def _sql_tpl(t: str, **exprs) -> str:
     return " || ".join(out) if out else "''"
 
 
-def _report_sql() -> str:
-    import datetime as _dt
-    month = _dt.date.fromisoformat(AS_OF).strftime("%B %Y")
+def _report_sql(month: str) -> str:
+    """The report text over A11's columns; ``month`` is the SQL of the month's name."""
     fmt2 = "format('{{:,.2f}}', {})"
     body = " || ".join([
-        "'" + fixed.REPORT_HEAD.format(month_name=month) + "'",
+        _sql_tpl(fixed.REPORT_HEAD, month_name=month),
         _sql_tpl(fixed.REPORT_BODY, invoices="CAST(total_invoices AS VARCHAR)",
                  purchases=fmt2.format("total_purchases"), itc=fmt2.format("total_itc")),
         "CASE WHEN blocked_count > 0 THEN " + _sql_tpl(fixed.REPORT_BLOCKED, blocked="CAST(blocked_count AS VARCHAR)")
@@ -80,7 +79,7 @@ def _report_sql() -> str:
         + " WHEN days_to_gstr3b <= 7 THEN " + _sql_tpl(fixed.REPORT_SOON, d3="CAST(days_to_gstr3b AS VARCHAR)")
         + " ELSE " + _sql_tpl(fixed.REPORT_OK, d3="CAST(days_to_gstr3b AS VARCHAR)") + " END",
         "'" + fixed.REPORT_TAIL + "'"])
-    return f"SELECT user_id, {body} AS report FROM rep"
+    return body
 
 
 @query("A13_itc_trend", "A13,T7", """
@@ -576,7 +575,7 @@ def a7s(spark, sf_dir):
     return FL.gstr3b_supplies(m.invoices, m.users)
 
 
-@query("F22_render_report", "F22,A11", _report_sql(), ctes="rep AS (" + A11_SQL.strip() + ")")
+@query("F22_render_report", "F22,A11", f"""SELECT user_id, {_report_sql("'June 2000'")} AS report FROM rep""", ctes="rep AS (" + A11_SQL.strip() + ")")
 def f22(spark, sf_dir):
     """Chat monthly-report text of every user (as of 2000-06-15)."""
     m = M(spark, sf_dir)

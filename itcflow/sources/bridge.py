@@ -122,6 +122,20 @@ SELECT event_id, ts, concat('whatsapp:+919', lpad(cast(user_id as string), 9, '0
 FROM {events}
 """
 
+# what the extraction read on the photo of a message
+PHOTO_READS = """
+SELECT event_id, concat('EV/', cast(event_id as string)) AS invoice_no,
+  CASE WHEN event_id % 12 = 0 THEN '' WHEN event_id % 12 = 4 THEN '5-2-2000' ELSE '07/01/2000' END AS invoice_date,
+  taxable AS taxable_amount, tax AS cgst, tax AS sgst, itax AS igst,
+  CASE WHEN event_id % 28 = 0 THEN cast(0 as decimal(18,2)) ELSE cast(taxable + tax + tax + itax as decimal(18,2)) END AS total_amount,
+  CASE WHEN event_id % 20 = 0 THEN 'Laptop and mouse' WHEN event_id % 20 = 4 THEN 'Restaurant dinner' WHEN event_id % 20 = 8 THEN ''
+       WHEN event_id % 20 = 12 THEN 'Printer paper' ELSE 'Petrol' END AS description
+FROM (SELECT event_id, cast(value as decimal(18,2)) AS taxable,
+  CASE WHEN event_id % 8 = 0 THEN cast(round(cast(value as decimal(18,2)) * cast(0.09 as decimal(4,2)), 2) as decimal(18,2)) ELSE cast(0 as decimal(18,2)) END AS tax,
+  CASE WHEN event_id % 8 = 4 AND event_id % 5 <> 0 THEN cast(round(cast(value as decimal(18,2)) * cast(0.18 as decimal(4,2)), 2) as decimal(18,2)) ELSE cast(0 as decimal(18,2)) END AS itax
+  FROM {events} WHERE event_id % 4 = 0) t
+"""
+
 GSTR2B = """
 SELECT user_id, <PERIOD> AS period, seller_gstin AS supplier_gstin, invoice_no,
   min(cgst + sgst + igst + CASE WHEN id % 13 = 0 THEN 100 ELSE 0 END) AS itc_amount,
@@ -200,6 +214,7 @@ VIEWS = {
     "bank_cells": (BANK_CELLS, ["orders"]),
     "ocr_replies": (OCR_REPLIES, ["invoices"]),
     "messages": (MESSAGES, ["events"]),
+    "photo_reads": (PHOTO_READS, ["events"]),
     "gstr2b": (GSTR2B, ["invoices"]),
     "corrections": (CORRECTIONS, ["invoices"]),
     "decisions": (DECISIONS, ["invoices"]),
