@@ -3,7 +3,7 @@
 A page is cut into text blocks at block-level tags. A block is described by its
 own word count and link density and those of its two neighbours, and by a few
 marks of where it stands (in an article, in a menu or form, in an element
-whose class or id names a notice, an advert or reader comments). A decision
+whose class or id as a whole names a notice, an advert or reader comments). A decision
 tree, trained when the operator is called on the small labelled table
 ``LABELLED_PAGES``, says which blocks are the article.
 
@@ -34,7 +34,7 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\b[^>]*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MAY_NAME = re.compile("class|id|role|aria-label", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAY_HIDE = re.compile("hidden|none", re.I)
 _HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
@@ -65,6 +65,17 @@ ASIDE = set("sidebar side rail widget widgets related recommended recommendation
             "tags toc skip popular trending sitemap links".split())
 COMMENT = set("comment comments commentlist disqus respond reply replies discussion feedback reviews guestbook".split())
 ARTICLE = set("article articlebody post entry story content main maincontent body text".split())
+#: Words that may stand beside these in a name: boxes, their places and their contents.
+BESIDE = set("site page main top bottom left right inner outer wrapper wrap container box bar block section area list item items "
+             "panel unit slot module group row col column in inline article articles post posts entry content body text story "
+             "stories button buttons icon icons form thread user users reader readers title header head heading message "
+             "primary secondary sticky fixed small large mobile desktop the this your for by more recent latest zone region "
+             "light dark open active visible card cards feed js us me up".split())
+_KNOWN = ADVERT | NOTICE | ASIDE | COMMENT | BESIDE
+#: Elements that are text themselves, and those whose id is rather an anchor to jump to.
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+_ANCHORED = {"section", "li", "dt", "dd", "table", "tr", "td", "th", "figure", "span", "a", "b", "i", "em", "strong", "sup", "sub", "dfn", "cite"}
+_STRONG = {"comment", "comments", "commentlist", "disqus", "respond", "guestbook"}
 
 
 @dataclass
@@ -102,17 +113,40 @@ def _hidden(rest: str) -> bool:
     return False
 
 
+def _names(tag: str, rest: str) -> Iterator[list[str]]:
+    """The parts of every name in a tag's own attributes: each word of a class, the id,
+    the role, the label. An id on a heading or paragraph is an anchor, not a name;
+    on other elements of text only a word for reader comments is one."""
+    if not _MAY_NAME.search(rest):
+        return
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "role", "data-role"):
+            for token in value.split():
+                yield [p.lower() for p in _PART.findall(token)]
+        elif name == "aria-label" and tag not in _TEXT:
+            yield [p.lower() for p in _PART.findall(value)]
+        elif name == "id" and tag not in _TEXT:
+            parts = [p.lower() for p in _PART.findall(value)]
+            if tag not in _ANCHORED or set(parts) & _STRONG:
+                yield parts
+
+
+def _named(parts: list[str], words: set[str]) -> bool:
+    """Whether a name as a whole says one of ``words``: what stands beside it must be
+    another such word, a word for a box or its place, or a number. ``side-bar``,
+    ``ad-slot`` and ``comment-12`` are marks; ``side-effects`` isn't one."""
+    return any(p in words for p in parts) and all(p in _KNOWN or p.isdigit() for p in parts)
+
+
 def _marks(tag: str, rest: str) -> dict[str, bool]:
-    parts: set[str] = set()
-    if rest and tag not in ("html", "body"):
-        for m in _NAMES.finditer(rest):
-            parts.update(p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or ""))
-    comment = bool(parts & COMMENT)
-    head = tag == "header" or ("header" in parts and not parts & _HEADED)
-    return {"article": tag in ("article", "main") or (bool(parts & ARTICLE) and not comment and not head),
-            "frame": tag in FRAME or head, "head": head and tag not in FRAME, "advert": bool(parts & ADVERT),
-            "notice": bool(parts & NOTICE) or _hidden(rest),
-            "aside": bool(parts & ASIDE), "comment": comment}
+    names = list(_names(tag, rest)) if rest and tag not in ("html", "body") else []
+    comment = any(_named(n, COMMENT) for n in names)
+    head = tag == "header" or tag not in _TEXT and any(_named(n, {"header"}) and not set(n) & _HEADED for n in names)
+    return {"article": tag in ("article", "main") or (any(p in ARTICLE for n in names for p in n) and not comment and not head),
+            "frame": tag in FRAME or head, "head": head and tag not in FRAME, "advert": any(_named(n, ADVERT) for n in names),
+            "notice": any(_named(n, NOTICE) for n in names) or _hidden(rest),
+            "aside": any(_named(n, ASIDE) for n in names), "comment": comment}
 
 
 def blocks(page: str) -> list[Block]:

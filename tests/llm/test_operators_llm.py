@@ -522,6 +522,27 @@ def test_main_text_hidden_parts_and_open_heads():
     assert main_text(f"{head}{_L} <b>{_S}</b> {_L}", tree) == f"{_L} {_S} {_L}"
 
 
+def test_main_text_names_are_whole_and_own():
+    """Only whole names of an element's own attributes mark it; anchors are no marks."""
+    from itcflow.llm.html_labels import _L, _S
+    from itcflow.llm.html_text import labelled_blocks, main_text, train
+    tree = train(*labelled_blocks())
+    want = f"Head\n\n{_L}\n\n{_S}"
+    for kept in ('<section id="discussion"><h2>Head</h2>{L}{S}</section>', '<h2 id="terms">Head</h2>{L}{S}', '<h2 id=related-work>Head</h2>{L}{S}',
+                 '<h2>Head</h2><p class="side-effects">{l}</p>{S}', '<h2>Head</h2><p data-id="comment-1">{l}</p>{S}',
+                 '<h2>Head</h2><p title="x class=sidebar">{l}</p>{S}', "<h2 data-x='a id=\"ad\"'>Head</h2>{L}{S}", '<h2 class="section-header">Head</h2>{L}{S}',
+                 '<section id=links class="popular-culture"><h2>Head</h2>{L}{S}</section>', '<h2 id="comments-of-the-mayor">Head</h2>{L}{S}',
+                 '<h2>Head</h2><p><span id="replies">{l}</span></p>{S}', '<div class="legal-history"><h2>Head</h2>{L}{S}</div>'):
+        page = kept.format(l=_L, L=f"<p>{_L}</p>", S=f"<p>{_S}</p>")
+        assert main_text(f"<article>{page}</article>", tree) == want, kept
+    for gone in ('class="ad-slot"', "class='x ad_container'", 'id="comment-12"', "class=sideBar", 'class="site-footer"', "id=cookie-banner",
+                 'class="relatedPosts"', 'aria-label="Share this article"', "role=navigation", 'class="reader-comments"', "CLASS='Newsletter-Box'"):
+        for page in (f"<article><h2>Head</h2><p>{_L}</p><p>{_S}</p><div {gone}><p>{_L}</p></div></article>",
+                     f"<article><h2>Head</h2><p>{_L}</p><p>{_S}</p></article><div {gone}><p>{_L}</p></div>"):
+            assert main_text(page, tree) == want, gone
+    assert main_text(f"<article><h2>Head</h2><p>{_L}</p><p>{_S}</p><section id=comments><p>{_L}</p></section></article>", tree) == want
+
+
 def test_pages_table(spark):
     import html
 
