@@ -3,7 +3,7 @@ F24, F25, J5, J8, J10, J11, J12, L1, L2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
@@ -216,7 +216,7 @@ def make_labelled(inv: DataFrame, policy: str = "dataset") -> DataFrame:
 def training_set(inv: DataFrame, corr: DataFrame, test_pct: int = 20) -> DataFrame:
     """L2 (extension): (text, label, source, split) from user corrections and
     from confident keyword predictions; one row per text, corrections first;
-    a deterministic stratified split by a hash of the text."""
+    ``test_pct`` percent of every label's rows are the test split."""
     fixed_rows = apply_corrections(inv.select("id", "description", "ai_category"), corr) \
         .filter(F.col("user_corrected")).select(F.col("description").alias("text"),
                                                  F.col("ai_category").alias("label"), F.lit(0).alias("prio"),
@@ -226,9 +226,40 @@ def training_set(inv: DataFrame, corr: DataFrame, test_pct: int = 20) -> DataFra
                         F.lit("keyword").alias("source")).filter(F.col("label") != "Other")
     both = fixed_rows.unionByName(logged)
     best = both.groupBy("text").agg(F.min_by(F.struct("label", "source"), F.struct("prio", "label")).alias("b"))
-    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", "text", "b.label")), 1, 8), 16, 10).cast("long") % 100
-    split = F.when(bucket < test_pct, "test").otherwise("train")
-    return best.select("text", F.col("b.label").alias("label"), F.col("b.source").alias("source"), split.alias("split"))
+    rows = best.select("text", F.col("b.label").alias("label"), F.col("b.source").alias("source"))
+    return stratified_split(rows, "label", "text", test_pct)
+
+
+def stratified_split(rows: DataFrame, label: str, key: str, test_pct: int = 20) -> DataFrame:
+    """``rows`` with ``split``: of every label's rows exactly ``test_pct`` percent
+    (rounded half up) are ``test``, the others ``train``: those whose hash of key and
+    label is smallest, ties by key.
+
+    Two passes find a label's threshold: counts by label and leading digits of the
+    hash say in which of 65,536 buckets it lies, and only that bucket's rows are
+    ranked. No label is gathered in a task. Null labels are a label of their own, a
+    null key is an empty one; rows that repeat fall on the same side, so that a label
+    that has such rows at its threshold can be off by their number.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
+    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    h = F.md5(F.concat(k, F.lit("|"), F.coalesce(F.col(label).cast("string"), F.lit(""))))
+    x = rows.withColumn("_place", F.struct(h.alias("h"), k.alias("k"))).checkpoint(eager=True)  # read three times
+    lab, bucket = F.col(label).alias("_label"), F.substring("_place.h", 1, 4).alias("_bucket")
+    counts = x.groupBy(lab, bucket).agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quota = F.floor(F.sum("n").over(Window.partitionBy("_label")) * test_pct / 100 + 0.5)
+    cut = (counts.withColumn("below", F.sum("n").over(up_to) - F.col("n")).withColumn("quota", quota)
+                 .filter((F.col("below") < F.col("quota")) & (F.col("quota") <= F.col("below") + F.col("n")))
+                 .select("_label", "_bucket", (F.col("quota") - F.col("below")).alias("_left")))
+    near = x.select(lab, bucket, "_place").alias("r").join(
+        cut.alias("c"), F.col("r._label").eqNullSafe(F.col("c._label")) & (F.col("r._bucket") == F.col("c._bucket")))
+    rank = F.row_number().over(Window.partitionBy("r._label").orderBy("r._place"))
+    last = (near.select("r._label", "r._place", "c._left", rank.alias("_rank")).filter("_rank = _left")
+                .select(F.col("_label").alias("_of"), F.col("_place").alias("_last")))
+    split = F.when(F.col("_place") <= F.col("_last"), "test").otherwise("train")
+    return x.join(last, x[label].eqNullSafe(last["_of"]), "left").select(*rows.columns, split.alias("split"))
 
 
 def confirmation_messages(parsed: DataFrame, report: DataFrame, policy: str = "dashboard") -> DataFrame:

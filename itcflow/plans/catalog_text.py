@@ -338,12 +338,12 @@ def _parsed(spark, sf_dir):
 
 
 @query("S4_ocr_replies", "S4", """
-SELECT id, parse_error, seller_gstin, invoice_no, invoice_date, cgst, igst, filled_count FROM filled
+SELECT id, parse_error, seller_gstin, invoice_no, invoice_date, taxable_amount, cgst, sgst, igst, total_amount, description, filled_count FROM filled
 """, ctes=OCR_CTE)
 def s4(spark, sf_dir):
     """Parse every OCR reply: fences stripped, fixed schema, parse errors flagged."""
     p = _parsed(spark, sf_dir)
-    return p.select("id", "parse_error", "seller_gstin", "invoice_no", "invoice_date", "cgst", "igst", "filled_count")
+    return p.select("id", "parse_error", *fixed.OCR_FIELDS, "filled_count")
 
 
 @query("P16_split_ocr", "P16", """
@@ -668,7 +668,8 @@ def a29(spark, sf_dir):
 
 @query("L2_training_set", "L2", f"""
 SELECT text, label, source,
-  CASE WHEN CAST(('0x' || substr(md5(text || '|' || label), 1, 8)) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS split
+  CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(text || '|' || label), text)
+         <= floor(count(*) OVER (PARTITION BY label) * 20 / 100 + 0.5) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY prio, label) AS rn FROM (
   SELECT i.description AS text, c.category AS label, 0 AS prio, 'correction' AS source
   FROM invoices i JOIN (SELECT invoice_id, arg_max(category, seq) AS category FROM corrections GROUP BY 1) c ON c.invoice_id = i.id
@@ -678,7 +679,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY prio, label) AS rn
 WHERE rn = 1
 """)
 def l2(spark, sf_dir):
-    """Training rows from corrections and keyword predictions, one per text, with a split."""
+    """Training rows from corrections and keyword predictions, one per text; a fifth of every label is the test split."""
     m = M(spark, sf_dir)
     return IN.training_set(m.invoices, m.corrections)
 
@@ -831,7 +832,7 @@ def _confirm_sql() -> str:
     m, e = t.split("{conf}")
     kw_pre, kw_post = fixed.AI_KEYWORDS.split("{kw}")
     el_pre, el_post = fixed.AI_ELIGIBLE.split("{itc}")
-    ai = (f"{lit(h)} || cat || {lit(m)} || CAST(CAST(trunc(CASE WHEN cat <> 'Other' THEN 0.85 ELSE 0.5 END * 100) AS INTEGER) AS VARCHAR) "
+    ai = (f"{lit(h)} || cat || {lit(m)} || CAST(CAST(trunc(CASE WHEN short THEN 0.0 WHEN cat <> 'Other' THEN 0.85 ELSE 0.5 END * 100) AS INTEGER) AS VARCHAR) "
           f"|| {lit(e)} || CASE WHEN kws <> '' THEN {lit(kw_pre)} || replace(kws, ',', ', ') || {lit(kw_post)} ELSE '' END || "
           f"CASE WHEN cat IN {Q.sql_list(fixed.BLOCKED_DASHBOARD)} THEN {lit(fixed.AI_BLOCKED)} "
           f"WHEN {itc} > 0 THEN {lit(el_pre)} || format('{{:,.2f}}', {itc}) || {lit(el_post)} ELSE '' END")
@@ -839,7 +840,8 @@ def _confirm_sql() -> str:
     return f"""
 SELECT f.id, CASE WHEN f.parse_error THEN {lit(fixed.PHOTO_UNREADABLE)} WHEN f.filled_count = 0 THEN {lit(fixed.PHOTO_EMPTY)}
   ELSE {body} END AS message
-FROM (SELECT *, {cat} AS cat, {Q.kw_matched(desc, cat)} AS kws FROM filled f) f LEFT JOIN rep r ON r.seller_gstin = f.seller_gstin
+FROM (SELECT *, CASE WHEN short THEN 'Other' ELSE {cat} END AS cat, {Q.kw_matched(desc, f"(CASE WHEN short THEN 'Other' ELSE {cat} END)")} AS kws
+      FROM (SELECT *, length(trim({desc.replace("f.", "")})) < 3 AS short FROM filled) f) f LEFT JOIN rep r ON r.seller_gstin = f.seller_gstin
 """
 
 

@@ -65,7 +65,7 @@ SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppke
   CASE WHEN c_nationkey = s_nationkey THEN round(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)) * cast(0.5 as decimal(2,1)), 2) ELSE cast(0 as decimal(18,2)) END AS cgst,
   CASE WHEN c_nationkey = s_nationkey THEN round(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)) * cast(0.5 as decimal(2,1)), 2) ELSE cast(0 as decimal(18,2)) END AS sgst,
   CASE WHEN c_nationkey <> s_nationkey THEN round(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2)), 2) ELSE cast(0 as decimal(18,2)) END AS igst,
-  CASE l_returnflag WHEN 'A' THEN 'confirmed' WHEN 'N' THEN 'pending' ELSE 'rejected' END AS status,
+  CASE WHEN l_returnflag = 'A' THEN 'confirmed' WHEN l_returnflag = 'N' THEN 'pending' WHEN l_linenumber = 1 THEN 'blocked' ELSE 'rejected' END AS status,
   CASE p_type WHEN 'ECONOMY' THEN 'Food & Beverages' WHEN 'SMALL' THEN 'Electronics' WHEN 'MEDIUM' THEN 'Office'
        WHEN 'LARGE' THEN 'Personal Vehicle' WHEN 'PROMO' THEN 'Food' ELSE NULL END AS ai_category,
   cast(l_partkey % 100 as double) / 100 AS ai_confidence, p_name AS description
@@ -107,11 +107,18 @@ FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'NEFT rent' WHEN o_orderkey %
   CASE WHEN o_orderkey % 3 = 0 THEN cast(cast(o_totalprice as decimal(18,2)) as string) ELSE '' END AS cr FROM {orders}) t
 """
 
+# replies of the extraction: some fenced, some broken off, some without a field, single fields null or missing
 OCR_REPLIES = """
-SELECT id, user_id, concat(CASE WHEN id % 2 = 0 THEN '```json' ELSE '' END, '{{"seller_gstin":"', seller_gstin, '","invoice_no":"', invoice_no,
+SELECT id, user_id, concat(CASE WHEN id % 2 = 0 THEN '```json' ELSE '' END, CASE WHEN id % 50 = 9 THEN '{{' ELSE concat(
+  '{{"seller_gstin":"', seller_gstin, '","invoice_no":"', invoice_no,
   '","invoice_date":"', CASE WHEN id % 3 = 0 THEN '3-2-2024' WHEN id % 3 = 1 THEN '2024-02-03' ELSE 'n/a' END,
-  '","cgst":', cast(cgst as string), ',"igst":null', CASE WHEN id % 50 = 7 THEN '' ELSE '}}' END,
-  CASE WHEN id % 2 = 0 THEN '```' ELSE '' END) AS reply, created_at
+  '","taxable_amount":', CASE WHEN id % 11 = 0 THEN 'null' ELSE cast(cast(taxable_amt as decimal(18,2)) as string) END,
+  ',"cgst":', cast(cgst as string), CASE WHEN id % 13 = 0 THEN '' ELSE concat(',"sgst":', cast(sgst as string)) END,
+  ',"igst":', CASE WHEN igst = 0 THEN 'null' ELSE cast(igst as string) END,
+  ',"total_amount":', CASE WHEN id % 7 = 0 THEN 'null' ELSE cast(cast(taxable_amt + cgst + sgst + igst as decimal(18,2)) as string) END,
+  ',"description":', CASE WHEN id % 17 = 0 THEN 'null' WHEN id % 17 = 1 THEN '""' WHEN id % 17 = 2 THEN '"x"' WHEN id % 17 < 6 THEN '"Laptop and mouse"'
+    WHEN id % 17 < 9 THEN '"Restaurant dinner"' ELSE concat('"', description, '"') END) END,
+  CASE WHEN id % 50 = 7 THEN '' ELSE '}}' END, CASE WHEN id % 2 = 0 THEN '```' ELSE '' END) AS reply, created_at
 FROM {invoices}
 """
 
