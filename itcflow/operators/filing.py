@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as K
 from ..functions import core as C
@@ -108,6 +109,18 @@ def write_gstr3b(docs: DataFrame, supplies: DataFrame, path: str) -> None:
              .partitionBy("ret_period").text(f"{path}/supplies"))
 
 
+def read_gstr3b(path: str, docs: DataFrame, supplies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents and supply lines that ``write_gstr3b`` wrote, typed as the tables they came from."""
+    spark = docs.sparkSession
+    period = F.lpad(F.col("ret_period").cast("string"), 6, "0").alias("ret_period")   # the folder's name reads as a number
+    one = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("gstin", T.StringType()), docs.schema["doc"]])
+    line = T.StructType([T.StructField("gstin", T.StringType()),
+                         *[f for f in supplies.schema.fields if f.name not in ("user_id", "period")]])
+    d = spark.read.text(f"{path}/documents").select(period, F.from_json("value", one).alias("v"))
+    x = spark.read.text(f"{path}/supplies").select(period, F.from_json("value", line).alias("v"))
+    return d.select("ret_period", "v.*"), x.select("ret_period", "v.*")
+
+
 def assess_penalties(filings: DataFrame) -> DataFrame:
     """late fee and interest per filing row.
 

@@ -713,7 +713,8 @@ CSV = {"header": True, "nullValue": "\\N"}
 
 
 def _out(spark, sf_dir, name):
-    return shared_dir(spark, f"itcflow-sinks/{os.path.basename(sf_dir.rstrip('/'))}/{name}")
+    """A folder of this run's own: two runs at once don't write over each other."""
+    return shared_dir(spark, f"itcflow-sinks/{os.path.basename(sf_dir.rstrip('/'))}/{name}-{uuid.uuid4().hex[:8]}")
 
 
 @query("S5_labelled_csv", "S5", "SELECT description, amount, category, itc_eligible, gstin FROM (" + LABELLED_SQL + ") t")
@@ -746,23 +747,75 @@ def s6(spark, sf_dir):
     return spark.read.schema(out.schema).options(**CSV).csv(path)
 
 
-@query("S7_write_gstr3b", "S7", f"""
-SELECT substr(t.period, 6, 2) || substr(t.period, 1, 4) AS ret_period, u.gstin,
-  'GSTR3B_' || u.gstin || '_' || substr(t.period, 6, 2) || substr(t.period, 1, 4) || '.json' AS file_name
-FROM (SELECT DISTINCT user_id, strftime(date, '%Y-%m') AS period FROM invoices WHERE status = 'confirmed' AND date IS NOT NULL) t
+S7_HEADS = ["igst", "cgst", "sgst"]
+
+
+def _s7_sql() -> str:
+    def heads(prefix, src):
+        return ", ".join(f"round({src}_{h}, 2) AS {prefix}_{h}" for h in S7_HEADS)
+    sums = ", ".join(f"CAST(sum(CASE WHEN b THEN {x} ELSE {y} END) AS DOUBLE) AS {n}_{h}" for h in S7_HEADS
+                     for n, x, y in (("el", "0", h), ("bl", h, "0")))
+    return f"""
+SELECT t.ret_period, u.gstin, 'GSTR3B_' || u.gstin || '_' || t.ret_period || '.json' AS file_name,
+  u.gstin || ' ' || t.ret_period || ' ' || t.period || ' ' || coalesce(u.business_name, '') AS named, t.total_invoices,
+  round(t.total_taxable, 2) AS total_taxable, round(t.el_igst + t.el_cgst + t.el_sgst, 2) AS eligible_itc,
+  round(t.bl_igst + t.bl_cgst + t.bl_sgst, 2) AS blocked_itc, {heads("net", "t.el")}, {heads("avl", "t.el")}, {heads("inelg", "t.bl")},
+  round(t.el_igst, 2) AS isup_inter, round(t.el_cgst + t.el_sgst, 2) AS isup_intra,
+  'IMPG,IMPS,ISRC,ITC,OTH RUL,OTH RUL,OTH OTH' AS kinds, CAST(0 AS DOUBLE) AS zeros
+FROM (SELECT user_id, strftime(date, '%Y-%m') AS period, strftime(date, '%m%Y') AS ret_period, count(*) AS total_invoices,
+        CAST(sum(taxable_amt) AS DOUBLE) AS total_taxable, {sums}
+      FROM (SELECT *, {Q.blocked()} AS b FROM invoices WHERE status = 'confirmed' AND date IS NOT NULL) i GROUP BY 1, 2, 3) t
 JOIN users u ON u.id = t.user_id WHERE u.ca_id IS NOT NULL AND coalesce(u.gstin, '') <> ''
-""")
-def s7(spark, sf_dir):
-    """GSTR-3B JSON documents written per (ret_period, gstin), with supply lines beside them."""
+"""
+
+
+def _written_gstr3b(spark, sf_dir):
     m = M(spark, sf_dir)
-    docs = FL.gstr3b_document(m.invoices, m.users)
-    sup = FL.gstr3b_supplies(m.invoices, m.users)
+    docs, sup = FL.gstr3b_document(m.invoices, m.users), FL.gstr3b_supplies(m.invoices, m.users)
     path = _out(spark, sf_dir, "gstr3b")
     FL.write_gstr3b(docs, sup, path)
-    d = spark.read.text(f"{path}/documents")
-    return d.select(F.lpad(F.col("ret_period").cast("string"), 6, "0").alias("ret_period"),
-                    F.get_json_object("value", "$.gstin").alias("gstin"),
-                    F.get_json_object("value", "$.file_name").alias("file_name"))
+    return FL.read_gstr3b(path, docs, sup)
+
+
+@query("S7_write_gstr3b", "S7", _s7_sql())
+def s7(spark, sf_dir):
+    """GSTR-3B JSON documents written per (ret_period, gstin) and read back, every value of header and body."""
+    d = _written_gstr3b(spark, sf_dir)[0]
+    elg, sup, meta, isup = "doc.itc_elg", F.col("doc.sup_details"), "doc._meta", F.col("doc.inward_dtls.isup_details")
+    avl, rev, inelg = (F.col(f"{elg}.{k}") for k in ("itc_avl", "itc_rev", "itc_inelg"))
+    own = F.filter(avl, lambda x: x["ty"] == "ITC")[0]
+    # what the application always files as 0, and the heads other than ITC
+    rest = F.aggregate(F.flatten(F.array(F.filter(avl, lambda x: x["ty"] != "ITC"), rev, F.filter(inelg, lambda x: x["ty"] != "RUL"))),
+                       F.lit(0.0), lambda acc, x: acc + x["igst"] + x["cgst"] + x["sgst"] + x["cess"])
+    fixed_zeros = sum([sup[k][h] for k in ("osup_det", "osup_zero", "isup_rev") for h in ("txval", "igst", "cgst", "sgst", "cess")]
+                      + [sup["osup_nil_exmp"]["txval"], sup["osup_nongst"]["txval"], isup[0]["exmt"], isup[0]["ngsup"], F.col(f"{elg}.itc_net.cess"),
+                         own["cess"], inelg[0]["cess"]]
+                      + [F.col(f"doc.intr_ltfee.{k}.{h}") for k in ("intr_details", "fee_details") for h in S7_HEADS]
+                      + [F.size(f"doc.inter_sup.{k}") for k in ("unreg_details", "comp_details", "uin_details")], F.lit(0.0))
+    kinds = F.concat_ws(" ", *[F.array_join(F.transform(x, lambda y: y["ty"]), ",") for x in (avl, rev, inelg)],
+                        F.array_join(F.transform(isup, lambda y: y["ty"]), ","))
+    return d.select(
+        "ret_period", "gstin", "file_name",
+        F.concat_ws(" ", "doc.gstin", "doc.ret_period", f"{meta}.period", f"{meta}.client_name").alias("named"),
+        *[F.col(f"{meta}.{c}").alias(c) for c in ("total_invoices", "total_taxable", "eligible_itc", "blocked_itc")],
+        *[F.col(f"{elg}.itc_net.{h}").alias(f"net_{h}") for h in S7_HEADS], *[own[h].alias(f"avl_{h}") for h in S7_HEADS],
+        *[inelg[0][h].alias(f"inelg_{h}") for h in S7_HEADS],
+        isup[0]["inter"].alias("isup_inter"), isup[0]["intra"].alias("isup_intra"), kinds.alias("kinds"),
+        (rest + fixed_zeros).alias("zeros"))
+
+
+@query("S7_written_supplies", "S7,A7", f"""
+SELECT strftime(i.date, '%m%Y') AS ret_period, u.gstin, i.id AS invoice_id, i.invoice_no, i.seller_gstin AS supplier_gstin,
+  strftime(i.date, '%d-%m-%Y') AS invoice_date, CAST(round(i.taxable_amt, 2) AS DOUBLE) AS taxable_value,
+  CAST(round(i.igst, 2) AS DOUBLE) AS igst, CAST(round(i.cgst, 2) AS DOUBLE) AS cgst, CAST(round(i.sgst, 2) AS DOUBLE) AS sgst,
+  {Q.cat('i.ai_category')} AS ai_category, round(coalesce(i.ai_confidence, 0.0), 2) AS ai_confidence,
+  NOT {Q.blocked(c=Q.cat('i.ai_category'))} AS itc_eligible
+FROM invoices i JOIN users u ON u.id = i.user_id
+WHERE u.ca_id IS NOT NULL AND coalesce(u.gstin, '') <> '' AND i.status = 'confirmed' AND i.date IS NOT NULL
+""")
+def s7s(spark, sf_dir):
+    """The supply lines written beside the GSTR-3B documents, read back, every value."""
+    return _written_gstr3b(spark, sf_dir)[1]
 
 
 @query("S9_outbox", "S9", f"""
