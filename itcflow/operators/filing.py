@@ -97,15 +97,16 @@ def write_gstr3b(docs: DataFrame, supplies: DataFrame, path: str) -> None:
     lines go beside them, keyed by gstin. Partitioning by period (not by
     period x gstin) keeps the file count proportional to the data instead of
     one directory per client-month; dynamic overwrite makes re-runs idempotent.
+    The files are compressed: the lines of a period are much alike.
     """
     (docs.select("ret_period", F.to_json(F.struct("file_name", "gstin", "doc")).alias("value"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="gzip")
          .partitionBy("ret_period").text(f"{path}/documents"))
     key = docs.select("user_id", "period", "gstin", "ret_period")
     cols = [c for c in supplies.columns if c not in ("user_id", "period")]
     (supplies.join(key, ["user_id", "period"])
              .select("ret_period", F.to_json(F.struct("gstin", *cols)).alias("value"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="gzip")
              .partitionBy("ret_period").text(f"{path}/supplies"))
 
 

@@ -18,6 +18,7 @@ from ..operators import filing as FL
 from ..operators import ingest as IN
 from ..operators.invoices import latest_by
 from ..session import shared_dir
+from ..sources.tables import spread, staged
 from . import sqlbits as Q
 from .catalog_core import M, feed
 from .registry import query
@@ -771,7 +772,10 @@ JOIN users u ON u.id = t.user_id WHERE u.ca_id IS NOT NULL AND coalesce(u.gstin,
 
 def _written_gstr3b(spark, sf_dir):
     m = M(spark, sf_dir)
-    docs, sup = FL.gstr3b_document(m.invoices, m.users), FL.gstr3b_supplies(m.invoices, m.users)
+    # the documents, their keys and the supply lines all read these
+    inv = staged(m.invoices.filter((F.col("status") == "confirmed") & F.col("date").isNotNull()).select(
+        "id", "user_id", "seller_gstin", "invoice_no", "date", "taxable_amt", "cgst", "sgst", "igst", "status", "ai_category", "ai_confidence"), "confirmed")
+    docs, sup = FL.gstr3b_document(inv, m.users), FL.gstr3b_supplies(inv, m.users)
     path = _out(spark, sf_dir, "gstr3b")
     FL.write_gstr3b(docs, sup, path)
     return FL.read_gstr3b(path, docs, sup)

@@ -34,3 +34,27 @@ def test_replies_are_parsed_once(spark):
     assert retry._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
     assert sorted((r.id, r.parse_error, r.filled_count) for r in parsed.collect())[:2] == [(0, False, 1), (1, False, 0)]
     assert [r.id for r in good.collect()] == [0] and retry.count() == 5
+
+
+def test_views_read_a_staged_table(spark):
+    from itcflow.sources.tables import Model
+    m = Model(spark, "nowhere")
+    m._frames["invoices"] = _invoices(spark)
+    plain = sorted(map(tuple, m.ledger.collect()))
+    m = Model(spark, "nowhere")
+    m._frames["invoices"] = _invoices(spark)
+    m.stage("invoices", "user_id", "created_at", "taxable_amt", "cgst", "sgst", "igst")
+    assert _all_staged(m.ledger) and sorted(map(tuple, m.ledger.collect())) == plain
+
+
+def test_filings_are_compressed_and_read_back(spark, tmp_path):
+    from itcflow.operators import filing as FL
+    docs = spark.range(3).select(F.col("id").alias("user_id"), F.lit("2000-01").alias("period"), F.lit("012000").alias("ret_period"),
+                                 F.concat(F.lit("G"), F.col("id")).alias("gstin"), F.lit("f").alias("file_name"), F.struct("id").alias("doc"))
+    sup = spark.range(9).select((F.col("id") % 3).alias("user_id"), F.lit("2000-01").alias("period"), F.col("id").alias("invoice_id"))
+    FL.write_gstr3b(docs, sup, str(tmp_path))
+    parts = [f for _, _, fs in os.walk(tmp_path) for f in fs if f.startswith("part-")]
+    assert parts and all(f.endswith(".gz") for f in parts)
+    d, x = FL.read_gstr3b(str(tmp_path), docs, sup)
+    assert d.count() == 3 and sorted((r.ret_period, r.gstin, r.invoice_id) for r in x.collect()) == sorted(
+        ("012000", f"G{i % 3}", i) for i in range(9))
