@@ -58,3 +58,12 @@ def test_filings_are_compressed_and_read_back(spark, tmp_path):
     d, x = FL.read_gstr3b(str(tmp_path), docs, sup)
     assert d.count() == 3 and sorted((r.ret_period, r.gstin, r.invoice_id) for r in x.collect()) == sorted(
         ("012000", f"G{i % 3}", i) for i in range(9))
+
+
+def test_documents_of_one_row_group_go_to_many_tasks(spark, tmp_path):
+    from itcflow.plans.catalog_text import f8d, l3
+    spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some petrol text").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (f8d, l3):
+        df = query(spark, str(tmp_path))
+        assert "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.count() == 50
