@@ -59,12 +59,12 @@ def find_duplicates(new: DataFrame, inv: DataFrame) -> DataFrame:
     never match and are joined to nothing; the incumbent is the smallest stored
     id. Stored invoices are reduced to one row per key, which carries the
     incumbent's date and total, so the join is 1:1 per incoming row."""
-    from .windows import incumbent, incumbents
+    from .windows import incumbent, with_incumbent
     n = new.select("req_id", "user_id", F.trim(F.coalesce("invoice_no", F.lit(""))).alias("no"),
                    F.trim(F.coalesce("seller_gstin", F.lit(""))).alias("g"))
     s = inv.select("user_id", F.coalesce("invoice_no", F.lit("")).alias("no"), F.coalesce("seller_gstin", F.lit("")).alias("g"),
                    incumbent().alias("row"))
-    asked = n.filter(F.col("no") != "").join(incumbents(s), ["user_id", "no", "g"], "left").select("req_id", "first")
+    asked = with_incumbent(n, s, "left").select("req_id", "first")
     blank = n.filter(F.col("no") == "").select("req_id", F.lit(None).cast(s.schema["row"].dataType).alias("first"))
     found = asked.unionByName(blank)
     return found.select("req_id", F.col("first").isNotNull().alias("is_duplicate"), F.col("first.id").alias("existing_id"),

@@ -404,8 +404,10 @@ LEFT JOIN (SELECT * FROM invoices QUALIFY row_number() OVER (PARTITION BY id ORD
 """, ctes=OCR_CTE)
 def j5(spark, sf_dir):
     """Incoming (parsed) invoices checked against the stored ones."""
-    m = M(spark, sf_dir)
-    p = _parsed(spark, sf_dir).filter(~F.col("parse_error")).withColumnRenamed("id", "req_id")
+    m = M(spark, sf_dir).stage("invoices", "id", "user_id", "seller_gstin", "invoice_no", "date", "taxable_amt", "cgst", "sgst", "igst",
+                               "description", "created_at")
+    p = IN.read_ocr_replies(m.ocr_replies).filter(~F.col("parse_error"))
+    p = staged(p.select(F.col("id").alias("req_id"), "user_id", "invoice_no", "seller_gstin"), "parsed")
     return IN.find_duplicates(p, m.invoices)
 
 

@@ -47,6 +47,19 @@ def test_views_read_a_staged_table(spark):
     assert _all_staged(m.ledger) and sorted(map(tuple, m.ledger.collect())) == plain
 
 
+def test_duplicates_join_aggregates_where_they_were_grouped(spark):
+    from itcflow.operators import windows as W
+    inv = _invoices(spark)
+    out = W.mark_duplicates(inv)
+    assert not [j for j in out._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:] if "Union" in j]
+    rows = [(r.id, r.user_id, r.invoice_no, r.seller_gstin) for r in inv.collect()]
+    want = {}
+    for i, u, no, g in rows:
+        first = min((x for x, xu, xno, xg in rows if xu == u and xno == no and (g == "" or xg == g)), default=None) if no else None
+        want[i] = first if first is not None and first < i else None
+    assert {r.id: r.dup_of for r in out.collect()} == want and any(want.values())
+
+
 def test_filings_are_compressed_and_read_back(spark, tmp_path):
     from itcflow.operators import filing as FL
     docs = spark.range(3).select(F.col("id").alias("user_id"), F.lit("2000-01").alias("period"), F.lit("012000").alias("ret_period"),
