@@ -47,6 +47,12 @@ def test_views_read_a_staged_table(spark):
     assert _all_staged(m.ledger) and sorted(map(tuple, m.ledger.collect())) == plain
 
 
+def test_anomalies_join_the_feed_once(spark):
+    from itcflow.operators import windows as W
+    v = _invoices(spark).select("id", "user_id", F.lit("n").alias("client_name"), F.col("taxable_amt").alias("total"))
+    assert _all_staged(W.invoice_anomalies(v, n=None, by="user_id"))
+
+
 def test_duplicates_join_aggregates_where_they_were_grouped(spark):
     from itcflow.operators import windows as W
     inv = _invoices(spark)
