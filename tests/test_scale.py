@@ -36,6 +36,14 @@ def test_replies_are_parsed_once(spark):
     assert [r.id for r in good.collect()] == [0] and retry.count() == 5
 
 
+def test_streams_read_invoices_that_were_joined_once(spark, monkeypatch):
+    from itcflow.plans import catalog_stream as CS
+    inv = _invoices(spark)
+    monkeypatch.setattr(CS, "M", lambda *_: SimpleNamespace(invoices=inv))
+    got = CS._invoices(spark, "nowhere")
+    assert _all_staged(got) and got.count() == 200
+
+
 def test_views_read_a_staged_table(spark):
     from itcflow.sources.tables import Model
     m = Model(spark, "nowhere")
