@@ -87,6 +87,16 @@ def test_filings_are_compressed_and_read_back(spark, tmp_path):
         ("012000", f"G{i % 3}", i) for i in range(9))
 
 
+def test_gate_keeps_its_state_in_rocksdb(spark, tmp_path):
+    from itcflow.streaming import jobs as S
+    rows = _invoices(spark).select([c.split()[0] for c in S.INVOICE_SCHEMA.split(", ")])
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    rows.write.parquet(f"{tmp_path}/src")
+    S.gate_duplicates(S.read_stream(spark, f"{tmp_path}/src", S.INVOICE_SCHEMA), rows.limit(0), f"{tmp_path}/passed", f"{tmp_path}/ck")
+    assert "RocksDB" in open(f"{tmp_path}/ck/offsets/0").read() and spark.conf.get(key, None) == was
+
+
 def test_documents_of_one_row_group_go_to_many_tasks(spark, tmp_path):
     from itcflow.plans.catalog_text import f8d, l3
     spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some petrol text").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
