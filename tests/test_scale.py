@@ -104,3 +104,25 @@ def test_documents_of_one_row_group_go_to_many_tasks(spark, tmp_path):
         df = query(spark, str(tmp_path))
         assert "Repartition" in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count() == 50
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {k: plan.count(k) for k in ("ShuffledHashJoin", "SortMergeJoin", "BroadcastHashJoin")}
+
+
+def test_statements_are_read_once_and_cells_are_not_sorted(spark):
+    from itcflow.operators import bank as B
+    rows = [(1, n, "HDFC Bank", ["03/02/2024", f"NEFT rent {n}", "", "03/02/2024", f"{n}00.50", "", "9.00"]) for n in range(1, 8)]
+    rows += [(2, 1, "Kotak", ["03/02/24", "misc", "7.50"]), (2, 2, None, ["x", None]), (3, 1, "Village", ["03/02/24", "Vendor bill", "5.00"]),
+             (4, 1, " ", ["a"]), (None, 1, "HDFC Bank", ["03/02/2024", "rent", "", "", "1.00", "", ""])]
+    cells = spark.createDataFrame(rows, "statement_id long, row_no long, page_text string, cells array<string>")
+    txns = B.statement_transactions(cells)
+    assert _joins(txns)["ShuffledHashJoin"] >= 3 and _joins(txns)["SortMergeJoin"] + _joins(txns)["BroadcastHashJoin"] == 0
+    out = B.statement_replies(txns, cells)
+    assert _all_staged(out.select("reply"))
+    got = {r.statement_id: r.reply for r in out.collect()}
+    assert set(got) == {1, 2, 3, None}   # null is a statement of its own, whose rows meet no bank
+    assert [f"NEFT rent {n}" in got[1] for n in range(1, 8)] == [True] * 5 + [False] * 2
+    assert got[1].index("NEFT rent 1") < got[1].index("NEFT rent 2") < got[1].index("NEFT rent 5")
+    assert "Vendor bill" in got[3] and "misc" not in got[2]
