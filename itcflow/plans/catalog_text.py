@@ -909,9 +909,10 @@ FROM (SELECT *, CASE WHEN short THEN 'Other' ELSE {cat} END AS cat, {Q.kw_matche
 def f22c(spark, sf_dir):
     """The chat reply to every extraction reply: confirmation message (fields, GSTIN status,
     classification block) or the unreadable/empty notice."""
-    m = M(spark, sf_dir)
+    m = M(spark, sf_dir).stage("invoices", "id", "user_id", "seller_gstin", "invoice_no", "taxable_amt", "cgst", "sgst", "igst",
+                               "description", "created_at")   # joined once, for the ids and for the replies
     rep = IN.gstin_report(m.invoices, "seller_gstin", repair=True)
-    return IN.confirmation_messages(_parsed(spark, sf_dir), rep)
+    return IN.confirmation_messages(IN.read_ocr_replies(m.ocr_replies), rep)
 
 
 def _statement_reply_sql() -> str:

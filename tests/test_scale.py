@@ -126,3 +126,20 @@ def test_statements_are_read_once_and_cells_are_not_sorted(spark):
     assert [f"NEFT rent {n}" in got[1] for n in range(1, 8)] == [True] * 5 + [False] * 2
     assert got[1].index("NEFT rent 1") < got[1].index("NEFT rent 2") < got[1].index("NEFT rent 5")
     assert "Vendor bill" in got[3] and "misc" not in got[2]
+
+
+def test_confirmations_join_ids_only_and_deal_blank_ones(spark):
+    from itcflow.functions import fixed
+    from itcflow.functions import gstin as G
+    from itcflow.operators import ingest as IN
+    good = spark.range(1).select(F.concat(F.lit("27AAPFU0939F1Z"), G.check_char("'27AAPFU0939F1Z'"))).first()[0]
+    texts = ['{"seller_gstin": "%s", "description": "Laptop", "cgst": 9.0}' % good, '{"seller_gstin": "", "invoice_no": "7"}',
+             '{"seller_gstin": "bad", "description": "x"}', '{"invoice_no": "8", "description": ""}', "no", "{}"]
+    replies = spark.range(6).select("id", F.element_at(F.array(*map(F.lit, texts)), (F.col("id") + 1).cast("int")).alias("reply"))
+    report = IN.gstin_report(spark.createDataFrame([(good,), ("bad",), ("",), (None,)], "g string"), "g")
+    out = IN.confirmation_messages(IN.read_ocr_replies(replies), report)
+    assert _joins(out) == {"ShuffledHashJoin": 1, "SortMergeJoin": 0, "BroadcastHashJoin": 0}
+    got = {r.id: r.message for r in out.collect()}
+    assert len(got) == 6 and "Valid (" in got[0] and "Electronics" in got[0] and "Invalid GSTIN - ITC risk!" in got[2]
+    assert "GSTIN" not in got[1].split(fixed.CONFIRM_TAIL)[0].replace(fixed.CONFIRM_HEAD, "") and "Other" in got[3]
+    assert (got[4], got[5]) == (fixed.PHOTO_UNREADABLE, fixed.PHOTO_EMPTY)
