@@ -31,7 +31,8 @@ DIM = 1024
 N = 3
 UNKNOWN = "und"
 
-#: Code points handled in one numpy call, and n-gram vectors a worker keeps.
+#: Code points handled in one numpy call, and n-gram vectors a worker keeps (as bytes;
+#: an eighth of them at a time as floats).
 BLOCK, KEPT = 1 << 19, 20_000
 
 _BITS = 21  # of a code point
@@ -45,7 +46,7 @@ class Profiles:
         self.dim, self.n = dim, n
         self.letter = np.zeros(0x110000, np.int8)  # 0: not looked up, 1: letter, -1: other
         self.row: dict[int, int] = {}
-        self.vectors = np.zeros((KEPT, dim), np.float32)
+        self.vectors = np.zeros((KEPT, dim), np.int8)
 
     def _letters(self, codes: np.ndarray) -> np.ndarray:
         new = np.unique(codes[self.letter[codes] == 0])
@@ -105,7 +106,7 @@ class Profiles:
             lo = len(self.row)
             self.vectors[lo:lo + len(new)] = self.bind(np.array(new, np.uint64))
             self.row.update(zip(new, range(lo, lo + len(new)), strict=True))
-        return self.vectors[[self.row[g] for g in keys]]
+        return self.vectors[[self.row[g] for g in keys]].astype(np.float32)
 
     def bundle(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The vector of each text, whole numbers as float64."""
@@ -113,8 +114,8 @@ class Profiles:
         out = np.zeros((len(counted), self.dim))
         doc = np.repeat(np.arange(len(counted)), [len(g) for g, _ in counted])
         times = np.concatenate([c for _, c in counted])
-        for lo in range(0, len(every), KEPT // 4):
-            part = every[lo:lo + KEPT // 4]
+        for lo in range(0, len(every), KEPT // 8):
+            part = every[lo:lo + KEPT // 8]
             m = np.zeros((len(counted), len(part)), np.float32)
             inside = (at >= lo) & (at < lo + len(part))
             m[doc[inside], at[inside] - lo] = times[inside]

@@ -18,8 +18,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of one generation of a worker's memory, and bytes of their keys and
-#: values; two generations are kept.
-MOST, MOST_BYTES = 500_000, 32 << 20
+#: values; two generations are kept. A short entry takes some 150 bytes as Python
+#: objects, and workers that wait for a task keep theirs, so that a few hold it at once.
+MOST, MOST_BYTES = 200_000, 32 << 20
 #: Packs up to 31 ids as little-endian unsigned 32-bit numbers.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Longer keys are worked out each time and not kept: in texts without blanks a

@@ -143,3 +143,12 @@ def test_confirmations_join_ids_only_and_deal_blank_ones(spark):
     assert len(got) == 6 and "Valid (" in got[0] and "Electronics" in got[0] and "Invalid GSTIN - ITC risk!" in got[2]
     assert "GSTIN" not in got[1].split(fixed.CONFIRM_TAIL)[0].replace(fixed.CONFIRM_HEAD, "") and "Other" in got[3]
     assert (got[4], got[5]) == (fixed.PHOTO_UNREADABLE, fixed.PHOTO_EMPTY)
+
+
+def test_workers_keep_little():
+    from itcflow.llm import hyper_lang, token_ids
+    kept = token_ids.Kept(lambda key: b"")
+    for i in range(600_000):
+        kept[f"{i:x}"]
+    assert len(kept) + len(kept.old) <= 400_000
+    assert hyper_lang.Profiles().vectors.nbytes <= 20_000 * 1024
