@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,23 @@ def passing(df: DataFrame, name: str):
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function for ``mapInArrow``, that gives its memory back after the
+    last batch. Workers wait for other tasks after that, more of them than an
+    executor has cores, and what they hold comes on top of the next stage."""
+    def and_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return and_tidy
+
+
 def spare(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

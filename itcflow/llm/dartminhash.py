@@ -30,8 +30,8 @@ K = 80
 BAND = 4
 SHINGLE = 5
 
-#: Bytes of text that are hashed in one numpy call.
-BLOCK = 1 << 20
+#: Bytes of text that are hashed in one numpy call; each worker holds tables of 32 times as much.
+BLOCK = 1 << 18
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, spare
+from .common import prepare, spare, tidy
 from .dartminhash import mix
 
 DIM = 1024
@@ -159,7 +159,7 @@ def learn(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", dim:
     don't count. ``dim`` is a multiple of 64, ``n`` at most 3."""
     prepare(texts.sparkSession)
     rows = texts.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    sums = (rows.mapInArrow(_sums(dim, n), "lang string, v array<bigint>")
+    sums = (rows.mapInArrow(tidy(_sums(dim, n)), "lang string, v array<bigint>")
                 .select("lang", F.posexplode("v").alias("i", "x"))
                 .groupBy("lang", "i").agg(F.sum("x").alias("x"))
                 .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("v")))
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in keep]
                           + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias(spare(docs, "_text"))).mapInArrow(_answers(model), schema)
+    return docs.select(*keep, F.col(text_col).alias(spare(docs, "_text"))).mapInArrow(tidy(_answers(model)), schema)
 
 
 def held_out(id_col: str = "doc_id"):

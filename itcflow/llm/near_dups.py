@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import dartminhash as D
-from .common import materialize, passing, prepare, spare, utf8
+from .common import materialize, passing, prepare, spare, tidy, utf8
 from .components import components
 
 #: Bounds of one block of a bucket's members; a larger bucket is cut into
 #: blocks, and every pair of its blocks is tested.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 
+#: Bytes of text whose signatures are made at once.
+TEXT_BYTES = 1 << 20
+
 
 def _packed(el: np.ndarray, count: np.ndarray, weighting: str) -> np.ndarray:
     """Sorted 32-bit elements of the exact check. By count, an element that
@@ -42,7 +45,7 @@ def _signatures(k: int, band: int, n: int, weighting: str):
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= D.BLOCK):
+                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TEXT_BYTES):
                     size += len(texts[hi])
                     hi += 1
                 low = [D.lower(t) for t in texts[lo:hi]]
@@ -162,7 +165,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            T.StructField("c", T.BinaryType()), T.StructField("n", T.LongType()),
                            T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("el", T.BinaryType())])
     signed = (docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("r"), utf8(text_col).alias("t"))
-                  .mapInArrow(_signatures(k, band, shingle, weighting), schema))
+                  .mapInArrow(tidy(_signatures(k, band, shingle, weighting)), schema))
     with passing(signed, "signatures") as sig:  # of use until the links are known
         ids = materialize(sig.select("id", "c"), "ids")
         links = materialize(_linked(sig.where("c is not null"), threshold), "links")
@@ -195,7 +198,7 @@ def _linked(some: DataFrame, threshold: float) -> DataFrame:
                             (F.col("mine") > F.col("other")).alias("right"), "c")
                     .join(el, "c").select("key", "i", "j", "right", "c", "el")
                     .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "right", "c"))
-    return paired.mapInArrow(_links(threshold), "a binary, b binary").distinct()
+    return paired.mapInArrow(tidy(_links(threshold)), "a binary, b binary").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

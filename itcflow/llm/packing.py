@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, prepare, utf8
+from .common import materialize, prepare, tidy, utf8
 from .token_ids import of_worker
 
 CAPACITY = 4096
@@ -87,6 +87,7 @@ def _pieces(capacity: int, end: int, path: str | None):
                 [batch.column(0).take(pa.array(doc, pa.int64())),
                  *[pa.array([x[c] for x in out], pa.int64()) for c in range(5)], pa.array(marks, pa.binary())],
                 names=["id", "row", "start", "length", "ids_crc32", "doc_tokens", "marks"])
+        ids.forget()
     return run
 
 
@@ -258,7 +259,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in longs],
                            T.StructField("marks", T.BinaryType())])
     pieces = materialize(docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t"))
-                             .mapInArrow(_pieces(capacity, end, tokenizer), schema), "pieces")
+                             .mapInArrow(tidy(_pieces(capacity, end, tokenizer)), schema), "pieces")
     rests = pieces.where(F.col("length") < capacity)
     tokens = rests.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (capacity * WINDOWS)))

@@ -66,6 +66,12 @@ class Kept(dict):
         return value
 
 
+    def forget(self) -> None:
+        """Starts anew, with no entry."""
+        self.clear()
+        self.old, self.bytes = {}, 0
+
+
 class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit numbers."""
 
@@ -100,6 +106,11 @@ class TokenIds:
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        """Drops the words met so far; the file stays read."""
+        self.words.forget()
+        self.chunks.forget()
+
 
 @lru_cache(maxsize=2)
 def of_worker(path: str | None = None) -> TokenIds:

@@ -152,3 +152,28 @@ def test_workers_keep_little():
         kept[f"{i:x}"]
     assert len(kept) + len(kept.old) <= 400_000
     assert hyper_lang.Profiles().vectors.nbytes <= 20_000 * 1024
+
+
+def test_workers_keep_no_words_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    from itcflow.llm import common, dartminhash, packing
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(len(ids.words) + len(ids.words.old)))
+    ids = packing.of_worker(None)
+    ids.words.old["left"] = b""
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"river{i} Stone, wood".encode()])], names=["id", "t"]) for i in (1, 2)]
+    out = common.tidy(packing._pieces(4096, 2, None))(iter(batches))
+    first = next(out)
+    assert len(ids.words) and len(ids.chunks) == 3 and not given
+    second = next(out)
+    assert list(out) == [] and given == [0]
+    assert (len(ids.words), len(ids.chunks), len(ids.chunks.old), ids.words.bytes, ids.chunks.bytes) == (0,) * 5
+    again = list(packing._pieces(4096, 2, None)(iter(batches)))
+    assert [b.to_pydict() for b in again] == [b.to_pydict() for b in (first, second)]
+    assert dartminhash._UP.nbytes + dartminhash._DOWN.nbytes <= 16 << 20
