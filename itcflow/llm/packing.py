@@ -74,8 +74,8 @@ def _pieces(capacity: int, end: int, path: str | None):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             doc, out, marks = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tokens = ids.of(text) + tail
+            for i, tokens in enumerate(ids.of_all(batch.column(1))):
+                tokens += tail
                 n = len(tokens) // 4
                 for start in range(0, n, capacity):
                     piece = tokens[4 * start:4 * (start + capacity)]

@@ -331,6 +331,36 @@ def test_packing_reads_added_tokens_as_the_file_does(spark, monkeypatch):
     check_packing(rows(pack(docs(spark, data, extra=True))), [(i, t) for i, t, _ in data], 1)
 
 
+def test_a_block_of_texts_learns_its_chunks_together(monkeypatch):
+    import pyarrow as pa
+    from itcflow.llm import token_ids as K
+    ids, alone = K.TokenIds(), []
+    make = ids.chunks.make
+    monkeypatch.setattr(ids.chunks, "make", lambda chunk: alone.append(chunk) or make(chunk))
+    rng = random.Random(12)
+    plain = [" ".join(f"{rng.choice(VOC)}{rng.choice(['', ',', '.', "'s", 'É', '7!?'])}" for _ in range(200)) for _ in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() + [2] for x in ids.of_all(pa.array([t.encode() for t in plain]))] == [ids_of(t) for t in plain]
+    assert not alone
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "text|>", "It", "'LL", " ", "\n", "\t\r\x0b\x0c", "\xa0", "\x1c", "\x85", "\u2003", "\0", "é", "\u0301",
+             "日", "İ", "½", "12", "x" * 70, "y" * 210]
+    texts = ["", " ", "\n\n", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)), ""]
+    data = pa.array([t.encode() for t in texts])
+    for block, most in ((1, 200_000), (200, 200_000), (4 << 20, 50)):
+        monkeypatch.setattr(K, "BLOCK_BYTES", block)
+        monkeypatch.setattr(K, "MOST", most)
+        some = K.TokenIds()
+        assert [np.frombuffer(x, "<u4").tolist() + [2] for x in some.of_all(data.slice(1))] == [ids_of(t) for t in texts[1:]]
+        for kept in (some.words, some.chunks):
+            assert len(kept) <= most and len(kept.old) <= most
+            assert max(map(len, [*kept, *kept.old])) <= K.LONGEST
+            assert kept.bytes == sum(4 * len(k) + len(v) for k, v in kept.items())
+    for few in ([], [""], ["", ""], [" "], ["a", ""]):
+        got = list(ids.of_all(pa.array([t.encode() for t in few], pa.binary())))
+        assert [np.frombuffer(x, "<u4").tolist() + [2] for x in got] == [ids_of(t) for t in few]
+    bad = [b"\xff\xfe a\xc3", b"\xe6\x97 b\x80c"]
+    assert list(ids.of_all(pa.array(bad))) == [K.TokenIds().of(t) for t in bad]
+
+
 def test_words_kept_have_a_bound_in_bytes(monkeypatch):
     from itcflow.llm import token_ids as K
     ids = K.TokenIds()
