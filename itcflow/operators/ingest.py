@@ -19,18 +19,19 @@ OCR_SCHEMA = ("seller_gstin string, invoice_no string, invoice_date string, taxa
 
 def read_ocr_replies(df: DataFrame, col: str = "reply") -> DataFrame:
     """Strip ``` fences, parse the JSON reply with a fixed schema. A reply
-    that does not parse is flagged (``parse_error``), not a job failure. The parsed
-    fields come out of a generator: Spark would else repeat the parse for each of
-    them, and in every filter on them."""
+    that does not parse is flagged (``parse_error``), not a job failure. The test and the
+    parsed fields come out of a generator: Spark would else repeat them for each
+    field, and in every filter on them."""
     raw = F.trim(F.replace(F.replace(F.col(col), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     valid = F.expr("try_parse_json(_raw)")
-    out = df.withColumn("_raw", raw).withColumn("_ok", valid.isNotNull())
     kept = [c for c in df.columns if c != col]
-    out = out.select(*kept, "_ok", F.explode(F.array(F.when(F.col("_ok"), F.from_json("_raw", OCR_SCHEMA)))).alias("f"))
-    filled = sum(F.col("f." + k).isNotNull().cast("int") for k in fixed.OCR_FIELDS)
-    return out.select(*kept, (~F.col("_ok")).alias("parse_error"),
-                      *[F.col("f." + k).alias(k) for k in fixed.OCR_FIELDS],
-                      F.when(F.col("_ok"), filled).otherwise(F.lit(0)).alias("filled_count"))
+    fields = F.when(valid.isNotNull(), F.struct(F.from_json("_raw", OCR_SCHEMA).alias("f")))   # null: doesn't parse
+    out = df.withColumn("_raw", raw).select(*kept, F.explode(F.array(fields)).alias("_read"))
+    filled = sum(F.col("_read.f." + k).isNotNull().cast("int") for k in fixed.OCR_FIELDS)
+    ok = F.col("_read").isNotNull()
+    return out.select(*kept, (~ok).alias("parse_error"),
+                      *[F.col("_read.f." + k).alias(k) for k in fixed.OCR_FIELDS],
+                      F.when(ok, filled).otherwise(F.lit(0)).alias("filled_count"))
 
 
 def split_ocr(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -36,6 +36,44 @@ def test_replies_are_parsed_once(spark):
     assert [r.id for r in good.collect()] == [0] and retry.count() == 5
 
 
+def test_replies_are_tested_once_and_dates_tried_by_shape(spark):
+    from itcflow.functions import fixed
+    from itcflow.functions import text as X
+    from itcflow.operators import ingest as IN
+    texts = ['{"invoice_date": "3-2-2024"}', '{"invoice_date": "x"} y', '{"a": 1, "a": 2}', "[1]", "null", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "user_id long, reply string")
+    parsed = IN.read_ocr_replies(rows)
+    good = IN.to_invoices(parsed.filter(~F.col("parse_error")))
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1   # not again in the filter
+    valid = {r.user_id for r in rows.filter("try_parse_json(reply) is not null").collect()}
+    assert {r.user_id for r in good.collect()} == valid == {r.user_id for r in parsed.collect() if not r.parse_error}
+    days = ["3-2-2024", "03/02/2024", "2024-2-3", "2024/2/3", "n/a", "", " 3-2-2024", "3-2-24", "31-2-2024", "3-2-+12024", "-2024-1-1", "3-2-2024\n", None]
+    d = spark.createDataFrame([(x,) for x in days], "d string")
+    plain = F.coalesce(*[F.try_to_timestamp("d", F.lit(f)) for f in fixed.INVOICE_DATE_FORMATS]).cast("timestamp_ntz")
+    out = d.select("d", plain.alias("plain"), X.parse_invoice_date(F.col("d")).alias("got"))
+    assert out.filter("NOT plain <=> got").count() == 0 and out.filter("got IS NOT NULL").count() == 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") >= 3
+
+
+def test_invoices_meet_the_parts_first_and_orders_their_customers(spark):
+    from itcflow.sources.tables import Model
+    m = Model(spark, "nowhere")
+    for name, rows, schema in (
+            ("lineitem", [(1, 1, 5, 7, 9.0, 100.0, 0.1, 0.05, "A", None), (1, 1, 5, 7, 9.0, 100.0, 0.1, 0.05, "A", None), (2, 1, 6, 7, 1.0, 9.0, 0.0, 0.0, "N", None),
+                          (None, 1, 5, 7, 9.0, 1.0, 0.0, 0.0, "N", None), (1, 2, None, 7, 9.0, 1.0, 0.0, 0.0, "N", None)],
+             "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+             "l_returnflag string, l_shipdate timestamp_ntz"),
+            ("orders", [(1, 3, None), (2, 4, None), (None, 3, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+            ("customer", [(3, 1), (3, 1), (None, 1)], "c_custkey long, c_nationkey int"), ("supplier", [(7, 1), (None, 1)], "s_suppkey long, s_nationkey int"),
+            ("part", [(5, "SMALL", "x"), (6, "SMALL", "y"), (None, "z", "z")], "p_partkey long, p_type string, p_name string")):
+        m.replace(name, spark.createDataFrame(rows, schema))
+    got = [(r.user_id, r.invoice_no, r.description) for r in m.invoices.collect()]
+    assert got == [(3, "INV/1/1", "x")] * 4   # equal rows multiply, null meets nothing
+    plan = m.invoices._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x.split("\n")[0] for x in plan.split("Join Inner, ")[1:]]
+    assert [next(k for k in ("s_suppkey", "o_orderkey", "p_partkey", "c_custkey") if k in j) for j in joins] == ["s_suppkey", "o_orderkey", "p_partkey", "c_custkey"]
+
+
 def test_streams_read_invoices_that_were_joined_once(spark, monkeypatch):
     from itcflow.plans import catalog_stream as CS
     inv = _invoices(spark)
