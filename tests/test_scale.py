@@ -1,6 +1,7 @@
 """What keeps the large jobs in bounds: inputs that are joined or parsed once, shuffles that are needed once."""
 
 import os
+import time
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -74,6 +75,59 @@ def test_invoices_meet_the_parts_first_and_orders_their_customers(spark):
     assert [next(k for k in ("s_suppkey", "o_orderkey", "p_partkey", "c_custkey") if k in j) for j in joins] == ["s_suppkey", "o_orderkey", "p_partkey", "c_custkey"]
 
 
+def _tables(spark, path, n=300):
+    """Small driver tables with nulls and rows that come twice."""
+    i = F.col("id")
+    key = lambda x, k: F.when(i % 37 == k, None).otherwise(x)
+    day = lambda x: F.timestamp_seconds(757382400 + x * 86400).cast("timestamp_ntz")
+    t = {"orders": spark.range(n // 3).select(key(i, 5).alias("o_orderkey"), key(i % 9, 7).alias("o_custkey"), day(i * 7).alias("o_orderdate"),
+                                              F.lit(10.0).alias("o_totalprice"), F.lit("O").alias("o_orderstatus"), F.lit("1").alias("o_orderpriority")),
+         "lineitem": spark.range(n).unionAll(spark.range(n // 9)).select(
+             key(i % (n // 3), 1).alias("l_orderkey"), (i % 4).alias("l_partkey"), key(i % 5, 2).alias("l_suppkey"), (1 + i % 7).cast("int").alias("l_linenumber"),
+             (1.0 + i % 50).alias("l_quantity"), (100.0 + i).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit(0.05).alias("l_tax"),
+             F.element_at(F.array(*map(F.lit, "ANR")), (1 + i % 3).cast("int")).alias("l_returnflag"), F.lit("F").alias("l_linestatus"), day(i).alias("l_shipdate")),
+         "customer": spark.range(9).select(i.alias("c_custkey"), F.lit("c").alias("c_name"), (i % 3).cast("int").alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"),
+                                           F.lit("m").alias("c_mktsegment")),
+         "supplier": spark.range(5).select(i.alias("s_suppkey"), F.lit("s").alias("s_name"), (i % 3).cast("int").alias("s_nationkey"), F.lit(1.0).alias("s_acctbal")),
+         "part": spark.range(4).select(i.alias("p_partkey"), F.lit("petrol").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("SMALL").alias("p_type"),
+                                       F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice"))}
+    for name, df in t.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def _shuffle_files(spark):
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in top for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_shuffles_of_a_staged_table_go(spark):
+    from itcflow.sources.tables import staged
+    was, key = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = staged(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    assert df.count() == 100 and spark.conf.get(key, "false") == "false"
+    for _ in range(50):   # they are removed in the background; the last one is that of the count
+        left = {f.split("_")[1] for f in _shuffle_files(spark) - was}
+        if len(left) <= 1:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1
+
+
+def test_invoices_staged_in_slices_are_the_same(spark, tmp_path, monkeypatch):
+    from itcflow.sources import tables as TB
+    d = _tables(spark, tmp_path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    cols = ["id", "user_id", "seller_gstin", "invoice_no", "created_at", "igst", "description"]
+    inv = rows(TB.Model(spark, d).invoices.select(*cols))
+    m, written, was = TB.Model(spark, d), [], TB.Model._invoices
+    assert TB.slices(m.lineitem) == 1
+    monkeypatch.setattr(TB, "SLICE", 2 + sum(os.path.getsize(f.removeprefix("file:")) for f in m.lineitem.inputFiles()) // 3)
+    monkeypatch.setattr(TB.Model, "_invoices", lambda self, r: (written.append(r.count()), was(self, r))[1])
+    assert rows(m.stage("invoices", *cols).invoices) == inv and _all_staged(m.invoices)
+    assert len(written) == 3 and all(written) and sum(written) == len(inv) > 100
+
+
 def test_streams_read_invoices_that_were_joined_once(spark, monkeypatch):
     from itcflow.plans import catalog_stream as CS
     inv = _invoices(spark)
