@@ -18,7 +18,7 @@ from ..operators import filing as FL
 from ..operators import ingest as IN
 from ..operators.invoices import latest_by
 from ..session import shared_dir
-from ..sources.tables import spread, staged
+from ..sources.tables import in_slice, slices, spread, staged, staged_slices
 from . import sqlbits as Q
 from .catalog_core import M, feed
 from .registry import query
@@ -403,12 +403,15 @@ LEFT JOIN (SELECT * FROM invoices QUALIFY row_number() OVER (PARTITION BY id ORD
            round(cgst + sgst + igst, 2)) = 1) d ON d.id = n.inc
 """, ctes=OCR_CTE)
 def j5(spark, sf_dir):
-    """Incoming (parsed) invoices checked against the stored ones."""
+    """Incoming (parsed) invoices checked against the stored ones, large tables in slices of users."""
     m = M(spark, sf_dir).stage("invoices", "id", "user_id", "seller_gstin", "invoice_no", "date", "taxable_amt", "cgst", "sgst", "igst",
                                "description", "created_at")
     p = IN.read_ocr_replies(m.ocr_replies).filter(~F.col("parse_error"))
     p = staged(p.select(F.col("id").alias("req_id"), "user_id", "invoice_no", "seller_gstin"), "parsed")
-    return IN.find_duplicates(p, m.invoices)
+    n = slices(m.invoices)
+    if n == 1:
+        return IN.find_duplicates(p, m.invoices)
+    return staged_slices((IN.find_duplicates(*[df.filter(in_slice("user_id", i, n)) for df in (p, m.invoices)]) for i in range(n)), "found")
 
 
 @query("J12_apply_corrections", "J12,W7", """

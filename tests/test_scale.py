@@ -128,6 +128,18 @@ def test_invoices_staged_in_slices_are_the_same(spark, tmp_path, monkeypatch):
     assert len(written) == 3 and all(written) and sum(written) == len(inv) > 100
 
 
+def test_duplicates_are_found_in_slices_of_users(spark, tmp_path, monkeypatch):
+    from itcflow.plans import catalog_text as CT
+    d = _tables(spark, tmp_path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = CT.j5(spark, d)
+    assert not any("/found/" in f for f in whole.inputFiles())
+    monkeypatch.setattr(CT, "slices", lambda df: 3)
+    found = CT.j5(spark, d)
+    assert _all_staged(found) and all("/found/" in f for f in found.inputFiles())
+    assert rows(found) == rows(whole) and whole.filter("is_duplicate").count() > 50
+
+
 def test_streams_read_invoices_that_were_joined_once(spark, monkeypatch):
     from itcflow.plans import catalog_stream as CS
     inv = _invoices(spark)
