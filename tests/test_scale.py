@@ -148,6 +148,19 @@ def test_streams_read_invoices_that_were_joined_once(spark, monkeypatch):
     assert _all_staged(got) and got.count() == 200
 
 
+def test_ledger_streams_carry_what_the_ledger_reads(spark, monkeypatch):
+    from itcflow.operators.aggregates import build_ledger
+    from itcflow.plans import catalog_stream as CS
+    from itcflow.streaming import jobs as S
+    inv = _invoices(spark, 120).withColumn("igst", F.when(F.col("id") % 4 == 0, None).otherwise((F.col("id") % 3).cast("decimal(18,2)")))
+    monkeypatch.setattr(CS, "M", lambda *_: SimpleNamespace(invoices=inv))
+    path = CS._ledger(spark, "nowhere", "reads")
+    src = spark.read.parquet(path.rsplit("/", 1)[0] + "/src")
+    assert src.columns == CS.LEDGER_READS and src.count() == 120
+    rows = lambda df: sorted((r.user_id, r.period, float(r.total_purchases), float(r.itc_available)) for r in df.collect())
+    assert rows(S.month_table(spark, path).read()) == rows(build_ledger(inv, "saved"))
+
+
 def test_views_read_a_staged_table(spark):
     from itcflow.sources.tables import Model
     m = Model(spark, "nowhere")
