@@ -154,9 +154,10 @@ def test_ledger_streams_carry_what_the_ledger_reads(spark, monkeypatch):
     from itcflow.streaming import jobs as S
     inv = _invoices(spark, 120).withColumn("igst", F.when(F.col("id") % 4 == 0, None).otherwise((F.col("id") % 3).cast("decimal(18,2)")))
     monkeypatch.setattr(CS, "M", lambda *_: SimpleNamespace(invoices=inv))
+    laid, was = [], CS.S.read_stream
+    monkeypatch.setattr(CS.S, "read_stream", lambda s, p, x: (laid.append((s.read.parquet(p).columns, s.read.parquet(p).count())), was(s, p, x))[1])
     path = CS._ledger(spark, "nowhere", "reads")
-    src = spark.read.parquet(path.rsplit("/", 1)[0] + "/src")
-    assert src.columns == CS.LEDGER_READS and src.count() == 120
+    assert len(laid) == 4 and all(c == CS.LEDGER_READS for c, _ in laid) and sum(n for _, n in laid) == 120
     rows = lambda df: sorted((r.user_id, r.period, float(r.total_purchases), float(r.itc_available)) for r in df.collect())
     assert rows(S.month_table(spark, path).read()) == rows(build_ledger(inv, "saved"))
 
@@ -214,6 +215,33 @@ def test_gate_keeps_its_state_in_rocksdb(spark, tmp_path):
     assert "RocksDB" in open(f"{tmp_path}/ck/offsets/0").read() and spark.conf.get(key, None) == was
 
 
+def test_gate_and_its_stream_leave_little(spark, monkeypatch):
+    """The laid ranges and the staged table go when they have been read; a key without a GSTIN keeps no texts of rows with one."""
+    from itcflow.plans import catalog_stream as CS
+    inv, seen = _invoices(spark).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 24 YEARS")), []
+    monkeypatch.setattr(CS, "M", lambda *_: SimpleNamespace(invoices=inv))
+    was, base, staged = CS.S.gate_duplicates, CS._base, CS.staged
+    monkeypatch.setattr(CS, "staged", lambda df, name: seen.append(staged(df, name)) or seen[-1])
+    monkeypatch.setattr(CS, "_base", lambda *a: seen.append(base(*a)) or seen[-1])
+    monkeypatch.setattr(CS.S, "gate_duplicates", lambda s, *a: (seen.append(spark.read.parquet(seen[0] + "/src")), was(s, *a))[1])
+    out = CS.r2(spark, "nowhere")
+    top, table, laid = seen[0], seen[1], seen[2:]
+    assert table.columns == CS.GATE_READS and all(x.columns == CS.GATE_READS for x in laid) and len(laid) == 4
+    gone = lambda p: not os.path.exists(p.removeprefix("file:"))
+    assert gone(top + "/src") and all(gone(f.replace("file:///", "/")) for f in table.inputFiles())
+    rows, first = sorted(((r.created_at, r.id, r.user_id, r.invoice_no, r.seller_gstin) for r in inv.collect())), []
+    for i, (_, _, u, no, g) in enumerate(rows):
+        if not no or not any((u, no) == x[2:4] and g in ("", x[4]) for x in rows[:i]):
+            first.append(rows[i][1])
+    late = {r.id for r in inv.filter(F.col("created_at") >= CS.STORED_BEFORE).collect()}
+    assert sorted(r.id for r in out.collect()) == sorted(set(first) & late) and len(set(first) & late) > 20
+    at = F.when(F.col("id") < 100, "1992-01-01").otherwise("2000-01-01")   # one range, and rows that are stored
+    inv = inv.withColumn("created_at", at.cast("timestamp"))
+    seen.clear()
+    got = CS.r2(spark, "nowhere")
+    assert got.filter("id < 100").count() == 0 and got.count() > 5
+
+
 def test_documents_of_one_row_group_go_to_many_tasks(spark, tmp_path):
     from itcflow.plans.catalog_text import f8d, l3
     spark.range(50).select(F.col("id").alias("doc_id"), F.lit("some petrol text").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
